@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """crc32 of doc_id as text, mod 3, is 1. A null doc_id counts as held out: it has no checksum to learn by."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
+
+
+def text_groups(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Whole texts in lists of about most characters, so that memory follows the longest text and not the batch."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

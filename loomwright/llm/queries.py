@@ -4,24 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixture
-from .common import LOWER, UPPER, table
+from . import byte_bpe, exact_dedup, lang_id, mixture, token_cache, toxicity
+from .common import LOWER, UPPER, held_out, table
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", F.col("topic_").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"))
+    predicted = lang_id.identify(table(spark, sf_dir, "documents"), learn=~out)
+    return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"))
+    scored = toxicity.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), learn=~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language_id": op5_language_id,
+    "op7_toxicity": op7_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
