@@ -4,8 +4,8 @@ A word is the mean of the vectors of its character n-grams (with marks for its t
 mean of its words, and a softmax over two classes reads that mean. Vectors and softmax are trained
 together by Adagrad in numpy. A misspelling that was never seen shares most n-grams with the word it comes from.
 
-Training uses a bounded sample of labelled documents (max_docs; documents over max_chars are left out of
-the sample, never of the scoring), whose texts go to the driver. The model has a fixed size. Since the
+Training uses a bounded sample of labelled documents (max_toxic and max_clean; documents over max_chars are left out
+of the sample, never of the scoring), whose texts go to the driver. The model has a fixed size. Since the
 softmax is linear, scoring needs one number for each n-gram, the vectors' dot product with the softmax, which is
 broadcast (BUCKETS floats).
 """
@@ -149,17 +149,23 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
     return Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", max_docs: int = 3000, max_chars: int = 50_000) -> Model:
-    """From at most about max_docs documents with a text and a label 0 or 1: half of each class, or all of a class with fewer.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1500, max_clean: int = 3000, max_chars: int = 50_000) -> Model:
+    """From about max_toxic and max_clean labelled documents at most; from all of a class that has no more.
 
-    The sample is chosen by a hash of the text. It is the only part of the corpus that the driver sees.
+    The sample is chosen by a hash of the id among the labels, so it is at most a few thousand ids when it is broadcast to
+    find the texts. Labels other than 0 and 1, null ids and null texts teach nothing. The
+    sample is the only part of the corpus that the driver sees.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull() & (F.char_length(text_col) <= max_chars)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"), F.pmod(F.xxhash64(text_col), F.lit(1 << 30)).alias("h"))
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    room = {y: min(1.0, max_docs / 2 / n) for y, n in counts.items()}
-    if room:
-        rows = rows.where(F.col("h") < F.create_map(*[x for y, r in room.items() for x in (F.lit(y), F.lit(int(r * (1 << 30))))])[F.col("y")])
-    sample = sorted((r["text"], r["y"]) for r in rows.select("text", "y").limit(2 * max_docs).collect())
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("_h"))
+    most = {0: max_clean, 1: max_toxic}
+    counts = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
+    if not counts:
+        return fit([], [])
+    room = F.create_map(*[x for y, n in counts.items() for x in (F.lit(y), F.lit(int(min(1.0, most[y] / n) * (1 << 30))))])
+    chosen = marks.where(F.col("_h") < room[F.col("_y")]).limit(2 * (max_toxic + max_clean)).groupBy("_id").agg(F.max("_y").alias("_y"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.char_length("_text") <= max_chars))
+    found = texts.join(F.broadcast(chosen), "_id").select("_text", "_y").limit(2 * (max_toxic + max_clean)).collect()
+    sample = sorted((r["_text"], r["_y"]) for r in found)
     return fit([t for t, _ in sample], [y for _, y in sample])
 
 
@@ -183,6 +189,5 @@ def score_documents(docs: DataFrame, model: Model, *, threshold: float = 0.7, te
 
 def detect(docs: DataFrame, labels: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, **bounds: int) -> DataFrame:
     """docs with score and predicted, learned from the labels of the documents where learn holds (an expression of the id)."""
-    marks = labels.where(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
-    labelled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(marks, "_id")
-    return score_documents(docs, train(labelled, text_col="_text", label_col="_y", **bounds), threshold=threshold, text_col=text_col)
+    model = train(docs, labels.where(learn), id_col=id_col, text_col=text_col, label_col=label_col, **bounds)
+    return score_documents(docs, model, threshold=threshold, text_col=text_col)
