@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, lang_id, mixture, token_cache, toxicity
+from . import byte_bpe, exact_dedup, html_main, lang_id, license_scan, media, mixture, token_cache, toxicity
 from .common import LOWER, UPPER, held_out, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_documents(table(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.format_string("%d-%d:%s:%.4f", m["first_line"], m["end_line"], m["license"], m["dice"]))
+    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_matches", F.array_join(spans, " ").alias("spans"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", F.col("topic_").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
@@ -30,22 +36,33 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"))
     scored = toxicity.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), learn=~out)
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_source_mixing": op2_source_mixing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
+    "op6_lossless_webp": op6_lossless_webp,
     "op7_toxicity": op7_toxicity,
+    "op8_html_main_text": op8_html_main_text,
     "op10_token_counts": op10_token_counts,
 }
 
