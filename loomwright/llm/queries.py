@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_main, lang_id, license_scan, media, mixture, token_cache, toxicity
+from . import byte_bpe, exact_dedup, html_main, lang_id, license_scan, media, mixture, near_dup, token_cache, toxicity
 from .common import LOWER, UPPER, held_out, table
 
 
@@ -50,6 +50,10 @@ def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lossless_webp": op6_lossless_webp,
     "op7_toxicity": op7_toxicity,
     "op8_html_main_text": op8_html_main_text,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
