@@ -57,7 +57,8 @@ def stats(chosen: DataFrame) -> DataFrame:
     )
     counts = entries.agg(F.count(F.lit(1)).alias("icons"), F.count("d").alias("d_shapes"), F.count("f").alias("f_shapes"), F.count(F.when(F.col("d") == F.col("f"), 1)).alias("shared"))
     size = distinct_length(chosen, "path").withColumnRenamed("total", "path_chars")
-    return counts.crossJoin(size)  # one row each
+    both = counts.unionByName(size, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in both.columns])
 
 
 def distinct_length(df: DataFrame, column: str) -> DataFrame:
