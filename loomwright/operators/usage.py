@@ -118,7 +118,7 @@ def _peeled(e: Column) -> Column:
     """An expression without what doesn't change its value: type assertions, a non-null mark, outer parentheses, a template of one expression."""
     e = F.trim(e)
     for _ in range(2):
-        e = F.regexp_replace(e, r"\s+(?:as|satisfies)\s+(?:const|[\w$.<>\[\] |'\"]+)(?=\s*(?:\z|[)?:|&,]))", "")
+        e = F.regexp_replace(e, r"\s+(?:as|satisfies)\s+(?:const|[\w$.<> |'\"]+(?:\[\])*)(?=\s*(?:\z|[)?:|&,]))", "")
         e = F.trim(F.regexp_replace(e, r"\A\((?s:((?:[^()]|\((?:[^()]|\([^()]*\))*\))*))\)\z", "$1"))
         e = F.regexp_replace(e, r"\A`\$\{([^{}`]*(?:\{[^{}]*\}[^{}`]*)*)\}`\z", "$1")
         e = F.trim(F.regexp_replace(e, r"(?<=[\w$\])])!\z", ""))

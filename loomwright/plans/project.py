@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import scan
 from ..operators.graph import written
-from ..sources import tables
+from ..sources import file_tree, tables
 
 log = logging.getLogger(__name__)
 REVISION = 1
@@ -51,7 +51,8 @@ class Result:
 
 
 def project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Config | None = None) -> Result:
-    """Scan files (path, rel_path, mtime_ms, size, code, and status if known) for the names.
+    """Scan files (path, rel_path, mtime_ms, size and code) for the names. Files that are only listed (without code) are read here, and only where the
+    cache does not have them.
 
     Unchanged files are taken from the cache: equal path, time and size, under a key that holds the dictionary, the markers, the extractor and the
     revision. The new cache has the files of this scan only. A file that vanished counts, and has neither names nor a cache entry.
@@ -72,21 +73,25 @@ def project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Con
 
 def _project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Config, engine: str) -> Result:
     files = files.where(T.is_source(F.col("path")) & ~T.in_ignored_directory(F.col("rel_path")) & ~T.excluded(F.col("rel_path"), config.globs))
-    fresh = files
-    cached = None
+    listed = "code" not in files.columns
+    if listed:
+        files = written(files, "listing")
+    fresh, cached = files, None
     if config.cache_path:
         print_ = scan.fingerprint(names).first()["fingerprint"]
         key = f"{config.cache_key}:{print_}:m{chr(1).join(config.markers)}:{engine}:{REVISION}"
         on = ["path", "mtime_ms", "size"]
         cache = tables.read_cache(spark, config.cache_path, key)
-        cached = cache.join(files.select(*on), on, "left_semi")
+        cached = written(cache.join(files.select(*on), on, "left_semi"), "cached")
         fresh = scan.changed(files, cache, on)
-    found = T.literals(F.col("code")) if engine == "quoted" else T.value_literals(F.col("code"), F.col("path"))
-    tokens = T.literals(F.col("code"))  # cheap, and a superset: files without any dictionary name go no further
-    candidates = fresh.where(F.size(tokens) > 0)
-    hits = scan.names_by_file(scan.hits(candidates, names, found=found))
-    entries = fresh.select("path", "mtime_ms", "size", T.markers(F.col("code"), config.markers).alias("marks")).join(hits, "path", "left")
-    entries = entries.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    if listed:
+        fresh = file_tree.with_code(fresh)
+    # One pass over the code: markers, and the quoted tokens that may be names. A file without any quoted token is not read more closely.
+    quoted = T.literals(F.col("code"))
+    found = quoted if engine == "quoted" else F.when(F.size(quoted) > 0, T.value_literals(F.col("code"), F.col("path"))).otherwise(quoted)
+    read = written(fresh.select("path", "mtime_ms", "size", T.markers(F.col("code"), config.markers).alias("marks"), found.alias("tokens")), "read")
+    hits = scan.names_by_file(scan.hits(read, names, found=F.col("tokens")))
+    entries = read.drop("tokens").join(hits, "path", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     if config.cache_path:
         entries = entries.select(F.lit(key).alias("cache_key"), "path", "mtime_ms", "size", "names", "marks")
         entries = entries.unionByName(cached)

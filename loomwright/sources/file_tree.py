@@ -11,14 +11,16 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as T
 
-SCHEMA = "root string, path string, rel_path string, mtime_ms double, size bigint, content binary, status string"
+SCHEMA = "root string, path string, rel_path string, mtime_ms double, size bigint, status string"
 SOURCE_FILE = re.compile(r"\.[cm]?[jt]sx?\Z")
 
 
@@ -29,7 +31,7 @@ class Part(InputPartition):
 
 
 class SourceTree(DataSource):
-    """Options: paths (separated by NUL), exclude (globs separated by NUL), content ('true' or 'false')."""
+    """Lists files. Options: paths and exclude (globs), each separated by NUL."""
 
     @classmethod
     def name(cls) -> str:
@@ -47,7 +49,6 @@ class TreeReader(DataSourceReader):
         split = lambda key: [x for x in options.get(key, "").split("\0") if x]
         self.roots = [os.path.abspath(p) for p in split("paths")]
         self.exclude = [re.compile(T.glob_regex(g).replace(r"\z", r"\Z")) for g in split("exclude")]
-        self.content = options.get("content", "true") == "true"
         for root in self.roots:
             if not os.path.exists(root):
                 raise FileNotFoundError(f"source not found: {root}")
@@ -87,21 +88,44 @@ class TreeReader(DataSourceReader):
             name = relative or os.path.basename(path)
             try:
                 stat = os.stat(path)
-                data = None
-                if self.content:
-                    with open(path, "rb") as f:
-                        data = f.read()
-                yield partition.root, path, name, stat.st_mtime_ns / 1e6, stat.st_size, data, "read" if self.content else "listed"
+                yield partition.root, path, name, stat.st_mtime_ns / 1e6, stat.st_size, "listed"
             except FileNotFoundError:
-                yield partition.root, path, name, None, None, None, "gone"
+                yield partition.root, path, name, None, None, "gone"
 
 
 def read_tree(spark: SparkSession, paths: list[str], *, exclude: list[str] | None = None, content: bool = True) -> DataFrame:
-    """Files of all trees; one that several hold stands once. A missing root fails before anything is listed. code is the content as text."""
+    """Files of all trees; one that several hold stands once. A missing root fails before anything is listed. code is the content as text; without content there
+    is no such column, and files are only listed."""
     spark.dataSource.register(SourceTree)
-    options = {"paths": "\0".join(paths), "exclude": "\0".join(exclude or []), "content": str(content).lower()}
+    options = {"paths": "\0".join(paths), "exclude": "\0".join(exclude or [])}
     files = spark.read.format("source_tree").options(**options).load()
-    return files.dropDuplicates(["path"]).withColumn("code", T.text_of(F.col("content"))).drop("content")
+    roots = sorted(os.path.abspath(p) for p in paths)
+    if any(b == a or b.startswith(a.rstrip("/") + "/") for a, b in pairwise(roots)):
+        files = files.dropDuplicates(["path"])
+    return with_code(files) if content else files
+
+
+def with_code(files: DataFrame) -> DataFrame:
+    """Listed files with their text. One that is gone by now has none, and status 'gone'."""
+    fields = [f for f in files.schema.fields if f.name not in ("status", "code")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", status string, code string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):  # so many files are held at once
+                part = batch.iloc[at : at + 256]
+                texts = [_text(p) for p in part["path"]]
+                yield part[[f.name for f in fields]].assign(status=["gone" if t is None else "read" for t in texts], code=texts)
+
+    return files.mapInPandas(run, schema)
+
+
+def _text(path: str) -> str | None:
+    try:
+        with open(path, "rb") as f:
+            return f.read().decode("utf-8", "replace")
+    except FileNotFoundError:
+        return None
 
 
 def from_store(spark: SparkSession, path: str, *, exclude: list[str] | None = None) -> DataFrame:
