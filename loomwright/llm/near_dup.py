@@ -22,7 +22,6 @@ Tables between the steps are written to the shared folder, so a lost executor re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -91,9 +90,10 @@ class Signer:
             out = out * np.uint64(2 * len(h) + 1)
         return np.unique(out)
 
-    def sign(self, hashes: np.ndarray) -> bytes:
-        """The last 8 bits of each mixed minhash."""
-        return (_least(hashes, _A, _B) * _MIX >> np.uint64(56)).astype(np.uint8).tobytes()
+    def sign(self, hashes: np.ndarray) -> np.ndarray:
+        """Symbols are the last 8 bits of mixed minhashes; a chunk of them is one number."""
+        symbols = (_least(hashes, _A, _B) * _MIX >> np.uint64(56)).astype(np.uint8)
+        return np.pad(symbols.reshape(CHUNKS, CHUNK), ((0, 0), (0, 8 - CHUNK))).view("<i8").ravel()
 
     def sketch(self, hashes: np.ndarray) -> np.ndarray:
         """One bit of each of SKETCH minhashes, as 64-bit numbers."""
@@ -121,25 +121,30 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def keys(sig: Column) -> Column:
-    """All keys of a signature: for each chunk, a hash of its number, the symbols left out and the others."""
-    kept = [[i for i in range(CHUNK) if i not in out] for out in combinations(range(CHUNK), ERRORS)]
-    made = []
-    for c in range(CHUNKS):
-        for variant, places in enumerate(kept):
-            runs, start = [], 0
-            while start < len(places):  # neighbouring symbols are one substring
-                end = start
-                while end + 1 < len(places) and places[end + 1] == places[end] + 1:
-                    end += 1
-                runs.append(F.substring(sig, c * CHUNK + places[start] + 1, end - start + 1))
-                start = end + 1
-            made.append(F.xxhash64(F.lit(c * len(kept) + variant), *runs))
-    return F.array(*made)
+    """All keys of a signature, CHUNK of each chunk: a hash of the key's place in this array and the chunk without one symbol."""
+    if ERRORS != 1:
+        raise NotImplementedError("keys leave out one symbol")
+    mask = lambda j: F.lit(~(0xFF << 8 * j) & ((1 << 8 * CHUNK) - 1))
+    return F.array(*[F.xxhash64(F.lit(c * CHUNK + j), sig[c].bitwiseAND(mask(j))) for c in range(CHUNKS) for j in range(CHUNK)])
+
+
+def errors(a: Column, b: Column) -> Column:
+    """In how many symbols two chunks differ: bytes of their exclusive or that aren't zero."""
+    low, high, x = F.lit(int("7F" * CHUNK, 16)), F.lit(int("80" * CHUNK, 16)), a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(x.bitwiseAND(low) + low).bitwiseAND(high))
 
 
 def distance(a: Column, b: Column) -> Column:
     """Symbols in which two signatures differ."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SYMBOLS)), F.lit(0), lambda n, i: n + F.when(F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)), 1).otherwise(0))
+    return sum((errors(a[c], b[c]) for c in range(CHUNKS)), F.lit(0))
+
+
+def is_first_key(place: Column, a: Column, b: Column) -> Column:
+    """Is this the first of the keys that two signatures share? So that a pair comes from one key only."""
+    chunk = F.floor(place / CHUNK).cast("int")
+    first = F.least(*[F.when(errors(a[c], b[c]) <= ERRORS, c) for c in range(CHUNKS)])
+    # Without an error in the chunk all its keys are shared, with one only the key that leaves it out.
+    return ((place % CHUNK == 0) | (errors(F.get(a, chunk), F.get(b, chunk)) > 0)) & (chunk == first)
 
 
 def _hashed(texts: DataFrame) -> DataFrame:
@@ -219,12 +224,12 @@ def near_groups(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", t
     columns are ignored and an empty table gives an empty result. Texts are read whole.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = durable(own.mapInPandas(_signed, "id bigint, n bigint, same binary, sig binary"), "signed")
+    signed = durable(own.mapInPandas(_signed, "id bigint, n bigint, same binary, sig array<bigint>"), "signed")
     # Equal sets: the class' smallest id stands for it.
     classes = durable(signed.where("n > 0 AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
-    every = classes.select("id", F.explode(keys("sig")).alias("key"))
+    every = classes.select("id", F.posexplode(keys(F.col("sig"))).alias("place", "key"))
     shared = durable(every.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "rep"), "shared-keys")
-    member = durable(every.join(shared, "key").select("key", "id", "rep"), "members")
+    member = durable(every.join(shared, "key").select("key", "place", "id", "rep"), "members")
     sized = classes.select("id", "n", "sig")
     close = lambda x, y: (F.col(f"{x}n") * 100 >= F.col(f"{y}n") * percent) & (F.col(f"{y}n") * 100 >= F.col(f"{x}n") * percent)
     a, b = sized.toDF("a", "an", "asig"), sized.toDF("b", "bn", "bsig")
@@ -237,17 +242,17 @@ def near_groups(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", t
     parts = durable(components(links), "parts")
     open_keys = member.where("id <> rep").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = open_keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rows = durable(open_keys.join(several, "key", "left_semi").select("key", "id", "component"), "open-keys")
+    rows = durable(open_keys.join(several, "key", "left_semi").select("key", "place", "id", "component"), "open-keys")
     # A pair's common shingles are at most those that either shares with anyone else here; most open documents share too few.
     able = _shared_counts(durable(_hashed(texts.join(rows.select("id").distinct(), "id", "left_semi")), "hashed"))
-    able = durable(sized.join(able, "id").where(F.col("s") * 100 >= F.col("n") * percent).select("id", "n", "s", "sketch"), "able")
+    able = durable(sized.join(able, "id").where(F.col("s") * 100 >= F.col("n") * percent).select("id", "n", "s", "sig", "sketch"), "able")
     rows = rows.join(able, "id")
-    own_columns = ("id", "component", "n", "s", "sketch")
-    left, right = rows.select("key", *[F.col(c).alias(f"a{c}") for c in own_columns]), rows.select("key", *[F.col(c).alias(f"b{c}") for c in own_columns])
+    own_columns = ("id", "component", "n", "s", "sig", "sketch")
+    left, right = rows.select("key", "place", *[F.col(c).alias(f"a{c}") for c in own_columns]), rows.select("key", *[F.col(c).alias(f"b{c}") for c in own_columns])
     common = F.least("as", "bs")
     possible = common * 100 >= (F.col("an") + F.col("bn") - common) * percent
     differ = sum((F.bit_count(F.col("asketch")[i].bitwiseXOR(F.col("bsketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    apart = (F.col("aid") < F.col("bid")) & (F.col("acomponent") != F.col("bcomponent")) & close("a", "b") & possible & (differ <= SKETCH_FAR)
+    apart = (F.col("aid") < F.col("bid")) & (F.col("acomponent") != F.col("bcomponent")) & close("a", "b") & possible & (differ <= SKETCH_FAR) & is_first_key(F.col("place"), F.col("asig"), F.col("bsig"))
     crossed = durable(left.join(right, (left["key"] == right["key"]) & apart).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct(), "crossed")
     links = links.union(_confirmed(crossed, texts, percent))
     found = classes.select("same", "id").join(components(links), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
