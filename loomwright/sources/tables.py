@@ -29,12 +29,13 @@ def filled(icons: DataFrame) -> DataFrame:
     return icons.withColumn("f", F.coalesce("f", "d"))
 
 
-def metadata(spark: SparkSession, text: str) -> DataFrame:
-    """Icons of a metadata document, which may have a guard before its first brace: name, version, and whether it is a symbol or legacy."""
+def metadata(spark: SparkSession, text: str, family: str) -> DataFrame:
+    """Icons of a metadata document, which may have a guard before its first brace: name, version, and kind: legacy if the families that don't have
+    it include one whose name begins with family, else symbol."""
     schema = "icons array<struct<name: string, version: int, unsupported_families: array<string>>>"
     body = F.regexp_replace("text", r"\A[^{]*", "")
     rows = spark.createDataFrame([(text,)], "text string").select(F.explode(F.from_json(body, schema)["icons"]).alias("i")).select("i.*")
-    unsupported = F.exists("unsupported_families", lambda x: x.startswith("Material Symbols"))
+    unsupported = F.exists("unsupported_families", lambda x: x.startswith(family))
     return rows.select("name", "version", F.when(unsupported, "legacy").otherwise("symbol").alias("kind"))
 
 

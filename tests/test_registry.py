@@ -67,8 +67,8 @@ def test_dictionary_metadata_and_axes(spark):
     one = lambda c, *v: spark.createDataFrame([(x,) for x in v], f"{c} string")
     d = tables.dictionary(one("name", "home", "info"), spark.createDataFrame([("clock", "home"), ("info", "home")], "alias string, target string"), one("name", "old"))
     assert {tuple(r) for r in d.collect()} == {("home", "symbol"), ("info", "symbol"), ("clock", "alias"), ("old", "legacy")}
-    text = ')]}\'\n{"icons": [{"name": "home", "version": 3, "unsupported_families": ["Other"]}, {"name": "old", "version": 1, "unsupported_families": ["Material Symbols Outlined"]}]}'
-    assert {tuple(r) for r in tables.metadata(spark, text).collect()} == {("home", 3, "symbol"), ("old", 1, "legacy")}
+    text = ')]}\'\n{"icons": [{"name": "home", "version": 3, "unsupported_families": ["Other"]}, {"name": "old", "version": 1, "unsupported_families": ["Signs Outlined"]}]}'
+    assert {tuple(r) for r in tables.metadata(spark, text, "Signs").collect()} == {("home", 3, "symbol"), ("old", 1, "legacy")}
     fetched = spark.createDataFrame([("r", "a", "default", "M0"), ("r", "a", "fill", "M0"), ("r", "b", "default", "M0"), ("r", "c", "default", "M1"), ("r", "c", "fill", "M2")], "variant string, name string, axis string, path string")
     assert {tuple(r) for r in tables.join_axes(fetched).collect()} == {("r", "a", "M0", None), ("r", "c", "M1", "M2")}
 
