@@ -1,21 +1,25 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then calibrated sampling.
 
 1. Documents fall into cells of source x language x topic. One aggregation, combined before its shuffle,
-   gives tokens per cell; a hot source is a few rows by then.
-2. Categories with less than min_share of all tokens are one category, OTHER, in each dimension. So a
-   dimension has at most 1 / min_share + 1 categories and the cell table a proven size, whatever the
-   corpus: it is one partition from there on, and raking it needs no exchange.
-3. Raking: in turn for each dimension, weights are multiplied by target / marginal. Targets are given or
-   are the corpus' own shares to the power temperature (flatter when below 1), scaled to sum to 1.
-4. The probability of a document is scale * weight / tokens of its cell. The scale is the largest that
-   neither exceeds the token budget nor brings any probability over 1, so expected tokens meet the
-   raked marginals exactly. The draw is a hash of the id: repeatable on any cluster, after any retry.
+   gives tokens per cell; a hot source is a few rows by then. Every observed category is raked.
+2. Targets are given or are the corpus' own shares to the power temperature (flatter when below 1), scaled to
+   sum to 1. The sample has fraction of all tokens. A tempered category that is asked for more tokens than it has gives
+   all of them, and the others of its dimension share what is left in proportion. Given targets are met as
+   they are: where a category has too few tokens for them, the sample shrinks.
+3. Raking: in turn for each dimension, probabilities of cells are multiplied by target / marginal. If one passes 1 after that,
+   bounded raking goes on: cells over 1 count as 1, and the others carry what is left of the target,
+   until the marginals meet the targets or no longer come nearer (cells of several dimensions can exclude each other).
+4. The draw is a hash of the id: repeatable on any cluster, after any retry.
+
+Few cells are one partition, where windows are sorts without an exchange. Many are a distributed table, with marginals by
+aggregations that combine before their shuffle; the arithmetic is the same.
 
 Nothing but DataFrame expressions is used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +29,10 @@ from .common import durable
 
 OTHER = "(other)"
 DIMS = ("source", "lang", "topic")
+#: Up to so many cells are raked in one partition and broadcast to documents.
+FEW_CELLS = 50_000
+#: Bounded raking ends when less than this share of the sample is not where the targets are.
+CALIBRATED = 1e-6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,23 +57,69 @@ def uniform(id_: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_.cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, per_step: int = 4) -> DataFrame:
-    """cells (source, lang, topic, tokens) with w, which sums to the targets' shares along each dimension.
-
-    targets: by dimension, category and share. The cells are one partition of proven size, so the windows
-    below are sorts within it. After every per_step rounds the table is written, which keeps plans short.
-    """
-    total = Window.partitionBy(F.lit(1))
-    w = cells
-    for d in DIMS:
-        w = w.join(F.broadcast(targets[d].select(F.col("category").alias(d), F.col("share").alias(f"t_{d}"))), d)  # 1 / min_share + 1 rows at most
-    w = w.coalesce(1).withColumn("w", F.col("tokens") / F.sum("tokens").over(total))
+def _filled(categories: DataFrame, size: float) -> DataFrame:
+    """categories (category, n, share) with goal: share of size tokens, but n at most; what those leave goes to the others in proportion."""
+    scale, short = 1.0, 0
+    while True:
+        over = F.col("share") * F.lit(scale * size) >= F.col("n")
+        r = categories.agg(F.count(F.when(over, 1)).alias("k"), F.sum(F.when(over, F.col("n"))).alias("taken"), F.sum(F.when(~over, F.col("share"))).alias("free")).first()
+        if r["k"] == short or not r["free"]:
+            return categories.withColumn("goal", F.least(F.col("n").cast("double"), F.col("share") * F.lit(scale * size)) if r["free"] else F.col("n").cast("double"))
+        short, scale = r["k"], (size - r["taken"]) / (size * r["free"])
+
+
+def _step(w: DataFrame, d: str, bounded: bool, few: bool) -> DataFrame:
+    """w with p multiplied by goal / marginal of each category of d. Bounded: a cell whose p is 1 or more counts as 1, and the others carry the rest."""
+    n, p, goal = F.col("tokens"), F.col("p"), F.col(f"t_{d}")
+    sums = {"_all": F.sum(n * p)} | ({"_full": F.sum(F.when(p >= 1, n).otherwise(0)), "_free": F.sum(F.when(p < 1, n * p).otherwise(0.0))} if bounded else {})
+    if few:
+        w = w.withColumns({k: x.over(Window.partitionBy(d)) for k, x in sums.items()})
+    else:
+        w = w.join(w.groupBy(d).agg(*[x.alias(k) for k, x in sums.items()]), d)
+    f = F.when(F.col("_all") > 0, F.try_divide(goal, F.col("_all"))).otherwise(0.0)
+    if bounded:
+        full, free = F.col("_full"), F.col("_free")
+        f = F.when((free > 0) & (goal > full), F.try_divide(goal - full, free)).when((free <= 0) & (goal >= full), 1.0).otherwise(f)
+    w = w.withColumn("p", p * f).drop(*sums)
+    return w if few else durable(w, "raked")
+
+
+def _rounds(w: DataFrame, dims: Sequence[str], rounds: int, bounded: bool, few: bool, per_step: int = 4) -> DataFrame:
+    """So many rounds over dims. The table is written after every per_step rounds (each step where cells are many), which keeps plans short."""
     for i in range(rounds):
-        for d in DIMS:
-            w = w.withColumn("w", F.col("w") * F.col(f"t_{d}") / F.sum("w").over(Window.partitionBy(d)))
-        if i % per_step == per_step - 1 and i < rounds - 1:
+        for d in dims:
+            w = _step(w, d, bounded, few)
+        if few and i % per_step == per_step - 1 and i < rounds - 1:
             w = durable(w, "raked").coalesce(1)
-    return durable(w, "raked")
+    return durable(w, "raked").coalesce(1) if few else w
+
+
+def _off(w: DataFrame, dims: Sequence[str]) -> float:
+    """The largest share of a dimension's tokens that is not where its goals are."""
+    found = [w.groupBy(d).agg(F.sum(F.col("tokens") * F.least("p", F.lit(1.0))).alias("s"), F.first(f"t_{d}").alias("t")).agg(F.sum(F.abs(F.col("s") - F.col("t"))).alias("off"), F.sum("t").alias("t")).first() for d in dims]
+    return max((r["off"] / r["t"] for r in found if r["t"]), default=0.0)
+
+
+def rake(cells: DataFrame, dims: Sequence[str], exact: Sequence[str], rounds: int, few: bool) -> DataFrame:
+    """cells (source, lang, topic, tokens, p, and t_ tokens to draw by dimension) with p, the probabilities of their tokens.
+
+    The last of dims is met exactly. Where the exact ones exclude each other within the bounds, all probabilities are lowered until none is over 1.
+    """
+    w = plain = _rounds(cells, dims, rounds, False, few)
+    top = plain.agg(F.max("p")).first()[0]
+    if top is None or top <= 1:
+        return plain
+    off = _off(w, dims)
+    while off > CALIBRATED:
+        before = off
+        w = _rounds(w, dims, 8, True, few)
+        off = _off(w, dims)
+        if off > 0.9 * before:
+            break
+    w = _rounds(w, dims[-1:], 4, True, few)
+    if exact and _off(w, exact) > 100 * CALIBRATED:
+        w = plain.withColumn("p", F.col("p") / F.lit(top))
+    return w.withColumn("p", F.least("p", F.lit(1.0)))
 
 
 def mix(
@@ -76,7 +130,6 @@ def mix(
     targets: dict[str, dict[str, float]] | None = None,
     temperature: float = 0.7,
     fraction: float = 0.5,
-    min_share: float = 1 / 128,
     rounds: int = 16,
     seed: str = "mix-1",
     id_col: str = "doc_id",
@@ -87,7 +140,7 @@ def mix(
     one's way: they get the probability of their cell, or that of no cell (0) where a cell has no tokens.
     Equal ids draw alike, so repeated rows stay or go together. An empty table gives an empty result.
     targets: by dimension, shares by category (others count as OTHER and may be given under that
-    name); a dimension that is not named is tempered. Columns of docs named topic_, n_tokens, probability or
+    name) and met exactly, if need be by a smaller sample; a dimension that is not named is tempered. Columns of docs named topic_, n_tokens, probability or
     sampled are replaced.
     """
     targets = targets or {}
@@ -98,39 +151,36 @@ def mix(
         .withColumn("n_tokens", (tokens if tokens is not None else n_words(F.col("text"))).cast("long"))
         .withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("(null)")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("(null)")), "_topic": F.coalesce("topic_", F.lit("(null)"))})
     )
-    raw = durable(keyed.groupBy("_source", "_lang", "_topic").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
-    all_tokens = raw.agg(F.sum("tokens")).first()[0] or 0
-    named, shares = {}, {}
-    for d in DIMS:
-        c = raw.groupBy(F.col(f"_{d}").alias("category")).agg(F.sum("tokens").alias("n"))
-        if d in targets:
-            c = c.where(F.col("category").isin(*targets[d]))
-        else:
-            c = c.where(F.col("n") >= min_share * all_tokens)
-        named[d] = durable(c.select("category"), f"named-{d}")
-    cells = raw
-    for d in DIMS:  # named categories: 1 / min_share at most, or as many as targets names
-        cells = cells.join(F.broadcast(named[d].select(F.col("category").alias(f"_{d}"), F.col("category").alias(d))), f"_{d}", "left").withColumn(d, F.coalesce(d, F.lit(OTHER)))
-    cells = durable(cells.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
-    one = Window.partitionBy(F.lit(1))
     for d in DIMS:
-        c = cells.coalesce(1).groupBy(F.col(d).alias("category")).agg(F.sum("tokens").alias("n"))
+        keyed = keyed.withColumn(f"_{d}", F.when(F.col(f"_{d}").isin(*targets[d]), F.col(f"_{d}")).otherwise(OTHER) if d in targets else F.col(f"_{d}"))
+    raw = durable(keyed.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
+    found = raw.agg(F.sum("tokens"), F.count("*")).first()
+    all_tokens, few = found[0] or 0, found[1] <= FEW_CELLS
+    size, shares, w = float(min(fraction, 1.0) * all_tokens), {}, raw
+    for d in DIMS if all_tokens else ():
+        c = raw.groupBy(F.col(d).alias("category")).agg(F.sum("tokens").alias("n"))
         if d in targets:
             given = F.create_map(*[F.lit(x) for kv in targets[d].items() for x in kv])
-            c = c.withColumn("s", F.coalesce(given[F.col("category")], F.lit(0.0)))
+            c = c.withColumn("s", F.coalesce(given[F.col("category")], F.lit(0.0)).cast("double"))
         else:
-            c = c.withColumn("s", F.pow(F.col("n") / F.lit(float(all_tokens or 1)), F.lit(temperature)))
-        shares[d] = c.select("category", (F.col("s") / F.sum("s").over(one)).alias("share"))
-    w = rake(cells, shares, rounds)
-    ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
-    scale = F.least(F.lit(fraction * all_tokens), 1 / F.max(ratio).over(one))
-    probs = w.coalesce(1).select(*DIMS, (ratio * scale).alias("probability"))
-    out = keyed
-    for d in DIMS:
-        out = out.join(F.broadcast(named[d].select(F.col("category").alias(f"_{d}"), F.col("category").alias(f"_c_{d}"))), f"_{d}", "left")
-    at = [F.coalesce(F.col(f"_c_{d}"), F.lit(OTHER)) == F.col(f"_p_{d}") for d in DIMS]
-    probs = probs.select(*[F.col(d).alias(f"_p_{d}") for d in DIMS], F.least("probability", F.lit(1.0)).alias("probability"))
-    out = out.join(F.broadcast(probs), reduce(Column.__and__, at), "left")  # at most (1 / min_share + 1) squared times the topics
+            c = c.withColumn("s", F.pow(F.col("n") / F.lit(float(all_tokens)), F.lit(temperature)))
+        c = durable(c, f"categories-{d}")
+        shares[d] = c.withColumn("share", F.try_divide(F.col("s"), F.lit(c.agg(F.sum("s")).first()[0])))
+        if d in targets:
+            size = min(size, shares[d].where("share > 0").agg(F.min(F.col("n") / F.col("share"))).first()[0] or 0.0)
+    dims = [*[d for d in DIMS if d not in targets], *[d for d in DIMS if d in targets]]
+    if shares and size:
+        for d in DIMS:
+            goals = shares[d].withColumn("goal", F.col("share") * F.lit(size)) if d in targets else _filled(shares[d], size)
+            goals = goals.select(F.col("category").alias(d), F.col("goal").alias(f"t_{d}"))
+            w = w.join(F.broadcast(goals) if few else goals, d)
+        w = w.withColumn("p", F.lit(size / all_tokens))
+        w = rake(w.coalesce(1) if few else durable(w, "raked"), dims, [d for d in DIMS if d in targets], rounds, few)
+    else:
+        w = w.withColumn("p", F.lit(0.0))
+    probs = w.select(*[F.col(d).alias(f"_p_{d}") for d in DIMS], F.col("p").alias("probability"))
+    at = [F.col(f"_{d}") == F.col(f"_p_{d}") for d in DIMS]
+    out = keyed.join(F.broadcast(probs.coalesce(1)) if few else probs, reduce(Column.__and__, at), "left")
     out = out.withColumn("probability", F.coalesce("probability", F.lit(0.0))).withColumn("sampled", uniform(F.col(id_col), seed) < F.col("probability"))
     return out.select(*[c for c in docs.columns if c not in own], *own)
 

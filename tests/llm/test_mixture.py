@@ -72,3 +72,25 @@ def test_edges(documents):
 
 def test_no_python_runs(documents):
     assert "Python" not in M.mix(documents((1, "a b")))._jdf.queryExecution().executedPlan().toString()
+
+
+def skewed():
+    """A hot source, a tail of 300 sources under 1/128 of all tokens each, and a tiny cell of a rare language and topic."""
+    rows = [(i, "plain words here " * 3, "en" if i % 3 else "de", "hot") for i in range(500)]
+    rows += [(1000 + i, "plain words " * (1 + i % 5), "en" if i % 3 else "de", f"tail{i % 300}") for i in range(900)]
+    return [*rows, (5000, "a@b mail", "fr", "hot")]
+
+
+def marginals(got):
+    total = sum(r["probability"] * r["n_tokens"] for r in got)
+    e = defaultdict(float)
+    for r in got:
+        e[r["source"]] += r["probability"] * r["n_tokens"]
+    return total, {k: v / total for k, v in e.items()}
+
+
+def test_a_tiny_cell_does_not_shrink_the_sample(documents):
+    got = M.mix(documents(*skewed())).collect()
+    total, _ = marginals(got)
+    assert total / sum(r["n_tokens"] for r in got) == pytest.approx(0.5, rel=1e-6)
+    assert max(r["probability"] for r in got) == 1.0
