@@ -94,3 +94,28 @@ def test_a_tiny_cell_does_not_shrink_the_sample(documents):
     total, _ = marginals(got)
     assert total / sum(r["n_tokens"] for r in got) == pytest.approx(0.5, rel=1e-6)
     assert max(r["probability"] for r in got) == 1.0
+
+
+def filled(have, size, temperature=0.7):
+    goal = {k: v**temperature for k, v in have.items()}
+    full = set()
+    while True:
+        left, free = size - sum(have[k] for k in full), sum(v for k, v in goal.items() if k not in full)
+        now = full | {k for k in goal if k not in full and goal[k] / free * left > have[k]}
+        if now == full:
+            return {k: have[k] if k in full else goal[k] / free * left for k in goal}
+        full = now
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_every_source_has_its_own_target(documents, monkeypatch, few):
+    monkeypatch.setattr(M, "FEW_CELLS", few)
+    rows = skewed()
+    got = M.mix(documents(*rows), rounds=8 if few else 2).collect()
+    have = defaultdict(float)
+    for r in rows:
+        have[r[3]] += len(r[1].split())
+    total, share = marginals(got)
+    assert total == pytest.approx(sum(have.values()) / 2, rel=1e-5)
+    for k, v in filled(have, sum(have.values()) / 2).items():
+        assert share[k] * total == pytest.approx(v, rel=1e-3)
