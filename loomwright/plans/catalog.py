@@ -187,11 +187,11 @@ def ordered_numbers(spark, sf_dir):
     SELECT i.page_id, f.page_id AS target FROM i JOIN f ON ends_with('/' || regexp_replace(f.path, '\.[cm]?[jt]sx?$', ''), '/' || regexp_replace(source, '^example\.org/', ''))"""
 )
 def import_suffix_join(spark, sf_dir):
-    """Every tenth page imports by the last two parts of its path; which pages does that name?"""
+    """Every page imports by the last two parts of its path; which pages does that name?"""
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract("url", "^[a-z]+://(.*)$", 1), "[?#].*$", ""), "/$", "")
     f = _t(spark, sf_dir, "pages").select("page_id", path.alias("path"))
     parts = F.split("path", "/")
-    i = f.where("page_id % 10 = 0").select(F.col("page_id"), F.lit("").alias("path"), F.concat(F.lit("@example/"), F.array_join(F.slice(parts, -2, 2), "/")).alias("source"))
+    i = f.select(F.col("page_id"), F.lit("").alias("path"), F.concat(F.lit("@example/"), F.array_join(F.slice(parts, -2, 2), "/")).alias("source"))
     found = graph.resolve_imports(i, f)
     return found.join(f.select(F.col("path").alias("resolved"), F.col("page_id").alias("target")), "resolved").select("page_id", "target")
 

@@ -43,3 +43,18 @@ def test_scans_read_only_what_they_need(spark):
     assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan
     plan = catalog.QUERIES["alias_resolve"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_imports_of_every_page_are_resolved(spark, tmp_path):
+    urls = [f"https://h{i % 3}.org/{'x/' * (i % 2)}d{i % 5}/p{i % 7}{('', '.ts', '/', '?q=1')[i % 4]}" for i in range(60)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    paths = [u.split("://")[1].split("?")[0].removesuffix("/") for u in urls]
+    named = lambda source, path: ("/" + path.removesuffix(".ts")).endswith("/" + source)
+    want = [(i, j) for i, p in enumerate(paths) for j, q in enumerate(paths) if named("/".join(p.split("/")[-2:]), q)]
+    got = catalog.QUERIES["import_suffix_join"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == want and {i % 10 for i, _ in want} > {0}
+
+
+def test_import_suffix_join_like_its_sql_for_all_pages(spark, duck):
+    whole = catalog.ORACLE_SQL["import_suffix_join"].replace(" WHERE page_id % 10 = 0", "")
+    assert canonical(catalog.QUERIES["import_suffix_join"](spark, SF).toPandas()) == canonical(duck.execute(whole).df())
