@@ -3,8 +3,9 @@
 1. A page is read into blocks (text between block tags; white space collapsed, references decoded), each with the mark
    whether it stands in the page's main content (article, main, or role=main). Scripts, styles, forms, and containers that name
    themselves as menu, header, footer, sidebar, notice, advert or comments hold no blocks.
-2. Pages of a host are ordered by URL path, and each is paired with the next one (the last with the one before). A host
-   with very many pages is dealt over several groups, each ordered by itself; which hosts these are comes from a count.
+2. Pages of a host are ordered by URL path, and each is paired with the next one (the last with the one before). Hosts
+   with very many pages, which come from a count, are dealt over ranges of that order, and the block hashes of the rows at
+   a range's ends are handed to the adjoining range: the partner is the same at every size.
 3. The blocks of a pair are aligned by a longest common subsequence, and what a page shares with its neighbour is deleted as the
    site's template - but for blocks in marked main content, where equal text is a quotation or a copy and belongs
    to the article. Where a page has marked main content, blocks outside it are left out in any case.
@@ -197,11 +198,23 @@ def main_text(pages: DataFrame, *, max_heavy: int = 1000) -> DataFrame:
     cut = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
     keyed = pages.select("page_id", "url", F.lower(F.regexp_extract(url, cut, 1)).alias("host"), F.when(url.rlike(cut), F.regexp_extract(url, cut, 2)).otherwise(url).alias("path"), "html")
     share = max(PAGES_IN_GROUP, pages.count() // max_heavy)
-    heavy = durable(keyed.groupBy("host").count().where(F.col("count") > share).select("host", F.ceil(F.col("count") / PAGES_IN_GROUP).alias("parts")), "heavy-hosts")
+    heavy = durable(keyed.groupBy("host").count().where(F.col("count") > share), "heavy-hosts")  # at most max_heavy hosts
+    n_heavy = heavy.agg(F.sum("count")).first()[0] or 0
     kind = pages.schema["page_id"].dataType.simpleString()
-    read = keyed.mapInPandas(_read, f"page_id {kind}, url string, host string, path string, lines array<string>, main array<boolean>, hashes array<bigint>")
-    dealt = read.join(F.broadcast(heavy), "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("path"), F.col("parts")), F.lit(0)))  # at most max_heavy hosts
-    order = Window.partitionBy("host", "part").orderBy("path", "url", F.col("page_id"), F.hash("hashes"))
-    paired = dealt.withColumn("other", F.coalesce(F.lead("hashes").over(order), F.lag("hashes").over(order)))
+    schema = f"page_id {kind}, url string, host string, path string, lines array<string>, main array<boolean>, hashes array<bigint>"
+    keys = ("path", "url", "page_id")
+    light = keyed.join(F.broadcast(heavy.select("host")), "host", "left_anti") if n_heavy else keyed
+    order = Window.partitionBy("host").orderBy(*keys, F.hash("hashes"))
+    paired = light.select(keyed.columns).mapInPandas(_read, schema).withColumn("other", F.coalesce(F.lead("hashes").over(order), F.lag("hashes").over(order)))
+    if n_heavy:
+        ranges = keyed.join(F.broadcast(heavy.select("host")), "host", "left_semi").select(keyed.columns).repartitionByRange(-(-n_heavy // PAGES_IN_GROUP), "host", *keys)
+        read = durable(ranges.mapInPandas(_read, schema).withColumn("range", F.spark_partition_id()), "ranges")
+        at = F.struct(*keys, F.hash("hashes"))
+        ends = read.groupBy("host", "range").agg(F.min_by("hashes", at).alias("first"), F.max_by("hashes", at).alias("last"))
+        by_range = Window.partitionBy("host").orderBy("range")  # one row for PAGES_IN_GROUP pages
+        ends = ends.select("host", "range", F.lead("first").over(by_range).alias("after"), F.lag("last").over(by_range).alias("before"))
+        order = Window.partitionBy("host", "range").orderBy(*keys, F.hash("hashes"))
+        inner = read.withColumns({"next": F.lead("hashes").over(order), "previous": F.lag("hashes").over(order)}).join(ends, ["host", "range"])
+        paired = paired.unionByName(inner.withColumn("other", F.coalesce("next", "after", "previous", "before")).select(paired.columns))
     done = paired.select("page_id", "url", "lines", "main", "hashes", "other").mapInPandas(_remove, f"page_id {kind}, url string, text string")
     return done.withColumn("n_chars", F.char_length("text").cast("long"))

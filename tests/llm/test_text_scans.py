@@ -95,3 +95,15 @@ def test_size_bounds_lose_no_match():
                 if 2 * c >= 0.8 * (a + b):
                     assert b * 0.8 / 1.2 - 1e-9 <= a <= b * 1.2 / 0.8 + 1e-9
     assert set(pairwise("ab")) == {("a", "b")}
+
+
+def test_neighbours_do_not_depend_on_the_size_of_a_host(spark, monkeypatch):
+    section = lambda i: f"template of section {i // 4}"
+    rows = [(i, f"http://{'hot' if i < 120 else f'h{i % 3}'}.org/s{i // 4:03d}/p{i:03d}", f"<p>{section(i)}<p>own text {i}<p>end of {i // 3}") for i in range(150)]
+    rows += [(200 + i, "http://hot.org/same", f"<p>same<p>{i % 2}") for i in range(6)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    whole = sorted(map(str, H.main_text(pages).collect()))
+    monkeypatch.setattr(H, "PAGES_IN_GROUP", 7)
+    assert sorted(map(str, H.main_text(pages).collect())) == whole
+    monkeypatch.setattr(H, "PAGES_IN_GROUP", 1)
+    assert sorted(map(str, H.main_text(pages).collect())) == whole
