@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .graph import resolve_imports, written
 
-MAX_ROUNDS = 8
-MAX_DEPTH = 6
 MAX_STEPS = 24
 
 _BRACES = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
@@ -137,12 +135,13 @@ def branches(e: Column) -> Column:
 
 def _bindings(files: DataFrame, imps: DataFrame, reexp: DataFrame, exported: DataFrame) -> DataFrame:
     """(path, local, target) of imports of exported components (path, export, target), through re-exports."""
-    out = exported
-    via = resolve_imports(reexp, files)
-    for _ in range(3):
-        more = via.join(out.select(F.col("path").alias("resolved"), "export", "target"), "resolved").where((F.col("imported") == F.col("export")) | (F.col("imported") == "*"))
-        more = more.select("path", F.when(F.col("exported") == "*", F.col("export")).otherwise(F.col("exported")).alias("export"), "target")
-        out = out.unionByName(more).distinct()
+    out = front = written(exported.select("path", "export", "target").distinct(), "exported")
+    via = written(resolve_imports(reexp, files), "resolved")
+    while not front.isEmpty():
+        more = via.join(front.select(F.col("path").alias("resolved"), "export", "target"), "resolved").where((F.col("imported") == F.col("export")) | (F.col("imported") == "*"))
+        more = more.select("path", F.when(F.col("exported") == "*", F.col("export")).otherwise(F.col("exported")).alias("export"), "target").distinct()
+        front = written(more.join(out, ["path", "export", "target"], "left_anti"), "exported")
+        out = out.unionByName(front)
     used = resolve_imports(imps.where("imported <> '*'"), files).join(out.select(F.col("path").alias("resolved"), F.col("export").alias("imported"), "target"), ["resolved", "imported"])
     return used.select("path", "local", "target").distinct()
 
@@ -164,7 +163,7 @@ def analyze(files: DataFrame, names: DataFrame, *, library: str, component: str,
     spaces = imps.where((F.col("source") == library) & (F.col("imported") == "*")).select("path", F.concat("local", F.lit("." + component)).alias("local"), lib.alias("target"))
     known = direct.unionByName(spaces)
     wrappers, count = None, -1
-    for _ in range(MAX_ROUNDS):
+    while True:
         bound = known.unionByName(_bindings(files, imps, reexp, exported))
         if wrappers is not None:
             bound = bound.unionByName(wrappers.select("path", F.col("component").alias("local"), "target"))
@@ -186,15 +185,21 @@ def analyze(files: DataFrame, names: DataFrame, *, library: str, component: str,
         count = now
     all_sites = written(hit.drop("component", "export").join(wrappers.select("path", "seq", "component", F.col("target").alias("inside")), ["path", "seq"], "left"), "bound-sites")
 
-    # Frames: one for each chain of wrapper calls. The root frame has no call.
-    frames = all_sites.where("inside IS NULL AND target <> 'lib'").select(F.concat_ws(">", F.lit("root"), "site").alias("frame"), F.lit("root").alias("parent"), F.col("site").alias("call"), F.col("target").alias("wrapper"))
+    # Frames: one for each chain of wrapper calls. The root frame has no call. A call that is in its own chain is not
+    # followed again: what it passes on the next time is not known, so its site takes the names of its file and neighbours.
+    frames = all_sites.where("inside IS NULL AND target <> 'lib'").select(F.concat_ws(">", F.lit("root"), "site").alias("frame"), F.lit("root").alias("parent"), F.col("site").alias("call"), F.col("target").alias("wrapper"), F.array("site").alias("chain"))
     level = frames = written(frames, "frames")
-    for _ in range(MAX_DEPTH):
-        deeper = level.join(all_sites.where("target <> 'lib'").select("site", "inside", "target"), F.col("wrapper") == F.col("inside"))
-        level = written(deeper.select(F.concat_ws(">", "frame", "site").alias("frame"), F.col("frame").alias("parent"), F.col("site").alias("call"), F.col("target").alias("wrapper")), "frames")
+    cut = None
+    while True:
+        deeper = level.join(all_sites.where("target <> 'lib'").select("site", "inside", "target", F.col("path").alias("at_path"), F.col("line").alias("at_line")), F.col("wrapper") == F.col("inside"))
+        deeper = written(deeper.withColumn("again", F.array_contains("chain", F.col("site"))), "deeper")
+        again = deeper.where("again").select(F.col("at_path").alias("path"), F.col("at_line").alias("line"))
+        cut = again if cut is None else cut.unionByName(again)
+        level = written(deeper.where("NOT again").select(F.concat_ws(">", "frame", "site").alias("frame"), F.col("frame").alias("parent"), F.col("site").alias("call"), F.col("target").alias("wrapper"), F.concat("chain", F.array("site")).alias("chain")), "frames")
         if level.isEmpty():
             break
         frames = frames.unionByName(level)
+    cut = written(cut.distinct(), "cut")
     frames = written(frames, "frames")
     lib_sites = all_sites.where("target = 'lib'")
     rooted = lib_sites.where("inside IS NULL").withColumn("frame", F.lit("root"))
@@ -209,7 +214,7 @@ def analyze(files: DataFrame, names: DataFrame, *, library: str, component: str,
     work = written(work.where("expr IS NOT NULL").select("instance", "attr", "frame", "path", "seq", "expr"), "work")
     done = _trace(work, instances.sparkSession, files, stmts, consts, owners, imps, reexp, frames, all_sites).unionByName(absent)
     done = written(done, "traced")
-    return _collected(done, instances, names, files, imps, wrappers, frames, default_variant)
+    return _collected(done, instances, names, files, imps, wrappers, frames, cut, default_variant)
 
 
 def _trace(work, spark, files, stmts, consts, owners, imps, reexp, frames, all_sites) -> DataFrame:
@@ -301,7 +306,7 @@ def _key_of(v: Column, steps: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0)), F.when(key == "", F.lit("nested.members()")).otherwise(F.lit("undefined")))
 
 
-def _collected(done, instances, names, files, imps, wrappers, frames, default_variant) -> Usage:
+def _collected(done, instances, names, files, imps, wrappers, frames, cut, default_variant) -> Usage:
     at = instances.select("instance", "site", "path", "line")
     unknown = done.where("kind = 'unknown'").select("instance", "attr", "value")
     why = unknown.where("attr = 'name'").groupBy("instance").agg(F.min("value").alias("why"))
@@ -314,9 +319,12 @@ def _collected(done, instances, names, files, imps, wrappers, frames, default_va
     lost = why.join(at, "instance")
     taken = lost.join(near, "path").join(here.withColumnRenamed("path", "near"), "near").select("instance", "name", "near")
     rows = said.unionByName(taken.select("instance", "name")).join(names.select("name").distinct(), "name", "left_semi")
-    uses = rows.join(variants, "instance").join(shapes, "instance").select("variant", "name", "shape").distinct()
+    uses = rows.join(variants, "instance").join(shapes, "instance").select("variant", "name", "shape")
+    round_ = cut.join(near, "path").join(here.withColumnRenamed("path", "near"), "near")
+    uses = uses.unionByName(round_.select(F.lit("*").alias("variant"), "name", F.explode(F.array(F.lit("d"), F.lit("f"))).alias("shape"))).distinct()
+    d_cut = cut.select("path", "line", F.lit("wrappers render each other in a circle; the names written in this file and the files it imports are included").alias("message"))
     d_name = lost.select("path", "line", F.concat(F.lit("name could not be resolved ("), "why", F.lit("); the names written in this file and the files it imports are included")).alias("message"))
     other = unknown.where("attr <> 'name'").join(at, "instance").select("path", "line", F.concat("attr", F.lit(" could not be resolved ("), "value", F.lit("); every one is included")).alias("message"))
     uncalled = wrappers.join(frames.select(F.col("wrapper").alias("target")).distinct(), "target", "left_anti").select("path", F.lit(1).alias("line"), F.concat(F.lit("wrapper "), "component", F.lit(" has no call sites that could be traced")).alias("message"))
-    diagnostics = d_name.unionByName(other).unionByName(uncalled).distinct()
-    return Usage(uses=uses, diagnostics=diagnostics, fallback_files=taken.select(F.col("near").alias("path")).distinct(), sites=instances.select("site").distinct().count(), wrappers=wrappers.select("path", "component").distinct())
+    diagnostics = d_name.unionByName(other).unionByName(uncalled).unionByName(d_cut).distinct()
+    return Usage(uses=uses, diagnostics=diagnostics, fallback_files=taken.select(F.col("near").alias("path")).union(round_.select("near")).distinct(), sites=instances.select("site").distinct().count(), wrappers=wrappers.select("path", "component").distinct())

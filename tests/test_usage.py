@@ -154,3 +154,18 @@ def test_what_is_lost_is_included_and_said(traced):
 def test_branches(spark, expression, want):
     df = spark.createDataFrame([(expression,)], "e string")
     assert df.select(usage.branches(df.e)).first()[0] == want
+
+
+def test_deep_wrappers_long_barrels_and_circles(spark):
+    files = {
+        "deep.tsx": IMPORT + "export const W0 = ({ name }) => <Glyph name={name} />;\n" + "".join(f"export const W{i} = ({{ name }}) => <W{i - 1} name={{name}} />;\n" for i in range(1, 8)) + "export const A = () => <W7 name='info' />;\n",
+        "b0.ts": "export { Glyph } from 'glyph-kit';\n",
+        **{f"b{i}.ts": f"export * from './b{i - 1}';\n" for i in range(1, 6)},
+        "far.tsx": "import { Glyph } from './b5';\nexport const B = () => <Glyph name='star' />;\n",
+        "circle.tsx": IMPORT + "export const R = ({ a, b }) => <><Glyph name={a} /><R a={b} b='bolt' /></>;\nexport const C = () => <R a='home' b='menu' />;\n",
+    }
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    r = usage.analyze(spark.createDataFrame(list(files.items()), "path string, code string"), names, library="glyph-kit", component="Glyph")
+    uses = {tuple(x) for x in r.uses.collect()}
+    assert {("rounded", n, "d") for n in ("info", "star", "home", "menu")} | {("*", "bolt", s) for s in "df"} <= uses
+    assert ("circle.tsx", "circle") in {(x["path"], x["message"].split(" in a ")[-1].split(";")[0]) for x in r.diagnostics.collect()}
