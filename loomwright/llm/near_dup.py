@@ -12,9 +12,10 @@ Work that grows with the square of a group's size is avoided in three ways:
 * For each key, every document is first compared with the key's smallest only, so a group of copies becomes a star. Links that hold
   make components (large-star and small-star rounds).
 * What is left are pairs of different components under one key. Documents of which too few shingles occur in any other of these cannot have a
-  link and are out. The rest is joined with each other, with exact bounds by sizes and shared shingles, and the distance of
-  finer signatures, in the join's condition, and the few pairs that pass are confirmed.
-Nothing is capped: any pair that has a key in common is either in one component already or compared.
+  link and are out. The rest is joined with each other, with exact bounds by sizes, shared shingles and bitmaps of the hashed shingles in
+  the join's condition, and the few pairs that pass are confirmed. A shingle whose bit the other bitmap lacks is not in the other
+  set, so the bits that two bitmaps share, and the shingles that fell on a bit already set, bound what the sets share.
+Nothing is capped, and no bound can lose a link: any pair that has a key in common is either in one component already or compared.
 
 Tables between the steps are written to the shared folder, so a lost executor repeats one step at most.
 """
@@ -37,9 +38,7 @@ CHUNK = 7
 ERRORS = 1
 SYMBOLS = CHUNKS * CHUNK
 FAR = 48  # of 84 symbols: at similarity 0.75 the mean is 21 with a deviation of 4
-SKETCH = 1024  # bits of the finer signature that open pairs are compared by: minhashes of one bit
-#: At similarity 0.75 the mean is 128 differing bits with a deviation of 10.6. A link is lost with a probability of 1 to 300,000.
-SKETCH_FAR = 176
+BITMAP = 2048  # bits of the hashed sets that open pairs are compared by
 CACHE = 400_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -47,8 +46,6 @@ _POWERS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
 _rng = np.random.default_rng(97)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
-_SA = _rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
-_SB = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -91,23 +88,25 @@ class Signer:
         return np.unique(out)
 
     def sign(self, hashes: np.ndarray) -> np.ndarray:
-        """Symbols are the last 8 bits of mixed minhashes; a chunk of them is one number."""
-        symbols = (_least(hashes, _A, _B) * _MIX >> np.uint64(56)).astype(np.uint8)
+        """Symbols are the last 8 bits of mixed minhashes; a chunk of them is one number. By blocks, so that a long text needs no more room."""
+        least = np.full(SYMBOLS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        step = (1 << 18) // SYMBOLS
+        for at in range(0, len(hashes), step):
+            block = hashes[at : at + step, None] * _A + _B
+            np.minimum(least, (block ^ (block >> np.uint64(32))).min(axis=0), out=least)
+        symbols = (least * _MIX >> np.uint64(56)).astype(np.uint8)
         return np.pad(symbols.reshape(CHUNKS, CHUNK), ((0, 0), (0, 8 - CHUNK))).view("<i8").ravel()
 
-    def sketch(self, hashes: np.ndarray) -> np.ndarray:
-        """One bit of each of SKETCH minhashes, as 64-bit numbers."""
-        return np.packbits((_least(hashes, _SA, _SB) * _MIX >> np.uint64(63)).astype(np.uint8)).view(np.int64)
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The bits that hashed shingles fall on, as 64-bit numbers."""
+    bits = np.zeros(BITMAP, dtype=np.uint8)
+    bits[hashes >> np.uint64(64 - BITMAP.bit_length() + 1)] = 1
+    return np.packbits(bits).view(np.int64)
 
-def _least(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minhashes; by blocks, so that a long text needs no more room."""
-    least = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
-    step = (1 << 18) // len(a)
-    for at in range(0, len(hashes), step):
-        block = hashes[at : at + step, None] * a + b
-        np.minimum(least, (block ^ (block >> np.uint64(32))).min(axis=0), out=least)
-    return least
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +115,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in (t for texts in text_groups(batch["text"]) for t in texts):
             hashes = signer.shingle_hashes(text)
-            rows.append((len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), signer.sign(hashes)) if len(hashes) else (0, None, None))
+            rows.append((len(hashes), _digest(hashes), signer.sign(hashes)) if len(hashes) else (0, None, None))
         yield pd.concat([batch[["id"]], pd.DataFrame(rows, columns=["n", "same", "sig"], index=batch.index)], axis=1)
 
 
@@ -148,35 +147,35 @@ def is_first_key(place: Column, a: Column, b: Column) -> Column:
 
 
 def _hashed(texts: DataFrame) -> DataFrame:
-    """(id, h, sketch): shingle hashes and the finer signature."""
+    """(id, same, h, bits): the set's digest, shingle hashes and their bitmap. Rows with one id may be several sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer()
         for batch in batches:
             hashes = [signer.shingle_hashes(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "h": [h.view(np.int64) for h in hashes], "sketch": [signer.sketch(h) for h in hashes]})
+            yield pd.DataFrame({"id": batch["id"], "same": [_digest(h) for h in hashes], "h": [h.view(np.int64) for h in hashes], "bits": [bitmap(h) for h in hashes]})
 
-    return texts.mapInPandas(run, "id bigint, h array<bigint>, sketch array<bigint>")
+    return texts.mapInPandas(run, "id bigint, same binary, h array<bigint>, bits array<bigint>")
 
 
 def _shared_counts(hashed: DataFrame) -> DataFrame:
-    """(id, s): how many shingles of each text any other of these texts has too. Shingles that one text alone has are counted by it and taken away."""
-    each = hashed.select("id", F.explode("h").alias("h"))
-    held = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    alone = held.where("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    return hashed.join(alone, "id", "left").select("id", "sketch", (F.size("h") - F.coalesce("u", F.lit(0))).alias("s"))
+    """(id, same, bits, s): how many shingles of each set any other of these sets has too. Shingles that one set alone has are counted by it and taken away."""
+    each = hashed.select(F.struct("id", "same").alias("of"), F.explode("h").alias("h"))
+    held = each.groupBy("h").agg(F.min("of").alias("of"), F.max("of").alias("last"))
+    alone = held.where("of = last").groupBy("of.id", "of.same").agg(F.count(F.lit(1)).alias("u"))
+    return hashed.join(alone, ["id", "same"], "left").select("id", "same", "bits", (F.size("h") - F.coalesce("u", F.lit(0))).alias("s"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar enough. Texts come by two joins on the id."""
+    """Pairs (a, b) of ids with texts whose whole sets are similar enough. Texts come by two joins on the id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, set()
         for batch in batches:
             ok = []
-            for a, ta, tb in zip(batch["a"], batch["ta"], batch["tb"]):
-                if a != last:
-                    last, held = a, shingles(ta)
+            for ta, tb in zip(batch["ta"], batch["tb"]):
+                if ta is not last and ta != last:
+                    last, held = ta, shingles(ta)
                 other = shingles(tb)
                 common = len(held & other)
                 ok.append(100 * common >= percent * (len(held) + len(other) - common) > 0)
@@ -230,13 +229,13 @@ def near_groups(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", t
     every = classes.select("id", F.posexplode(keys(F.col("sig"))).alias("place", "key"))
     shared = durable(every.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "rep"), "shared-keys")
     member = durable(every.join(shared, "key").select("key", "place", "id", "rep"), "members")
-    sized = classes.select("id", "n", "sig")
+    sized = classes.select("id", "same", "n", "sig")
     close = lambda x, y: (F.col(f"{x}n") * 100 >= F.col(f"{y}n") * percent) & (F.col(f"{y}n") * 100 >= F.col(f"{x}n") * percent)
-    a, b = sized.toDF("a", "an", "asig"), sized.toDF("b", "bn", "bsig")
+    a, b = (sized.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("sig").alias(f"{x}sig")) for x in "ab")
     # Whole texts cross the network once here; the joins below carry those of documents with a key in common only.
     texts = durable(own.where("id IS NOT NULL").join(member.select("id").distinct(), "id", "left_semi"), "texts")
     stars = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(a, "a").join(b, "b").where(close("a", "b") & (distance(F.col("asig"), F.col("bsig")) <= FAR)).select("a", "b")
+    stars = stars.join(a, "a").join(b, "b").where(close("a", "b") & (distance(F.col("asig"), F.col("bsig")) <= FAR)).select("a", "b").distinct()
     links = durable(_confirmed(stars, texts, percent), "links")
     # Pairs of different components under one key, but for those with the key's smallest, which are done.
     parts = durable(components(links), "parts")
@@ -245,14 +244,15 @@ def near_groups(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", t
     rows = durable(open_keys.join(several, "key", "left_semi").select("key", "place", "id", "component"), "open-keys")
     # A pair's common shingles are at most those that either shares with anyone else here; most open documents share too few.
     able = _shared_counts(durable(_hashed(texts.join(rows.select("id").distinct(), "id", "left_semi")), "hashed"))
-    able = durable(sized.join(able, "id").where(F.col("s") * 100 >= F.col("n") * percent).select("id", "n", "s", "sig", "sketch"), "able")
-    rows = rows.join(able, "id")
-    own_columns = ("id", "component", "n", "s", "sig", "sketch")
+    able = durable(sized.join(able.distinct(), ["id", "same"]).where(F.col("s") * 100 >= F.col("n") * percent).select("id", "n", "s", "sig", "bits"), "able")
+    rows = rows.join(able.withColumn("ones", sum((F.bit_count(F.col("bits")[i]) for i in range(BITMAP // 64)), F.lit(0))), "id")
+    own_columns = ("id", "component", "n", "s", "sig", "bits", "ones")
     left, right = rows.select("key", "place", *[F.col(c).alias(f"a{c}") for c in own_columns]), rows.select("key", *[F.col(c).alias(f"b{c}") for c in own_columns])
-    common = F.least("as", "bs")
-    possible = common * 100 >= (F.col("an") + F.col("bn") - common) * percent
-    differ = sum((F.bit_count(F.col("asketch")[i].bitwiseXOR(F.col("bsketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    apart = (F.col("aid") < F.col("bid")) & (F.col("acomponent") != F.col("bcomponent")) & close("a", "b") & possible & (differ <= SKETCH_FAR) & is_first_key(F.col("place"), F.col("asig"), F.col("bsig"))
+    possible = lambda common: common * 100 >= (F.col("an") + F.col("bn") - common) * percent
+    ones = lambda x: sum((F.bit_count(x(i)) for i in range(BITMAP // 64)), F.lit(0))
+    fallen = F.least(*[F.col(f"{x}n") - F.col(f"{x}ones") for x in "ab"])  # shingles on bits that were set already
+    by_bits = ones(lambda i: F.col("abits")[i].bitwiseAND(F.col("bbits")[i])) + fallen
+    apart = (F.col("aid") < F.col("bid")) & (F.col("acomponent") != F.col("bcomponent")) & close("a", "b") & possible(F.least("as", "bs")) & is_first_key(F.col("place"), F.col("asig"), F.col("bsig")) & possible(by_bits)
     crossed = durable(left.join(right, (left["key"] == right["key"]) & apart).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct(), "crossed")
     links = links.union(_confirmed(crossed, texts, percent))
     found = classes.select("same", "id").join(components(links), "id", "left").select("same", F.coalesce("component", "id").alias("component"))

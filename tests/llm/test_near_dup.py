@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from loomwright.llm import near_dup as N
@@ -55,6 +56,50 @@ def test_edges(documents):
     assert got == sorted([(None, 1, None, True), (4, 1, 4, True), (4, 1, 4, True), (9, 1, 4, False), (5, 1, 5, True)], key=str)
 
 
+def test_recall_of_links_at_the_border(documents):
+    """2,600 pairs of similarity 0.75 to 0.77, each of an own vocabulary: how many of their links are found."""
+    rng = random.Random(11)
+    rows, linked = [], set()
+    for k in range(2600):
+        base = [f"{rng.randrange(1 << 20)}w{k}" for _ in range(rng.choice([60, 100, 300]))]
+        changed = next(c for c in range(len(base) - 4, 0, -1) if 100 * (len(base) - 4 - c) >= 75 * (len(base) - 4 + c)) - 4  # words, each run of them also changes 4 shingles
+        at = rng.randrange(4, len(base) - changed - 4)
+        other = base[:at] + [f"{rng.randrange(1 << 20)}x{k}" for _ in range(changed)] + base[at + changed :]
+        texts = " ".join(base), " ".join(other)
+        a, b = map(N.shingles, texts)
+        assert 0.75 <= len(a & b) / len(a | b) < 0.77
+        rows += [(2 * k, texts[0]), (2 * k + 1, texts[1])]
+        linked.add(2 * k + 1)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_groups(documents(*rows)).collect()}
+    assert all(c in (i, i - 1) for i, c in got.items()) and all(got[i] == i for i in got if i % 2 == 0)
+    found = sum(got[i] == i - 1 for i in linked)
+    assert found >= 0.998 * len(linked), found
+
+
+def test_texts_under_one_id_and_shared_shingles(documents):
+    """All shingles of the second text of id 7 are shared, none of its first: the link is found all the same, and links of any text are links of the id."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    lone = " ".join(word() for _ in range(40))
+    base = [word() for _ in range(60)]
+    near = " ".join(base[:30] + [word()] + base[31:])
+    rest = [(20 + i, " ".join(base[:i] + [word() for _ in range(30)] + base[i + 30 :])) for i in range(0, 30, 3)]
+    rows = [(7, lone), (7, " ".join(base)), (9, near), (3, lone + " z"), *rest]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in N.near_groups(documents(*rows)).collect()}
+    assert got[7, 36] == got[7, 56] == got[9, 56] == got[3, 37] == 3
+
+
+def test_bitmaps_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    for size in (5, 300, 5000):
+        pool = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64) * np.uint64(2)
+        for _ in range(20):
+            a, b = (np.unique(rng.choice(pool, size)) for _ in range(2))
+            x, y = N.bitmap(a).view(np.uint64), N.bitmap(b).view(np.uint64)
+            fallen = min(len(a) - int(np.bitwise_count(x).sum()), len(b) - int(np.bitwise_count(y).sum()))
+            assert len(np.intersect1d(a, b)) <= int(np.bitwise_count(x & y).sum()) + fallen
+
+
 def test_dropping_keeps_one_of_each_component(documents, clashing, rows):
     d = clashing(documents(*rows))
     out = N.drop_near_copies(d)
