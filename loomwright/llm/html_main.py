@@ -1,16 +1,17 @@
 """HTML extraction: block text by structure, then nearest-URL page differencing.
 
 1. A page is read into blocks (text between block tags; white space collapsed, references decoded), each with the mark
-   whether it stands in the page's main content (article, main, or role=main). Scripts, styles, forms, and containers that name
-   themselves as menu, header, footer, sidebar, notice, advert or comments hold no blocks.
-2. Pages of a host are ordered by URL path, and each is paired with the next one (the last with the one before). Hosts
-   with very many pages, which come from a count, are dealt over ranges of that order, and the block hashes of the rows at
-   a range's ends are handed to the adjoining range: the partner is the same at every size.
-3. The blocks of a pair are aligned by a longest common subsequence, and what a page shares with its neighbour is deleted as the
-   site's template - but for blocks in marked main content, where equal text is a quotation or a copy and belongs
-   to the article. Where a page has marked main content, blocks outside it are left out in any case.
-
-Page text crosses the network once. Neighbours exchange block hashes only.
+   whether it stands in the page's main content (article, main, or role=main). Scripts, styles, forms, navigation, footers and asides hold
+   no blocks, nor do containers that name themselves as an advert, a menu, a notice, comments and so on.
+2. Pages of a host are ordered by URL path. Ranges of that order are tasks, and what stands at a range's ends is handed to
+   the adjoining ranges, so the neighbours are the same at every size and a host with very many pages is many tasks.
+3. The blocks of a page are aligned with those of its nearest neighbours by a longest common subsequence. What it shares with both of the two nearest
+   is the site's template and is deleted. A neighbour that is a copy of the page says nothing and is passed over, and where more than
+   half of a page would go (copies of an article with other surroundings), the next two must share it too.
+   Blocks in marked main content are protected: equal text there is a quotation or a copy and belongs to the article.
+
+Neighbours are found on block hashes; page text does not cross the network for it. Positions to delete come back to the pages by
+a join, where only pages with any take part on that side: broadcast where they are few, which is checked, else by a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -35,12 +35,14 @@ DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "tem
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
-#: Words in class, id or role that name a container.
-NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "disqus", "complementary", "contentinfo", "search", "popup"}
+#: A container is named by a word of class, id or role whose parts (between - and _) are all among these, one of the first group at least.
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "newsletter", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "responses", "feedback", "disqus", "complementary", "contentinfo", "popup"}
+PARTS = {"banner", "bar", "block", "bottom", "box", "container", "content", "form", "inner", "item", "left", "list", "main", "outer", "page", "panel", "reader", "readers", "right", "section", "signup", "site", "slot", "thread", "top", "unit", "user", "users", "widget", "wrap", "wrapper"}
 ENDS_P = BLOCKS - {"html", "body"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-PAGES_IN_GROUP = 10_000
+#: Rows of positions to delete that may be broadcast.
+SMALL = 200_000
 
 
 def _names(tag: str, attributes: str, in_main: bool) -> bool:
@@ -52,9 +54,11 @@ def _names(tag: str, attributes: str, in_main: bool) -> bool:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
         return True
-    named = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
-    words = set(re.split(r"[\s_-]+", named))
-    return bool(words & NAMES) or ("header" in words and not in_main)
+    for word in " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split():
+        parts = {p.rstrip("0123456789") for p in re.split("[_-]+", word)} - {""}
+        if parts <= NAMES | PARTS | {"header"} and (parts & NAMES or "header" in parts and not in_main):
+            return True
+    return False
 
 
 def blocks(page: str | None) -> tuple[list[str], list[bool]]:
@@ -169,52 +173,75 @@ def common_lines(a: Sequence[int], b: Sequence[int]) -> set[int]:
     return found
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def template(own: Sequence[int], others: Sequence[Sequence[int]], sizes: Sequence[int]) -> set[int]:
+    """Positions of blocks that a page shares with its neighbours, given from the nearest on: with the two nearest that are no copies of it, or with all if that is more than half of it."""
+    informative = [o for o in others if list(o) != list(own)]
+    if not informative:
+        return set()
+    shared = set.intersection(*(common_lines(own, o) for o in informative[:2]))
+    if 2 * sum(sizes[i] for i in shared) > sum(sizes):
+        shared = set.intersection(shared, *(common_lines(own, o) for o in informative[2:]))
+    return shared
+
+
+def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [blocks(p) for p in batch["html"]]
         hashes = [[xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines] for lines, _ in rows]
-        yield batch.drop(columns="html").assign(lines=[r[0] for r in rows], main=[r[1] for r in rows], hashes=hashes)
+        yield batch.drop(columns="html").assign(hashes=hashes, sizes=[[len(x) for x in lines] for lines, _ in rows], main=[r[1] for r in rows])
 
 
-def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = []
-        for lines, main, own, other in zip(batch["lines"], batch["main"], batch["hashes"], batch["other"]):
-            shared = common_lines(list(own), list(other)) if other is not None else set()
-            marked = np.any(main)
-            texts.append("\n".join(x for i, (x, m) in enumerate(zip(lines, main)) if m or not marked and i not in shared))
-        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
+        cut = []
+        for own, sizes, main, others in zip(batch["hashes"], batch["sizes"], batch["main"], batch["others"]):
+            free = [] if all(main) else template(own.tolist(), [o.tolist() for o in others], sizes.tolist())
+            cut.append([i for i in sorted(free) if not main[i]])
+        found = pd.DataFrame({"key": batch["key"], "cut": cut})
+        yield found[found["cut"].map(len) > 0]
 
 
-def main_text(pages: DataFrame, *, max_heavy: int = 1000) -> DataFrame:
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.drop(columns="html").assign(lines=[blocks(p)[0] for p in batch["html"]])
+
+
+def _neighbours(read: DataFrame) -> DataFrame:
+    """read (host, path, url, page_id, key, range, hashes ...) with others: hashes of the nearest pages of the host, two on either side at most, the next one first."""
+    order = Window.partitionBy("host", "range").orderBy("path", "url", "page_id", "key")
+    inner = read.withColumns({"next1": F.lead("hashes", 1).over(order), "next2": F.lead("hashes", 2).over(order), "last1": F.lag("hashes", 1).over(order), "last2": F.lag("hashes", 2).over(order)})
+    at = inner.withColumns({"is_first": F.col("last2").isNull(), "is_last": F.col("next2").isNull()}).where("is_first OR is_last")
+    pick = lambda which, by: F.array_sort(F.collect_list(F.when(F.col(which), F.struct(*by, "hashes"))))["hashes"]
+    by = ("path", "url", "page_id", "key")
+    ends = at.groupBy("host", "range").agg(pick("is_first", by).alias("first"), F.reverse(pick("is_last", by)).alias("last"))  # two rows of a range each
+    by_range = Window.partitionBy("host").orderBy("range")  # one row a range
+    near = lambda c, f: F.slice(F.concat(F.coalesce(f(c, 1).over(by_range), none), F.coalesce(f(c, 2).over(by_range), none)), 1, 2)
+    none = F.array().cast("array<array<bigint>>")
+    ends = ends.select("host", "range", near("first", F.lead).alias("after"), near("last", F.lag).alias("before"))
+    side = lambda a, b, rest: F.slice(F.filter(F.concat(F.array(a, b), F.col(rest)), lambda x: x.isNotNull()), 1, 2)
+    sides = inner.join(ends, ["host", "range"]).withColumns({"next": side("next1", "next2", "after"), "last": side("last1", "last2", "before")})
+    others = F.filter(F.array(*[F.get(c, F.lit(i)) for i in (0, 1) for c in ("next", "last")]), lambda x: x.isNotNull())
+    return sides.withColumn("others", others)
+
+
+def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
     A null or empty html has an empty text, and a page without any content block too. A null or unusual url is in a host of its own
     name (the empty one), ordered by the whole url. Pages with equal urls are neighbours, in the order of
-    page_id. A page alone in its host has no neighbour and loses no block to it. Repeated rows give a row
+    page_id. A page alone in its host, or among copies of itself only, has no neighbour and loses no block to it. Repeated rows give a row
     each; other columns are ignored. Whole pages are read, whatever their length.
     """
     url = F.coalesce(F.col("url"), F.lit(""))
     cut = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
-    keyed = pages.select("page_id", "url", F.lower(F.regexp_extract(url, cut, 1)).alias("host"), F.when(url.rlike(cut), F.regexp_extract(url, cut, 2)).otherwise(url).alias("path"), "html")
-    share = max(PAGES_IN_GROUP, pages.count() // max_heavy)
-    heavy = durable(keyed.groupBy("host").count().where(F.col("count") > share), "heavy-hosts")  # at most max_heavy hosts
-    n_heavy = heavy.agg(F.sum("count")).first()[0] or 0
+    key = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("\1")), url, F.coalesce("html", F.lit(""))).cast("binary")))
+    keyed = pages.select("page_id", "url", F.lower(F.regexp_extract(url, cut, 1)).alias("host"), F.when(url.rlike(cut), F.regexp_extract(url, cut, 2)).otherwise(url).alias("path"), key.alias("key"), "html")
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, path string, lines array<string>, main array<boolean>, hashes array<bigint>"
-    keys = ("path", "url", "page_id")
-    light = keyed.join(F.broadcast(heavy.select("host")), "host", "left_anti") if n_heavy else keyed
-    order = Window.partitionBy("host").orderBy(*keys, F.hash("hashes"))
-    paired = light.select(keyed.columns).mapInPandas(_read, schema).withColumn("other", F.coalesce(F.lead("hashes").over(order), F.lag("hashes").over(order)))
-    if n_heavy:
-        ranges = keyed.join(F.broadcast(heavy.select("host")), "host", "left_semi").select(keyed.columns).repartitionByRange(-(-n_heavy // PAGES_IN_GROUP), "host", *keys)
-        read = durable(ranges.mapInPandas(_read, schema).withColumn("range", F.spark_partition_id()), "ranges")
-        at = F.struct(*keys, F.hash("hashes"))
-        ends = read.groupBy("host", "range").agg(F.min_by("hashes", at).alias("first"), F.max_by("hashes", at).alias("last"))
-        by_range = Window.partitionBy("host").orderBy("range")  # one row for PAGES_IN_GROUP pages
-        ends = ends.select("host", "range", F.lead("first").over(by_range).alias("after"), F.lag("last").over(by_range).alias("before"))
-        order = Window.partitionBy("host", "range").orderBy(*keys, F.hash("hashes"))
-        inner = read.withColumns({"next": F.lead("hashes").over(order), "previous": F.lag("hashes").over(order)}).join(ends, ["host", "range"])
-        paired = paired.unionByName(inner.withColumn("other", F.coalesce("next", "after", "previous", "before")).select(paired.columns))
-    done = paired.select("page_id", "url", "lines", "main", "hashes", "other").mapInPandas(_remove, f"page_id {kind}, url string, text string")
-    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+    hashed = keyed.mapInPandas(_hashes, f"page_id {kind}, url string, host string, path string, key binary, hashes array<bigint>, sizes array<int>, main array<boolean>")
+    ranges = hashed.repartitionByRange("host", "path", "url", "page_id", "key").withColumn("range", F.spark_partition_id())
+    cuts = _neighbours(durable(ranges, "blocks")).select("key", "hashes", "sizes", "main", "others").mapInPandas(_cuts, "key binary, cut array<int>")
+    cuts = durable(cuts.dropDuplicates(["key"]), "cuts")
+    lines = keyed.select("page_id", "url", "key", "html").mapInPandas(_lines, f"page_id {kind}, url string, key binary, lines array<string>")
+    both = lines.join(F.broadcast(cuts) if cuts.limit(SMALL + 1).count() <= SMALL else cuts, "key", "left")
+    text = F.array_join(F.when(F.col("cut").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("cut", i))), "\n")
+    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

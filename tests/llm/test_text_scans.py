@@ -1,7 +1,10 @@
 import random
+import re
 from functools import lru_cache
 from itertools import pairwise
 
+from pyspark.sql import functions as F
+
 from loomwright.llm import html_main as H
 from loomwright.llm import license_scan as S
 
@@ -97,13 +100,60 @@ def test_size_bounds_lose_no_match():
     assert set(pairwise("ab")) == {("a", "b")}
 
 
-def test_neighbours_do_not_depend_on_the_size_of_a_host(spark, monkeypatch):
+def plain_main_text(rows):
+    """Pages by host in URL order, each against its nearest, in plain Python."""
+    hosts = {}
+    for row in rows:
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", row[1] or "")
+        hosts.setdefault(m[1].lower() if m else "", []).append((m[2] if m else row[1] or "", row[1] or "", row[0], row))
+    out = []
+    for pages_ in hosts.values():
+        pages_.sort(key=lambda p: p[:3])
+        read = [H.blocks(p[3][2]) for p in pages_]
+        for i, (lines, main) in enumerate(read):
+            near = [read[j][0] for j in (i + 1, i - 1, i + 2, i - 2) if 0 <= j < len(read)]
+            near = [x for x in near if x != lines]
+            shared = set.intersection(*(H.common_lines(lines, x) for x in near[:2])) if near else set()
+            if near and sum(len(lines[k]) for k in shared) * 2 > sum(map(len, lines)):
+                shared &= set.intersection(*(H.common_lines(lines, x) for x in near))
+            text = "\n".join(x for k, x in enumerate(lines) if main[k] or k not in shared)
+            out.append((pages_[i][2], pages_[i][3][1], text, len(text)))
+    return sorted(out)
+
+
+def site():
     section = lambda i: f"template of section {i // 4}"
-    rows = [(i, f"http://{'hot' if i < 120 else f'h{i % 3}'}.org/s{i // 4:03d}/p{i:03d}", f"<p>{section(i)}<p>own text {i}<p>end of {i // 3}") for i in range(150)]
-    rows += [(200 + i, "http://hot.org/same", f"<p>same<p>{i % 2}") for i in range(6)] + [(None, None, None)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
-    whole = sorted(map(str, H.main_text(pages).collect()))
-    monkeypatch.setattr(H, "PAGES_IN_GROUP", 7)
-    assert sorted(map(str, H.main_text(pages).collect())) == whole
-    monkeypatch.setattr(H, "PAGES_IN_GROUP", 1)
-    assert sorted(map(str, H.main_text(pages).collect())) == whole
+    rows = [(i, f"http://{'hot' if i < 120 else f'h{i % 3}'}.org/s{i // 4:03d}/p{i:03d}", f"<p>site<p>{section(i)}<p>own text {i}<p>end of {i // 3}" + "<article><p>site<p>kept</article>" * (i % 5 == 0)) for i in range(150)]
+    rows += [(200 + i, "http://hot.org/same", f"<p>same<p>{i % 2}") for i in range(6)] + [(300, "HTTP://one.org", "<p>alone"), (301, "http://two.org/a", "<p>x<p>menu one"), (302, "http://two.org/b", "<p>y<p>menu one")]
+    return rows
+
+
+def test_like_plain_differencing_at_every_number_of_ranges(spark):
+    want = plain_main_text(site())
+    assert {t for _, _, t, _ in want} > {"own text 5\nend of 1\nsite\nkept", "x", "y", "alone"}
+    try:
+        for n in ("1", "4", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert sorted(map(tuple, H.main_text(pages(spark, *site()).repartition(3)).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_cuts_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(H, "SMALL", 0)
+    assert sorted(map(tuple, H.main_text(pages(spark, *site())).collect())) == plain_main_text(site())
+
+
+def test_pages_without_marks_give_the_same_texts(spark):
+    """On the smallest test table: differencing keeps what the marks protect, copies of articles next to each other included."""
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    bare = table.withColumn("html", F.regexp_replace("html", "(?i)<(/?)(article|main)", "<$1div"))
+    want = {r["page_id"]: r["text"] for r in H.main_text(table).collect()}
+    assert len(want) == table.count() and {r["page_id"]: r["text"] for r in H.main_text(bare).collect()} == want and all(want.values())
+
+
+def test_containers_are_named_by_whole_words(spark):
+    html = "".join(f"<div {a}><p>{k}</p></div>" for k, a in enumerate(['class="responses"', 'id="reader-feedback"', 'class="newsletter-signup"', 'class="ad-slot_2 x"', 'id="search-theory"', 'class="notice-period"', 'class="comment-on-law"', 'role="complementary"', 'class="header"', 'id="header-of-text"']))
+    assert H.blocks(html)[0] == ["4", "5", "6", "9"]
