@@ -14,9 +14,12 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder of this machine does for a local
+    master, where all tasks run here; on a cluster it would not, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,6 +37,21 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def renamed(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1 ..., so that no column's name can clash with an operator's own. restored() is the way back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, of what renamed(docs) became."""
+    return df.select([f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def own_name(docs: DataFrame, column: str) -> str:
+    """What renamed(docs) calls a column."""
+    return f"c{docs.columns.index(column)}"
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. lower() does the same to pure ASCII and is much the faster there."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

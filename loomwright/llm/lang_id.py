@@ -74,16 +74,16 @@ def sparse_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buckets[order], bounds, has_letter
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, max_classes: int = 64) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, max_classes: int = 64) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probability matrix (BUCKETS + 1 rows; the last has log priors).
 
-    Learned from about max_docs rows with a language and a text, chosen by a hash of the text; from all, where they are no
+    Learned from about max_docs rows with a language and a text, chosen by a hash of id and text (so that copies of one text are rows like any others); from all, where they are no
     more. More than max_classes languages are an error. Without any labelled row the model has no language.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("draw"))
     total = rows.count()
     if total > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
+        rows = rows.where(F.pmod("draw", F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -98,7 +98,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": own[at]})
 
-    counts = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.drop("draw").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # At most (BUCKETS + 1) * max_classes rows: one array for each language.
     found = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(max_classes + 1).toPandas()
     if len(found) > max_classes:
@@ -157,5 +157,5 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, *, id_col: str
 
 def identify(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
     """Learn from the rows where learn holds, predict all."""
-    langs, model = train(docs.where(learn), text_col=text_col, lang_col=lang_col, **bounds)
+    langs, model = train(docs.where(learn), id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds)
     return predict(docs, langs, model, id_col=id_col, text_col=text_col)

@@ -19,37 +19,50 @@ Nothing but DataFrame expressions is used.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, own_name
 
+log = logging.getLogger(__name__)
 OTHER = "(other)"
 DIMS = ("source", "lang", "topic")
+OWN = ("topic_", "n_tokens", "probability", "sampled")
 #: Up to so many cells are raked in one partition and broadcast to documents.
 FEW_CELLS = 50_000
 #: Bounded raking ends when less than this share of the sample is not where the targets are.
 CALIBRATED = 1e-6
 WORD = r"[^\x20\x09-\x0D]+"
+#: What speaks for a topic. Patterns mean the same to Java, RE2 and Python.
+TOPICS: dict[str, str] = {
+    "legal": r"[Ll]icen[sc]e|[Cc]opyright|WARRANT|[Ww]arrant|[Pp]ermission|[Pp]ublic domain",
+    "contact": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.|\+?[0-9]+ ?\([0-9]+\)|https?://|www\.",
+    "table": r" \| |\t",
+    "code": r"[{};]|=>|==|\(\)",
+    "noise": r"\*\*|##|!!|\?\?|__|~~",
+}
+PLAIN = "prose"
+#: A topic needs so many hits in a hundred words.
+DENSITY = 1.0
 
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic by plain marks in the text: legal, contact, table, junk or prose. Null text: prose."""
+def topic_of(text: Column, topics: Mapping[str, str] = TOPICS, density: float = DENSITY) -> Column:
+    """The topic whose pattern has the most hits for each word of the text; PLAIN where none has density hits in a hundred words.
+
+    Of equals the first in the order of topics. A null text has no hits.
+    """
     t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(t.contains("icense"), "legal")
-        .when(t.contains("@"), "contact")
-        .when(t.contains(" | "), "table")
-        .when(t.contains("***"), "junk")
-        .otherwise("prose")
-    )
+    names = F.array(*map(F.lit, topics))
+    counted = F.array(F.struct(F.array(*[F.regexp_count(t, F.lit(p)) for p in topics.values()]).alias("hits"), n_words(text).alias("n")))  # each count once
+    return F.transform(counted, lambda x: F.when((F.array_max(x["hits"]) > 0) & (F.array_max(x["hits"]) * 100 >= x["n"] * density), F.get(names, F.array_position(x["hits"], F.array_max(x["hits"])).cast("int") - 1)).otherwise(F.lit(PLAIN)))[0]
 
 
 def uniform(id_: Column, seed: str) -> Column:
@@ -117,6 +130,8 @@ def rake(cells: DataFrame, dims: Sequence[str], exact: Sequence[str], rounds: in
         if off > 0.9 * before:
             break
     w = _rounds(w, dims[-1:], 4, True, few)
+    if off > 0.01:
+        log.warning("targets exclude each other within the bounds: %.1f %% of a dimension's tokens are not where its targets are", 100 * off)
     if exact and _off(w, exact) > 100 * CALIBRATED:
         w = plain.withColumn("p", F.col("p") / F.lit(top))
     return w.withColumn("p", F.least("p", F.lit(1.0)))
@@ -141,16 +156,12 @@ def mix(
     Equal ids draw alike, so repeated rows stay or go together. An empty table gives an empty result.
     targets: by dimension, shares by category (others count as OTHER and may be given under that
     name) and met exactly, if need be by a smaller sample; a dimension that is not named is tempered. Columns of docs named topic_, n_tokens, probability or
-    sampled are replaced.
+    sampled are replaced here; sample() keeps them.
     """
     targets = targets or {}
-    own = ("topic_", "n_tokens", "probability", "sampled")
-    keyed = (
-        docs.drop(*own)
-        .withColumn("topic_", topic if topic is not None else topic_of(F.col("text")))
-        .withColumn("n_tokens", (tokens if tokens is not None else n_words(F.col("text"))).cast("long"))
-        .withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("(null)")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("(null)")), "_topic": F.coalesce("topic_", F.lit("(null)"))})
-    )
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], (topic if topic is not None else topic_of(F.col("text"))).alias("topic_"), (tokens if tokens is not None else n_words(F.col("text"))).cast("long").alias("n_tokens"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
+    keyed = inner.withColumns({"_source": text(own_name(docs, "source")), "_lang": text(own_name(docs, "lang")), "_topic": text("topic_")})
     for d in DIMS:
         keyed = keyed.withColumn(f"_{d}", F.when(F.col(f"_{d}").isin(*targets[d]), F.col(f"_{d}")).otherwise(OTHER) if d in targets else F.col(f"_{d}"))
     raw = durable(keyed.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
@@ -181,27 +192,58 @@ def mix(
     probs = w.select(*[F.col(d).alias(f"_p_{d}") for d in DIMS], F.col("p").alias("probability"))
     at = [F.col(f"_{d}") == F.col(f"_p_{d}") for d in DIMS]
     out = keyed.join(F.broadcast(probs.coalesce(1)) if few else probs, reduce(Column.__and__, at), "left")
-    out = out.withColumn("probability", F.coalesce("probability", F.lit(0.0))).withColumn("sampled", uniform(F.col(id_col), seed) < F.col("probability"))
-    return out.select(*[c for c in docs.columns if c not in own], *own)
+    out = out.withColumn("probability", F.coalesce("probability", F.lit(0.0))).withColumn("sampled", uniform(F.col(own_name(docs, id_col)), seed) < F.col("probability"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in OWN], *OWN)
+
 
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that mix() draws, with their own columns as they are, whatever their names."""
+    taken = {c: f"{c}-of-docs" for c in docs.columns if c in OWN}
+    drawn = mix(docs.withColumnsRenamed(taken), **options).where("sampled").drop(*OWN)
+    return drawn.withColumnsRenamed({v: k for k, v in taken.items()})
 
-def mix_sql(*, temperature: float = 0.7, fraction: float = 0.5, min_share: float = 1 / 128, rounds: int = 16, seed: str = "mix-1") -> str:
-    """The same over the table documents, for DuckDB: rounds are unrolled."""
-    topic = "CASE WHEN contains(t, 'icense') THEN 'legal' WHEN contains(t, '@') THEN 'contact' WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '***') THEN 'junk' ELSE 'prose' END"
+
+def mix_sql(*, temperature: float = 0.7, fraction: float = 0.5, rounds: int = 16, seed: str = "mix-1") -> str:
+    """The same over the table documents, for DuckDB: goals in closed form over sorted categories, rakings as recursive tables."""
+    hits = {name: f"len(regexp_extract_all(t, '{pattern}'))" for name, pattern in TOPICS.items()}
+    cases = " ".join(f"WHEN h_{name} = most THEN '{name}'" for name in hits)
     parts = [
-        f"k AS MATERIALIZED (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, {topic} AS topic, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n FROM (SELECT *, coalesce(text, '') AS t FROM documents))",
-        "a AS (SELECT sum(n)::DOUBLE AS total FROM k)",
+        "d AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, coalesce(text, '') AS t FROM documents)",
+        f"h AS MATERIALIZED (SELECT doc_id, source, lang, len(regexp_extract_all(t, '{WORD}'))::BIGINT AS n, {', '.join(f'{x} AS h_{name}' for name, x in hits.items())} FROM d)",
+        f"k AS MATERIALIZED (SELECT doc_id, source, lang, n, CASE WHEN most > 0 AND most * 100 >= n * {DENSITY!r} THEN CASE {cases} END ELSE '{PLAIN}' END AS topic FROM (SELECT *, greatest({', '.join(f'h_{name}' for name in hits)}) AS most FROM h))",
+        "c AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS tokens FROM k GROUP BY ALL HAVING sum(n) > 0)",
+        f"z AS (SELECT sum(tokens) AS total, {fraction!r} * sum(tokens) AS size FROM c)",
     ]
-    parts += [f"n_{d} AS MATERIALIZED (SELECT {d} AS c FROM k GROUP BY {d} HAVING sum(n) >= {min_share!r} * (SELECT total FROM a))" for d in DIMS]
-    folded = ", ".join(f"CASE WHEN {d} IN (SELECT c FROM n_{d}) THEN {d} ELSE '{OTHER}' END AS {d}" for d in DIMS)
-    parts += [f"f AS MATERIALIZED (SELECT doc_id, n, {folded}, topic AS topic0 FROM k)", "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS tokens FROM f GROUP BY ALL HAVING sum(n) > 0)"]
-    parts += [f"t_{d} AS MATERIALIZED (SELECT c, s / sum(s) OVER () AS share FROM (SELECT {d} AS c, pow(sum(tokens) / (SELECT total FROM a), {temperature!r}) AS s FROM c0 GROUP BY {d}))" for d in DIMS]
-    parts.append("w0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS w FROM c0)")
-    k = 0
-    for _ in range(rounds):
-        for d in DIMS:
-            parts.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * share / sum(w) OVER (PARTITION BY {d}) AS w FROM w{k} JOIN t_{d} ON {d} = c)")
-            k += 1
-    parts.append(f"p AS MATERIALIZED (SELECT source, lang, topic, least(1.0, w / tokens * least({fraction!r} * (SELECT total FROM a), 1 / max(w / tokens) OVER ())) AS p FROM w{k})")
+    for d in DIMS:
+        # In the order of tokens to share, the categories that give all they have come first; the first that does not sets the scale of those behind it.
+        parts += [
+            f"s_{d} AS (SELECT *, n / share AS ratio FROM (SELECT {d} AS c, sum(tokens) AS n, pow(sum(tokens) / any_value(total), {temperature!r}) / sum(pow(sum(tokens) / any_value(total), {temperature!r})) OVER () AS share FROM c, z GROUP BY {d}))",
+            f"f_{d} AS (SELECT *, (size - coalesce(sum(n) OVER (ORDER BY ratio, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(share) OVER (ORDER BY ratio, c ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM s_{d}, z)",
+            f"g_{d} AS MATERIALIZED (SELECT c, least(n, share * coalesce((SELECT min_by(scale, ratio) FROM f_{d} WHERE share * scale < n), 1e308)) AS t FROM f_{d})",
+        ]
+    parts.append(f"p0 AS MATERIALIZED (SELECT source, lang, topic, tokens, {', '.join(f'g_{d}.t AS t_{d}' for d in DIMS)}, {fraction!r}::DOUBLE AS p, 0 AS j FROM c {' '.join(f'JOIN g_{d} ON {d} = g_{d}.c' for d in DIMS)})")
+    cat = "CASE j % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END"
+    goal_now = "CASE j % 3 WHEN 0 THEN t_source WHEN 1 THEN t_lang ELSE t_topic END"
+    keep = "source, lang, topic, tokens, t_source, t_lang, t_topic"
+    parts.append(f"plain AS (SELECT * FROM p0 UNION ALL SELECT {keep}, p * {goal_now} / sum(tokens * p) OVER (PARTITION BY {cat}) AS p, j + 1 AS j FROM plain WHERE j < {3 * rounds})")
+    parts.append(f"p1 AS MATERIALIZED (SELECT {keep}, p, max(p) OVER () AS top FROM plain WHERE j = {3 * rounds})")
+
+    def off(rows: str) -> str:
+        by = lambda d: f"sum(tokens * least(p, 1)) OVER (PARTITION BY {d}) AS s_{d}, count(*) OVER (PARTITION BY {d}) AS n_{d}"
+        return f"SELECT * EXCLUDE (s_source, s_lang, s_topic, n_source, n_lang, n_topic), greatest({', '.join(f'sum(abs(s_{d} - t_{d}) / n_{d}) OVER () / sum(t_{d} / n_{d}) OVER ()' for d in DIMS)}) AS off FROM (SELECT *, {', '.join(map(by, DIMS))} FROM {rows})"
+
+    def bounded(now: str, category: str, rows: str) -> str:
+        sums = f"SELECT *, {now} AS g, sum(tokens * p) OVER v AS a, sum(CASE WHEN p >= 1 THEN tokens ELSE 0 END) OVER v AS full_, sum(CASE WHEN p < 1 THEN tokens * p ELSE 0 END) OVER v AS free FROM {rows} WINDOW v AS (PARTITION BY {category})"
+        return f"SELECT * EXCLUDE (g, a, full_, free) REPLACE (p * CASE WHEN free > 0 AND g > full_ THEN (g - full_) / free WHEN free <= 0 AND g >= full_ THEN 1 WHEN a > 0 THEN g / a ELSE 0 END AS p) FROM ({sums})"
+
+    # A block is 8 rounds, 24 steps; whether another follows is decided at its end.
+    step = bounded(goal_now, cat, "(SELECT * FROM tight WHERE NOT done)")
+    ended = off(f"({step})")
+    parts.append(f"t0 AS MATERIALIZED ({off('p1')})")
+    parts.append(f"tight AS (SELECT {keep}, p, 0 AS j, off AS was, top <= 1 OR off <= {CALIBRATED!r} AS done FROM t0 UNION ALL SELECT {keep}, p, j + 1 AS j, CASE WHEN (j + 1) % 24 = 0 THEN off ELSE was END AS was, (j + 1) % 24 = 0 AND (off > 0.9 * was OR off <= {CALIBRATED!r}) AS done FROM ({ended}))")
+    last = "(SELECT tight.*, top FROM tight, (SELECT any_value(top) AS top FROM p1) WHERE done)"
+    for _ in range(4):
+        last = f"({bounded('t_topic', 'topic', last)})"
+    parts.append(f"p AS MATERIALIZED (SELECT source, lang, topic, least(1.0, p) AS p FROM {last} WHERE top > 1 UNION ALL SELECT source, lang, topic, p FROM p1 WHERE top <= 1)")
     draw = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / {float(1 << 48)!r}"
-    return f"WITH {', '.join(parts)} SELECT doc_id, topic0 AS topic, n::BIGINT AS n_tokens, round(coalesce(p, 0), 6) AS probability, {draw} < coalesce(p, 0) AS sampled FROM f LEFT JOIN p USING (source, lang, topic)"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT doc_id, topic, n AS n_tokens, round(coalesce(p, 0), 6) AS probability, {draw} < coalesce(p, 0) AS sampled FROM k LEFT JOIN p USING (source, lang, topic)"

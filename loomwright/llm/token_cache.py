@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_table, text_groups
+from .common import durable, new_table, text_groups
 
 CACHE = 300_000  # segments remembered by a worker, then forgotten all at once
 SCHEMA = "tokenizer string, content string, n_tokens bigint"
@@ -121,6 +121,7 @@ def count_tokens(docs: DataFrame, *, tokenizer_path: str, cache_path: str | None
     cached = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
     misses = contents.join(cached.select("content"), "content", "left_anti")
     misses.mapInPandas(encode, SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join below has an exchange on either side and a hot content's rows can be split over tasks.
+    counts = durable(read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("content"))
     return rows.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -162,9 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not counts:
         return fit([], [])
     room = F.create_map(*[x for y, n in counts.items() for x in (F.lit(y), F.lit(int(min(1.0, most[y] / n) * (1 << 30))))])
-    chosen = marks.where(F.col("_h") < room[F.col("_y")]).limit(2 * (max_toxic + max_clean)).groupBy("_id").agg(F.max("_y").alias("_y"))
+    chosen = marks.where(F.col("_h") < room[F.col("_y")]).orderBy("_h", "_id", "_y").limit(2 * (max_toxic + max_clean)).groupBy("_id").agg(F.max("_y").alias("_y"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.char_length("_text") <= max_chars))
-    found = texts.join(F.broadcast(chosen), "_id").select("_text", "_y").limit(2 * (max_toxic + max_clean)).collect()
+    found = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).select("_text", "_y").limit(2 * (max_toxic + max_clean)).collect()
     sample = sorted((r["_text"], r["_y"]) for r in found)
     return fit([t for t, _ in sample], [y for _, y in sample])
 

@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +53,38 @@ def test_a_batch_is_scored_as_single_texts_are():
         assert sorted(all_[bounds[i] : bounds[i + 1]]) == sorted(one) and letters[i] == letter[0]
 
 
+def grams(text):
+    """Hashed n-grams by the definition, one character at a time."""
+    t = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    while "  " in t:
+        t = t.replace("  ", " ")
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(t) - n + 1):
+            if t[i : i + n] == " ":
+                continue
+            h = n
+            for k, m in zip(t[i : i + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                h = (h ^ ord(k)) * m & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append(h % L.BUCKETS)
+    return out
+
+
+def test_languages_like_plain_bayes(documents, prose):
+    rows = [*prose[:120], (2000, "Straße, house! 12 maison", "de", "s"), (2001, "Été\nÀ", None, "s"), (2002, "x", "fr", "s")]
+    learned = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    langs = sorted({r[2] for r in learned})
+    counts = {k: Counter(g for r in learned if r[2] == k for g in grams(r[1])) for k in langs}
+    log = lambda k, g: math.log((counts[k][g] + L.ALPHA) / (sum(counts[k].values()) + L.ALPHA * L.BUCKETS))
+    prior = {k: math.log((sum(r[2] == k for r in learned) + 1) / (len(learned) + len(langs))) for k in langs}
+    for r in L.identify(documents(*rows), learn=~held_out(F.col("doc_id"))).collect():
+        text = next(x[1] for x in rows if x[0] == r["doc_id"])
+        z = {k: prior[k] + sum(log(k, g) for g in grams(text)) for k in langs}
+        best = max(langs, key=lambda k: z[k])
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(math.exp(v - z[best]) for v in z.values()), rel=1e-3)
+
+
 @pytest.fixture(scope="module")
 def marked():
     rng = random.Random(4)
@@ -78,6 +113,68 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark, documents, marked):
     assert rows[5001]["score"] == rows[5002]["score"] and rows[5001]["predicted"] == 0
 
 
+def plain_subwords(word):
+    """Buckets of a word's n-grams by the definition; those of the shorter lengths first."""
+    w, out = f"<{word}>", []
+    for n in X.ORDERS:
+        for i in range(len(w) - n + 1):
+            h = 0
+            for c in w[i : i + n]:
+                h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append(h % X.BUCKETS)
+    return out
+
+
+def plain_row(text):
+    """The weights of all buckets in a document's mean."""
+    words, row = X.words_of(text), Counter()
+    for w in words:
+        own = plain_subwords(w)
+        for b in own:
+            row[b] += 1 / len(own) / (len(words) + X.NULL_WORDS)
+    return row
+
+
+def test_scores_like_the_definition():
+    rng = np.random.default_rng(3)
+    model = X.Model(rng.normal(size=X.BUCKETS).astype(np.float32), 0.3)
+    texts = ["", "idiot", "such an i.d-iot! \n x", "ééé 😀😀", "a " * 400 + "worthless"]
+    want = [1 / (1 + math.exp(-(0.3 + X.GAIN * sum(v * float(model.table[b]) for b, v in plain_row(t).items())))) for t in texts]
+    assert X.Scorer(model).score(texts) == pytest.approx(want, rel=1e-5)
+
+
+def test_training_like_dense_gradients(marked):
+    """Adagrad on dense matrices over the buckets in use, with the softmax's gradient by definition."""
+    texts, y = [t for _, t, _ in marked[:80]], np.array([v for *_, v in marked[:80]])
+    rows = [plain_row(t) for t in texts]
+    used = sorted(set().union(*rows))
+    x = np.zeros((len(rows), len(used)))
+    for i, row in enumerate(rows):
+        for b, v in row.items():
+            x[i, used.index(b)] = v * X.GAIN
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 0.1, (X.BUCKETS, X.DIM)).astype(np.float32)[used].astype(float)
+    s, bias = rng.normal(0, 0.3, (X.DIM, 2)).astype(np.float32).astype(float), np.zeros(2)
+    gv, gs, gb = np.full(v.shape, 1e-6), np.full(s.shape, 1e-6), np.full(2, 1e-6)
+    share = np.array([len(y) / (2 * (y == k).sum()) for k in (0, 1)])
+    for epoch in range(X.EPOCHS):
+        rate = X.RATE * (1 - epoch / X.EPOCHS) + 0.01
+        for at in np.array_split(rng.permutation(len(y)), len(y) // X.BATCH):
+            z = x[at] @ v @ s + bias
+            p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+            error = (p - np.eye(2)[y[at]]) * share[y[at]][:, None] / len(at)
+            dv, ds, db = x[at].T @ error @ s.T, (x[at] @ v).T @ error, error.sum(axis=0)
+            touched = x[at].any(axis=0)
+            gv[touched] += dv[touched] ** 2
+            v[touched] -= rate * dv[touched] / np.sqrt(gv[touched])
+            gs, gb = gs + ds**2, gb + db**2
+            s, bias = s - rate * ds / np.sqrt(gs), bias - rate * db / np.sqrt(gb)
+    model = X.fit(texts, y.tolist())
+    got, want = model.table[used], v @ (s[:, 1] - s[:, 0])
+    assert np.abs(got - want).max() < 0.02 * np.abs(want).max() and model.bias == pytest.approx(bias[1] - bias[0], abs=0.02)
+
+
 def test_toxicity_without_labels(spark, documents):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     out = X.detect(documents((1, "idiot"), (None, None)), labels, learn=F.lit(True)).collect()
