@@ -1,7 +1,11 @@
 """Media columns: byte payloads stored as lossless WebP images and read back as pixel arrays.
 
-A payload's bytes are the samples of grey images of 64 columns: one image for each mebibyte (64 x 16384 samples), the last
-with as many rows as are left. The stored form is those files one after the other, each with its own length in its header.
+A payload's bytes are the samples of one grey image of 64 columns; beyond a mebibyte (64 x 16384 samples) the image is wider, up to
+16384 columns. Pixels behind the last sample are transparent. Only a payload of more than 256 mebibytes is
+several files, one after the other, each with its own length in its header.
+
+How an image is written is chosen by size: with or without back-references, by a palette that bundles several pixels where there are
+few values, or by the differences from a predictor, whatever the entropy of the symbols promises to be smallest.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ from . import webp
 
 COLUMNS = 64
 OPAQUE = np.uint32(0xFF000000)
+#: Bits that a back-reference takes besides the logarithms of its length and distance, about.
+REFERENCE = 7
+#: References take longer to write and read than literals, so they must save a tenth.
+WORTH = 1 / 0.9
 
 
 def payload_of(text: str | None) -> bytes:
@@ -28,25 +36,61 @@ def payload_of(text: str | None) -> bytes:
     return data + bytes(-len(data) % COLUMNS or (0 if data else COLUMNS))
 
 
+def _entropy(counts: np.ndarray) -> float:
+    """Bits of all symbols with these counts."""
+    used = counts[counts > 0].astype(np.float64)
+    return float((used * np.log2(used.sum() / used)).sum())
+
+
+def _with_references(values: np.ndarray, found: tuple) -> float:
+    """Bits with these back-references, roughly."""
+    starts, lengths, distances = found
+    if not len(starts):
+        return float("inf")
+    literal = _entropy(np.bincount(values[~webp.covered(len(values), starts, lengths)]))
+    return (literal + float(np.log2(lengths).sum() + np.log2(distances).sum()) + REFERENCE * len(starts)) * WORTH
+
+
+def plan(samples: np.ndarray) -> dict:
+    """What webp.encode() is to do with grey samples (rows, columns), by the estimated size of each way."""
+    flat = samples.ravel()
+    counts = np.bincount(flat)
+    found = webp.repeats(flat)
+    ways = [(_entropy(counts), {"transforms": [(webp.SUBTRACT_GREEN,)]}), (_with_references(flat, found), {"transforms": [(webp.SUBTRACT_GREEN,)], "references": found})]
+    if np.count_nonzero(counts) <= 16:
+        ways.append((_entropy(counts) / 2, {"transforms": [(webp.PALETTE,)], "references": True}))
+    for mode, back in ((1, 1), (2, samples.shape[1])):  # the pixel on the left, the one above
+        residues = _entropy(np.bincount(flat[back:] - flat[:-back])) + 8 * back if len(flat) > back else float("inf")
+        if (residues + 60) * WORTH < ways[0][0]:
+            tiles = np.full((-(-samples.shape[0] // 512), -(-samples.shape[1] // 512)), mode)
+            ways.append(((residues + 60) * WORTH, {"transforms": [(webp.SUBTRACT_GREEN,), (webp.PREDICTOR, 9, tiles)], "references": True}))
+    return min(ways, key=lambda f: f[0])[1]
+
+
 def store(payload: bytes) -> bytes:
     """Grey images: subtract-green leaves red and blue 0, so each sample is one green symbol."""
     files = []
-    step = COLUMNS * webp.MAX_SIDE
-    for at in range(0, len(payload), step):
-        grey = np.frombuffer(payload[at : at + step], dtype=np.uint8).astype(np.uint32).reshape(-1, COLUMNS) * np.uint32(0x010101) | OPAQUE
-        files.append(webp.encode(grey, transforms=[(webp.SUBTRACT_GREEN,)]))
+    for at in range(0, len(payload), webp.MAX_SIDE**2):
+        part = np.frombuffer(payload[at : at + webp.MAX_SIDE**2], dtype=np.uint8)
+        columns = COLUMNS * -(-len(part) // (COLUMNS * webp.MAX_SIDE))
+        rows = -(-len(part) // columns)
+        samples = np.zeros(rows * columns, dtype=np.uint8)
+        samples[: len(part)] = part
+        grey = samples.astype(np.uint32) * np.uint32(0x010101) | OPAQUE
+        grey[len(part) :] = 0
+        files.append(webp.encode(grey.reshape(rows, columns), **plan(samples.reshape(rows, columns))))
     return b"".join(files)
 
 
 def pixels(media: bytes) -> np.ndarray:
-    """The grey samples of all images of a stored form, (rows, COLUMNS) uint8."""
+    """The grey samples of all images of a stored form, in rows of COLUMNS, uint8."""
     parts, at = [], 0
     while at < len(media):
         size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        image = webp.decode(media[at : at + size])
-        parts.append((image >> np.uint32(8)).astype(np.uint8))
+        image = webp.decode(media[at : at + size]).ravel()
+        parts.append((image >> np.uint32(8)).astype(np.uint8)[image >= OPAQUE])
         at += size
-    return np.concatenate(parts) if parts else np.zeros((0, COLUMNS), dtype=np.uint8)
+    return np.concatenate(parts).reshape(-1, COLUMNS) if parts else np.zeros((0, COLUMNS), dtype=np.uint8)
 
 
 def feature(image: np.ndarray) -> str:

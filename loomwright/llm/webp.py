@@ -4,15 +4,17 @@ Reading covers the format: prefix codes, several code groups, back-references, c
 predictor, cross-colour, subtract-green and palette transforms. Images are uint32 arrays, ARGB.
 
 Bits run from the least significant of a byte; a prefix code's first bit is its most significant one. Images without
-back-references and cache whose red, blue and alpha are constant take a faster way: the code at *every* bit
-position is looked up at once, and a short loop then hops from code to code.
+cache whose red, blue and alpha are constant take a faster way: the code at *every* bit
+position is looked up at once, and a short loop then hops from code to code and copies what references name.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from bisect import bisect_left
 from collections.abc import Sequence
+from functools import cache
 
 import numpy as np
 
@@ -20,6 +22,10 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 MAX_SIDE = 1 << 14
 MAX_LENGTH = 15
 HASH = 0x1E35A7BD
+#: Numbers of MAX_LENGTH bits with their bits in reverse order.
+REVERSED = np.zeros(1 << MAX_LENGTH, dtype=np.int64)
+for _k in range(MAX_LENGTH):
+    REVERSED |= (np.arange(1 << MAX_LENGTH) >> _k & 1) << (MAX_LENGTH - 1 - _k)
 
 #: Fixed values of the format: the order of the code lengths' own code lengths, and the offsets (x, y) of the 120 nearest pixels.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -54,14 +60,22 @@ class Code:
             self.bits, self.symbols, self.lengths = 0, np.array([self.only], dtype=np.uint16), np.zeros(1, dtype=np.uint8)
         else:
             self.bits = int(lengths.max())
-            if int((1 << (self.bits - lengths[used].astype(np.int64))).sum()) != 1 << self.bits:
+            order = used[np.argsort(lengths[used], kind="stable")]
+            reach = 1 << (self.bits - lengths[order].astype(np.int64))  # of all values of the next bits, first bit most significant
+            if int(reach.sum()) != 1 << self.bits:
                 raise DamagedImage("a prefix code that is not complete")
-            self.symbols, self.lengths = np.zeros(1 << self.bits, dtype=np.uint16), np.zeros(1 << self.bits, dtype=np.uint8)
-            for symbol, code, n in canonical(lengths):
-                self.symbols[code :: 1 << n] = symbol
-                self.lengths[code :: 1 << n] = n
+            at = np.repeat(order, reach)[REVERSED[: 1 << self.bits] >> (MAX_LENGTH - self.bits)]
+            self.symbols, self.lengths = at.astype(np.uint16), lengths[at].astype(np.uint8)
         self.pairs: list[tuple[int, int]] | None = None
 
+    @classmethod
+    def of(cls, symbol: int) -> Code:
+        """The code of one symbol."""
+        code = cls.__new__(cls)
+        code.only, code.bits, code.pairs = symbol, 0, None
+        code.symbols, code.lengths = np.array([symbol], dtype=np.uint16), np.zeros(1, dtype=np.uint8)
+        return code
+
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
@@ -72,17 +86,13 @@ class Code:
         return symbol
 
 
-def canonical(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """(symbol, code with its first bit least significant, length), by length and symbol."""
-    out, code, last = [], 0, 0
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, codes with their first bit least significant, and lengths, by length and symbol."""
     order = np.flatnonzero(lengths)
     order = order[np.argsort(lengths[order], kind="stable")]
-    for symbol, n in zip(order.tolist(), lengths[order].tolist()):
-        code <<= n - last
-        last = n
-        out.append((symbol, int(f"{code:0{n}b}"[::-1], 2), n))
-        code += 1
-    return out
+    n = lengths[order].astype(np.int64)
+    reach = 1 << (MAX_LENGTH - n)
+    return order, REVERSED[(np.cumsum(reach) - reach) & ((1 << MAX_LENGTH) - 1)], n
 
 
 class Bits:
@@ -102,9 +112,12 @@ class Bits:
 
 
 def read_code(bits: Bits, size: int) -> Code:
-    lengths = np.zeros(size, dtype=np.uint8)
     if bits.read(1):
         several, wide = bits.read(1), bits.read(1)
+        if not several and (only := bits.peek(8 if wide else 1)) < size:
+            bits.read(8 if wide else 1)
+            return Code.of(only)
+        lengths = np.zeros(size, dtype=np.uint8)
         for symbol in [bits.read(8 if wide else 1)] + [bits.read(8)] * several if several else [bits.read(8 if wide else 1)]:
             if symbol >= size:
                 raise DamagedImage("a symbol beyond the alphabet")
@@ -115,20 +128,35 @@ def read_code(bits: Bits, size: int) -> Code:
         own[LENGTH_ORDER[k]] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     code, at, last = Code(own), 0, 8
+    if code.only is not None:
+        pairs, mask = [(code.only, 0)], 0
+    else:
+        pairs, mask = list(zip(code.symbols.tolist(), code.lengths.tolist())), (1 << code.bits) - 1
+    first = bits.at >> 3
+    value = int.from_bytes(bits.data[first : first + 2 * size + 8], "little") >> (bits.at & 7)  # a token takes 14 bits at most
+    found = [0] * size
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        s, n = pairs[value & mask]
+        value >>= n
+        bits.at += n
         if s < 16:
-            lengths[at] = s
+            found[at] = s
             last = s or last
             at += 1
             continue
-        n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
+        least, extra = ((3, 2), (3, 3), (11, 7))[s - 16]
+        n = least + (value & ((1 << extra) - 1))
+        value >>= extra
+        bits.at += extra
         if at + n > size:
             raise DamagedImage("a run of code lengths beyond the alphabet")
-        lengths[at : at + n] = last if s == 16 else 0
+        if s == 16:
+            found[at : at + n] = [last] * n
         at += n
-    return Code(lengths)
+    if bits.at > bits.end:
+        raise DamagedImage("the data end too early")
+    return Code(np.array(found, dtype=np.uint8))
 
 
 # --- reading ---
@@ -141,25 +169,81 @@ def _amount(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _plain(bits: Bits, codes: list[Code], n: int) -> np.ndarray | None:
-    """n pixels whose green is coded by literals only and whose other channels are constant; None if they aren't."""
-    green, red, blue, alpha = codes[:4]
-    if red.only is None or blue.only is None or alpha.only is None or (green.symbols >= 256).any():
+def _amounts(n: int) -> list[tuple[int, int, int]]:
+    """Of each prefix: the least amount, the extra bits and their mask."""
+    out = []
+    for prefix in range(n):
+        extra = max(0, (prefix - 2) >> 1)
+        out.append((prefix + 1 if prefix < 4 else ((2 + (prefix & 1)) << extra) + 1, extra, (1 << extra) - 1))
+    return out
+
+
+_LENGTHS, _DISTANCES = _amounts(24), _amounts(40)
+
+
+def _one_channel(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray | None:
+    """n pixels whose red, blue and alpha are constant and which use no cache; None for others.
+
+    The green code at every bit position is looked up at once; the loop then hops from code to code.
+    """
+    green, red, blue, alpha, distance = codes
+    if red.only is None or blue.only is None or alpha.only is None or len(green.symbols) and int(green.symbols.max()) >= 280:
         return None
     rest = np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
     if green.only is not None:
+        if green.only >= 256:
+            return None
         return np.full(n, rest | np.uint32(green.only << 8), dtype=np.uint32)
     first = bits.at >> 3
-    data = np.frombuffer(bits.data, dtype=np.uint8)[first : first + 3 + (n * green.bits + 14) // 8]
+    data = np.frombuffer(bits.data, dtype=np.uint8)[first:]
+    if not (green.symbols >= 256).any():
+        data = data[: 3 + (n * green.bits + 14) // 8]
     data = np.concatenate([data, np.zeros(3, dtype=np.uint8)]).astype(np.uint32)
     wide = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
     nexts = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).ravel()
-    lengths, symbols = green.lengths[nexts].tobytes(), green.symbols.astype(np.uint8)[nexts].tobytes()
-    out, p = bytearray(n), bits.at & 7
-    for i in range(n):
-        out[i] = symbols[p]
-        p += lengths[p]
-    bits.at = 8 * first + p
+    is_reference = green.symbols >= 256
+    symbols = np.where(is_reference, green.symbols - 256, green.symbols).astype(np.uint8).take(nexts).tobytes()
+    lengths = (green.lengths | (is_reference.astype(np.uint8) << 7)).take(nexts).tobytes()
+    if distance.pairs is None:
+        distance.pairs = list(zip(distance.symbols.tolist(), distance.lengths.tolist()))
+    pairs, mask, raw = distance.pairs, (1 << distance.bits) - 1, bits.data
+    out, p, base = bytearray(), bits.at & 7, 8 * first
+    add = out.append
+    try:
+        while True:
+            for _ in range(n - len(out)):
+                step = lengths[p]
+                if step > 127:
+                    break
+                add(symbols[p])
+                p += step
+            else:
+                break
+            least, extra, extra_mask = _LENGTHS[symbols[p]]
+            at = base + p + (step & 127)
+            v = int.from_bytes(raw[at >> 3 : (at >> 3) + 9], "little") >> (at & 7)
+            length = least + (v & extra_mask)
+            v >>= extra
+            symbol, own = pairs[v & mask]
+            v >>= own
+            least, more, extra_mask = _DISTANCES[symbol]
+            d = least + (v & extra_mask)
+            p += (step & 127) + extra + own + more
+            if d > 120:
+                d -= 120
+            else:
+                x, y = NEAR[d - 1]
+                d = max(1, x + y * width)
+            i = len(out)
+            if d > i or i + length > n:
+                raise DamagedImage("a back-reference beyond the image")
+            if d >= length:
+                out += out[i - d : i - d + length]
+            else:
+                out += (bytes(out[i - d :]) * (length // d + 1))[:length]
+    except IndexError:
+        raise DamagedImage("the data end too early") from None
+    bits.at = base + p
     if bits.at > bits.end:
         raise DamagedImage("the data end too early")
     return np.frombuffer(bytes(out), dtype=np.uint8).astype(np.uint32) << np.uint32(8) | rest
@@ -178,7 +262,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = [[read_code(bits, s) for s in sizes] for _ in range(1 + max(group_of or [0]))]
     n = width * height
-    if len(groups) == 1 and (fast := _plain(bits, groups[0], n)) is not None:
+    if len(groups) == 1 and (fast := _one_channel(bits, groups[0], width, n)) is not None:
         return fast
     out, i = [0] * n, 0
     cache, cached = [0] * (1 << cache_bits), 0  # pixels before `cached` are in the cache
@@ -271,6 +355,10 @@ def _undo_predictor(residues: np.ndarray, modes: np.ndarray) -> np.ndarray:
                 at = np.flatnonzero(modes[y, 1:] == mode) + 1
                 image[y, at] = (image[y, at] + _predict(int(mode), None, above[at], above[at + 1], above[at - 1])) & 255
             continue
+        if width > 1 and (y == 0 or (modes[y, 1:] == 1).all()):  # each pixel adds to the one on its left
+            image[y, 0] = (image[y, 0] + predictions(image, y, 0, 1)) & 255
+            image[y] = np.cumsum(image[y], axis=0) & 255
+            continue
         for x in range(width):
             image[y, x] = (image[y, x] + predictions(image, y, x, int(modes[y, x]))) & 255
     return _joined(image)
@@ -291,10 +379,10 @@ def cross_colour(image: np.ndarray, multipliers: np.ndarray, sign: int) -> np.nd
 
 
 def subtract_green(image: np.ndarray, sign: int) -> np.ndarray:
-    p = _channels(image).astype(np.int32)
-    p[..., 0] += sign * p[..., 1]
-    p[..., 2] += sign * p[..., 1]
-    return _joined(p & 255)
+    """Add (1) or take away (-1) green from red and blue, which are 16 bits apart and so don't meet."""
+    green = image >> np.uint32(8) & np.uint32(255)
+    both = (image & np.uint32(0xFF00FF)) + (green if sign > 0 else np.uint32(256) - green) * np.uint32(0x10001)
+    return image & np.uint32(0xFF00FF00) | both & np.uint32(0xFF00FF)
 
 
 def _bundle_bits(colours: int) -> int:
@@ -383,10 +471,9 @@ class Out:
         ends = np.cumsum(widths, dtype=np.int64) + shift
         total = int(ends[-1]) if len(ends) else shift
         bits = np.zeros(-(-total // 8) * 8, dtype=np.uint8)
-        starts = ends - widths
-        for k in range(int(widths.max()) if len(widths) else 0):
-            at = widths > k
-            bits[starts[at] + k] = values[at] >> k & 1
+        widths = widths.astype(np.int64)
+        place = np.arange(total - shift) - np.repeat(ends - widths - shift, widths)
+        bits[shift:total] = np.repeat(values.astype(np.uint32), widths) >> place.astype(np.uint32) & np.uint32(1)
         packed = np.packbits(bits, bitorder="little").tobytes()
         self.value = int.from_bytes(packed, "little") | held if len(packed) <= 32 else None
         if self.value is None:
@@ -428,10 +515,17 @@ def code_lengths(counts: np.ndarray, most: int = MAX_LENGTH) -> np.ndarray:
         least *= 2
 
 
+def _write_only(out: Out, symbol: int) -> None:
+    """A code of one symbol: it is a simple one, has one symbol, of eight bits."""
+    out.put(0b101 | symbol << 3, 11)
+
+
 def write_code(out: Out, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist()
-    if len(used) <= 2 and all(s < 256 for s in used):
-        used = used or [0]
+    if len(used) <= 1 and all(s < 256 for s in used):
+        _write_only(out, used[0] if used else 0)
+        return
+    if len(used) == 2 and used[1] < 256:
         out.put(1, 1)
         out.put(len(used) - 1, 1)
         out.put(1, 1)
@@ -440,18 +534,13 @@ def write_code(out: Out, lengths: np.ndarray) -> None:
         return
     out.put(0, 1)
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
-    values, at = lengths[: used[-1] + 1].tolist(), 0
-    while at < len(values):
-        run = 1
-        while at + run < len(values) and values[at + run] == values[at]:
-            run += 1
-        if values[at] == 0 and run >= 3:
-            run = min(run, 138)
-            tokens.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
-        else:
-            run = 1
-            tokens.append((values[at], 0, 0))
-        at += run
+    values = lengths[: used[-1] + 1]
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    for value, run in zip(values[starts].tolist(), np.diff(np.append(starts, len(values))).tolist()):
+        while run:
+            n = min(run, 138) if value == 0 and run >= 3 else 1
+            tokens.append((value, 0, 0) if n == 1 else (17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
+            run -= n
     own = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     if np.count_nonzero(own) == 1:  # two symbols at least, so that the code has bits
         own[0 if own[0] == 0 else 1] = 1
@@ -467,13 +556,12 @@ def write_code(out: Out, lengths: np.ndarray) -> None:
     half = half if n < 1 << (2 + 2 * half) else half + 1
     out.put(half, 3)
     out.put(n, 2 + 2 * half)
-    codes = {s: (c, k) for s, c, k in canonical(own)}
-    for s, extra, k in tokens:
-        out.put(*codes[s])
-        if k:
-            out.put(extra, k)
+    code, width = _tables(own)
+    fields = np.array(tokens)
+    fields = np.stack([code[fields[:, 0]], width[fields[:, 0]], fields[:, 1], fields[:, 2]], axis=1).reshape(-1, 2)
+    out.many(fields[:, 0], fields[:, 1])
     if len(tokens) == 1:
-        out.put(*codes[0])
+        out.put(int(code[0]), int(width[0]))
 
 
 def _split_amount(value: int) -> tuple[int, int, int]:
@@ -486,8 +574,113 @@ def _split_amount(value: int) -> tuple[int, int, int]:
     return 2 * top + second, v & ((1 << top - 1) - 1), top - 1
 
 
-def _write_pixels(out: Out, argb: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    """An entropy-coded image with one code group."""
+SHORTEST = 8  # bytes of a back-reference that repeated bytes are looked up by
+
+
+def repeats(values: np.ndarray, longest: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where back-references may stand in a row of bytes: their starts, lengths and distances, none overlapping another.
+
+    Each place is compared with the last one before that has the same SHORTEST bytes; while places in a row have one
+    distance, the repeat goes on.
+    """
+    n = len(values) - SHORTEST + 1
+    none = np.zeros(0, dtype=np.int64)
+    if n < 2:
+        return none, none, none
+    wide = values.astype(np.uint64)
+    keys = wide[:n].copy()
+    for k in range(1, SHORTEST):
+        keys |= wide[k : n + k] << np.uint64(8 * k)
+    order = np.argsort((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
+    sorted_ = keys[order]
+    same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
+    back = np.zeros(n, dtype=np.int64)
+    back[order[same + 1]] = order[same + 1] - order[same]
+    at = np.flatnonzero(back)
+    if not len(at):
+        return none, none, none
+    ends = np.flatnonzero(np.append(back[1:] != back[:-1], True))  # the last place of each run of one distance
+    length = ends[np.searchsorted(ends, at)] - at + SHORTEST
+    starts, lengths, chosen, i, k, last = at.tolist(), length.tolist(), [], 0, 0, len(at)
+    while k < last:
+        i = starts[k] + lengths[k]
+        chosen.append(k)
+        k = bisect_left(starts, i, k + 1)
+    return at[chosen], np.minimum(length[chosen], longest), back[at[chosen]]
+
+
+def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of n places stand in a repeat."""
+    change = np.zeros(n + 1, dtype=np.int8)
+    change[starts] += 1
+    change[starts + lengths] -= 1
+    return np.cumsum(change[:-1], dtype=np.int8) > 0
+
+
+@cache
+def _near_codes(width: int) -> np.ndarray:
+    """By distance, the code of the near pixel at it, 0 where there is none."""
+    near = np.zeros(9 + 8 * width, dtype=np.int64)
+    for k in range(len(NEAR), 0, -1):
+        x, y = NEAR[k - 1]
+        near[max(1, x + y * width)] = k
+    return near
+
+
+def _prefixes(amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, extra bits and their number, of lengths or distances."""
+    v = amounts - 1
+    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.where(v < 4, 0, top - 1)
+    prefix = np.where(v < 4, v, 2 * top + (v >> np.maximum(top - 1, 0) & 1))
+    return prefix, v & ((1 << extra) - 1), extra
+
+
+def _tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and widths by symbol; a code of one symbol takes no bits."""
+    codes, widths = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+    if np.count_nonzero(lengths) > 1:
+        at, code, n = canonical(lengths)
+        codes[at], widths[at] = code, n
+    return codes, widths
+
+
+def _write_one_channel(out: Out, values: np.ndarray, rest: Sequence[int], width: int, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
+    """Pixels of which only green changes, with back-references. rest: red, blue, alpha. found: what repeats(values) gives, where it is known."""
+    starts, lengths, distances = repeats(values) if found is None else found
+    near = _near_codes(width)
+    codes = distances + 120
+    close = distances < len(near)
+    close[close] = near[distances[close]] > 0
+    codes[close] = near[distances[close]]
+    l_prefix, l_extra, l_bits = _prefixes(lengths)
+    d_prefix, d_extra, d_bits = _prefixes(codes)
+    is_entry = ~covered(len(values), starts, lengths)
+    is_entry[starts] = True
+    symbols = values.astype(np.int64)
+    symbols[starts] = 256 + l_prefix
+    entry_of = np.cumsum(is_entry) - 1
+    symbols = symbols[is_entry]
+    green = code_lengths(np.bincount(symbols, minlength=280))
+    distance = code_lengths(np.bincount(d_prefix, minlength=40)) if len(starts) else np.zeros(40, dtype=np.uint8)
+    write_code(out, green)
+    for v in rest:
+        _write_only(out, v)
+    write_code(out, distance)
+    fields, widths = np.zeros((len(symbols), 5), dtype=np.int64), np.zeros((len(symbols), 5), dtype=np.int64)
+    code, n = _tables(green)
+    fields[:, 0], widths[:, 0] = code[symbols], n[symbols]
+    at = entry_of[starts]
+    code, n = _tables(distance)
+    for k, (value, bits) in enumerate(((l_extra, l_bits), (code[d_prefix], n[d_prefix]), (d_extra & 0x7FFF, np.minimum(d_bits, 15)), (d_extra >> 15, np.maximum(d_bits - 15, 0))), 1):
+        fields[at, k], widths[at, k] = value, bits
+    used = widths > 0
+    if used.any():
+        out.many(fields[used], widths[used])
+
+
+def _write_pixels(out: Out, argb: np.ndarray, main: bool, cache_bits: int = 0, references: bool | tuple = False) -> None:
+    """An entropy-coded image with one code group. references: with back-references, or those of the green channel that are known."""
     height, width = argb.shape
     out.put(cache_bits > 0, 1)
     if cache_bits:
@@ -504,14 +697,18 @@ def _write_pixels(out: Out, argb: np.ndarray, main: bool, cache_bits: int = 0, r
         for n, c in zip(lengths, (1, 2, 0, 3)):
             if np.count_nonzero(n) > 1:
                 table = np.zeros(len(n), dtype=np.uint16)
-                for s, code, _ in canonical(n):
-                    table[s] = code
+                at, code, _ = canonical(n)
+                table[at] = code
                 values.append(table[p[:, c]])
                 widths.append(n[p[:, c]])
         if values:
             out.many(np.stack(values, axis=1).ravel(), np.stack(widths, axis=1).ravel())
         return
-    pixels, i, symbols, last, cache = argb.ravel().tolist(), 0, [], {}, {}
+    p = _channels(argb.ravel())
+    if references and not cache_bits and (argb & np.uint32(0xFFFF00FF) == argb[0, 0] & np.uint32(0xFFFF00FF)).all():
+        _write_one_channel(out, p[:, 1], (int(p[0, 2]), int(p[0, 0]), int(p[0, 3])), width, references if isinstance(references, tuple) else None)
+        return
+    pixels, i, symbols, last, held = argb.ravel().tolist(), 0, [], {}, {}
     while i < len(pixels):
         key = tuple(pixels[i : i + 3])
         back = last.get(key) if references and len(key) == 3 else None
@@ -525,14 +722,14 @@ def _write_pixels(out: Out, argb: np.ndarray, main: bool, cache_bits: int = 0, r
             d = i - back
             near = next((k + 1 for k, (x, y) in enumerate(NEAR) if max(1, x + y * width) == d), d + 120)
             symbols.append(("ref", step, near))
-        elif cache_bits and cache.get(slot) == pixels[i]:
+        elif cache_bits and held.get(slot) == pixels[i]:
             symbols.append(("cache", slot, 0))
         else:
             symbols.append(("pixel", pixels[i], 0))
         for j in range(i, i + step):
             last[tuple(pixels[j : j + 3])] = j
             if cache_bits:
-                cache[(HASH * pixels[j] & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[j]
+                held[(HASH * pixels[j] & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[j]
         i += step
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     parts: list[list[tuple[int, int, int, int]]] = []  # for each symbol: code, value, extra bits, their number
@@ -552,7 +749,7 @@ def _write_pixels(out: Out, argb: np.ndarray, main: bool, cache_bits: int = 0, r
     lengths = [code_lengths(c) for c in counts]
     for n in lengths:
         write_code(out, n)
-    codes = [{s: (c, k) for s, c, k in canonical(n)} if np.count_nonzero(n) > 1 else {} for n in lengths]
+    codes = [{s: (c, k) for s, c, k in zip(*(x.tolist() for x in canonical(n)))} if np.count_nonzero(n) > 1 else {} for n in lengths]
     for part in parts:
         for c, v, extra, k in part:
             if codes[c]:
@@ -561,7 +758,7 @@ def _write_pixels(out: Out, argb: np.ndarray, main: bool, cache_bits: int = 0, r
                 out.put(extra, k)
 
 
-def encode(argb: np.ndarray, *, transforms: Sequence[tuple] = (), cache_bits: int = 0, references: bool = False) -> bytes:
+def encode(argb: np.ndarray, *, transforms: Sequence[tuple] = (), cache_bits: int = 0, references: bool | tuple = False) -> bytes:
     """A WebP file of a (height, width) uint32 ARGB image.
 
     transforms, applied in this order: (PREDICTOR, tile bits, modes of the tiles), (CROSS_COLOUR, tile bits, multipliers of the tiles as
