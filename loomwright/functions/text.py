@@ -38,27 +38,47 @@ def literals(code: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))))
 
 
-#: What a value never stands in, taken out of the code in this order: comments, module specifiers, directives, type declarations, and type annotations of literals.
+#: What comment marks may stand in without beginning a comment: strings, templates, regular expressions, and the slashes of a URL in text.
+STRINGS = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'|\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"|`[^`\\]*(?:\\(?s:.)[^`\\]*)*`"
+NO_COMMENT = STRINGS + r"|[=(,:!&|?;{}\[][ \t]*/(?:[^*/\\\n\[]|\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*\])(?:[^/\\\n\[]|\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*\])*/|://"
+BLOCK_COMMENT = r"/\*(?s:.*?)\*/"
+LINE_COMMENT = r"//[^\n]*"
+
+_LITERAL = r"(?:'[^'\n]*'|\"[^\"\n]*\")"
+_LITERALS = rf"{_LITERAL}(?:\s*\|\s*{_LITERAL})*"
+_BEGIN = r"(?m)(?:^|(?<=;))\s*"
+#: What a value never stands in, and what is put there: module specifiers, directives, type declarations, and annotations, assertions and arguments of literal types.
 NOT_VALUES = (
-    r"/\*(?s:.*?)\*/",
-    r"(?m)(?<![:'\"`\\])//[^\n]*",
-    r"(?m)^\s*import\s+(?:type\s)?[^'\"`;()]*?from\s*(?:'[^'\n]*'|\"[^\"\n]*\")",
-    r"(?m)^\s*import\s*(?:'[^'\n]*'|\"[^\"\n]*\")",
-    r"(?m)^\s*export\s+(?:type\s)?(?:\*|\*\s+as\s+\w+|\{[^}]*\})\s*from\s*(?:'[^'\n]*'|\"[^\"\n]*\")",
-    r"(?m)^\s*(?:'use \w+'|\"use \w+\")\s*;?",
-    r"(?m)^\s*(?:export\s+)?(?:declare\s+)?type\s+\w+(?:<[^=]*>)?\s*=\s*(?:[^;{}]|\{[^{}]*\})*?(?:;|\n\s*\n|\z|\n(?=\s*(?:export|const|let|var|function|class|import|type|interface)\b))",
-    r"(?m)^\s*(?:export\s+)?(?:declare\s+)?interface\s+\w+[^{]*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}",
-    r":\s*(?:'[^'\n]*'|\"[^\"\n]*\")(?:\s*\|\s*(?:'[^'\n]*'|\"[^\"\n]*\"))+(?=\s*[;,)=}\]])",
-    r"\bas\s+(?:'[^'\n]*'|\"[^\"\n]*\")(?:\s*\|\s*(?:'[^'\n]*'|\"[^\"\n]*\"))*",
-    r"<\s*(?:'[^'\n]*'|\"[^\"\n]*\")(?:\s*\|\s*(?:'[^'\n]*'|\"[^\"\n]*\"))*\s*>",
+    (_BEGIN + rf"import\s+(?:type\s)?[^'\"`;()]*?from\s*{_LITERAL}", " "),
+    (_BEGIN + rf"import\s*{_LITERAL}", " "),
+    (_BEGIN + rf"export\s+(?:type\s)?(?:\*|\*\s+as\s+\w+|\{{[^}}]*\}})\s*from\s*{_LITERAL}", " "),
+    (_BEGIN + r"(?:'use \w+'|\"use \w+\")\s*;?", " "),
+    (_BEGIN + r"(?:export\s+)?(?:declare\s+)?type\s+\w+(?:<[^=]*>)?\s*=(?:[^;{}\n]++|\{[^{}]*+\}|\n(?!\s*\n|\s*(?:export|const|let|var|function|class|import|type|interface)\b))*+;?", " "),
+    (_BEGIN + r"(?:export\s+)?(?:declare\s+)?interface\s+\w+[^{]*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", " "),
+    (r"\b(const|let|var)(\s+[\w$]+)\s*!?:(?:[^=;\n]|=>)*+(?=[=;\n]|\z)", "$1$2 "),
+    (rf"([(,]\s*[\w$]+\??\s*):\s*{_LITERALS}(?=\s*(?:\)|[,=][^{{}}]*\))\s*(?::|=>|\{{))", "$1"),
+    (rf"\)\s*:\s*{_LITERALS}(?=\s*(?:\{{|=>))", ") "),
+    (rf":\s*{_LITERAL}(?:\s*\|\s*{_LITERAL})+(?=\s*[;,)=}}\]])", " "),
+    (rf"\bas\s+{_LITERALS}", " "),
+    (rf"<\s*{_LITERALS}\s*>", " "),
 )
 
 
+def without_comments(code: Column) -> Column:
+    """Code without comments. Of strings, templates, regular expressions and comments the one that begins first counts, so a comment mark in a string is no comment."""
+    return F.regexp_replace(F.coalesce(code, F.lit("")), F.lit(f"({NO_COMMENT})|{BLOCK_COMMENT}|{LINE_COMMENT}"), F.lit("$1"))
+
+
+def without_line_comments(code: Column) -> Column:
+    """Code without line comments; all lines stay, and so do block comments."""
+    return F.regexp_replace(F.coalesce(code, F.lit("")), F.lit(f"({NO_COMMENT}|{BLOCK_COMMENT})|{LINE_COMMENT}"), F.lit("$1"))
+
+
 def values_only(code: Column) -> Column:
     """Code without the places where a quoted token is no value. What is not understood stays, so extraction errs by including."""
-    out = F.coalesce(code, F.lit(""))
-    for pattern in NOT_VALUES:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(" "))
+    out = without_comments(code)
+    for pattern, instead in NOT_VALUES:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(instead))
     return out
 
 

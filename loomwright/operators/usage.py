@@ -53,10 +53,12 @@ def _zip(text: Column, pattern: str, **groups: int) -> Column:
 
 def statements(files: DataFrame) -> DataFrame:
     """(path, seq, line, text): top-level statements, without line comments."""
-    code = F.regexp_replace(F.coalesce("code", F.lit("")), r"(?m)(?<![:'\"`\\])//[^\n]*", "")
-    parts = files.select("path", F.posexplode(F.split(code, _STATEMENT)).alias("seq", "text"), F.split(code, _STATEMENT).alias("_all"))
-    before = F.array_join(F.slice("_all", F.lit(1), F.col("seq")), "")
-    return parts.select("path", "seq", (F.regexp_count(before, F.lit("\n")) + 1).alias("line"), "text").where("trim(text) <> ''")
+    split = files.select("path", F.split(T.without_line_comments(F.col("code")), _STATEMENT).alias("parts"))
+    # Lines before each statement, as a running sum of the statements' own line ends.
+    counts = F.transform("parts", lambda t: F.regexp_count(t, F.lit("\n")))
+    running = F.aggregate(counts, F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    parts = split.select("path", F.posexplode(F.arrays_zip("parts", F.slice(running, F.lit(1), F.size("parts")).alias("line"))).alias("seq", "p"))
+    return parts.select("path", "seq", F.col("p.line").alias("line"), F.col("p.parts").alias("text")).where("trim(text) <> ''")
 
 
 def imports(stmts: DataFrame) -> DataFrame:
