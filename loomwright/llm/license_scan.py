@@ -1,10 +1,13 @@
 """License scans: normalised text against licence templates, by the Dice coefficient over word bigrams.
 
 Compared are runs of whole lines, so that a licence is found inside a longer text: a licence of one line, a notice of
-several, or a document that is nothing else. Dice of two bigram sets of sizes a and b is 2 |common| / (a + b), so a
+several, or a document that is nothing else. A line of more than LONG_LINE words is read as pieces of PIECE words, so that a licence in
+a minified file is found as well; spans are in lines all the same. Dice of two bigram sets of sizes a and b is 2 |common| / (a + b), so a
 run can reach the threshold t only if a lies between b t / (2 - t) and b (2 - t) / t. These bounds choose, for each run,
 the templates that it is compared with at all; a run whose bigrams that any template has are too few for
-the threshold is compared with none. Both are necessary conditions: no match is lost.
+the threshold is compared with none. Both are necessary conditions: no match is lost. A run in which words repeat has the Dice of its
+distinct bigrams, so of the runs from one line only those are compared whose last line brings a bigram that was not there yet, or an ending
+of some template.
 
 Templates are a parameter, are few, and travel with the task. Each document is read by itself; nothing is shuffled.
 """
@@ -12,6 +15,7 @@ Templates are a parameter, are few, and travel with the task. Each document is r
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from itertools import pairwise
 
@@ -19,6 +23,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Public licence texts, fixed: what the two BSD licences share.
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met:"""
+_BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_BINARY = """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+        CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY
+        AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+        STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+        THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _gnu(name: str, title: str, version: str, which: str, work: str) -> tuple[str, tuple[str, ...]]:
+    """The notices of a GNU licence: one line, the grant, and the grant with its disclaimer and address."""
+    separator = ":" if version == "3" else ";"
+    grant = f"This {work} is free software{separator} you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation{',' if version == '3' else ';'} {which}."
+    warranty = f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {title} for more details."
+    if version == "3":
+        address = f"You should have received a copy of the {title} along with this {work}. If not, see <https://www.gnu.org/licenses/>."
+    else:
+        address = f"You should have received a copy of the {title} along with this {work}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+    return name, (f"This work is licensed under the {title}, version {version}.", grant, f"{grant} {warranty}", f"{grant} {warranty} {address}")
+
+
 #: Notices and short licences by SPDX name, as public text; a template may have several forms.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -49,30 +80,31 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
         PERFORMANCE OF THIS SOFTWARE.""",
     ),
-    "BSD-2-Clause": (
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
-        are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
-        documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
-        CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY
-        AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
-        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
-        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
-        STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
-        THE POSSIBILITY OF SUCH DAMAGE.""",
-    ),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published
-        by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "BSD-2-Clause": (f"""{_BSD_HEAD}
+        {_BSD_SOURCE} {_BSD_BINARY}
+        {_BSD_END}""",),
+    "BSD-3-Clause": (f"""{_BSD_HEAD}
+        {_BSD_SOURCE} {_BSD_BINARY}
+        Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission. {_BSD_END}""",),
+    "Zlib": (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+        product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published
-        by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in
-        the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
-        PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "BSL-1.0": (
+        """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)""",
     ),
+    **{name: forms for (name, forms) in (_gnu(*kind) for kind in (
+        ("GPL-2.0", "GNU General Public License", "2", "either version 2 of the License, or (at your option) any later version", "program"),
+        ("GPL-3.0", "GNU General Public License", "3", "either version 3 of the License, or (at your option) any later version", "program"),
+        ("LGPL-2.1", "GNU Lesser General Public License", "2.1", "either version 2.1 of the License, or (at your option) any later version", "library"),
+        ("LGPL-3.0", "GNU Lesser General Public License", "3", "either version 3 of the License, or (at your option) any later version", "library"),
+        ("AGPL-3.0", "GNU Affero General Public License", "3", "either version 3 of the License, or (at your option) any later version", "program"),
+    ))},
     "MPL-2.0": (
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
         file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
@@ -86,6 +118,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
+LONG_LINE = 400  # words
+PIECE = 12
 EDGE = "\x02"  # stands before the first and after the last word, so that a text of one word has bigrams
 
 
@@ -108,12 +142,13 @@ class Scanner:
         forms = [(name, bigrams(normalise(x))) for name, many in templates.items() for x in many]
         self.forms = sorted([(len(b), name, b) for name, b in forms if b], key=lambda f: f[:2])
         self.inner = {g for _, _, b in self.forms for g in b if EDGE not in g}
+        self.ends = {g[0] for _, _, b in self.forms for g in b if g[1] == EDGE}
+        self.begins = {g[1] for _, _, b in self.forms for g in b if g[0] == EDGE}
         most = max((f[0] for f in self.forms), default=0)
         self.longest = int(most * (2 - threshold) / threshold + 1e-9)
 
-    def best(self, words: list[str]) -> tuple[float, str] | None:
-        """The best Dice at or over the threshold of one run; of equals, the alphabetically first name."""
-        grams = bigrams(words)
+    def best(self, grams: set[tuple[str, str]]) -> tuple[float, str] | None:
+        """The best Dice at or over the threshold of one run's bigrams; of equals, the alphabetically first name."""
         n, found = len(grams), None
         for size, name, template in self.forms:
             low, high = size * self.t / (2 - self.t), size * (2 - self.t) / self.t
@@ -128,48 +163,93 @@ class Scanner:
         """Matches as (first line, line after the last, licence, Dice), best first chosen, none overlapping another.
 
         A run begins and ends in a line that shares an inner bigram, or an edge word, with some template: a run without such
-        ends has a shorter one with at least its Dice. Runs stop where they hold more distinct bigrams than the
-        longest template allows, or twice as many words: beyond that they repeat themselves.
+        ends has a shorter one with at least its Dice. Starts are taken from the last line to the first, with the line at
+        which each bigram first occurs from there on; runs stop where they hold more distinct bigrams than the longest
+        template allows.
         """
-        lines = [normalise(x) for x in (text or "").split("\n")]
+        lines, number = [], []  # words, and the text's line that they stand in
+        for i, x in enumerate((text or "").split("\n")):
+            if words := normalise(x):
+                pieces = [words] if len(words) <= LONG_LINE else [words[k : k + PIECE] for k in range(0, len(words), PIECE)]
+                lines += pieces
+                number += [i] * len(pieces)
         useful = self._useful(lines)
+        order = list(useful)
+        if not order:
+            return []
+        at: dict[tuple[str, str], int] = {}  # where each bigram first occurs
+        new: dict[int, set[tuple[str, str]]] = {}  # by line, the bigrams that first occur there
+        steps: list[int] = []  # lines with any, the nearest last
+        endings: dict[str, list[int]] = {}  # by last word of some template, the useful lines that end in it, the nearest last
+
+        def put(gram: tuple[str, str], line: int) -> None:
+            if (old := at.get(gram)) is not None:
+                new[old].discard(gram)
+            at[gram] = line
+            new.setdefault(line, set()).add(gram)
+
         found = []
-        for k, first in enumerate(useful):
-            words: list[str] = []
-            at, grams, common = first, set(), 0
-            for last in useful[k:]:
-                for line in lines[at : last + 1]:
-                    new = set(pairwise(words[-1:] + line)) - grams
-                    common += len(new & self.inner)
-                    grams |= new
-                    words += line
-                at = last + 1
-                if len(grams) > self.longest or len(words) > 2 * self.longest:
-                    break
-                # Two edges may be common as well. The smallest template within the bounds asks for least.
-                if 2 * (common + 2) / (len(grams) + 2 + max(1, len(grams) * self.t / (2 - self.t))) >= self.t and (match := self.best(words)):
-                    found.append((-match[0], first, last + 1, match[1]))
+        for k in range(order[-1], order[0] - 1, -1):
+            if k + 1 < len(lines):
+                # The line behind is no start any more: what crosses the border to it is first of all there.
+                gram = (lines[k][-1], lines[k + 1][0])
+                if gram not in at or at[gram] > k + 1:
+                    put(gram, k + 1)
+                    if not steps or steps[-1] != k + 1:
+                        steps.append(k + 1)
+            for gram in pairwise(lines[k]):
+                put(gram, k)
+            steps.append(k)
+            new.setdefault(k, set())
+            if k in useful and lines[k][-1] in self.ends:
+                endings.setdefault(lines[k][-1], []).append(k)
+            if k in useful:
+                found += self._runs(k, lines, useful, new, steps, endings)
         chosen: list[tuple[int, int, str, float]] = []
-        for dice, first, end, name in sorted(found):
+        for dice, first, end, name in sorted((-d, number[a], number[b] + 1, name) for d, a, b, name in found):
             if all(end <= a or b <= first for a, b, _, _ in chosen):
                 chosen.append((first, end, name, -dice))
         return sorted(chosen)
 
-    def _useful(self, lines: list[list[str]]) -> list[int]:
-        """Lines with a bigram of some template, be it across the border to the next line with words."""
-        found, before = set(), None
-        for i, words in enumerate(lines):
-            if not words:
+    def _runs(self, k: int, lines: list[list[str]], useful: dict[int, None], new: dict[int, set], steps: list[int], endings: dict[str, list[int]]) -> list[tuple[float, int, int, str]]:
+        """(Dice, first line, last line, licence) of the runs from line k on that are to be compared."""
+        found, grams, common, i = [], set(), 0, len(steps) - 1
+        start = (EDGE, lines[k][0])
+        while i >= 0:
+            line = steps[i]
+            if not new[line] and line != k:  # what it had first is by now found nearer to the start
+                del steps[i]
+                i -= 1
                 continue
-            if before is not None and (lines[before][-1], words[0]) in self.inner:
-                found |= {before, i}
-            if any(g in self.inner for g in pairwise(words)) or self._edges(words):
-                found.add(i)
-            before = i
-        return sorted(found)
+            i -= 1
+            grams |= new[line]
+            common += len(new[line] & self.inner)
+            if len(grams) > self.longest:
+                break
+            # Two edges may be common as well. The smallest template within the bounds asks for least.
+            if 2 * (common + 2) / (len(grams) + 2 + max(1, len(grams) * self.t / (2 - self.t))) < self.t:
+                continue
+            following = steps[i] if i >= 0 else len(lines)
+            last = {line} if line in useful else set()
+            for places in endings.values():  # the first line from here on with each ending, before another bigram comes
+                at = bisect_left(places, -line, key=lambda x: -x)
+                nearest = places[at] if at < len(places) and places[at] == line else places[at - 1] if at else None
+                if nearest is not None and line <= nearest < following:
+                    last.add(nearest)
+            for end in last:
+                if match := self.best(grams | {start, (lines[end][-1], EDGE)}):
+                    found.append((match[0], k, end, match[1]))
+        return found
 
-    def _edges(self, words: list[str]) -> bool:
-        return any((EDGE, words[0]) in f[2] or (words[-1], EDGE) in f[2] for f in self.forms)
+    def _useful(self, lines: list[list[str]]) -> dict[int, None]:
+        """Lines with a bigram of some template, be it across the border to the next line, or with an edge word. In order."""
+        found = set()
+        for i, words in enumerate(lines):
+            if i and (lines[i - 1][-1], words[0]) in self.inner:
+                found |= {i - 1, i}
+            if words[0] in self.begins or words[-1] in self.ends or any(g in self.inner for g in pairwise(words)):
+                found.add(i)
+        return dict.fromkeys(sorted(found))
 
 
 def scan_documents(docs: DataFrame, *, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,34 +51,73 @@ def test_longest_common_subsequence():
         assert all(a[i] in at for i in found)
 
 
+FORMS = [(name, S.bigrams(S.normalise(f))) for name, many in S.TEMPLATES.items() for f in many]
+
+
 def brute(text, t=0.8):
-    """The best Dice over all runs of lines and all templates."""
-    lines = [S.normalise(x) for x in (text or "").split("\n")]
-    forms = [(name, S.bigrams(S.normalise(f))) for name, many in S.TEMPLATES.items() for f in many]
-    best = 0.0
+    """All runs of lines against all templates; the best first, none overlapping another."""
+    lines, found = [S.normalise(x) for x in (text or "").split("\n")], []
     for a in range(len(lines)):
         for b in range(a + 1, len(lines) + 1):
-            grams = S.bigrams([w for x in lines[a:b] for w in x])
-            for _, f in forms:
-                if grams:
-                    best = max(best, 2 * len(grams & f) / (len(grams) + len(f)))
-    return best if best >= t else 0.0
-
-
-def test_licences_like_brute_force():
-    rng, scanner = random.Random(6), S.Scanner(S.TEMPLATES, 0.8)
+            if lines[a] and lines[b - 1]:
+                grams = S.bigrams([w for x in lines[a:b] for w in x])
+                top = min(((-2 * len(grams & f) / (len(grams) + len(f)), name) for name, f in FORMS))
+                if -top[0] >= t - 1e-12:
+                    found.append((top[0], a, b, top[1]))
+    chosen = []
+    for dice, a, b, name in sorted(found):
+        if all(b <= x or y <= a for x, y, _, _ in chosen):
+            chosen.append((a, b, name, -dice))
+    return sorted(chosen)
+
+
+def broken_licences():
+    """Licences with words changed, cut into lines, lines repeated and mixed with others and with blanks."""
+    rng = random.Random(6)
     forms = [f for many in S.TEMPLATES.values() for f in many]
-    for _ in range(60):
-        words = rng.choice(forms).split()
-        for _ in range(rng.randrange(4)):
-            words[rng.randrange(len(words))] = rng.choice(["software", "zebra", "the", "license"])
-        lines = ["some words of the text", *[" ".join(words[i : i + rng.choice([1, 7, 400])]) for i in range(0, 1)], "and the end"]
-        cut = rng.choice([1, 5, 1000])
-        lines[1:2] = [" ".join(words[i : i + cut]) for i in range(0, len(words), cut)]
-        text = "\n".join(lines)
-        found = scanner.scan(text)
-        if len(lines) < 60:
-            assert abs(max((m[3] for m in found), default=0.0) - brute(text)) < 1e-9
+    out = []
+    for _ in range(50):
+        lines = []
+        for _ in range(rng.choice([1, 1, 2])):
+            words = rng.choice(forms).split()
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice(["software", "zebra", "the", "license"])
+            cut = max(rng.choice([5, 9, 1000]), len(words) // 12)
+            lines += [" ".join(words[i : i + cut]) for i in range(0, len(words), cut)]
+            if rng.random() < 0.4:
+                k = rng.randrange(len(lines))
+                lines[k:k] = [lines[k]] * rng.choice([1, 3])
+            lines += rng.choice([["and some words of the text"], [""], [], ["License"], ["Version 2.0."]])
+        out.append("\n".join(lines[:34]))
+    return out
+
+
+def test_licences_like_brute_force(documents):
+    """Names, spans and Dice, through Spark."""
+    texts = broken_licences()
+    got = {r["doc_id"]: r for r in S.scan_documents(documents(*enumerate(texts))).collect()}
+    for i, text in enumerate(texts):
+        want = brute(text)
+        assert [(m["first_line"], m["end_line"], m["license"], round(m["dice"], 9)) for m in got[i]["matches"]] == [(a, b, n, round(d, 9)) for a, b, n, d in want], text
+        assert got[i]["n_matches"] == len(want) and got[i]["license"] == max(want, key=lambda m: m[3], default=(0, 0, None))[2]
+
+
+def test_siblings_are_told_apart():
+    """Each template is found as itself, also in one line, also with each of its lines ten times."""
+    scanner = S.Scanner(S.TEMPLATES, 0.8)
+    for name, many in S.TEMPLATES.items():
+        for form in many:
+            assert scanner.scan("x y z\n" + " ".join(form.split()))[0][2:] == (name, 1.0)
+            lines = [x for x in form.split("\n") for _ in range(10)]
+            (found,) = scanner.scan("\n".join(lines))[:1]
+            assert found[2] == name, (name, found)
+
+
+def test_a_licence_within_a_very_long_line():
+    rng = random.Random(2)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    found = S.Scanner(S.TEMPLATES, 0.8).scan("one\n" + noise(3000) + " " + " ".join(S.TEMPLATES["MIT"][2].split()) + " " + noise(3000) + "\nend")
+    assert [(a, b, name) for a, b, name, _ in found] == [(1, 2, "MIT")] and found[0][3] > 0.9
 
 
 def test_spans_of_several_licences(documents, clashing):
