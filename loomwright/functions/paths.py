@@ -31,22 +31,22 @@ def written(d: str) -> Iterator[tuple[str, bool, list[float]]]:
     for m in _PART.finditer(d):
         if m[1]:
             if waiting:
-                raise PathError(f"incomplete {letter}")
+                raise PathError(f"too few numbers after {letter}")
             letter, shown = m[1], True
             if letter.upper() not in NUMBERS:
-                raise PathError(f"unsupported command {letter}")
+                raise PathError(f"no command is called {letter}")
             if letter in "Zz":
                 yield letter, True, []
             continue
         if letter in ("", "Z", "z"):
-            raise PathError("number without command")
+            raise PathError("a number stands before any command")
         waiting.append(float(m[2]))
         if len(waiting) == NUMBERS[letter.upper()]:
             yield letter, shown, waiting
             waiting, shown = [], False
             letter = {"M": "L", "m": "l"}.get(letter, letter)
     if waiting:
-        raise PathError(f"incomplete {letter}")
+        raise PathError(f"too few numbers after {letter}")
 
 
 def absolute(d: str) -> Iterator[tuple[str, list[tuple[float, float]]]]:
@@ -94,7 +94,7 @@ def normalized(d: str, box: list[float]) -> str:
     """The path on a canvas of SIDE units whose y runs from -SIDE to 0; unchanged where it already is. A leading m is absolute for its first pair."""
     vx, vy, wide, high = box
     if wide != high:
-        raise PathError(f"non-square viewBox {wide:g}x{high:g}")
+        raise PathError(f"the canvas is no square: {wide:g} by {high:g}")
     if (vx, vy, wide) == (0, -SIDE, SIDE):
         return d
     scale, out = SIDE / wide, []
@@ -139,7 +139,7 @@ def outside(d: str) -> str | None:
     for _, ps in absolute(d):
         for x, y in ps:
             if not (LEFT <= x <= RIGHT and TOP <= y <= BOTTOM):
-                return f"path leaves the viewBox ({x:g},{y:g})"
+                return f"off the canvas at ({x:g}, {y:g})"
     return None
 
 
@@ -148,21 +148,21 @@ def svg(text: str) -> tuple[str, list[float]]:
     tags = re.findall(r"<([a-zA-Z][\w-]*)([^>]*)>", text)
     other = sorted({t for t, _ in tags} - {"svg", "path"})
     if other:
-        raise PathError(f"unexpected elements {', '.join(other)}")
+        raise PathError(f"there is more than a path: {', '.join(other)}")
     paths = [a for t, a in tags if t == "path"]
     if len(paths) != 1:
-        raise PathError(f"expected 1 <path>, got {len(paths)}")
+        raise PathError(f"{len(paths)} paths instead of one")
     given = dict(re.findall(r"([\w:-]+)\s*=\s*\"([^\"]*)\"", paths[0]))
     if extra := sorted(set(given) - {"d"}):
-        raise PathError(f"unexpected path attributes {', '.join(extra)}")
+        raise PathError(f"the path has more than d: {', '.join(extra)}")
     root = dict(re.findall(r"([\w:-]+)\s*=\s*\"([^\"]*)\"", next(a for t, a in tags if t == "svg")))
     box = root["viewBox"].split() if "viewBox" in root else [0, 0, root.get("width", "nan"), root.get("height", "nan")]
     try:
         numbers = [float(x) for x in box]
     except ValueError:
-        raise PathError("invalid viewBox") from None
+        raise PathError("the canvas is not given by four numbers") from None
     if len(numbers) != 4 or not all(map(math.isfinite, numbers)) or "d" not in given:
-        raise PathError("invalid viewBox" if "d" in given else "path without d")
+        raise PathError("the canvas is not given by four numbers" if "d" in given else "the path is not drawn")
     return given["d"], numbers
 
 
