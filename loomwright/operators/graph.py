@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,14 @@ EXTENSION = r"\.[cm]?[jt]sx?\z"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that the cluster shares (spark.checkpoint.dir; one of our own where it is unset), so that lineage ends there."""
+    """df as a table in the folder that the cluster shares (spark.checkpoint.dir), so that lineage ends there. Where that is unset, a temporary folder
+    of this machine does for a local master; on a cluster it is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="loomwright-")
@@ -93,27 +98,33 @@ def _run_hashes(words: Column, n: int) -> Column:
 def contained(texts: DataFrame, parts: DataFrame, *, words: int = 4) -> DataFrame:
     """(text_id, part_id) where the text contains the part. texts: (text_id, text); parts: (part_id, part).
 
-    Instead of comparing all with all, each part is looked up by its first words, which a text that contains it has
-    too, white space before each word being whatever it is; contains() then decides. Parts of fewer words are looked up
-    by as many as they have. A part whose edge words are parts of longer words in the text is found by its inner ones: the
-    first word is skipped. Parts of less than two words have nothing to be looked up by and are compared with every text.
+    Instead of comparing all with all, each part is looked up by its inner words, which a text that contains it has
+    too, white space before each word being whatever it is; contains() then decides. The edge words are skipped, as they may be parts of longer
+    words in the text. A part of one or two words has no inner ones: words of the texts that contain its longer word are found
+    among the distinct words, by their pieces of that length. Only parts without any word are compared with every text.
     """
     token = r"\S+"
     part_words = parts.withColumn("_w", F.regexp_extract_all("part", F.lit(token), F.lit(0)))
-    part_words = part_words.withColumn("_k", F.slice("_w", 2, F.greatest(F.least(F.size("_w") - 2, F.lit(words)), F.lit(0))))
+    part_words = written(part_words.withColumn("_k", F.slice("_w", 2, F.greatest(F.least(F.size("_w") - 2, F.lit(words)), F.lit(0)))), "parts")
     keyed = part_words.where(F.size("_k") > 0).select("part_id", "part", F.xxhash64("_k").alias("_key"), F.size("_k").alias("_n"))
     lengths = sorted(r["_n"] for r in keyed.select("_n").distinct().collect())  # at most `words` different numbers
     text_words = texts.withColumn("_w", F.regexp_extract_all("text", F.lit(token), F.lit(0)))
-    out = None
-    for n in lengths:
-        runs = F.array_distinct(_run_hashes(F.col("_w"), n))
-        keys_of = keyed.where(F.col("_n") == n).select("_key").distinct()
-        at = text_words.select("text_id", F.explode(runs).alias("_key")).join(keys_of, "_key", "left_semi")
-        pairs = at.join(keyed.where(F.col("_n") == n), "_key").select("text_id", "part_id", "part")
-        found = pairs.join(texts.select("text_id", "text"), "text_id").where(F.contains("text", F.col("part"))).select("text_id", "part_id")
-        out = found if out is None else out.union(found)
-    short = part_words.where(F.size("_k") == 0).select("part_id", "part")
-    if not short.isEmpty():
-        few = texts.select("text_id", "text").join(short, F.contains(F.col("text"), F.col("part"))).select("text_id", "part_id")
-        out = few if out is None else out.union(few)
-    return out.distinct() if out is not None else texts.sparkSession.createDataFrame([], texts.select("text_id").join(parts.select("part_id"), F.lit(False)).schema)
+    found = []
+    if lengths:
+        runs = F.array_distinct(F.concat(*[_run_hashes(F.col("_w"), n) for n in lengths]))
+        at = text_words.select("text_id", F.explode(runs).alias("_key")).join(keyed.select("_key").distinct(), "_key", "left_semi")
+        found.append(at.join(keyed, "_key").select("text_id", "part_id", "part"))
+    short = part_words.where((F.size("_k") == 0) & (F.size("_w") > 0)).select("part_id", "part", F.when(F.char_length(F.get("_w", F.lit(1))) > F.char_length(F.get("_w", F.lit(0))), F.get("_w", F.lit(1))).otherwise(F.get("_w", F.lit(0))).alias("_piece"))
+    sizes = sorted(r["n"] for r in short.select(F.char_length("_piece").alias("n")).distinct().collect())  # lengths of words
+    if sizes:
+        of_text = text_words.select("text_id", F.explode(F.array_distinct("_w")).alias("_word"))
+        pieces = lambda n: F.when(F.char_length("_word") >= n, F.transform(F.sequence(F.lit(1), F.char_length("_word") - n + 1), lambda i: F.substring("_word", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        vocabulary = of_text.select("_word").distinct().select("_word", F.explode(F.array_distinct(F.concat(*map(pieces, sizes)))).alias("_piece"))
+        found.append(of_text.join(vocabulary.join(short, "_piece"), "_word").select("text_id", "part_id", "part").distinct())
+    blank = part_words.where(F.size("_w") == 0).select("part_id", "part")
+    if not blank.isEmpty():
+        found.append(texts.join(blank, F.contains("text", F.col("part"))).select("text_id", "part_id", "part"))
+    if not found:
+        return texts.select("text_id").join(parts.select("part_id")).limit(0)
+    pairs = reduce(DataFrame.union, found).distinct()
+    return pairs.join(texts.select("text_id", "text"), "text_id").where(F.contains("text", F.col("part"))).select("text_id", "part_id").distinct()

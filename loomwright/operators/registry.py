@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 
 def resolve_aliases(names: DataFrame, aliases: DataFrame, *, name: str = "name") -> DataFrame:
     """names with target: the alias' target, or the name itself. One hop; aliases are (alias, target), one row an alias."""
@@ -40,14 +42,22 @@ def first_seen_codes(rows: DataFrame, value: str, order: list[str]) -> DataFrame
     return numbered(first, ["_first"], "code").select(value, "code")
 
 
+def running_total(df: DataFrame, order: list[str], weight: Column, name: str) -> DataFrame:
+    """df with the sum of weight over all rows before, along an order, without bringing all rows to one task.
+
+    Rows are dealt by ranges of the order and written once; each range is summed by itself and shifted by the ranges before.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_w", weight), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.sum("_w").alias("_n"))  # one row for each partition
+    sum_before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("_part", sum_before("_n", Window.orderBy("_part")).alias("_shift"))
+    inner = sum_before("_w", Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(shift), "_part").withColumn(name, F.col("_shift") + inner).drop("_part", "_w", "_shift")
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with numbers from 0 along an order without ties, and without bringing all rows to one task."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = dealt.groupBy("_part").agg((F.max("_in") + 1).alias("_n"))  # one row for each partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return dealt.join(F.broadcast(shift), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_at", "_part", "_in", "_before")
+    """df with numbers from 0 along an order without ties."""
+    return running_total(df, order, F.lit(1), name)
 
 
 def stats(chosen: DataFrame) -> DataFrame:
@@ -72,13 +82,11 @@ def render(chosen: DataFrame, aliases: DataFrame, mode: str = "scanned") -> str:
     rows = chosen.join(codes, "path").select("variant", "name", "shape", "code", "path").collect()
     paths = sorted({(r["code"], r["path"]) for r in rows})
     lines = ["'use strict';", *[f"var p{c}={_quoted(p)};" for c, p in paths], f"module.exports={{mode:{_quoted(mode)},icons:{{"]
-    for variant in sorted({r["variant"] for r in rows}):
-        lines.append(f"{_quoted(variant)}:{{")
-        names = sorted({r["name"] for r in rows if r["variant"] == variant})
-        for name in names:
-            shapes = sorted((r["shape"], r["code"]) for r in rows if (r["variant"], r["name"]) == (variant, name))
-            lines.append(f"{_quoted(name)}:{{{','.join(f'{s}:p{c}' for s, c in shapes)}}},")
-        lines.append("},")
+    shapes: dict[str, dict[str, list]] = {}
+    for r in sorted(rows, key=lambda r: (r["variant"], r["name"], r["shape"])):
+        shapes.setdefault(r["variant"], {}).setdefault(r["name"], []).append(f"{r['shape']}:p{r['code']}")
+    for variant, names in shapes.items():
+        lines += [f"{_quoted(variant)}:{{", *[f"{_quoted(name)}:{{{','.join(each)}}}," for name, each in names.items()], "},"]
     pairs = sorted((r["alias"], r["target"]) for r in aliases.collect())
     lines.append(f"}},aliases:{{{','.join(f'{_quoted(a)}:{_quoted(t)}' for a, t in pairs)}}}}};")
     return "\n".join(lines) + "\n"
@@ -113,7 +121,7 @@ def lookup(requests: DataFrame, icons: DataFrame, aliases: DataFrame) -> DataFra
     """requests (variant, name, filled) with path and message: the path to draw or null, and then why."""
     data = icons.select("variant", F.col("name").alias("target"), F.col("d").alias("_d"), F.col("f").alias("_f"))
     variants = icons.select(F.col("variant").alias("_v")).distinct()
-    found = resolve_aliases(requests, aliases).join(data, ["variant", "target"], "left").join(F.broadcast(variants.limit(1000)), F.col("variant") == F.col("_v"), "left")
+    found = resolve_aliases(requests, aliases).join(data, ["variant", "target"], "left").join(variants, F.col("variant") == F.col("_v"), "left")
     path = F.when(F.col("filled"), F.coalesce("_f", "_d")).otherwise(F.col("_d"))
     return found.withColumn("path", path).withColumn("message", F.when(F.col("path").isNull(), missing_message(F.col("_v").isNotNull(), F.col("_d").isNotNull() | F.col("_f").isNotNull()))).drop("_d", "_f", "_v")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import written
+from .registry import running_total
 
 #: Names that may be broadcast to the scan; a larger dictionary is joined by a shuffle.
 BROADCAST_NAMES = 2_000_000
@@ -64,9 +66,12 @@ def changed(files: DataFrame, cache: DataFrame, on: list[str]) -> DataFrame:
 def fingerprint(names: DataFrame, column: str = "name") -> DataFrame:
     """One row: the number of distinct names and the digest of all, each followed by NUL, in order.
 
-    Meant for dictionaries, which are small; the names meet in one row.
+    The names meet in one row, so a dictionary of more than BROADCAST_NAMES is refused.
     """
-    one = names.agg(F.array_sort(F.collect_set(column)).alias("a"))
+    names = names.select(column).distinct()
+    if (n := names.limit(BROADCAST_NAMES + 1).count()) > BROADCAST_NAMES:
+        raise ValueError(f"a dictionary of {n} names or more has no fingerprint")
+    one = names.agg(F.array_sort(F.collect_list(column)).alias("a"))
     text = F.when(F.size("a") == 0, "").otherwise(F.concat(F.array_join("a", "\0"), F.lit("\0")))
     return one.select(F.concat_ws(":", F.size("a").cast("string"), F.sha1(text.cast("binary"))).alias("fingerprint"))
 
@@ -80,9 +85,14 @@ def merged(parts: list[DataFrame], *, key: str = "path") -> DataFrame:
 
 
 def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Minimum and upper median (of an even number the larger of the middle two) of each group, by rank rather than by collecting."""
-    from pyspark.sql import Window
+    """Minimum and upper median (of an even number the larger of the middle two) of each group.
 
-    order = Window.partitionBy(*group).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(*group, value, F.row_number().over(order).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(*group)).alias("_n"))
-    return ranked.groupBy(*group).agg(F.min(value).alias("least"), F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col(value))).alias("median"))
+    Equal values are counted first, and the counts are summed along ranges of (group, value), so a group with very many rows
+    is no larger task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = written(running_total(counts, [*group, value], F.col("_c"), "_sum"), "ranked")
+    groups = ranked.groupBy(*group).agg(F.min(value).alias("least"), F.min("_sum").alias("_first"), F.sum("_c").alias("_n"))
+    at = ranked.join(groups.withColumnsRenamed({g: f"_g_{g}" for g in group}), [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])
+    middle = F.col("_first") + F.floor(F.col("_n") / 2)
+    return at.where((F.col("_sum") <= middle) & (middle < F.col("_sum") + F.col("_c"))).select(*group, "least", F.col(value).alias("median"))

@@ -86,8 +86,8 @@ def names_per_doc(spark, sf_dir):
 @query(f"SELECT doc_id, count(*) AS cnt FROM {DOC_WORDS} SEMI JOIN {DICT} AS d USING (name) GROUP BY doc_id ORDER BY cnt DESC, doc_id LIMIT 25")
 def topk_docs(spark, sf_dir):
     """The flagship: literals, dictionary, names by document, the busiest documents."""
-    counted = _doc_hits(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cnt"))
-    return counted.orderBy(F.desc("cnt"), "doc_id").limit(25)
+    found = scan.names_by_file(_doc_hits(spark, sf_dir), key="doc_id")
+    return scan.top_files(found, 25, key="doc_id").select("doc_id", F.col("cnt").cast("long").alias("cnt"))
 
 
 @query(
@@ -140,19 +140,25 @@ def alias_resolve(spark, sf_dir):
     return registry.resolve_aliases(named, spark.createDataFrame(ALIASES, "alias string, target string"))
 
 
-@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS target FROM documents WHERE text IS NOT NULL QUALIFY doc_id <> target")
+@query(
+    """WITH s AS (SELECT source AS variant, text, min(doc_id) AS target FROM documents WHERE lang = 'en' AND text IS NOT NULL GROUP BY ALL)
+    SELECT doc_id AS alias, target FROM documents AS d JOIN s ON source = variant AND d.text = s.text WHERE coalesce(lang, '') <> 'en'"""
+)
 def twin_aliases(spark, sf_dir):
-    """Each document with an earlier one of equal content."""
-    d = _t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("content"))
-    first = d.groupBy("content").agg(F.min("doc_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return d.join(first, "content").where("doc_id <> target").select("doc_id", "target")
+    """Documents of other languages that are twins of an English one of their source: the ones are legacy entries, the others symbols, each of one variant."""
+    d = _t(spark, sf_dir, "documents").where("text IS NOT NULL").select("lang", F.col("source").alias("variant"), F.col("doc_id").alias("name"), F.sha2("text", 256).alias("d"), F.lit(None).cast("string").alias("f"))
+    return registry.twins(d.where("coalesce(lang, '') <> 'en'"), d.where("lang = 'en'"), 1)
 
 
-@query("SELECT l_orderkey, min(l_returnflag) AS target, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1")
+@query(
+    """WITH legacy AS (SELECT l_linestatus AS variant, l_orderkey AS name, l_returnflag AS d FROM lineitem),
+    f AS (SELECT name, count(DISTINCT variant) AS k, min(d) AS target, max(d) AS other FROM legacy GROUP BY name)
+    SELECT name AS alias, target FROM f WHERE k = 1 AND target = other"""
+)
 def all_equal_targets(spark, sf_dir):
-    """Orders all of whose lines agree."""
-    g = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("target"), F.max("l_returnflag").alias("other"), F.count(F.lit(1)).alias("n"))
-    return g.where(F.col("target") == F.col("other")).drop("other")
+    """Orders of one line status all of whose lines agree: all entries of a name have to lead to one and the same target."""
+    entries = lambda name: _t(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("variant"), F.col(name).cast("string").alias("name"), F.col("l_returnflag").alias("d"), F.lit(None).cast("string").alias("f"))
+    return registry.twins(entries("l_orderkey"), entries("l_returnflag").distinct(), 1).select(F.col("alias").cast("bigint").alias("alias"), "target")
 
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, '' ORDER BY event_type) AS shapes FROM events GROUP BY user_id")
@@ -160,11 +166,10 @@ def shape_sets(spark, sf_dir):
     return registry.shape_sets(_t(spark, sf_dir, "events"), ["user_id"], "event_type")
 
 
-@query("SELECT coalesce(sum(length(text)), 0)::BIGINT AS total FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)")
+@query("SELECT coalesce(sum(length(url)), 0)::BIGINT AS total FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)")
 def registry_bytes(spark, sf_dir):
-    """Characters of all distinct texts. Texts are told apart by digest, so that they aren't shuffled whole."""
-    d = _t(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("content"), F.char_length("text").alias("n"))
-    return d.groupBy("content").agg(F.max("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))
+    """Characters of all distinct urls."""
+    return registry.distinct_length(_t(spark, sf_dir, "pages"), "url")
 
 
 @query(
@@ -183,7 +188,7 @@ def ordered_numbers(spark, sf_dir):
 
 @query(
     r"""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://(.*)$', 1), '[?#].*$', ''), '/$', '') AS path FROM pages),
-    i AS (SELECT page_id, 'example.org/' || string_split(path, '/')[-2] || '/' || string_split(path, '/')[-1] AS source FROM f WHERE page_id % 10 = 0)
+    i AS (SELECT page_id, 'example.org/' || string_split(path, '/')[-2] || '/' || string_split(path, '/')[-1] AS source FROM f)
     SELECT i.page_id, f.page_id AS target FROM i JOIN f ON ends_with('/' || regexp_replace(f.path, '\.[cm]?[jt]sx?$', ''), '/' || regexp_replace(source, '^example\.org/', ''))"""
 )
 def import_suffix_join(spark, sf_dir):
@@ -238,9 +243,9 @@ def contains_selfjoin(spark, sf_dir):
     return graph.contained(texts, _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("part_id"), F.col("text").alias("part")))
 
 
-@query("SELECT count(*)::VARCHAR || ':' || sha1(string_agg(p_name || chr(0), '' ORDER BY p_name)) AS fingerprint FROM (SELECT DISTINCT p_name FROM part)")
+@query("SELECT count(*)::VARCHAR || ':' || sha1(string_agg(p_type || chr(0), '' ORDER BY p_type)) AS fingerprint FROM (SELECT DISTINCT p_type FROM part)")
 def fingerprint(spark, sf_dir):
-    return scan.fingerprint(_t(spark, sf_dir, "part"), "p_name")
+    return scan.fingerprint(_t(spark, sf_dir, "part"), "p_type")
 
 
 @query(
@@ -303,11 +308,11 @@ def registry_stats(spark, sf_dir):
 
 
 @query(
-    """SELECT name, path FROM (SELECT DISTINCT p_brand AS name, p_type AS path FROM part WHERE p_size < 20) o
-    WHERE name IN ('Brand#11', 'Brand#12', 'Brand#21') OR NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size < 20 AND q.p_type = o.path AND q.p_brand IN ('Brand#11', 'Brand#12', 'Brand#21'))"""
+    """SELECT name, path FROM (SELECT DISTINCT p_brand AS name, p_type AS path FROM part) o
+    WHERE name IN ('Brand#11', 'Brand#12', 'Brand#21') OR NOT EXISTS (SELECT 1 FROM part q WHERE q.p_type = o.path AND q.p_brand IN ('Brand#11', 'Brand#12', 'Brand#21'))"""
 )
 def path_owners(spark, sf_dir):
-    paths = _t(spark, sf_dir, "part").where("p_size < 20").select(F.col("p_brand").alias("name"), F.col("p_type").alias("path"))
+    paths = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("path"))
     expected = spark.createDataFrame([("Brand#11",), ("Brand#12",), ("Brand#21",)], "name string")
     return verify.owners(paths, paths, expected)
 
@@ -334,8 +339,27 @@ def file_counts(spark, sf_dir):
     return g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.count("content").alias("texts"), unreadable.alias("unreadable"))
 
 
-@query("SELECT path, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT p_brand AS path, p_type AS name FROM part UNION ALL SELECT p_brand, p_name FROM part) GROUP BY path")
+@query("SELECT path, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT p_partkey AS path, p_type AS name FROM part UNION ALL SELECT p_partkey, p_brand FROM part) GROUP BY path")
 def merge_extractors(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    parts = [p.groupBy(F.col("p_brand").alias("path")).agg(F.collect_set(c).alias("names")) for c in ("p_type", "p_name")]
+    parts = [p.select(F.col("p_partkey").alias("path"), F.array(c).alias("names")) for c in ("p_type", "p_brand")]
     return scan.merged(parts).select("path", F.array_join("names", ",").alias("names"))
+
+
+COMMENT_SQL = f"({T.NO_COMMENT})|{T.BLOCK_COMMENT}|{T.LINE_COMMENT}".replace("'", "''")
+NAME_SQL = T.QUOTED_NAME.replace("'", "''")
+STRING_SQL = verify.TOKEN.replace("'", "''")
+
+
+@query(
+    f"""SELECT DISTINCT page_id, substr(q, 2, length(q) - 2) AS name FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '{COMMENT_SQL}', '\\1', 'g'), '{NAME_SQL}')) AS q FROM pages)"""
+)
+def value_literals(spark, sf_dir):
+    """Quoted names outside comments."""
+    return _t(spark, sf_dir, "pages").select("page_id", F.explode(T.literals(T.without_comments(F.col("html")))).alias("name"))
+
+
+@query(f"SELECT page_id, substr(q, 2, length(q) - 2) AS content FROM (SELECT page_id, unnest(regexp_extract_all(html, '{STRING_SQL}')) AS q FROM pages)")
+def quoted_strings(spark, sf_dir):
+    """The contents of all quoted strings of pages."""
+    return _t(spark, sf_dir, "pages").select("page_id", F.explode(verify.quoted_strings(F.col("html"))).alias("content"))

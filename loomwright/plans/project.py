@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import logging
+import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ..sources import file_tree, tables
 
 log = logging.getLogger(__name__)
 REVISION = 1
+#: What extraction fails with: a pattern that goes too deep, or that the engine refuses.
+EXTRACTION = re.compile(r"StackOverflowError|INVALID_PARAMETER_VALUE\.(?:PATTERN|REGEX)|PatternSyntaxException")
 EXTRACTORS = ("auto", "values", "quoted")
 DEFAULT_EXCLUDE = ("**/__tests__", "**/__mocks__", "**/*.test.*", "**/*.spec.*", "**/*.stories.*")
 
@@ -62,8 +67,8 @@ def project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Con
     engine = "quoted" if config.extractor == "quoted" else "values"
     try:
         return _project(spark, files, names, config, engine)
-    except Exception as e:
-        if config.extractor != "auto":
+    except (PySparkException, Py4JJavaError) as e:  # extraction; other failures, such as a lost executor or a full disk, are not answered by another extractor
+        if config.extractor != "auto" or not EXTRACTION.search(str(e)):
             raise
         log.warning("extractor 'values' failed, taking 'quoted': %s", e)
         out = _project(spark, files, names, config, "quoted")

@@ -53,8 +53,3 @@ def test_imports_of_every_page_are_resolved(spark, tmp_path):
     want = [(i, j) for i, p in enumerate(paths) for j, q in enumerate(paths) if named("/".join(p.split("/")[-2:]), q)]
     got = catalog.QUERIES["import_suffix_join"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == want and {i % 10 for i, _ in want} > {0}
-
-
-def test_import_suffix_join_like_its_sql_for_all_pages(spark, duck):
-    whole = catalog.ORACLE_SQL["import_suffix_join"].replace(" WHERE page_id % 10 = 0", "")
-    assert canonical(catalog.QUERIES["import_suffix_join"](spark, SF).toPandas()) == canonical(duck.execute(whole).df())
