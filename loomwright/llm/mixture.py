@@ -37,16 +37,16 @@ FEW_CELLS = 50_000
 #: Bounded raking ends when less than this share of the sample is not where the targets are.
 CALIBRATED = 1e-6
 WORD = r"[^\x20\x09-\x0D]+"
-#: What speaks for a topic. Patterns mean the same to Java, RE2 and Python.
-TOPICS: dict[str, str] = {
-    "legal": r"[Ll]icen[sc]e|[Cc]opyright|WARRANT|[Ww]arrant|[Pp]ermission|[Pp]ublic domain",
-    "contact": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.|\+?[0-9]+ ?\([0-9]+\)|https?://|www\.",
-    "table": r" \| |\t",
-    "code": r"[{};]|=>|==|\(\)",
-    "noise": r"\*\*|##|!!|\?\?|__|~~",
+#: What speaks for a topic: marks that are counted as they stand. Plain strings, which are found many times faster than patterns.
+TOPICS: dict[str, tuple[str, ...]] = {
+    "legal": ("icense", "icence", "opyright", "arranty", "WARRANTY", "ermission", "ublic domain"),
+    "contact": ("@", "http://", "https://", "www.", "+1 (", "(0)"),
+    "table": (" | ", "\t"),
+    "code": ("{", "}", ";\n", "=>", "==", "()"),
+    "noise": ("**", "##", "!!", "??", "__", "~~"),
 }
 PLAIN = "prose"
-#: A topic needs so many hits in a hundred words.
+#: A topic needs so many marks for a hundred words.
 DENSITY = 1.0
 
 
@@ -54,14 +54,20 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def topic_of(text: Column, topics: Mapping[str, str] = TOPICS, density: float = DENSITY) -> Column:
-    """The topic whose pattern has the most hits for each word of the text; PLAIN where none has density hits in a hundred words.
+def n_marks(text: Column, marks: Sequence[str]) -> Column:
+    """How often any of the marks stands in a text, by the bytes that go when it is taken out."""
+    gone = lambda m: (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(m), F.lit("")))) / len(m.encode())
+    return sum(map(gone, marks[1:]), gone(marks[0])).cast("long")
 
-    Of equals the first in the order of topics. A null text has no hits.
+
+def topic_of(text: Column, topics: Mapping[str, Sequence[str]] = TOPICS, density: float = DENSITY) -> Column:
+    """The topic whose marks stand in the text most often; PLAIN where none has density marks for a hundred words.
+
+    Of equals the first in the order of topics. A null text has no marks.
     """
     t = F.coalesce(text, F.lit(""))
     names = F.array(*map(F.lit, topics))
-    counted = F.array(F.struct(F.array(*[F.regexp_count(t, F.lit(p)) for p in topics.values()]).alias("hits"), n_words(text).alias("n")))  # each count once
+    counted = F.array(F.struct(F.array(*[n_marks(t, marks) for marks in topics.values()]).alias("hits"), n_words(text).alias("n")))  # each count once
     return F.transform(counted, lambda x: F.when((F.array_max(x["hits"]) > 0) & (F.array_max(x["hits"]) * 100 >= x["n"] * density), F.get(names, F.array_position(x["hits"], F.array_max(x["hits"])).cast("int") - 1)).otherwise(F.lit(PLAIN)))[0]
 
 
@@ -205,7 +211,8 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 def mix_sql(*, temperature: float = 0.7, fraction: float = 0.5, rounds: int = 16, seed: str = "mix-1") -> str:
     """The same over the table documents, for DuckDB: goals in closed form over sorted categories, rakings as recursive tables."""
-    hits = {name: f"len(regexp_extract_all(t, '{pattern}'))" for name, pattern in TOPICS.items()}
+    quoted = lambda m: "'" + m.replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '") + "'"
+    hits = {name: "(" + " + ".join(f"(strlen(t) - strlen(replace(t, {quoted(m)}, ''))) / {len(m.encode())}" for m in marks) + ")::BIGINT" for name, marks in TOPICS.items()}
     cases = " ".join(f"WHEN h_{name} = most THEN '{name}'" for name in hits)
     parts = [
         "d AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, coalesce(text, '') AS t FROM documents)",
