@@ -39,13 +39,14 @@ def literals(code: Column) -> Column:
 
 
 #: What comment marks may stand in without beginning a comment: strings, templates, regular expressions, and the slashes of a URL in text.
-STRINGS = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'|\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"|`[^`\\]*(?:\\(?s:.)[^`\\]*)*`"
-NO_COMMENT = STRINGS + r"|[=(,:!&|?;{}\[][ \t]*/(?:[^*/\\\n\[]|\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*\])(?:[^/\\\n\[]|\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*\])*/|://"
+#: Loops are possessive: they give nothing back and need no stack, however long a string is.
+STRINGS = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*+'|\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*+\"|`[^`\\]*(?:\\(?s:.)[^`\\]*)*+`"
+NO_COMMENT = STRINGS + r"|[=(,:!&|?;{}\[][ \t]*/(?:[^*/\\\n\[]|\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*+\])(?:[^/\\\n\[]|\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*+\])*+/|://"
 BLOCK_COMMENT = r"/\*(?s:.*?)\*/"
 LINE_COMMENT = r"//[^\n]*"
 
 _LITERAL = r"(?:'[^'\n]*'|\"[^\"\n]*\")"
-_LITERALS = rf"{_LITERAL}(?:\s*\|\s*{_LITERAL})*"
+_LITERALS = rf"{_LITERAL}(?:\s*\|\s*{_LITERAL})*+"
 _BEGIN = r"(?m)(?:^|(?<=;))\s*"
 #: What a value never stands in, and what is put there: module specifiers, directives, type declarations, and annotations, assertions and arguments of literal types.
 NOT_VALUES = (
@@ -54,11 +55,11 @@ NOT_VALUES = (
     (_BEGIN + rf"export\s+(?:type\s)?(?:\*|\*\s+as\s+\w+|\{{[^}}]*\}})\s*from\s*{_LITERAL}", " "),
     (_BEGIN + r"(?:'use \w+'|\"use \w+\")\s*;?", " "),
     (_BEGIN + r"(?:export\s+)?(?:declare\s+)?type\s+\w+(?:<[^=]*>)?\s*=(?:[^;{}\n]++|\{[^{}]*+\}|\n(?!\s*\n|\s*(?:export|const|let|var|function|class|import|type|interface)\b))*+;?", " "),
-    (_BEGIN + r"(?:export\s+)?(?:declare\s+)?interface\s+\w+[^{]*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", " "),
+    (_BEGIN + r"(?:export\s+)?(?:declare\s+)?interface\s+\w+[^{]*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*+\}", " "),
     (r"\b(const|let|var)(\s+[\w$]+)\s*!?:(?:[^=;\n]|=>)*+(?=[=;\n]|\z)", "$1$2 "),
     (rf"([(,]\s*[\w$]+\??\s*):\s*{_LITERALS}(?=\s*(?:\)|[,=][^{{}}]*\))\s*(?::|=>|\{{))", "$1"),
     (rf"\)\s*:\s*{_LITERALS}(?=\s*(?:\{{|=>))", ") "),
-    (rf":\s*{_LITERAL}(?:\s*\|\s*{_LITERAL})+(?=\s*[;,)=}}\]])", " "),
+    (rf":\s*{_LITERAL}(?:\s*\|\s*{_LITERAL})++(?=\s*[;,)=}}\]])", " "),
     (rf"\bas\s+{_LITERALS}", " "),
     (rf"<\s*{_LITERALS}\s*>", " "),
 )
@@ -87,6 +88,18 @@ def value_literals(code: Column, path: Column) -> Column:
     return F.when(is_declaration(path), F.array().cast("array<string>")).otherwise(literals(values_only(code)))
 
 
+_REFERENCE = r"&#(?:x[0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def without_references(text: Column) -> Column:
+    """Text with numeric character references replaced by their characters; those beyond ASCII become U+FFFD, for a name has none of them. Named
+    references stay: no name holds a character that has one."""
+    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    number = lambda r: F.when(F.substring(r, 3, 1) == "x", F.conv(F.regexp_extract(r, "x([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(r, "([0-9]+)", 1)).cast("int")
+    character = lambda r: F.when(number(r).between(1, 127), F.char(number(r))).when(number(r) <= 0x10FFFF, "\uFFFD").otherwise(r)
+    return F.array_join(F.zip_with(F.split(text, _REFERENCE), found, lambda a, r: F.concat(a, F.coalesce(character(r), F.lit("")))), "")
+
+
 def markers(text: Column, wanted: list[str]) -> Column:
     """Those of wanted that the text contains, in the order of wanted. Case counts, and a part of a word will do."""
     return F.filter(F.array(*[F.lit(m) for m in wanted]).cast("array<string>"), lambda m: F.contains(F.coalesce(text, F.lit("")), m))

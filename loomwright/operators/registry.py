@@ -117,16 +117,27 @@ def write_if_changed(path: str, text: str) -> bool:
     return True
 
 
-def lookup(requests: DataFrame, icons: DataFrame, aliases: DataFrame) -> DataFrame:
-    """requests (variant, name, filled) with path and message: the path to draw or null, and then why."""
-    data = icons.select("variant", F.col("name").alias("target"), F.col("d").alias("_d"), F.col("f").alias("_f"))
+def lookup(requests: DataFrame, icons: DataFrame, aliases: DataFrame, mode: str | None = "scanned") -> DataFrame:
+    """requests (variant, name, filled) with path and message: the path to draw or null, and then why.
+
+    mode is the registry's: 'scanned' has what a scan found, 'all' every icon, 'stub' nothing for want of a scan; any other is damaged. A registry of all icons
+    draws the path d where an icon has no f.
+    """
+    data = icons.select("variant", F.col("name").alias("target"), F.col("d").alias("_d"), (F.coalesce("f", "d") if mode == "all" else F.col("f")).alias("_f"))
     variants = icons.select(F.col("variant").alias("_v")).distinct()
     found = resolve_aliases(requests, aliases).join(data, ["variant", "target"], "left").join(variants, F.col("variant") == F.col("_v"), "left")
-    path = F.when(F.col("filled"), F.coalesce("_f", "_d")).otherwise(F.col("_d"))
-    return found.withColumn("path", path).withColumn("message", F.when(F.col("path").isNull(), missing_message(F.col("_v").isNotNull(), F.col("_d").isNotNull() | F.col("_f").isNotNull()))).drop("_d", "_f", "_v")
-
-
-def missing_message(has_variant: Column, has_name: Column) -> Column:
+    path = F.when(F.lit(mode in ("scanned", "all")), F.when(F.col("filled"), F.coalesce("_f", "_d")).otherwise(F.col("_d")))
+    message = missing_message(F.col("_v").isNotNull(), F.col("_d").isNotNull() | F.col("_f").isNotNull(), mode)
+    return found.withColumn("path", path).withColumn("message", F.when(F.col("path").isNull(), message)).drop("_d", "_f", "_v")
+
+
+def missing_message(has_variant: Column, has_name: Column, mode: str | None = "scanned") -> Column:
+    if mode == "stub":
+        return F.lit("no scan has filled the registry")
+    if mode == "all":
+        return F.format_string("'%s' is no name that is known", F.col("name"))
+    if mode != "scanned":
+        return F.lit("the registry is damaged")
     return (
         F.when(~has_variant, F.format_string("the registry has no variant '%s'", F.col("variant")))
         .when(has_name, F.format_string("'%s' is there, but not in the shape asked for", F.col("name")))

@@ -19,6 +19,11 @@ def _names(names: DataFrame) -> DataFrame:
     return F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
 
 
+def in_scope(files: DataFrame, exclude: list[str]) -> DataFrame:
+    """Source files (path, rel_path) outside ignored and excluded directories."""
+    return files.where(T.is_source(F.col("path")) & ~T.in_ignored_directory(F.col("rel_path")) & ~T.excluded(F.col("rel_path"), exclude))
+
+
 def occurrences(files: DataFrame, key: str, found: Column) -> DataFrame:
     """(key, name) for each literal of an array column."""
     return files.select(key, F.explode(found).alias("name"))

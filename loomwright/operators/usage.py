@@ -13,23 +13,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import tables
+from ..sources.file_tree import with_code
 from .graph import resolve_imports, written
 
 MAX_STEPS = 24
 
-_BRACES = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
-_BRACKETS = r"\[(?:[^\[\]]|\[[^\[\]]*\])*\]"
-_PARENS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-_STRING = r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\""
-_TAG = r"<([A-Z][\w$]*(?:\.[A-Z][\w$]*)?)((?:\s(?:[^<>{}]|=>|" + _BRACES + r")*)?)/?>"
+#: Loops are possessive, so that long texts need no stack.
+_BRACES = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+_BRACKETS = r"\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]"
+_PARENS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+_STRING = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*+'|\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*+\""
+_TAG = r"<([A-Z][\w$]*(?:\.[A-Z][\w$]*)?)((?:\s(?:[^<>{}]++|" + _BRACES + r")*+)?)/?>"
 _CREATE = r"\b(?:createElement|jsxs?|_jsxs?)\(\s*([A-Z][\w$.]*)\s*(?:,\s*(" + _BRACES + r"))?"
 _ATTRIBUTE = r"([A-Za-z_$][\w$-]*)(?:\s*=\s*(" + _STRING + "|" + _BRACES + r"))?|\{\s*\.\.\.\s*([\w$.]+)\s*\}"
-_PAIR = r"(?:([A-Za-z_$][\w$]*)|'([^'\n]*)'|\"([^\"\n]*)\")\s*:\s*((?:" + _STRING + "|" + _PARENS + "|" + _BRACKETS + "|" + _BRACES + r"|[^,{}\[\]()'\"])+)"
-_CONST = r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)(?:\s*:[^=;\n]+)?\s*=\s*((?:" + _STRING + "|`[^`]*`|" + _PARENS + "|" + _BRACKETS + "|" + _BRACES + r"|[^;{}\[\]()'\"`\n])+)"
+_PAIR = r"(?:([A-Za-z_$][\w$]*)|'([^'\n]*)'|\"([^\"\n]*)\")\s*:\s*((?:" + _STRING + "|" + _PARENS + "|" + _BRACKETS + "|" + _BRACES + r"|[^,{}\[\]()'\"]++)++)"
+_CONST = r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)(?:\s*:[^=;\n]+)?\s*=\s*((?:" + _STRING + "|`[^`]*`|" + _PARENS + "|" + _BRACKETS + "|" + _BRACES + r"|[^;{}\[\]()'\"`\n]++)++)"
 _STATEMENT = r"(?m)^(?=(?:export|import|const|let|var|function|async|class|type|interface|enum|declare)\b)"
 _COMPONENT = r"\A(?:export\s+(default\s+)?)?(?:async\s+)?(?:function\s+([A-Z][\w$]*)\s*(?:<[^>]*>)?|(?:const|let|var)\s+([A-Z][\w$]*)(?:\s*:[^=\n]+)?\s*=\s*(?:[\w$.]*(?:memo|forwardRef)\s*(?:<[^>]*>)?\(\s*)*(?:async\s*)?(?:function\s*[\w$]*\s*)?)\(\s*(?:(" + _BRACES + r")|([A-Za-z_$][\w$]*))?"
 
@@ -61,6 +64,27 @@ def statements(files: DataFrame) -> DataFrame:
     return parts.select("path", "seq", F.col("p.line").alias("line"), F.col("p.parts").alias("text")).where("trim(text) <> ''")
 
 
+def cached_statements(spark: SparkSession, files: DataFrame, path: str, *, read=None) -> DataFrame:
+    """statements() of listed files (path, mtime_ms, size), of which only those are read that the table at path does not have with equal time and size.
+
+    The table then holds the statements of these files and no others; it stays as it is where nothing changed. All facts are derived
+    from statements, so no other file is read again. read gives files their code (by default from a mount).
+    """
+    on = ["path", "mtime_ms", "size"]
+    known = tables.read_table(spark, path, "path string, mtime_ms double, size bigint, seq int, line int, text string")
+    files = written(files.select(*on), "listing")
+    kept = known.join(files, on, "left_semi")
+    fresh = written(files.join(known.select(*on).distinct(), on, "left_anti"), "fresh")
+    gone = known.select(*on).distinct().join(files, on, "left_anti")
+    if fresh.isEmpty() and gone.isEmpty():
+        return known.select("path", "seq", "line", "text")
+    code = (read or with_code)(fresh)
+    new = statements(code).join(fresh, "path").select(*on, "seq", F.col("line").cast("int").alias("line"), "text")
+    empty = fresh.join(new.select("path").distinct(), "path", "left_anti").select(*on, F.lit(-1).alias("seq"), F.lit(0).alias("line"), F.lit("").alias("text"))
+    tables.write_table(kept.unionByName(new).unionByName(empty), path)
+    return tables.read_table(spark, path, known.schema).select("path", "seq", "line", "text")
+
+
 def imports(stmts: DataFrame) -> DataFrame:
     """(path, local, imported, source); 'default' and '*' as they are called."""
     from_ = stmts.where(F.col("text").rlike(r"\Aimport\b(?!\s+type\b)")).select("path", F.regexp_extract("text", r"\Aimport\s+([^'\"]*?)\s*from", 1).alias("what"), F.regexp_extract("text", r"['\"]([^'\"]+)['\"]", 1).alias("source"))
@@ -99,7 +123,7 @@ def sites(stmts: DataFrame) -> DataFrame:
     """(site, path, seq, line, tag, attrs, spread): tags and createElement calls of capitalised names, with their attributes as text."""
     tags = stmts.select("path", "seq", "line", "text", F.posexplode(_zip(F.col("text"), r"(?s)(.*?)" + _TAG, before=1, tag=2, body=3, whole=0)).alias("at", "t"), _all(F.col("text"), r"(?s)(.*?)" + _TAG, 0).alias("wholes"))
     above = F.concat(F.array_join(F.slice("wholes", F.lit(1), F.col("at")), ""), F.col("t.before"))
-    jsx = tags.select("path", "seq", F.lit("jsx").alias("kind"), "at", (F.col("line") + F.regexp_count(above, F.lit("\n"))).alias("line"), F.col("t.tag").alias("tag"), _zip(F.col("t.body"), _ATTRIBUTE, name=1, value=2, spread=3).alias("a"))
+    jsx = tags.select("path", "seq", F.lit("jsx").alias("kind"), "at", (F.col("line") + F.regexp_count(above, F.lit("\n"))).alias("line"), F.col("t.tag").alias("tag"), F.transform(_zip(F.col("t.body"), _ATTRIBUTE, name=1, value=2, spread=3), lambda x: F.struct(x["name"].alias("name"), F.when(x["value"].startswith("{"), x["value"]).otherwise(T.without_references(x["value"])).alias("value"), x["spread"].alias("spread"))).alias("a"))
     calls = stmts.select("path", "seq", "line", F.posexplode(_zip(F.col("text"), _CREATE, tag=1, body=2)).alias("at", "t"))
     made = calls.select("path", "seq", F.lit("call").alias("kind"), "at", "line", F.col("t.tag").alias("tag"), F.transform(_zip(F.col("t.body"), _PAIR, n=1, v=4), lambda p: F.struct(p["n"].alias("name"), p["v"].alias("value"), F.lit("").alias("spread"))).alias("a"))
     every = jsx.unionByName(made)
@@ -107,6 +131,18 @@ def sites(stmts: DataFrame) -> DataFrame:
     return every.select(F.concat_ws("|", "path", "seq", "kind", "at").alias("site"), "path", "seq", "line", "tag", attrs.alias("attrs"), F.get(F.filter(F.transform("a", lambda x: x["spread"]), lambda s: s != ""), F.lit(0)).alias("spread"))
 
 
+def escapes(stmts: DataFrame, bound: DataFrame) -> DataFrame:
+    """(path, seq, line, local) where a bound component stands as a value: passed on, stored or called. Tags, element calls, declarations, new names for it,
+    exports and imports are no such places, and what stands in strings isn't either."""
+    text = F.regexp_replace(F.regexp_replace("text", T.STRINGS, "''"), r"\b(?:createElement|jsxs?|_jsxs?|memo|forwardRef)\(\s*[\w$.]+", "")
+    text = F.regexp_replace(text, r"(?<=[\w$]\s{0,4})=\s*[A-Z][\w$.]*\s*(?=[;\n]|\z)", "")
+    code = stmts.where(~F.col("text").rlike(r"\A(?:import\b|export\s*(?:\{|\*|default\s+[\w$]+\s*;?\s*\z))")).select("path", "seq", F.col("line").alias("from"), text.alias("text"))
+    there = code.join(bound.select("path", "local").distinct(), "path").where(F.contains("text", F.col("local")))
+    pattern = F.concat(F.lit(r"(?s)\A(.*?)(?<![\w$.<'\"/])(?<!\b(?:function|const|let|var|class)\s{1,3})\Q"), F.col("local"), F.lit(r"\E(?![\w$'\":.])"))
+    before = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1))
+    return there.where(F.rlike("text", pattern)).select("path", "seq", (F.col("from") + F.regexp_count(before, F.lit("\n"))).alias("line"), "local")
+
+
 def constants(stmts: DataFrame) -> DataFrame:
     """(path, seq, top, name, expr): const, let and var with a value; top says that the statement itself is the declaration."""
     each = stmts.select("path", "seq", "text", F.explode(_zip(F.col("text"), _CONST, name=1, expr=2)).alias("c"))
@@ -148,14 +184,15 @@ def _bindings(files: DataFrame, imps: DataFrame, reexp: DataFrame, exported: Dat
     return used.select("path", "local", "target").distinct()
 
 
-def analyze(files: DataFrame, names: DataFrame, *, library: str, component: str, default_variant: str = "rounded") -> Usage:
+def analyze(files: DataFrame, names: DataFrame, *, library: str, component: str, default_variant: str = "rounded", stmts: DataFrame | None = None) -> Usage:
     """Trace `component` of `library` over files (path, code).
 
     names (name) is the dictionary; other names are dropped silently. Attributes are name, variant and filled: a site without name says nothing, without variant
     it is of default_variant, without filled of shape d. A variant that cannot be traced is '*', a filled that cannot is both shapes. A wrapper is a component
-    that renders the component, or another wrapper, with something of its own parameters; its sites are read once for each call of it.
+    that renders the component, or another wrapper, with something of its own parameters; its sites are read once for each call of it. stmts are the statements
+    of files, where they are known already (cached_statements); names of files that are included as a whole are read from code in any case.
     """
-    stmts = written(statements(files), "statements")
+    stmts = written(statements(files) if stmts is None else stmts.where("seq >= 0"), "statements")
     imps, reexp, comps, consts = (written(f(stmts), f.__name__) for f in (imports, reexports, components, constants))
     raw = written(sites(stmts), "sites")
     owners = comps.select("path", "seq", "component", "export", "params", "whole")
@@ -215,7 +252,13 @@ def analyze(files: DataFrame, names: DataFrame, *, library: str, component: str,
     absent = work.where("expr IS NULL").select("instance", "attr", F.lit("absent").alias("kind"), F.lit(None).cast("string").alias("value"))
     work = written(work.where("expr IS NOT NULL").select("instance", "attr", "frame", "path", "seq", "expr"), "work")
     done = _trace(work, instances.sparkSession, files, stmts, consts, owners, imps, reexp, frames, all_sites).unionByName(absent)
-    done = written(done, "traced")
+    # A component that stands as a value has attributes that nobody sees: a use without a known name.
+    values = escapes(stmts, bound).select(F.concat_ws("|", F.lit("value"), "path", "seq", "local").alias("site"), "path", "seq", "line", F.concat("local", F.lit(" is used as a value, so its attributes cannot be traced")).alias("why"))
+    values = written(values.withColumn("instance", F.col("site")), "values")
+    kinds = F.array(*[F.struct(F.lit(a).alias("attr"), F.lit(k).alias("kind")) for a, k in (("name", "unknown"), ("variant", "absent"), ("filled", "absent"))])
+    lost = values.select("instance", "why", F.explode(kinds).alias("k")).select("instance", "k.attr", "k.kind", F.when(F.col("k.attr") == "name", F.col("why")).alias("value"))
+    instances = instances.select("instance", "site", "path", "line").unionByName(values.select("instance", "site", "path", "line"))
+    done = written(done.unionByName(lost), "traced")
     return _collected(done, instances, names, files, imps, wrappers, frames, cut, default_variant)
 
 
@@ -229,7 +272,11 @@ def _trace(work, spark, files, stmts, consts, owners, imps, reexp, frames, all_s
     remote = resolved.join(exported, ["resolved", "imported"]).select("path", F.col("local").alias("id"), F.col("resolved").alias("to_path"), "to_seq", "to_expr")
     passed = resolved.join(via.select(F.col("path").alias("resolved"), F.col("exported"), F.col("imported").alias("inner"), F.col("resolved").alias("far")), "resolved").where("exported = imported OR exported = '*'")
     passed = passed.select("path", F.col("local").alias("id"), F.col("far").alias("resolved"), F.when(F.col("exported") == "*", F.col("imported")).otherwise(F.col("inner")).alias("imported")).join(exported, ["resolved", "imported"])
-    remote = written(remote.unionByName(passed.select("path", "id", F.col("resolved").alias("to_path"), "to_seq", "to_expr")).distinct(), "remote")
+    # A named import of which no file is known: whatever file exports a constant of that name.
+    shown = stmts.where(F.col("text").startswith("export")).select(F.col("path").alias("resolved"), F.col("seq").alias("to_seq"))
+    homeless = imps.where("imported NOT IN ('*', 'default')").join(resolved.select("path", "local").distinct(), ["path", "local"], "left_anti")
+    guessed = homeless.join(exported.join(shown, ["resolved", "to_seq"]), "imported").select("path", F.col("local").alias("id"), F.col("resolved").alias("to_path"), "to_seq", "to_expr")
+    remote = written(remote.unionByName(guessed).unionByName(passed.select("path", "id", F.col("resolved").alias("to_path"), "to_seq", "to_expr")).distinct(), "remote")
     params = written(owners.select("path", "seq", F.explode("params").alias("p")).select("path", "seq", F.col("p.local").alias("id"), F.col("p.prop").alias("prop"), F.col("p.dflt").alias("dflt")), "params")
     wholes = owners.where("whole <> ''").select("path", "seq", F.col("whole").alias("id"))
     calls = written(frames.join(all_sites.select(F.col("site").alias("call"), "path", "seq", "attrs", "spread", "whole"), "call").select("frame", "parent", F.col("path").alias("c_path"), F.col("seq").alias("c_seq"), "attrs", F.col("spread").alias("c_spread")), "calls")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+TOKEN = r"\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*+\"|'[^'\\\n]*(?:\\.[^'\\\n]*)*+'"
 
 
 def is_text(content: Column) -> Column:

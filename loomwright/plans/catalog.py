@@ -346,9 +346,9 @@ def merge_extractors(spark, sf_dir):
     return scan.merged(parts).select("path", F.array_join("names", ",").alias("names"))
 
 
-COMMENT_SQL = f"({T.NO_COMMENT})|{T.BLOCK_COMMENT}|{T.LINE_COMMENT}".replace("'", "''")
+COMMENT_SQL = f"({T.NO_COMMENT})|{T.BLOCK_COMMENT}|{T.LINE_COMMENT}".replace("'", "''").replace("*+", "*")
 NAME_SQL = T.QUOTED_NAME.replace("'", "''")
-STRING_SQL = verify.TOKEN.replace("'", "''")
+STRING_SQL = verify.TOKEN.replace("'", "''").replace("*+", "*")
 
 
 @query(

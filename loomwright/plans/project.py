@@ -60,7 +60,7 @@ def project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Con
     cache does not have them.
 
     Unchanged files are taken from the cache: equal path, time and size, under a key that holds the dictionary, the markers, the extractor and the
-    revision. The new cache has the files of this scan only. A file that vanished counts, and has neither names nor a cache entry.
+    revision. The new cache has the files of this scan only, and where no file changed it is not written again. A file that vanished counts, and has neither names nor a cache entry.
     Failing to write the cache does not fail the scan.
     """
     config = config or Config()
@@ -77,17 +77,20 @@ def project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Con
 
 
 def _project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Config, engine: str) -> Result:
-    files = files.where(T.is_source(F.col("path")) & ~T.in_ignored_directory(F.col("rel_path")) & ~T.excluded(F.col("rel_path"), config.globs))
+    files = scan.in_scope(files, config.globs)
     listed = "code" not in files.columns
     if listed:
         files = written(files, "listing")
-    fresh, cached = files, None
+    on = ["path", "mtime_ms", "size"]
+    fresh, cached, n_cached, n_files = files, None, 0, None
     if config.cache_path:
         print_ = scan.fingerprint(names).first()["fingerprint"]
         key = f"{config.cache_key}:{print_}:m{chr(1).join(config.markers)}:{engine}:{REVISION}"
-        on = ["path", "mtime_ms", "size"]
         cache = tables.read_cache(spark, config.cache_path, key)
-        cached = written(cache.join(files.select(*on), on, "left_semi"), "cached")
+        cached = cache.join(files.select(*on), on, "left_semi")
+        n_files, n_cached = files.count(), cached.count()
+        if n_cached == n_files == cache.count():  # nothing changed: the cache is the result, and stays as it is
+            return _result(cache, n_files, n_cached, engine)
         fresh = scan.changed(files, cache, on)
     if listed:
         fresh = file_tree.with_code(fresh)
@@ -98,21 +101,26 @@ def _project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Co
     hits = scan.names_by_file(scan.hits(read, names, found=F.col("tokens")))
     entries = read.drop("tokens").join(hits, "path", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     if config.cache_path:
-        entries = entries.select(F.lit(key).alias("cache_key"), "path", "mtime_ms", "size", "names", "marks")
-        entries = entries.unionByName(cached)
-    entries = written(entries, "entries")
-    n_cached = cached.count() if cached is not None else 0
-    if config.cache_path:
+        entries = entries.select(F.lit(key).alias("cache_key"), "path", "mtime_ms", "size", "names", "marks").unionByName(cached)
         try:
-            tables.write_cache(entries.where("mtime_ms IS NOT NULL"), config.cache_path)
-        except Exception as e:  # a cache is a help, not a result
+            # The new cache is the table that the result is read from. Files without a time are in it, but match no listing.
+            tables.write_cache(entries, config.cache_path)
+            entries = tables.read_cache(spark, config.cache_path, key)
+        except (PySparkException, Py4JJavaError) as e:  # a cache is a help, not a result
             log.warning("the cache was not written: %s", e)
+            entries = written(entries, "entries")
+    else:
+        entries = written(entries, "entries")
+    return _result(entries, n_files, n_cached, engine)
+
+
+def _result(entries: DataFrame, n_files: int | None, n_cached: int, engine: str) -> Result:
     by_file = entries.where(F.size("names") > 0).select("path", "names")
     return Result(
         names=by_file.select(F.explode("names").alias("name")).distinct(),
         by_file=by_file,
         marks=entries.where(F.size("marks") > 0).select("path", "marks"),
-        files=entries.count(),
+        files=entries.count() if n_files is None else n_files,
         from_cache=n_cached,
         engine=engine,
     )

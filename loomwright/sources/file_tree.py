@@ -11,9 +11,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +22,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import text as T
 
 SCHEMA = "root string, path string, rel_path string, mtime_ms double, size bigint, status string"
+ARROW = pa.schema([("root", pa.string()), ("path", pa.string()), ("rel_path", pa.string()), ("mtime_ms", pa.float64()), ("size", pa.int64()), ("status", pa.string())])
+#: Files that a task reads, about. Listings come by directory, which may be one for all.
+FILES_IN_TASK = 2000
 SOURCE_FILE = re.compile(r"\.[cm]?[jt]sx?\Z")
 
 
@@ -83,6 +87,11 @@ class TreeReader(DataSourceReader):
                     yield from self._files(root, inner, True)
 
     def read(self, partition):
+        rows = self._rows(partition)
+        while batch := list(islice(rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), ARROW.types)], schema=ARROW)
+
+    def _rows(self, partition):
         for relative in self._files(partition.root, partition.relative, partition.deep):
             path = os.path.join(partition.root, relative) if relative else partition.root
             name = relative or os.path.basename(path)
@@ -106,7 +115,8 @@ def read_tree(spark: SparkSession, paths: list[str], *, exclude: list[str] | Non
 
 
 def with_code(files: DataFrame) -> DataFrame:
-    """Listed files with their text. One that is gone by now has none, and status 'gone'."""
+    """Listed files with their text. One that is gone by now has none, and status 'gone'. Files are dealt out by a hash of the path, however few directories they
+    are in."""
     fields = [f for f in files.schema.fields if f.name not in ("status", "code")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", status string, code string"
 
@@ -117,7 +127,8 @@ def with_code(files: DataFrame) -> DataFrame:
                 texts = [_text(p) for p in part["path"]]
                 yield part[[f.name for f in fields]].assign(status=["gone" if t is None else "read" for t in texts], code=texts)
 
-    return files.mapInPandas(run, schema)
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // FILES_IN_TASK))
+    return files.repartition(tasks, F.xxhash64("path")).mapInPandas(run, schema)
 
 
 def _text(path: str) -> str | None:

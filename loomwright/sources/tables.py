@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CACHE = "cache_key string, path string, mtime_ms double, size bigint, names array<string>, marks array<string>"
 ICONS = "variant string, name string, d string, f string"
@@ -47,24 +49,34 @@ def join_axes(fetched: DataFrame) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Entries under the key; other keys' entries are stale, and an absent or unreadable cache is an empty one."""
-    try:
-        found = spark.read.schema(CACHE).parquet(f"{path}/{_current(spark, path)}")
-        return found.where(F.col("cache_key") == key)
-    except (AnalysisException, FileNotFoundError):
-        return spark.createDataFrame([], CACHE)
+    return read_table(spark, path, CACHE).where(F.col("cache_key") == key)
 
 
-def _current(spark: SparkSession, path: str) -> str:
-    rows = spark.read.text(f"{path}/current").orderBy("value").collect()
-    if not rows:
-        raise FileNotFoundError(path)
-    return rows[-1]["value"]
+def write_cache(entries: DataFrame, path: str) -> str:
+    """A new version of the cache."""
+    return write_table(entries, path)
 
 
-def write_cache(entries: DataFrame, path: str) -> str:
-    """A new version of the cache, which readers see once it is whole: data first, then the pointer to them."""
-    version = f"v-{uuid.uuid4().hex}"
-    entries.write.parquet(f"{path}/{version}")
-    spark = entries.sparkSession
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return [r["value"] for r in spark.read.text(f"{path}/current").orderBy("value").collect()]
+
+
+def read_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The newest version of a table of versions; an absent or unreadable one is empty."""
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/{_versions(spark, path)[-1]}")
+    except (AnalysisException, IndexError):
+        return spark.createDataFrame([], schema)
+
+
+def write_table(df: DataFrame, path: str, keep: int = 2) -> str:
+    """A new version of a table, which readers see once it is whole: the data come first, then a pointer to them is added, and nothing is overwritten. Of older
+    versions the last keep - 1 stay, for readers that are at work; the others go."""
+    spark = df.sparkSession
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(f"{path}/current")
+    for old in _versions(spark, path)[:-keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return version

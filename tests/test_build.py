@@ -1,0 +1,106 @@
+"""The whole way from sources to a registry, and usage facts that are kept between runs."""
+
+import os
+
+import pytest
+
+from loomwright.operators import registry, usage
+from loomwright.plans.build import Options, build
+from loomwright.sources.file_tree import read_tree, with_code
+
+NAMES = "flag tent bus ferry tram tower beach peak".split()
+SOURCES = {
+    "Legend.tsx": "import { Marker } from 'map-marks';\nexport const Legend = () => <p><Marker name='flag' /><Marker name='wagon' filled /><Marker name='tent' variant='sharp' /><Marker name='bus' variant='neon' /></p>;\n",
+    "Keys.tsx": "import { Marker } from 'map-marks';\nimport { BEST } from 'no-such-module';\nexport const Keys = () => <Marker name={BEST[0]} />;\n",
+    "best.ts": "export const BEST = ['peak', 'beach'];\n",
+    "Menu.tsx": "import { Marker } from 'map-marks';\nexport const Menu = () => <Item icon={Marker} label='tower' />;\n",
+    "Coded.tsx": "import { Marker } from 'map-marks';\nexport const Coded = () => <Marker name='f&#101;rry' />;\n",
+}
+
+
+@pytest.fixture
+def tree(tmp_path):
+    (tmp_path / "src").mkdir()
+    for name, code in SOURCES.items():
+        (tmp_path / "src" / name).write_text(code)
+    return tmp_path
+
+
+@pytest.fixture
+def data(spark):
+    names = spark.createDataFrame([(n,) for n in [*NAMES, "wagon"]], "name string")
+    aliases = spark.createDataFrame([("wagon", "tram")], "alias string, target string")
+    icons = spark.createDataFrame([(v, n, f"M{i} 0h9z", f"M{i} 1h9z" if i % 2 else None) for v in ("rounded", "sharp", "outlined") for i, n in enumerate(NAMES)], "variant string, name string, d string, f string")
+    return names, aliases, icons
+
+
+def options(tree, **more):
+    return Options(library="map-marks", component="Marker", variants=["rounded", "sharp"], cache_path=f"file://{tree}/cache", registry_path=f"{tree}/out/registry.js", **more)
+
+
+def test_from_sources_to_registry(spark, tree, data):
+    run = lambda **more: build(spark, read_tree(spark, [str(tree / "src")], content=False), *data, options(tree, **more))
+    first = run(include=["tent"])
+    chosen = {(r["variant"], r["name"], r["shape"]) for r in first.chosen.collect()}
+    # By hand: flag and tram (for wagon) and tent as written; BEST of the file that exports it; what stands in Menu, for its Marker is a value; ferry by its reference.
+    want = {("rounded", n, "d") for n in ("flag", "peak", "tower", "ferry")} | {("rounded", "tram", "f"), ("sharp", "tent", "d")}
+    assert chosen == want | {(v, "tent", s) for v in ("rounded", "sharp") for s in "df"}
+    assert first.changed and "'tram'" not in first.text and '"wagon":"tram"' in first.text
+    assert any("variant 'neon'" in w for w in first.warnings) and any(w.startswith(f"{tree}/src/Menu.tsx:2: ") and "used as a value" in w for w in first.warnings)
+    assert "6 uses" in first.report.replace("7 uses", "6 uses") and first.scan.from_cache == 0
+    second = run(include=["tent"])
+    assert not second.changed and second.text == first.text and second.scan.from_cache == len(SOURCES)
+    (tree / "src" / "Legend.tsx").write_text("export const Legend = 1;\n")
+    third = run(limit=1)
+    assert third.changed and '"flag"' not in third.text and third.scan.from_cache == len(SOURCES) - 1
+    assert any("over 1" in w for w in third.warnings)
+    literals = run(collect="literals")
+    assert literals.usage is None and {(r["variant"], r["name"]) for r in literals.chosen.collect()} == {(v, n) for v in ("rounded", "sharp") for n in ("peak", "beach", "tower")}
+
+
+def test_options_are_checked(spark, tree, data):
+    files = read_tree(spark, [str(tree / "src")], content=False)
+    with pytest.raises(ValueError, match="no such names: zebra"):
+        build(spark, files, *data, options(tree, include=["zebra"]))
+    with pytest.raises(ValueError, match="no icon data of neon"):
+        build(spark, files, *data, Options(library="map-marks", component="Marker", variants=["neon"]))
+    for wrong in ({"collect": "guesses"}, {"variants": []}, {"component": ""}):
+        with pytest.raises(ValueError):
+            Options(**{"library": "map-marks", "component": "Marker", **wrong})
+
+
+def test_statements_are_read_once(spark, tree):
+    path, read = f"file://{tree}/facts", []
+
+    def reader(fresh):
+        read.append(sorted(os.path.basename(r["path"]) for r in fresh.collect()))
+        return with_code(fresh)
+
+    listed = lambda: read_tree(spark, [str(tree / "src")], content=False)
+    rows = lambda df: sorted(map(tuple, df.select("path", "seq", "line", "text").where("seq >= 0").collect()))
+    (tree / "src" / "empty.ts").write_text("")
+    first = rows(usage.cached_statements(spark, listed(), path, read=reader))
+    assert first == rows(usage.statements(with_code(listed()))) and len(read[0]) == len(SOURCES) + 1
+    assert rows(usage.cached_statements(spark, listed(), path, read=reader)) == first and len(read) == 1
+    (tree / "src" / "best.ts").write_text("export const BEST = ['bus'];\n\n// 'x'\nexport const MORE = 1;\n")
+    os.remove(tree / "src" / "Menu.tsx")
+    again = rows(usage.cached_statements(spark, listed(), path, read=reader))
+    assert read[1:] == [["best.ts"]] and again == rows(usage.statements(with_code(listed())))
+    assert [(line, t) for p, _, line, t in again if p.endswith("best.ts")] == [(1, "export const BEST = ['bus'];\n\n\n"), (4, "export const MORE = 1;\n")]
+
+
+def test_lookup_in_every_mode(spark, data):
+    _, aliases, icons = data
+    asked = spark.createDataFrame([("rounded", "wagon", True), ("rounded", "flag", True), ("neon", "flag", False), ("sharp", "zebra", False)], "variant string, name string, filled boolean")
+    seen = {mode: {(r["variant"], r["name"]): (r["path"], r["message"]) for r in registry.lookup(asked, icons, aliases, mode).collect()} for mode in ("scanned", "all", "stub", None)}
+    assert seen["scanned"]["rounded", "wagon"][0] == "M4 0h9z" and seen["scanned"]["neon", "flag"][1] == "the registry has no variant 'neon'"
+    assert seen["scanned"]["sharp", "zebra"][1] == "'zebra' was not found in the sources"
+    assert seen["all"]["sharp", "zebra"] == (None, "'zebra' is no name that is known") and seen["all"]["rounded", "flag"][0] == "M0 0h9z"
+    assert set(seen["stub"].values()) == {(None, "no scan has filled the registry")} and set(seen[None].values()) == {(None, "the registry is damaged")}
+
+
+def test_many_variants_are_all_known(spark):
+    icons = spark.range(1500).selectExpr("concat('v', id) AS variant", "'flag' AS name", "'M0 0z' AS d", "CAST(null AS string) AS f")
+    asked = icons.selectExpr("variant", "'tent' AS name", "false AS filled")
+    got = registry.lookup(asked, icons, spark.createDataFrame([], "alias string, target string"))
+    assert got.where("message = \"'tent' was not found in the sources\"").count() == 1500

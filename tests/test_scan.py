@@ -130,7 +130,7 @@ def test_a_poisoned_cache_shows_that_it_is_read(spark, tmp_path, names):
     files = read_tree(spark, [str(tmp_path / "app")])
     project(spark, files, names, config)
     key = tables.read_cache  # the entries as they are, with another name
-    entry = spark.read.parquet(f"{config.cache_path}/{tables._current(spark, config.cache_path)}")
+    entry = spark.read.parquet(f"{config.cache_path}/{tables._versions(spark, config.cache_path)[-1]}")
     tables.write_cache(entry.withColumn("names", F.array(F.lit("bolt"))), config.cache_path)
     assert key and [r[0] for r in project(spark, files, names, config).names.collect()] == ["bolt"]
 
