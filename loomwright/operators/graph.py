@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Endings that a relative import may leave out, in the order in which they are tried.
@@ -13,10 +13,9 @@ ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/inde
 EXTENSION = r"\.[cm]?[jt]sx?\z"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that the cluster shares (spark.checkpoint.dir), so that lineage ends there. Where that is unset, a temporary folder
-    of this machine does for a local master; on a cluster it is an error."""
-    spark = df.sparkSession
+def shared_tables(spark: SparkSession) -> str:
+    """The folder of this application's tables between steps, below the one that the cluster shares (spark.checkpoint.dir). Where that is unset, a temporary folder of
+    this machine does for a local master; on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
@@ -26,7 +25,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
         folder = "file://" + tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove all tables between steps of this application. For when its results have been written: what is not computed yet still reads them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_tables(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -106,3 +107,14 @@ def test_contained_like_brute_force(spark):
     parts = [(i, t[k : k + n]) for i, (t, k, n) in enumerate((rng.choice(texts)[1], rng.randrange(60), rng.choice([2, 9, 20, 45])) for _ in range(40))]
     got = graph.contained(spark.createDataFrame(texts, "text_id bigint, text string"), spark.createDataFrame(parts, "part_id bigint, part string"))
     assert {tuple(r) for r in got.collect()} == {(a, b) for a, t in texts for b, p in parts if p in t}
+
+
+def test_tables_between_steps_can_be_dropped(spark):
+    from loomwright.operators import graph
+
+    kept = graph.written(spark.range(5), "five")
+    assert kept.count() == 5
+    folder = graph.shared_tables(spark).removeprefix("file://")
+    assert os.listdir(folder)
+    graph.drop_tables(spark)
+    assert not os.path.exists(folder)
