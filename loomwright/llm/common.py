@@ -26,8 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_table(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/loomwright/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table in the shared folder, among this application's tables."""
+    return f"{shared_dir(spark)}/loomwright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove all tables of this application that durable() wrote. For when its results have been written: what is not computed yet still reads them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomwright/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
