@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+import time
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -53,6 +54,7 @@ class Result:
     from_cache: int
     engine: str
     fallback_reason: str | None = None
+    seconds: dict[str, float] = field(default_factory=dict)  # by phase: list, match with the cache, read, aggregate
 
 
 def project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Config | None = None) -> Result:
@@ -78,9 +80,16 @@ def project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Con
 
 def _project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Config, engine: str) -> Result:
     files = scan.in_scope(files, config.globs)
+    clock, seconds = [time.perf_counter()], {}
+
+    def phase(name: str) -> None:
+        clock.append(time.perf_counter())
+        seconds[name] = clock[-1] - clock[-2]
+
     listed = "code" not in files.columns
     if listed:
         files = written(files, "listing")
+    phase("list")
     on = ["path", "mtime_ms", "size"]
     fresh, cached, n_cached, n_files = files, None, 0, None
     if config.cache_path:
@@ -90,14 +99,17 @@ def _project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Co
         cached = cache.join(files.select(*on), on, "left_semi")
         n_files, n_cached = files.count(), cached.count()
         if n_cached == n_files == cache.count():  # nothing changed: the cache is the result, and stays as it is
-            return _result(cache, n_files, n_cached, engine)
+            phase("match")
+            return _result(cache, n_files, n_cached, engine, seconds)
         fresh = scan.changed(files, cache, on)
+    phase("match")
     if listed:
         fresh = file_tree.with_code(fresh)
     # One pass over the code: markers, and the quoted tokens that may be names. A file without any quoted token is not read more closely.
     quoted = T.literals(F.col("code"))
     found = quoted if engine == "quoted" else F.when(F.size(quoted) > 0, T.value_literals(F.col("code"), F.col("path"))).otherwise(quoted)
     read = written(fresh.select("path", "mtime_ms", "size", T.markers(F.col("code"), config.markers).alias("marks"), found.alias("tokens")), "read")
+    phase("read")
     hits = scan.names_by_file(scan.hits(read, names, found=F.col("tokens")))
     entries = read.drop("tokens").join(hits, "path", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     if config.cache_path:
@@ -111,10 +123,11 @@ def _project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Co
             entries = written(entries, "entries")
     else:
         entries = written(entries, "entries")
-    return _result(entries, n_files, n_cached, engine)
+    phase("aggregate")
+    return _result(entries, n_files, n_cached, engine, seconds)
 
 
-def _result(entries: DataFrame, n_files: int | None, n_cached: int, engine: str) -> Result:
+def _result(entries: DataFrame, n_files: int | None, n_cached: int, engine: str, seconds: dict[str, float]) -> Result:
     by_file = entries.where(F.size("names") > 0).select("path", "names")
     return Result(
         names=by_file.select(F.explode("names").alias("name")).distinct(),
@@ -123,4 +136,5 @@ def _result(entries: DataFrame, n_files: int | None, n_cached: int, engine: str)
         files=entries.count() if n_files is None else n_files,
         from_cache=n_cached,
         engine=engine,
+        seconds=seconds,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -47,6 +48,27 @@ def join_axes(fetched: DataFrame) -> DataFrame:
     return both.where("`default` IS NOT NULL AND fill IS NOT NULL").select("variant", "name", F.col("default").alias("d"), F.nullif("fill", "default").alias("f"))
 
 
+def write_icons(icons: DataFrame, path: str) -> None:
+    """Icon data as JSON lines in the order of variant and name, without f where it is null. icon_data() reads them."""
+    icons.select("variant", "name", "d", "f").repartitionByRange("variant", "name").sortWithinPartitions("variant", "name").write.json(path)
+
+
+def summary(icons: DataFrame, names: DataFrame) -> DataFrame:
+    """(what, n): icons of each variant, and names of each kind of a dictionary()."""
+    counts = lambda df, c: df.groupBy(F.col(c).alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return counts(icons, "variant").unionByName(counts(names, "kind"))
+
+
+def names_module(names: DataFrame, aliases: DataFrame, most: int = 2_000_000) -> str:
+    """A module of the names by kind, and of aliases, in order. A dictionary is small; one of more than most names is refused."""
+    rows = names.select("kind", "name").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a dictionary of more than {most} names is no module")
+    kinds = {k: sorted(r["name"] for r in rows if r["kind"] == k) for k in ("symbol", "legacy")}
+    known = dict(sorted((r["alias"], r["target"]) for r in aliases.collect()))
+    return "".join(f"export const {k} = {json.dumps(v, separators=(',', ':'))};\n" for k, v in [("symbols", kinds["symbol"]), ("legacy", kinds["legacy"]), ("aliases", known)])
+
+
 def read_cache(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Entries under the key; other keys' entries are stale, and an absent or unreadable cache is an empty one."""
     return read_table(spark, path, CACHE).where(F.col("cache_key") == key)

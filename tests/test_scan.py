@@ -118,6 +118,11 @@ def test_cold_warm_and_changed(spark, tmp_path, names):
     os.remove(tmp_path / "app/c.ts")
     second = project(spark, tree(), names, config)
     assert (second.files, second.from_cache) == (2, 1) and sorted(r[0] for r in second.names.collect()) == ["close", "star"]
+    assert {"list", "match", "read", "aggregate"} == set(second.seconds)
+    versions = sorted(os.listdir(tmp_path / "cache"))
+    again = project(spark, tree(), names, config)
+    assert (again.files, again.from_cache) == (2, 2) and set(again.seconds) == {"list", "match"} and sorted(r[0] for r in again.names.collect()) == ["close", "star"]
+    assert sorted(os.listdir(tmp_path / "cache")) == versions  # nothing changed, nothing was written
     third = project(spark, tree(), names.limit(3), config)  # another dictionary: nothing of the cache holds
     assert third.from_cache == 0
 
@@ -135,6 +140,34 @@ def test_a_poisoned_cache_shows_that_it_is_read(spark, tmp_path, names):
     assert key and [r[0] for r in project(spark, files, names, config).names.collect()] == ["bolt"]
 
 
+def test_versions_of_a_table(spark, tmp_path):
+    from loomwright.sources import tables
+
+    path = f"file://{tmp_path}/t"
+    assert tables.read_table(spark, path, "id bigint").count() == 0
+    for n in (1, 2, 3, 4):
+        tables.write_table(spark.range(n), path)
+        assert tables.read_table(spark, path, "id bigint").count() == n
+    assert sum(x.startswith("v-") for x in os.listdir(tmp_path / "t")) == 2
+
+
+def test_icon_data_and_names_go_out_and_come_back(spark, tmp_path):
+    from loomwright.sources import tables
+
+    icons = spark.createDataFrame([("sharp", "b", "M1 1z", None), ("rounded", "c", "M2 2z", "M3 3z"), ("rounded", "a", "M4 4z", None)], tables.ICONS)
+    tables.write_icons(icons, f"file://{tmp_path}/icons")
+    lines = [x for f in sorted((tmp_path / "icons").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[0] == '{"variant":"rounded","name":"a","d":"M4 4z"}' and len(lines) == 3
+    assert sorted(map(str, tables.icon_data(spark, f"file://{tmp_path}/icons").collect())) == sorted(map(str, icons.collect()))
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    aliases = spark.createDataFrame([("z", "a")], "alias string, target string")
+    known = tables.dictionary(one("b", "a"), aliases, one("old", "a"))
+    assert tables.names_module(known, aliases) == 'export const symbols = ["a","b"];\nexport const legacy = ["old"];\nexport const aliases = {"z":"a"};\n'
+    assert {r["what"]: r["n"] for r in tables.summary(icons, known).collect()} == {"rounded": 2, "sharp": 1, "symbol": 2, "alias": 1, "legacy": 1}
+    with pytest.raises(ValueError):
+        tables.names_module(known, aliases, most=2)
+
+
 def test_unknown_extractor_is_refused():
     with pytest.raises(ValueError):
         Config(extractor="none")
