@@ -20,6 +20,7 @@ Nothing but DataFrame expressions is used.
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -37,14 +38,8 @@ FEW_CELLS = 50_000
 #: Bounded raking ends when less than this share of the sample is not where the targets are.
 CALIBRATED = 1e-6
 WORD = r"[^\x20\x09-\x0D]+"
-#: What speaks for a topic: marks that are counted as they stand. Plain strings, which are found many times faster than patterns.
-TOPICS: dict[str, tuple[str, ...]] = {
-    "legal": ("icense", "icence", "opyright", "arranty", "WARRANTY", "ermission", "ublic domain"),
-    "contact": ("@", "http://", "https://", "www.", "+1 (", "(0)"),
-    "table": (" | ", "\t"),
-    "code": ("{", "}", ";\n", "=>", "==", "()"),
-    "noise": ("**", "##", "!!", "??", "__", "~~"),
-}
+#: What speaks for a topic: marks that are counted as they stand.
+TOPICS: dict[str, tuple[str, ...]] = {"legal": ("icense", "opyright"), "contact": ("@", "://"), "table": (" | ",), "code": ("{", "=>"), "noise": ("**", "##", "!!")}
 PLAIN = "prose"
 #: A topic needs so many marks for a hundred words.
 DENSITY = 1.0
@@ -66,9 +61,11 @@ def topic_of(text: Column, topics: Mapping[str, Sequence[str]] = TOPICS, density
     Of equals the first in the order of topics. A null text has no marks.
     """
     t = F.coalesce(text, F.lit(""))
+    any_mark = "|".join(re.escape(m) for marks in topics.values() for m in marks)  # one look at the text tells those without any mark
     names = F.array(*map(F.lit, topics))
     counted = F.array(F.struct(F.array(*[n_marks(t, marks) for marks in topics.values()]).alias("hits"), n_words(text).alias("n")))  # each count once
-    return F.transform(counted, lambda x: F.when((F.array_max(x["hits"]) > 0) & (F.array_max(x["hits"]) * 100 >= x["n"] * density), F.get(names, F.array_position(x["hits"], F.array_max(x["hits"])).cast("int") - 1)).otherwise(F.lit(PLAIN)))[0]
+    densest = F.transform(counted, lambda x: F.when((F.array_max(x["hits"]) > 0) & (F.array_max(x["hits"]) * 100 >= x["n"] * density), F.get(names, F.array_position(x["hits"], F.array_max(x["hits"])).cast("int") - 1)).otherwise(F.lit(PLAIN)))[0]
+    return F.when(t.rlike(any_mark), densest).otherwise(F.lit(PLAIN))
 
 
 def uniform(id_: Column, seed: str) -> Column:
@@ -103,7 +100,7 @@ def _step(w: DataFrame, d: str, bounded: bool, few: bool) -> DataFrame:
     return w if few else durable(w, "raked")
 
 
-def _rounds(w: DataFrame, dims: Sequence[str], rounds: int, bounded: bool, few: bool, per_step: int = 4) -> DataFrame:
+def _rounds(w: DataFrame, dims: Sequence[str], rounds: int, bounded: bool, few: bool, per_step: int = 8) -> DataFrame:
     """So many rounds over dims. The table is written after every per_step rounds (each step where cells are many), which keeps plans short."""
     for i in range(rounds):
         for d in dims:
@@ -113,10 +110,18 @@ def _rounds(w: DataFrame, dims: Sequence[str], rounds: int, bounded: bool, few:
     return durable(w, "raked").coalesce(1) if few else w
 
 
-def _off(w: DataFrame, dims: Sequence[str]) -> float:
+def _off(w: DataFrame, dims: Sequence[str], few: bool) -> float:
     """The largest share of a dimension's tokens that is not where its goals are."""
-    found = [w.groupBy(d).agg(F.sum(F.col("tokens") * F.least("p", F.lit(1.0))).alias("s"), F.first(f"t_{d}").alias("t")).agg(F.sum(F.abs(F.col("s") - F.col("t"))).alias("off"), F.sum("t").alias("t")).first() for d in dims]
-    return max((r["off"] / r["t"] for r in found if r["t"]), default=0.0)
+    drawn = F.col("tokens") * F.least("p", F.lit(1.0))
+    if few:  # in one partition: by windows, and each category's row counts for a part of it
+        by = {d: Window.partitionBy(d) for d in dims}
+        w = w.withColumns({f"_s_{d}": F.sum(drawn).over(by[d]) for d in dims} | {f"_n_{d}": F.count(F.lit(1)).over(by[d]) for d in dims})
+        parts = [x for d in dims for x in (F.sum(F.abs(F.col(f"_s_{d}") - F.col(f"t_{d}")) / F.col(f"_n_{d}")), F.sum(F.col(f"t_{d}") / F.col(f"_n_{d}")))]
+        found = list(w.agg(*parts).first())
+        found = list(zip(found[::2], found[1::2]))
+    else:
+        found = [tuple(w.groupBy(d).agg(F.sum(drawn).alias("s"), F.first(f"t_{d}").alias("t")).agg(F.sum(F.abs(F.col("s") - F.col("t"))), F.sum("t")).first()) for d in dims]
+    return max((off / t for off, t in found if t), default=0.0)
 
 
 def rake(cells: DataFrame, dims: Sequence[str], exact: Sequence[str], rounds: int, few: bool) -> DataFrame:
@@ -128,17 +133,17 @@ def rake(cells: DataFrame, dims: Sequence[str], exact: Sequence[str], rounds: in
     top = plain.agg(F.max("p")).first()[0]
     if top is None or top <= 1:
         return plain
-    off = _off(w, dims)
+    off = _off(w, dims, few)
     while off > CALIBRATED:
         before = off
         w = _rounds(w, dims, 8, True, few)
-        off = _off(w, dims)
+        off = _off(w, dims, few)
         if off > 0.9 * before:
             break
     w = _rounds(w, dims[-1:], 4, True, few)
     if off > 0.01:
         log.warning("targets exclude each other within the bounds: %.1f %% of a dimension's tokens are not where its targets are", 100 * off)
-    if exact and _off(w, exact) > 100 * CALIBRATED:
+    if exact and _off(w, exact, few) > 100 * CALIBRATED:
         w = plain.withColumn("p", F.col("p") / F.lit(top))
     return w.withColumn("p", F.least("p", F.lit(1.0)))
 

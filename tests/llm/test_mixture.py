@@ -62,7 +62,7 @@ def test_given_targets(documents, rows):
 
 
 def test_topics_are_the_densest_marks(documents):
-    texts = [None, "", "word " * 300 + "a | b", "word " * 50 + "a | b", "x | y ** z", "x | y ** z **** v", "Permission; and copyright", "mail a.b@c.org or +1 (743) 5", "f() => {}", "é@ alone", "a\tb"]
+    texts = [None, "", "word " * 300 + "a | b", "word " * 50 + "a | b", "x | y ** z", "x | y ** z **** v", "Permission; and copyright", "mail a.b@c.org or so", "f => {}", "é@ alone", "a | b ## c"]
     got = {r["doc_id"]: r["t"] for r in documents(*enumerate(texts)).select("doc_id", M.topic_of(F.col("text")).alias("t")).collect()}
     assert [got[i] for i in range(len(texts))] == ["prose", "prose", "prose", "table", "table", "noise", "legal", "contact", "code", "contact", "table"]
 
