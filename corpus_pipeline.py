@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import byte_bpe, exact_dedup, mixture, near_dup, toxicity
-from loomwright.llm.common import durable, held_out, table
+from loomwright.llm.common import durable, held_out, own_name, renamed, restored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that are predicted toxic. A null or empty text has no words to be rejected for."""
-    own = docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns})  # a column named score or predicted stays
-    scored = toxicity.detect(own, table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "d_doc_id"), learn=~held_out(F.col("d_doc_id")), id_col="d_doc_id", text_col="d_text")
-    kept = scored.where("predicted = 0 OR coalesce(trim(d_text), '') = ''")
-    return kept.select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
+    doc_id, text = own_name(docs, "doc_id"), own_name(docs, "text")
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", doc_id)
+    scored = toxicity.detect(renamed(docs), labels, learn=~held_out(F.col(doc_id)), id_col=doc_id, text_col=text)
+    return restored(scored.where(f"predicted = 0 OR coalesce(trim({text}), '') = ''"), docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
