@@ -20,7 +20,6 @@ Nothing but DataFrame expressions is used.
 from __future__ import annotations
 
 import logging
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -61,11 +60,11 @@ def topic_of(text: Column, topics: Mapping[str, Sequence[str]] = TOPICS, density
     Of equals the first in the order of topics. A null text has no marks.
     """
     t = F.coalesce(text, F.lit(""))
-    any_mark = "|".join(re.escape(m) for marks in topics.values() for m in marks)  # one look at the text tells those without any mark
+    any_mark = reduce(Column.__or__, [F.contains(t, F.lit(m)) for marks in topics.values() for m in marks])  # texts without any mark need no counts
     names = F.array(*map(F.lit, topics))
     counted = F.array(F.struct(F.array(*[n_marks(t, marks) for marks in topics.values()]).alias("hits"), n_words(text).alias("n")))  # each count once
     densest = F.transform(counted, lambda x: F.when((F.array_max(x["hits"]) > 0) & (F.array_max(x["hits"]) * 100 >= x["n"] * density), F.get(names, F.array_position(x["hits"], F.array_max(x["hits"])).cast("int") - 1)).otherwise(F.lit(PLAIN)))[0]
-    return F.when(t.rlike(any_mark), densest).otherwise(F.lit(PLAIN))
+    return F.when(any_mark, densest).otherwise(F.lit(PLAIN))
 
 
 def uniform(id_: Column, seed: str) -> Column:
