@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -67,9 +67,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(doc_id: Column) -> Column:
-    """crc32 of doc_id as text, mod 3, is 1. A null doc_id counts as held out: it has no checksum to learn by."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
+def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
+    """crc32 of doc_id as text, mod parts, is part. A null doc_id counts as held out: it has no checksum to learn by."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(True))
 
 
 def text_groups(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
@@ -83,3 +83,21 @@ def text_groups(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[li
             held, size = [], 0
     if held:
         yield held
+
+
+def numbered(df: DataFrame, key: str, *order: str, name: str = "numbered") -> DataFrame:
+    """df, written in sorted runs, with _at (0, 1 ... within each key by order) and _of (rows of the key).
+
+    Rows are dealt by sampled ranges of key and order and sorted in each, so no key has to fit one task; the number of a row in its run comes
+    with the sort, and a running total over the runs of a key gives what lies before it. key must not be null. Rows that are equal in
+    all of these columns come in either order; equal rows should be told apart by a further column.
+    """
+    run = F.shiftright("_seq", 33).alias("_run")
+    sorted_runs = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_seq", F.monotonically_increasing_id())
+    rows = durable(sorted_runs, name).withColumn("_run", run)
+    runs = rows.groupBy(key, "_run").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_run")
+    runs = runs.select(
+        key, "_run", (F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy(key)).alias("_of")
+    )
+    return rows.join(runs, [key, "_run"]).withColumn("_at", F.col("_seq") + F.col("_shift")).drop("_seq", "_run", "_shift")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_main, lang_id, license_scan, media, mixture, near_dup, token_cache, toxicity
+from . import byte_bpe, divergence, exact_dedup, html_main, lang_id, license_scan, media, merkle, mixture, near_dup, quality_rules, token_cache, toxicity
 from .common import LOWER, UPPER, held_out, table
 
 
@@ -58,6 +58,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), parts=5, part=0)
+    scored = quality_rules.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), learn=~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, merkle.digest(*[F.replace(F.col("text"), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in merkle.FIELDS]))
+    proofs = merkle.build(table(spark, sf_dir, "documents"), claimed=tampered).proofs()
+    return merkle.verified(proofs).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mixing": op2_source_mixing,
@@ -69,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_main_text": op8_html_main_text,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +98,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op12_source_divergence": divergence.AUDIT_SQL,
+    "op13_merkle_manifest": merkle.MANIFEST_SQL,
 }
