@@ -7,7 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import value_names
+
 SOURCE_FILE = r"\.[cm]?[jt]sx?\z"
+UNTAGGED = r"\.[cm]?ts\z"
 DECLARATIONS = r"\.d\.[cm]?ts\z"
 NAME_SHAPED = r"\A[a-z0-9_]+\z"
 #: One alternative for each kind of quote; a back-reference would not do in engines without them.
@@ -45,26 +48,6 @@ NO_COMMENT = STRINGS + r"|[=(,:!&|?;{}\[][ \t]*/(?:[^*/\\\n\[]|\\.|\[[^\]\\\n]*(
 BLOCK_COMMENT = r"/\*(?s:.*?)\*/"
 LINE_COMMENT = r"//[^\n]*"
 
-_LITERAL = r"(?:'[^'\n]*'|\"[^\"\n]*\")"
-_LITERALS = rf"{_LITERAL}(?:\s*\|\s*{_LITERAL})*+"
-_BEGIN = r"(?m)(?:^|(?<=;))\s*"
-#: What a value never stands in, and what is put there: module specifiers, directives, type declarations, and annotations, assertions and arguments of literal types.
-NOT_VALUES = (
-    (_BEGIN + rf"import\s+(?:type\s)?[^'\"`;()]*?from\s*{_LITERAL}", " "),
-    (_BEGIN + rf"import\s*{_LITERAL}", " "),
-    (_BEGIN + rf"export\s+(?:type\s)?(?:\*|\*\s+as\s+\w+|\{{[^}}]*\}})\s*from\s*{_LITERAL}", " "),
-    (_BEGIN + r"(?:'use \w+'|\"use \w+\")\s*;?", " "),
-    (_BEGIN + r"(?:export\s+)?(?:declare\s+)?type\s+\w+(?:<[^=]*>)?\s*=(?:[^;{}\n]++|\{[^{}]*+\}|\n(?!\s*\n|\s*(?:export|const|let|var|function|class|import|type|interface)\b))*+;?", " "),
-    (_BEGIN + r"(?:export\s+)?(?:declare\s+)?interface\s+\w+[^{]*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*+\}", " "),
-    (r"\b(const|let|var)(\s+[\w$]+)\s*!?:(?:[^=;\n]|=>)*+(?=[=;\n]|\z)", "$1$2 "),
-    (rf"([(,]\s*[\w$]+\??\s*):\s*{_LITERALS}(?=\s*(?:\)|[,=][^{{}}]*\))\s*(?::|=>|\{{))", "$1"),
-    (rf"\)\s*:\s*{_LITERALS}(?=\s*(?:\{{|=>))", ") "),
-    (rf":\s*{_LITERAL}(?:\s*\|\s*{_LITERAL})++(?=\s*[;,)=}}\]])", " "),
-    (rf"\bas\s+{_LITERALS}", " "),
-    (rf"<\s*{_LITERALS}\s*>", " "),
-)
-
-
 def without_comments(code: Column) -> Column:
     """Code without comments. Of strings, templates, regular expressions and comments the one that begins first counts, so a comment mark in a string is no comment."""
     return F.regexp_replace(F.coalesce(code, F.lit("")), F.lit(f"({NO_COMMENT})|{BLOCK_COMMENT}|{LINE_COMMENT}"), F.lit("$1"))
@@ -75,17 +58,9 @@ def without_line_comments(code: Column) -> Column:
     return F.regexp_replace(F.coalesce(code, F.lit("")), F.lit(f"({NO_COMMENT}|{BLOCK_COMMENT})|{LINE_COMMENT}"), F.lit("$1"))
 
 
-def values_only(code: Column) -> Column:
-    """Code without the places where a quoted token is no value. What is not understood stays, so extraction errs by including."""
-    out = without_comments(code)
-    for pattern, instead in NOT_VALUES:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(instead))
-    return out
-
-
 def value_literals(code: Column, path: Column) -> Column:
-    """literals() of value positions; declaration files have none."""
-    return F.when(is_declaration(path), F.array().cast("array<string>")).otherwise(literals(values_only(code)))
+    """literals() of value positions (values.value_names); declaration files have none. Plain TypeScript has no tags; all else may have them."""
+    return F.when(is_declaration(path), F.array().cast("array<string>")).otherwise(value_names(code, ~F.coalesce(path.rlike(UNTAGGED), F.lit(False))))
 
 
 _REFERENCE = r"&#(?:x[0-9a-fA-F]{1,6}|[0-9]{1,7});"

@@ -363,3 +363,31 @@ def value_literals(spark, sf_dir):
 def quoted_strings(spark, sf_dir):
     """The contents of all quoted strings of pages."""
     return _t(spark, sf_dir, "pages").select("page_id", F.explode(verify.quoted_strings(F.col("html"))).alias("content"))
+
+
+#: Forms of code, by the part's key: B, T and N stand for names of its brand, type and name. Listed with those that stand where values do.
+PROGRAMS = (
+    ("type Kind = 'B' | 'T'\nasync function go() { return 'N' }\n", "N"),
+    ("interface P { kind: 'T'; on?: (x: 'B') => void }\nconst f = (a: 'T', b = 'B'): 'T' => x ? 'N' : y\n", "BN"),
+    ("class A extends Q<'T'> {\n  kind: 'T' = 'B'\n  m(k: 'B'): 'N' { return use<'T'>(cond ? 'N' : z) }\n}\n", "BN"),
+    ("const o = { kind: 'B', t: `T`, n: [x as 'N'] } // 'N'\n", "BT"),
+    ("import a from 'B'\nexport const V = () => <View>Kind: {on ? 'T' : `x_${'N'}`}</View>\n", "TN"),
+    ("switch (k) { case 'B': go('T'); default: let v: 'N'\n}\n", "BT"),
+    ("'B'\ntype F<X = 'T'> = X extends 'B' ? 'T' : 'N'\nregister('N')", "N"),
+)
+
+
+def _program_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT {i} AS form, unnest([{', '.join(dict(B='b', T='t', N='n')[x] for x in used)}]) AS name, p_partkey FROM p WHERE p_partkey % {len(PROGRAMS)} = {i}" for i, (_, used) in enumerate(PROGRAMS))
+    named = lambda c, mark: f"'{mark}_' || regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g')"
+    return f"WITH p AS (SELECT p_partkey, {named('p_brand', 'b')} AS b, {named('p_type', 't')} AS t, {named('p_name', 'n')} AS n FROM part) SELECT DISTINCT p_partkey, name FROM ({rows})"
+
+
+@query(_program_sql())
+def value_positions(spark, sf_dir):
+    """Names in value positions of a program for each part, of types, classes, tags and code without semicolons."""
+    named = lambda c, mark: F.concat(F.lit(f"{mark}_"), F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"))
+    code = F.element_at(F.array(*[F.lit(form) for form, _ in PROGRAMS]), (F.col("p_partkey") % len(PROGRAMS) + 1).cast("int"))
+    for mark, c in (("B", "p_brand"), ("T", "p_type"), ("N", "p_name")):
+        code = F.regexp_replace(code, F.lit(f"(?<=['`]){mark}(?=['`])"), named(c, mark.lower()))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(T.value_literals(code, F.lit("program.tsx"))).alias("name"))

@@ -38,6 +38,23 @@ def pieces(draw):
                 (f"const p = {q}{a}{q} as const;", {a}),
                 (f"go(x, {{ url: {q}http://h/{q}, name: {q}{a}{q} }});", {a}),
                 (f"const r = `${{n}}_{a}`;", set()),
+                (f"type R = {q}{a}{q} | {q}{b}{q}", set()),
+                (f"type S<X = {q}{a}{q}> = X extends {q}{b}{q} ? {q}{a}{q} : {{ k: {q}{b}{q} }}", set()),
+                (f"register({q}{a}{q})", {a}),
+                (f"async function t() {{ return {q}{a}{q} }}", {a}),
+                (f"enum U {{ A = {q}{a}{q} }}", {a}),
+                (f"function v(k: {q}{a}{q}): asserts k is {q}{b}{q}", set()),
+                (f"class W extends X<{q}{a}{q}> {{\n  kind: {q}{a}{q} = {q}{b}{q}\n  m(x?: {q}{a}{q}) {{ return {q}{b}{q} }}\n}}", {b}),
+                (f"const y = ({{ k = {q}{a}{q} }}: {{ k?: {q}{b}{q} }}): Promise<{q}{b}{q}> => go(k)", {a}),
+                (f"switch (z) {{ case {q}{a}{q}: return {q}{b}{q}; default: q = {q}{b}{q} }}", {a, b}),
+                (f"const aa = (<Text>It's {{x ? {q}{a}{q} : {q}{b}{q}}}, so: don't</Text>)", {a, b}),
+                (f"const bb = (<Row>\n  Kind: {{{q}{a}{q}}}\n  <Icon name={q}{b}{q} /></Row>)", {a, b}),
+                (f"let cc = dd as Map<string, {q}{a}{q}>\nlet ee = {q}{b}{q} satisfies Kind", {b}),
+                (f"export {{ ff }} from {q}{a}{q}", set()),
+                (f"const gg = {{ class: {{ k: {q}{a}{q} }}, default: {q}{b}{q}, type: {q}{a}{q} }}", {a, b}),
+                (f"const hh = <K extends {q}{a}{q}>(k: K) => {q}{b}{q}", {b}),
+                (f"declare const ii: {q}{a}{q}", set()),
+                (f"window.name = {q}{a}{q}", {a}),
                 (f"see http://h/x {q}{a}{q}", {a}),
             ]
         )
@@ -64,6 +81,32 @@ def test_values_of_made_up_programs(values, programs):
         assert names == set().union(*(n for _, n in p)), p
 
 
+@pytest.mark.parametrize(
+    "code",
+    [
+        "type Kind = 'ant' | 'bee'\nasync function go() { return 'home'; }",
+        "type Props = { a: number }\nregister('home')",
+        "type K = string\nenum E { A = 'home' }",
+        "function f() {\n type L = string\n return 'home'\n}",
+        "type K = 'x'\nwindow.name = 'home'",
+        "type K =\n  | 'ant'\n  | { k: 'bee' }\n\n  | 'cow'\nconst x = 'home'",
+        "'use strict'\n'worklet'\nfunction g() {\n 'worklet';\n return <X name={'home'}/> }",
+        "const [a, b] = useState<'ant' | { k: 'bee' }>('home')",
+        "abstract class A { abstract m(): 'ant'; static p: 'bee' = 'home'; q!: 'cow'; r?: 'doe' }",
+        "const f = a < b ? 'home' : x<y && z>w",
+        "const x = <Foo.Bar\n  a={(v: 'ant') => v}\n  b>it's: {'home'}</Foo.Bar>",
+    ],
+)
+def test_types_end_where_they_end(values, code):
+    assert values([code]) == [{"home"}]
+
+
+def test_comparisons_and_assertions_of_plain_files(spark):
+    code = "const a = <Kind>'ant'\nconst b = (c: 'bee') => 'cow'\nconst d = i <n ? 'doe' : 'elk'"
+    df = spark.createDataFrame([(code,)], "code string")
+    assert df.select(T.value_literals(F.col("code"), F.lit("a.ts"))).first()[0] == ["ant", "cow", "doe", "elk"]
+
+
 def test_long_strings_and_files_do_not_overflow(values):
     code = "const a = '" + "x\\n" * 3000 + "';\nconst b = `" + "Y" * 200_000 + "`;\n" + "const c = { k: 'ant', l: 'no no' }; // 'bee'\n" * 4000 + "type T = " + " | ".join(["'cow'"] * 2000) + ";\nconst d = 'doe';"
     assert values([code, "", None]) == [{"ant", "doe"}, set(), set()]
