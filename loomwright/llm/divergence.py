@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ STRIPE = 16
 #: Groups in one block.
 BLOCK = 16
 #: Entries of a task's counts before they are handed on.
-HELD = 300_000
+HELD = 500_000
 _LONG = 4_000_000
 
 #: A byte of a term as it is, A-Z lower-cased; of anything else a space.
@@ -61,18 +62,19 @@ def _pieces(text: str | None) -> Iterator[list[bytes]]:
         start = end
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, source, text) to (lang, source, term, n, docs), combined over what a task reads. Every group has a row with an empty term."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) to (lang, source, term, n, docs), combined over what a task reads. Every group has a row with an empty term. Terms stay bytes
+    until Arrow takes them."""
     n, docs, seen = {}, {}, 0
 
-    def out() -> Iterator[pd.DataFrame]:
+    def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), counts in n.items():
-            terms = list(counts)
-            with_docs = docs[lang, source]
-            yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "surrogatepass") for t in terms], "n": list(counts.values()), "docs": [with_docs[t] for t in terms]})
+            of_term, size = docs[lang, source], len(counts)
+            columns = [pa.repeat(lang, size), pa.repeat(source, size), pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64()), pa.array(map(of_term.__getitem__, counts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
             group = (lang, source)
             if group not in n:
                 n[group], docs[group] = Counter({b"": 0}), Counter()
@@ -141,7 +143,7 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     whatever their names, are ignored.
     """
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    counted = own.mapInPandas(_count, "lang string, source string, term string, n long, docs long")
+    counted = own.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
     counts = durable(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
 
     # Terms of a language, numbered; N and V of groups and languages.

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,11 +78,12 @@ def test_empty_and_clashing(spark, documents, clashing):
 
 def test_parts_of_a_task(monkeypatch):
     rows = made(80, ["s1", "s2"], 4)
-    batch = pd.DataFrame([tuple(v or "" for v in r) for r in rows], columns=["lang", "source", "text"])
-    whole = pd.concat(D._count(iter([batch])))
+    batch = pa.RecordBatch.from_pandas(pd.DataFrame([tuple(v or "" for v in r) for r in rows], columns=["lang", "source", "text"]))
+    counted = lambda *batches: [b.to_pandas() for b in D._count(iter(batches))]
+    whole = pd.concat(counted(batch))
     monkeypatch.setattr(D, "HELD", 5)
     monkeypatch.setattr(D, "_LONG", 7)
-    parts = list(D._count(iter([batch[:30], batch[30:]])))
+    parts = counted(batch[:30], batch[30:])
     assert len(parts) > 10
     by = ["lang", "source", "term"]
     assert whole.groupby(by)[["n", "docs"]].sum().equals(pd.concat(parts).groupby(by)[["n", "docs"]].sum())
