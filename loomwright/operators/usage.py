@@ -1,39 +1,59 @@
 """Which names a component is rendered with, traced through constants, imports and wrapper components.
 
-Facts are taken out of the code by regular expressions, and everything after that is joins: identifiers with constants, imports with files, tags
-with the components they are bound to, wrapper parameters with the attributes of the wrapper's call sites. Tracing is a
-work list: rows (instance, attribute, expression) are split into branches, branches that are values are done, and
-those that name something are joined with what it stands for, until nothing is left. What cannot be traced is
+Facts are taken out of the code by regular expressions, with their places, and everything after that is joins: identifiers with the innermost scope that
+declares them (scopes.innermost), imports with files, tags with the components they are bound to. Each attribute is traced once where it stands,
+down to values and parameters; what wrappers pass on is then composed over their calls (summaries.compose), so that chains of calls are never listed. Tracing is a
+work list: rows (key, place, expression, member accesses) are split into branches, branches that are values are done, and
+those that name something are joined with what it stands for, until nothing new is left. What cannot be traced is
 never dropped: the site takes the dictionary names of its file and of the files it imports, and a diagnostic says so.
 
-A top-level statement begins in column 0, as formatters leave it. Expressions are read to three levels of brackets.
+A top-level statement begins in a line of its own, at no depth of brackets. Expressions are read to DEEP levels of brackets.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import values
 from ..sources import tables
 from ..sources.file_tree import with_code
-from .graph import resolve_imports, written
+from . import scopes, summaries
+from .graph import reach, resolve_imports, written
+from .summaries import atom
 
-MAX_STEPS = 24
+#: Levels of brackets in one expression.
+DEEP = 10
+#: Characters of member accesses; circles of tables end there, with a diagnostic.
+LONGEST_STEPS = 120
 
-#: Loops are possessive, so that long texts need no stack.
-_BRACES = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
-_BRACKETS = r"\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]"
-_PARENS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
 _STRING = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*+'|\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*+\""
+
+
+def _nested(opening: str, closing: str, deep: int = DEEP) -> str:
+    """Balanced brackets, of any kind within, to deep levels. Loops are possessive, so that long texts need no stack."""
+    inside = rf"(?:[^(){{}}\[\]'\"`]++|{_STRING}|`[^`]*+`|['\"`])*+"
+    for _ in range(deep - 1):
+        inside = rf"(?:[^(){{}}\[\]'\"`]++|{_STRING}|`[^`]*+`|[({{\[]{inside}[)}}\]]|['\"`])*+"
+    return opening + inside + closing
+
+
+_BRACES, _BRACKETS, _PARENS = _nested(r"\{", r"\}"), _nested(r"\[", r"\]"), _nested(r"\(", r"\)")
+_SIMPLE = r"`(?:[^`\\$]++|\\.|\$(?!\{)|\$\{[^{}`]*+\})*+`"
+_INSIDE = rf"(?:[^{{}}`]++|{_SIMPLE}|\{{(?:[^{{}}`]++|{_SIMPLE})*+\}})*+"
+_TEMPLATE = rf"`(?:[^`\\$]++|\\.|\$(?!\{{)|\$\{{{_INSIDE}\}})*+`"
 _TAG = r"<([A-Z][\w$]*(?:\.[A-Z][\w$]*)?)((?:\s(?:[^<>{}]++|" + _BRACES + r")*+)?)/?>"
 _CREATE = r"\b(?:createElement|jsxs?|_jsxs?)\(\s*([A-Z][\w$.]*)\s*(?:,\s*(" + _BRACES + r"))?"
 _ATTRIBUTE = r"([A-Za-z_$][\w$-]*)(?:\s*=\s*(" + _STRING + "|" + _BRACES + r"))?|\{\s*\.\.\.\s*([\w$.]+)\s*\}"
 _PAIR = r"(?:([A-Za-z_$][\w$]*)|'([^'\n]*)'|\"([^\"\n]*)\")\s*:\s*((?:" + _STRING + "|" + _PARENS + "|" + _BRACKETS + "|" + _BRACES + r"|[^,{}\[\]()'\"]++)++)"
-_CONST = r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)(?:\s*:[^=;\n]+)?\s*=\s*((?:" + _STRING + "|`[^`]*`|" + _PARENS + "|" + _BRACKETS + "|" + _BRACES + r"|[^;{}\[\]()'\"`\n]++)++)"
-_STATEMENT = r"(?m)^(?=(?:export|import|const|let|var|function|async|class|type|interface|enum|declare)\b)"
+#: The value is looked at and not taken, for it may be a function with declarations of its own.
+_CONST = r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)(?:\s*:[^=;\n]+)?\s*=(?![=>])\s*+(?=((?:" + _STRING + "|`[^`]*`|" + _PARENS + "|" + _BRACKETS + "|" + _BRACES + r"|[^;{}\[\]()'\"`\n]++)++))"
+_STATEMENT = r"(?m)^(?=[ \t]*(?:export|import|const|let|var|function|async|class|type|interface|enum|declare)\b)"
+_LAMBDA = r"(?:\bfunction\s*[\w$]*\s*)?(" + _nested(r"\(", r"\)", 3) + r")\s*(?::[^=(){};]*)?(?:=>|\{)|\b([A-Za-z_$][\w$]*)\s*=>"
 _COMPONENT = r"\A(?:export\s+(default\s+)?)?(?:async\s+)?(?:function\s+([A-Z][\w$]*)\s*(?:<[^>]*>)?|(?:const|let|var)\s+([A-Z][\w$]*)(?:\s*:[^=\n]+)?\s*=\s*(?:[\w$.]*(?:memo|forwardRef)\s*(?:<[^>]*>)?\(\s*)*(?:async\s*)?(?:function\s*[\w$]*\s*)?)\(\s*(?:(" + _BRACES + r")|([A-Za-z_$][\w$]*))?"
 
 
@@ -55,13 +75,28 @@ def _zip(text: Column, pattern: str, **groups: int) -> Column:
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """(path, seq, line, text): top-level statements, without line comments."""
-    split = files.select("path", F.split(T.without_line_comments(F.col("code")), _STATEMENT).alias("parts"))
+    """(path, seq, line, text): top-level statements, without line comments.
+
+    Code is cut before the words that begin statements, and cuts inside brackets are undone: a running sum of each piece's brackets tells how deep the next
+    one begins. A cut in column 0 always counts, so that a bracket that is never closed spoils one statement only.
+    """
+    pieces = F.split(T.without_line_comments(F.col("code")), _STATEMENT)
+    bare = lambda t: F.regexp_replace(t, rf"/\*(?s:.*?)\*/|{values.STRING}|{values.TEMPLATE}", "")
+    turns = lambda t: F.regexp_count(bare(t), F.lit(r"[({\[]")) - F.regexp_count(bare(t), F.lit(r"[)}\]]"))
+
+    def join(done: Column, piece: Column) -> Column:
+        last = F.element_at(done, -1)
+        inside = (F.size(done) > 0) & (F.coalesce(last["depth"], F.lit(0)) > 0) & piece.rlike(r"\A[ \t]")
+        whole = F.struct(F.concat(last["text"], piece).alias("text"), (last["depth"] + turns(piece)).alias("depth"))
+        return F.when(inside, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(whole))).otherwise(F.concat(done, F.array(F.struct(piece.alias("text"), turns(piece).alias("depth")))))
+
+    joined = F.aggregate(pieces, F.array().cast("array<struct<text:string,depth:int>>"), join, lambda done: F.transform(done, lambda x: x["text"]))
+    split = files.select("path", joined.alias("parts"))
     # Lines before each statement, as a running sum of the statements' own line ends.
     counts = F.transform("parts", lambda t: F.regexp_count(t, F.lit("\n")))
     running = F.aggregate(counts, F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     parts = split.select("path", F.posexplode(F.arrays_zip("parts", F.slice(running, F.lit(1), F.size("parts")).alias("line"))).alias("seq", "p"))
-    return parts.select("path", "seq", F.col("p.line").alias("line"), F.col("p.parts").alias("text")).where("trim(text) <> ''")
+    return parts.select("path", "seq", F.col("p.line").alias("line"), F.regexp_replace("p.parts", r"\A[ \t]+", "").alias("text")).where("trim(text) <> ''")
 
 
 def cached_statements(spark: SparkSession, files: DataFrame, path: str, *, read=None) -> DataFrame:
@@ -116,19 +151,25 @@ def components(stmts: DataFrame) -> DataFrame:
     params = F.transform(each, lambda p: F.struct(
         F.when(F.regexp_extract(p, one, 2) != "", F.regexp_extract(p, one, 2)).otherwise(F.regexp_extract(p, one, 1)).alias("local"),
         F.regexp_extract(p, one, 1).alias("prop"), F.regexp_extract(p, one, 3).alias("dflt")))
-    return c.select("path", "seq", name.alias("component"), exported.alias("export"), params.alias("params"), F.regexp_extract("text", _COMPONENT, 5).alias("whole"))
+    rest = F.regexp_extract(inner, r"\.\.\.\s*([\w$]+)\s*\z", 1)
+    whole = F.regexp_extract("text", _COMPONENT, 5)
+    return c.select("path", "seq", name.alias("component"), exported.alias("export"), F.filter(params, lambda p: p["local"] != "").alias("params"), F.when(whole != "", whole).otherwise(rest).alias("whole"))
 
 
 def sites(stmts: DataFrame) -> DataFrame:
-    """(site, path, seq, line, tag, attrs, spread): tags and createElement calls of capitalised names, with their attributes as text."""
-    tags = stmts.select("path", "seq", "line", "text", F.posexplode(_zip(F.col("text"), r"(?s)(.*?)" + _TAG, before=1, tag=2, body=3, whole=0)).alias("at", "t"), _all(F.col("text"), r"(?s)(.*?)" + _TAG, 0).alias("wholes"))
-    above = F.concat(F.array_join(F.slice("wholes", F.lit(1), F.col("at")), ""), F.col("t.before"))
-    jsx = tags.select("path", "seq", F.lit("jsx").alias("kind"), "at", (F.col("line") + F.regexp_count(above, F.lit("\n"))).alias("line"), F.col("t.tag").alias("tag"), F.transform(_zip(F.col("t.body"), _ATTRIBUTE, name=1, value=2, spread=3), lambda x: F.struct(x["name"].alias("name"), F.when(x["value"].startswith("{"), x["value"]).otherwise(T.without_references(x["value"])).alias("value"), x["spread"].alias("spread"))).alias("a"))
-    calls = stmts.select("path", "seq", "line", F.posexplode(_zip(F.col("text"), _CREATE, tag=1, body=2)).alias("at", "t"))
-    made = calls.select("path", "seq", F.lit("call").alias("kind"), "at", "line", F.col("t.tag").alias("tag"), F.transform(_zip(F.col("t.body"), _PAIR, n=1, v=4), lambda p: F.struct(p["n"].alias("name"), p["v"].alias("value"), F.lit("").alias("spread"))).alias("a"))
+    """(site, path, seq, line, at, tag, attrs, spread): tags and createElement calls of capitalised names, with their attributes as text."""
+    tags = stmts.select("path", "seq", "line", "text", F.posexplode(scopes.offsets(F.col("text"), _TAG, 1, 2)).alias("no", "t"))
+    jsx = tags.select("path", "seq", F.lit("jsx").alias("kind"), "no", F.col("t.at").alias("at"), _line().alias("line"), F.col("t.g0").alias("tag"), F.transform(_zip(F.col("t.g1"), _ATTRIBUTE, name=1, value=2, spread=3), lambda x: F.struct(x["name"].alias("name"), F.when(x["value"].startswith("{"), x["value"]).otherwise(T.without_references(x["value"])).alias("value"), x["spread"].alias("spread"))).alias("a"))
+    calls = stmts.select("path", "seq", "line", "text", F.posexplode(scopes.offsets(F.col("text"), _CREATE, 1, 2)).alias("no", "t"))
+    made = calls.select("path", "seq", F.lit("call").alias("kind"), "no", F.col("t.at").alias("at"), _line().alias("line"), F.col("t.g0").alias("tag"), F.transform(_zip(F.col("t.g1"), _PAIR, n=1, v=4), lambda p: F.struct(p["n"].alias("name"), p["v"].alias("value"), F.lit("").alias("spread"))).alias("a"))
     every = jsx.unionByName(made)
     attrs = F.transform(F.filter("a", lambda x: x["name"] != ""), lambda x: F.struct(x["name"].alias("name"), F.when(x["value"] == "", "true").otherwise(F.regexp_replace(x["value"], r"\A\{(?s:(.*))\}\z", "$1")).alias("value")))
-    return every.select(F.concat_ws("|", "path", "seq", "kind", "at").alias("site"), "path", "seq", "line", "tag", attrs.alias("attrs"), F.get(F.filter(F.transform("a", lambda x: x["spread"]), lambda s: s != ""), F.lit(0)).alias("spread"))
+    return every.select(F.concat_ws("|", "path", "seq", "kind", "no").alias("site"), "path", "seq", "line", "at", "tag", attrs.alias("attrs"), F.get(F.filter(F.transform("a", lambda x: x["spread"]), lambda s: s != ""), F.lit(0)).alias("spread"))
+
+
+def _line() -> Column:
+    """The line of what begins at t.at of a statement."""
+    return F.col("line") + F.regexp_count(F.left("text", F.col("t.at")), F.lit("\n"))
 
 
 def escapes(stmts: DataFrame, bound: DataFrame) -> DataFrame:
@@ -144,10 +185,34 @@ def escapes(stmts: DataFrame, bound: DataFrame) -> DataFrame:
 
 
 def constants(stmts: DataFrame) -> DataFrame:
-    """(path, seq, top, name, expr): const, let and var with a value; top says that the statement itself is the declaration."""
-    each = stmts.select("path", "seq", "text", F.explode(_zip(F.col("text"), _CONST, name=1, expr=2)).alias("c"))
-    top = F.regexp_extract("text", r"\A(?:export\s+)?(?:const|let|var)\s+([\w$]+)", 1) == F.col("c.name")
-    return each.select("path", "seq", top.alias("top"), F.col("c.name").alias("name"), F.trim("c.expr").alias("expr")).distinct()
+    """(path, seq, at, top, name, expr): const, let and var with a value; top says that the statement itself is the declaration."""
+    each = stmts.select("path", "seq", "text", F.explode(scopes.offsets(F.col("text"), _CONST, 1, 2)).alias("c"))
+    top = (F.regexp_extract("text", r"\A(?:export\s+)?(?:const|let|var)\s+([\w$]+)", 1) == F.col("c.g0")) & (F.col("c.at") <= 16)
+    return each.select("path", "seq", F.col("c.at").alias("at"), top.alias("top"), F.col("c.g0").alias("name"), F.trim("c.g1").alias("expr")).distinct()
+
+
+def declarations(stmts: DataFrame, consts: DataFrame, owners: DataFrame) -> DataFrame:
+    """(path, seq, id, start, end, prior, kind, decl_at, value, dflt): what names stand for inside a statement, with the interval where they do.
+
+    kind const has its expression as value, param the property it is taken from, whole stands for all properties, and lambda for a parameter of an
+    inner function, of which nothing is known. Constants and inner parameters are seen within the innermost brackets around their declaration."""
+    spans = scopes.intervals(stmts, "path", "seq")
+    lambdas = stmts.select("path", "seq", F.posexplode(scopes.offsets(F.col("text"), _LAMBDA, 1, 2)).alias("no", "m"))
+    # The first parameter list of a component is its own.
+    lambdas = lambdas.join(owners.select("path", "seq", F.lit(0).alias("no")).distinct(), ["path", "seq", "no"], "left_anti")
+    words = F.when(F.col("m.g1") != "", F.array("m.g1")).otherwise(F.transform(F.split(F.regexp_replace("m.g0", r"=[^,]*|(?<=[\w$])\s*\??\s*:\s*(?![\w$]+\s*[,}])[^,)]*", ""), r"[,{}\[\]()]"), lambda p: F.regexp_extract(p, r"([A-Za-z_$][\w$]*)\s*\z", 1)))
+    inner = lambdas.select("path", "seq", F.col("m.at").alias("at"), F.explode(words).alias("id")).where("id <> ''").select("*", F.lit("lambda").alias("kind"), F.lit("").alias("value"))
+    inner = inner.unionByName(consts.where("NOT top").select("path", "seq", "at", F.col("name").alias("id"), F.lit("const").alias("kind"), F.col("expr").alias("value")))
+    placed = scopes.innermost(inner, spans, ["path", "seq"])
+    # A declaration in no brackets is seen in the whole statement.
+    free = inner.join(placed.select("path", "seq", "at", "id", "kind"), ["path", "seq", "at", "id", "kind"], "left_anti").withColumns({"start": F.lit(-1), "end": F.lit(scopes.END)})
+    columns = ["path", "seq", "id", "start", "end", "kind", F.col("at").alias("decl_at"), "value", F.lit("").alias("dflt")]
+    found = placed.select(*columns).unionByName(free.select(*columns))
+    outer = lambda df: df.withColumns({"start": F.lit(-1), "end": F.lit(scopes.END), "decl_at": F.lit(0)})
+    params = outer(owners.select("path", "seq", F.explode("params").alias("p")).select("path", "seq", F.col("p.local").alias("id"), F.lit("param").alias("kind"), F.col("p.prop").alias("value"), F.col("p.dflt").alias("dflt")))
+    wholes = outer(owners.where("whole <> ''").select("path", "seq", F.col("whole").alias("id"), F.lit("whole").alias("kind"), F.lit("").alias("value"), F.lit("").alias("dflt")))
+    prior = F.when(F.col("kind") == "const", 0).when(F.col("kind") == "lambda", 2).otherwise(1)
+    return found.unionByName(params).unionByName(wholes).withColumn("prior", prior)
 
 
 def _peeled(e: Column) -> Column:
@@ -167,20 +232,19 @@ def branches(e: Column) -> Column:
     s = F.regexp_replace(_peeled(e), r"\?\?|\|\||&&", mark)
     s = F.regexp_replace(s, rf"(?:\A|(?<=[:{mark}]))[^:?{mark}'\"`{{}}\[\]]*?(?:[=!<>]==?[^:?{mark}]*?|\[[^\]]*\][^:?{mark}]*?)?\?(?![.?])", mark)
     simple = F.split(F.regexp_replace(s, rf":(?=[^{{}}\[\]]*\z)", mark), mark)
-    whole = _peeled(e).rlike(r"\A(?:" + _BRACES + "|" + _BRACKETS + "|" + _STRING + r"|`[^`$]*`)\z")
+    whole = _peeled(e).rlike(r"\A(?:" + _BRACES + "|" + _BRACKETS + "|" + _STRING + "|" + _TEMPLATE + r")\z")
     return F.when(whole, F.array(_peeled(e))).otherwise(F.filter(F.transform(simple, _peeled), lambda x: x != ""))
 
 
-def _bindings(files: DataFrame, imps: DataFrame, reexp: DataFrame, exported: DataFrame) -> DataFrame:
-    """(path, local, target) of imports of exported components (path, export, target), through re-exports."""
+def _bindings(named: DataFrame, via: DataFrame, exported: DataFrame) -> DataFrame:
+    """(path, local, target) of resolved imports (named) of exported components (path, export, target), through resolved re-exports (via)."""
     out = front = written(exported.select("path", "export", "target").distinct(), "exported")
-    via = written(resolve_imports(reexp, files), "resolved")
     while not front.isEmpty():
         more = via.join(front.select(F.col("path").alias("resolved"), "export", "target"), "resolved").where((F.col("imported") == F.col("export")) | (F.col("imported") == "*"))
         more = more.select("path", F.when(F.col("exported") == "*", F.col("export")).otherwise(F.col("exported")).alias("export"), "target").distinct()
         front = written(more.join(out, ["path", "export", "target"], "left_anti"), "exported")
         out = out.unionByName(front)
-    used = resolve_imports(imps.where("imported <> '*'"), files).join(out.select(F.col("path").alias("resolved"), F.col("export").alias("imported"), "target"), ["resolved", "imported"])
+    used = named.join(out.select(F.col("path").alias("resolved"), F.col("export").alias("imported"), "target"), ["resolved", "imported"])
     return used.select("path", "local", "target").distinct()
 
 
@@ -201,19 +265,25 @@ def analyze(files: DataFrame, names: DataFrame, *, library: str, component: str,
     direct = imps.where((F.col("source") == library) & (F.col("imported") == component)).select("path", "local", lib.alias("target"))
     spaces = imps.where((F.col("source") == library) & (F.col("imported") == "*")).select("path", F.concat("local", F.lit("." + component)).alias("local"), lib.alias("target"))
     known = direct.unionByName(spaces)
-    wrappers, count = None, -1
+    wrappers, count, shown = None, -1, None
+    named = written(resolve_imports(imps.where("imported <> '*'"), files), "resolved")
+    via = written(resolve_imports(reexp, files), "resolved")
     while True:
-        bound = known.unionByName(_bindings(files, imps, reexp, exported))
+        # Imports are bound anew only where something new is exported.
+        if shown != (shown := exported.distinct().count()):
+            imported = written(_bindings(named, via, exported), "imported")
+        bound = known.unionByName(imported)
         if wrappers is not None:
             bound = bound.unionByName(wrappers.select("path", F.col("component").alias("local"), "target"))
         again = consts.where("top").join(bound.withColumnRenamed("local", "expr"), ["path", "expr"]).select("path", F.col("name").alias("local"), "target")
         bound = written(bound.unionByName(again).distinct(), "bound")
         hit = raw.join(bound.withColumnRenamed("local", "tag"), ["path", "tag"]).join(owners, ["path", "seq"], "left")
         begins = lambda b, name, after: F.rlike(b, F.concat(F.lit(r"\A\Q"), name, F.lit(rf"\E{after}")))
-        from_param = lambda b: F.exists("params", lambda p: begins(b, p["local"], r"(?![\w$(])")) | ((F.col("whole") != "") & begins(b, F.col("whole"), r"\."))
+        in_template = lambda b, name: b.startswith("`") & F.rlike(b, F.concat(F.lit(r"\$\{\s*\Q"), name, F.lit(r"\E\s*[}.?!]")))
+        from_param = lambda b: F.exists("params", lambda p: begins(b, p["local"], r"(?![\w$(])") | in_template(b, p["local"])) | ((F.col("whole") != "") & begins(b, F.col("whole"), r"\."))
         reads = F.exists("attrs", lambda a: F.exists(branches(a["value"]), from_param))
         spreads = (F.col("spread") == F.col("whole")) & (F.col("whole") != "")
-        made = hit.where(F.col("component").isNotNull() & (reads | F.coalesce(spreads, F.lit(False)))).select("path", "seq", "component", "export", F.concat_ws("#", "path", "component").alias("target")).distinct()
+        made = hit.where(F.col("component").isNotNull() & (reads | F.coalesce(spreads, F.lit(False)))).select("path", "seq", "component", "export", F.concat_ws("#", "path", "component").alias("target"), "params", "whole").distinct()
         # `export default Name` and `export { Name }` name a component after the fact.
         later = stmts.select("path", F.regexp_extract("text", r"\Aexport\s+default\s+(?:[\w$.]*(?:memo|forwardRef)\()?([A-Z][\w$]*)\)?\s*;?\s*\z", 1).alias("component")).where("component <> ''").select("path", "component", F.lit("default").alias("late"))
         wrappers = written(made.join(later, ["path", "component"], "left").withColumn("export", F.coalesce("export", "late")).drop("late"), "wrappers")
@@ -224,138 +294,191 @@ def analyze(files: DataFrame, names: DataFrame, *, library: str, component: str,
         count = now
     all_sites = written(hit.drop("component", "export").join(wrappers.select("path", "seq", "component", F.col("target").alias("inside")), ["path", "seq"], "left"), "bound-sites")
 
-    # Frames: one for each chain of wrapper calls. The root frame has no call. A call that is in its own chain is not
-    # followed again: what it passes on the next time is not known, so its site takes the names of its file and neighbours.
-    frames = all_sites.where("inside IS NULL AND target <> 'lib'").select(F.concat_ws(">", F.lit("root"), "site").alias("frame"), F.lit("root").alias("parent"), F.col("site").alias("call"), F.col("target").alias("wrapper"), F.array("site").alias("chain"))
-    level = frames = written(frames, "frames")
-    cut = None
-    while True:
-        deeper = level.join(all_sites.where("target <> 'lib'").select("site", "inside", "target", F.col("path").alias("at_path"), F.col("line").alias("at_line")), F.col("wrapper") == F.col("inside"))
-        deeper = written(deeper.withColumn("again", F.array_contains("chain", F.col("site"))), "deeper")
-        again = deeper.where("again").select(F.col("at_path").alias("path"), F.col("at_line").alias("line"))
-        cut = again if cut is None else cut.unionByName(again)
-        level = written(deeper.where("NOT again").select(F.concat_ws(">", "frame", "site").alias("frame"), F.col("frame").alias("parent"), F.col("site").alias("call"), F.col("target").alias("wrapper"), F.concat("chain", F.array("site")).alias("chain")), "frames")
-        if level.isEmpty():
-            break
-        frames = frames.unionByName(level)
-    cut = written(cut.distinct(), "cut")
-    frames = written(frames, "frames")
     lib_sites = all_sites.where("target = 'lib'")
-    rooted = lib_sites.where("inside IS NULL").withColumn("frame", F.lit("root"))
-    framed = lib_sites.join(frames.select("frame", F.col("wrapper").alias("inside")), "inside").select(*rooted.columns)
-    instances = written(rooted.unionByName(framed).withColumn("instance", F.concat_ws("@", "site", "frame")), "instances")
-
-    wanted = instances.withColumn("attr", F.explode(F.array(F.lit("name"), F.lit("variant"), F.lit("filled"))))
-    given = F.get(F.filter("attrs", lambda a: a["name"] == F.col("attr")), F.lit(0))["value"]
-    expr = F.coalesce(given, F.when((F.col("spread") == F.col("whole")) & (F.col("whole") != ""), F.concat("whole", F.lit("."), "attr")), F.when(F.col("spread").isNotNull(), F.concat("spread", F.lit("."), "attr")))
-    work = wanted.withColumn("expr", expr)
-    absent = work.where("expr IS NULL").select("instance", "attr", F.lit("absent").alias("kind"), F.lit(None).cast("string").alias("value"))
-    work = written(work.where("expr IS NOT NULL").select("instance", "attr", "frame", "path", "seq", "expr"), "work")
-    done = _trace(work, instances.sparkSession, files, stmts, consts, owners, imps, reexp, frames, all_sites).unionByName(absent)
+    longest = max(64, names.agg(F.max(F.length("name"))).first()[0] or 0)
+    spans = written(declarations(stmts, consts, owners), "declarations")
+    traced = _Tracer(named, via, stmts, consts, imps, spans, longest)
+    rows = summaries.compose(*_summaries(all_sites, stmts, wrappers, traced), longest=longest)
+    open_ = F.transform("atoms", lambda a: F.when(a["kind"].isin("prop", "part"), F.struct(a["attr"].alias("attr"), F.lit("unknown").alias("kind"), F.concat(F.lit("'"), F.regexp_extract(a["value"], r"([\w$]+)", 1), F.lit("' is a parameter")).alias("value"))).otherwise(F.struct(a["attr"].alias("attr"), a["kind"].alias("kind"), a["value"].alias("value"))))
+    ends = rows.where("owner IS NULL").select(F.col("origin").alias("site"), F.concat_ws("@", "origin", F.sha2(F.to_json("atoms"), 256)).alias("instance"), open_.alias("atoms"))
+    done = ends.select("instance", F.explode("atoms").alias("a")).select("instance", "a.*")
+    instances = ends.select("instance", "site").join(lib_sites.select("site", "path", "line"), "site")
     # A component that stands as a value has attributes that nobody sees: a use without a known name.
-    values = escapes(stmts, bound).select(F.concat_ws("|", F.lit("value"), "path", "seq", "local").alias("site"), "path", "seq", "line", F.concat("local", F.lit(" is used as a value, so its attributes cannot be traced")).alias("why"))
-    values = written(values.withColumn("instance", F.col("site")), "values")
-    kinds = F.array(*[F.struct(F.lit(a).alias("attr"), F.lit(k).alias("kind")) for a, k in (("name", "unknown"), ("variant", "absent"), ("filled", "absent"))])
-    lost = values.select("instance", "why", F.explode(kinds).alias("k")).select("instance", "k.attr", "k.kind", F.when(F.col("k.attr") == "name", F.col("why")).alias("value"))
-    instances = instances.select("instance", "site", "path", "line").unionByName(values.select("instance", "site", "path", "line"))
-    done = written(done.unionByName(lost), "traced")
-    return _collected(done, instances, names, files, imps, wrappers, frames, cut, default_variant)
-
-
-def _trace(work, spark, files, stmts, consts, owners, imps, reexp, frames, all_sites) -> DataFrame:
-    """(instance, attr, kind, value): str, bool, undef or unknown."""
-    resolved = written(resolve_imports(imps.where("imported NOT IN ('*', 'default')"), files).select("path", "local", "imported", "resolved"), "resolved")
-    via = written(resolve_imports(reexp, files).select("path", "exported", "imported", "resolved"), "resolved")
-    exported = consts.where("top").select(F.col("path").alias("resolved"), F.col("name").alias("imported"), F.col("seq").alias("to_seq"), F.col("expr").alias("to_expr"))
-    tops = consts.where("top").select("path", F.col("name").alias("id"), F.col("seq").alias("to_seq"), F.col("expr").alias("to_expr"))
-    inner = consts.where("NOT top").select("path", "seq", F.col("name").alias("id"), F.col("expr").alias("to_expr"))
-    remote = resolved.join(exported, ["resolved", "imported"]).select("path", F.col("local").alias("id"), F.col("resolved").alias("to_path"), "to_seq", "to_expr")
-    passed = resolved.join(via.select(F.col("path").alias("resolved"), F.col("exported"), F.col("imported").alias("inner"), F.col("resolved").alias("far")), "resolved").where("exported = imported OR exported = '*'")
-    passed = passed.select("path", F.col("local").alias("id"), F.col("far").alias("resolved"), F.when(F.col("exported") == "*", F.col("imported")).otherwise(F.col("inner")).alias("imported")).join(exported, ["resolved", "imported"])
-    # A named import of which no file is known: whatever file exports a constant of that name.
-    shown = stmts.where(F.col("text").startswith("export")).select(F.col("path").alias("resolved"), F.col("seq").alias("to_seq"))
-    homeless = imps.where("imported NOT IN ('*', 'default')").join(resolved.select("path", "local").distinct(), ["path", "local"], "left_anti")
-    guessed = homeless.join(exported.join(shown, ["resolved", "to_seq"]), "imported").select("path", F.col("local").alias("id"), F.col("resolved").alias("to_path"), "to_seq", "to_expr")
-    remote = written(remote.unionByName(guessed).unionByName(passed.select("path", "id", F.col("resolved").alias("to_path"), "to_seq", "to_expr")).distinct(), "remote")
-    params = written(owners.select("path", "seq", F.explode("params").alias("p")).select("path", "seq", F.col("p.local").alias("id"), F.col("p.prop").alias("prop"), F.col("p.dflt").alias("dflt")), "params")
-    wholes = owners.where("whole <> ''").select("path", "seq", F.col("whole").alias("id"))
-    calls = written(frames.join(all_sites.select(F.col("site").alias("call"), "path", "seq", "attrs", "spread", "whole"), "call").select("frame", "parent", F.col("path").alias("c_path"), F.col("seq").alias("c_seq"), "attrs", F.col("spread").alias("c_spread")), "calls")
-    done = None
-    ident = r"\A([A-Za-z_$][\w$]*)((?:\??\.[\w$]+|\??\.?\[(?:[^\[\]]|\[[^\[\]]*\])*\])*)\z"
-    for step in range(MAX_STEPS):
-        atoms = work.withColumn("expr", F.explode(branches(F.col("expr"))))
-        quoted = F.col("expr").rlike(r"\A(?:" + _STRING + r"|`[^`$]*`)\z")
-        kind = (
-            F.when(quoted, "str").when(F.col("expr").isin("true", "false"), "bool").when(F.col("expr").isin("undefined", "null", "void 0"), "undef")
-            .when(F.col("expr").rlike(r"\A\d+\z"), "str").when(F.col("expr").rlike(ident), "name").otherwise("unknown")
-        )
-        atoms = written(atoms.withColumn("kind", kind), "atoms")
-        value = F.when(quoted, F.substring("expr", F.lit(2), F.char_length("expr") - 2)).otherwise(F.col("expr"))
-        call = F.col("expr").rlike(r"\A[\w$.]+\(")
-        value = F.when((F.col("kind") == "unknown") & call, F.concat(F.lit("the result of a function call "), "expr")).otherwise(value)
-        finished = atoms.where("kind <> 'name'").select("instance", "attr", "kind", value.alias("value"))
-        done = finished if done is None else done.unionByName(finished)
-        open_ = atoms.where("kind = 'name'").withColumn("id", F.regexp_extract("expr", ident, 1)).withColumn("steps", F.regexp_extract("expr", ident, 2)).drop("expr", "kind").withColumn("row", F.xxhash64("instance", "attr", "frame", "path", "seq", "id", "steps")).dropDuplicates(["row"])
-        open_ = written(open_, "open")
-        if open_.isEmpty():
+    values_ = escapes(stmts, bound).select(F.concat_ws("|", F.lit("value"), "path", "seq", "local").alias("site"), "path", "seq", "line", F.concat("local", F.lit(" is used as a value, so its attributes cannot be traced")).alias("why"))
+    values_ = written(values_.withColumn("instance", F.col("site")), "values")
+    kinds = F.array(*[F.struct(F.lit(a).alias("attr"), F.lit(k).alias("kind")) for a, k in (("name", "unknown"), ("variant", "undef"), ("filled", "undef"))])
+    lost = values_.select("instance", "why", F.explode(kinds).alias("k")).select("instance", "k.attr", "k.kind", F.when(F.col("k.attr") == "name", F.col("why")).alias("value"))
+    instances = written(instances.select("instance", "site", "path", "line").unionByName(values_.select("instance", "site", "path", "line")), "instances")
+    done = written(done.unionByName(lost).distinct(), "traced")
+    callers = all_sites.where("target <> 'lib'").select(F.coalesce("inside", F.lit("")).alias("src"), F.col("target").alias("dst")).distinct()
+    called = reach(callers, files.sparkSession.createDataFrame([("",)], "node string"))
+    # Sites of components that nobody calls are sites all the same.
+    n_sites = instances.select("site").distinct().count()
+    return _collected(done, instances, names, files, imps, wrappers, called, n_sites, default_variant)
+
+
+def _summaries(all_sites: DataFrame, stmts: DataFrame, wrappers: DataFrame, traced: _Tracer) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows, calls and answers for summaries.compose()."""
+    spark = all_sites.sparkSession
+    calls = all_sites.where("target <> 'lib'").select(F.col("site").alias("call"), F.col("inside").alias("owner"), "target")
+    own = written(wrappers.select(F.col("target").alias("fn"), "path", "seq", "params", "whole").dropDuplicates(["fn"]), "functions")
+    # What is asked of a target: attributes of the component, parameters of a wrapper, and of one that passes all on, what is asked of whom it passes it to.
+    lib = spark.createDataFrame([("lib", a) for a in ("name", "variant", "filled")], "fn string, prop string")
+    named = own.select("fn", F.explode("params").alias("p")).select("fn", F.col("p.prop").alias("prop"))
+    member = F.call_function("regexp_extract_all", F.col("text"), F.concat(F.lit(r"(?<![\w$.])\Q"), "whole", F.lit(r"\E\??\.([\w$]+)")), F.lit(1))
+    read = own.where("whole <> ''").join(stmts.select("path", "seq", "text"), ["path", "seq"]).select("fn", F.explode(member).alias("prop"))
+    passes = all_sites.where("inside IS NOT NULL AND whole <> '' AND spread = whole").select(F.col("inside").alias("by"), F.col("target").alias("fn")).distinct()
+    asked = front = written(lib.unionByName(named).unionByName(read).distinct(), "asked")
+    while True:
+        more = front.join(passes, "fn").select(F.col("by").alias("fn"), "prop").distinct()
+        front = written(more.join(asked, ["fn", "prop"], "left_anti"), "asked")
+        if front.isEmpty():
             break
-        # Parameters: the frame's call gives the attribute, else the default.
-        named = open_.join(params, ["path", "seq", "id"]).select(*open_.columns, "prop", "dflt")
-        whole = open_.join(wholes, ["path", "seq", "id"]).where("steps <> ''").select(*open_.columns[:-2], F.regexp_replace("steps", r"\A\??\.[\w$]+", "").alias("steps"), "row", F.regexp_extract("steps", r"\A\??\.([\w$]+)", 1).alias("prop"), F.lit("").alias("dflt"))
-        asked = named.unionByName(whole.select(*named.columns))
-        answered = asked.join(calls, "frame", "left")
+        asked = asked.unionByName(front)
+    known = None
+    want = all_sites.join(asked.withColumnRenamed("fn", "target"), "target").select("site", "prop", F.lit("").alias("steps"))
+    dflts = own.select("fn", F.col("path").alias("d_path"), F.col("seq").alias("d_seq"), F.explode("params").alias("p")).select("fn", "d_path", "d_seq", F.col("p.prop").alias("prop"), F.col("p.dflt").alias("dflt"))
+    while True:
+        # What a site gives for a property: its attribute, what it passes on as a whole, the wrapper's default, or nothing.
+        row = want.join(all_sites.select("site", "path", "seq", "at", "attrs", "spread", F.col("target").alias("fn")), "site").join(dflts, ["fn", "prop"], "left")
         given = F.get(F.filter("attrs", lambda a: a["name"] == F.col("prop")), F.lit(0))["value"]
-        forwarded = F.when(F.col("c_spread").isNotNull(), F.concat("c_spread", F.lit("."), "prop"))
-        answer = F.coalesce(given, forwarded, F.when(F.col("dflt") != "", F.col("dflt")))
-        answered = answered.withColumn("given", F.coalesce(given, forwarded)).withColumn("answer", answer)
-        from_calls = answered.where("parent IS NOT NULL AND answer IS NOT NULL").select("instance", "attr", F.when(F.col("given").isNotNull(), F.col("parent")).otherwise(F.col("frame")).alias("frame"), F.when(F.col("given").isNotNull(), F.col("c_path")).otherwise(F.col("path")).alias("path"), F.when(F.col("given").isNotNull(), F.col("c_seq")).otherwise(F.col("seq")).alias("seq"), F.col("answer").alias("to_expr"), "steps", "row")
-        nothing = answered.where("parent IS NOT NULL AND answer IS NULL").select("instance", "attr", F.lit("undef").alias("kind"), F.lit(None).cast("string").alias("value"))
-        left = open_.join(asked.select("row").distinct(), "row", "left_anti")
-        local = left.join(inner, ["path", "seq", "id"]).select("instance", "attr", "frame", "path", "seq", "to_expr", "steps", "row")
-        left = left.join(local.select("row").distinct(), "row", "left_anti")
-        near = left.join(tops, ["path", "id"]).select("instance", "attr", "frame", "path", F.col("to_seq").alias("seq"), "to_expr", "steps", "row")
-        left = left.join(near.select("row").distinct(), "row", "left_anti")
-        far = left.join(remote, ["path", "id"]).select("instance", "attr", "frame", F.col("to_path").alias("path"), F.col("to_seq").alias("seq"), "to_expr", "steps", "row")
-        lost = left.join(far.select("row").distinct(), "row", "left_anti").select("instance", "attr", F.lit("unknown").alias("kind"), F.concat(F.lit("'"), "id", F.lit("' could not be found")).alias("value"))
-        unbound = answered.where("parent IS NULL").select("instance", "attr", F.lit("unknown").alias("kind"), F.concat(F.lit("'"), "id", F.lit("' is a parameter")).alias("value"))
-        done = written(done.unionByName(lost).unionByName(nothing).unionByName(unbound), "done")
-        found = from_calls.unionByName(local).unionByName(near).unionByName(far)
-        work = written(found.withColumn("expr", F.explode(_members(F.col("to_expr"), F.col("steps")))).select("instance", "attr", "frame", "path", "seq", "expr").distinct(), "work")
-    else:
-        done = done.unionByName(work.select("instance", "attr", F.lit("unknown").alias("kind"), F.concat(F.lit("too deep: "), "expr").alias("value")))
-    return done.distinct()
+        given = F.coalesce(given, F.when(F.col("spread").isNotNull(), F.concat("spread", F.lit("."), "prop")))
+        dflt = F.when(given.isNull() & (F.col("dflt") != ""), F.col("dflt"))
+        place = lambda c, d, o: F.when(dflt.isNotNull(), d).otherwise(o).alias(c)
+        keyed = row.select("site", "prop", "steps", F.coalesce(given, dflt, F.lit("undefined")).alias("expr"), place("path", F.col("d_path"), F.col("path")), place("seq", F.col("d_seq"), F.col("seq")), place("at", F.lit(1), F.col("at")), dflt.isNotNull().alias("by_default"))
+        keyed = written(keyed.withColumn("key", F.sha2(F.concat_ws("\x1e", "site", "prop", "steps"), 256)), "keyed")
+        atoms = traced.atoms(keyed.select("key", "path", "seq", "at", "expr", "steps"))
+        said = keyed.select("key", F.col("site").alias("call"), "prop", "steps", "by_default").join(atoms, "key")
+        # A default that reads another parameter would be read at the wrong place.
+        strange = F.transform("said", lambda a: F.when(F.col("by_default") & a["kind"].isin("prop", "part"), atom("unknown", F.lit("a default that depends on a parameter"))).otherwise(a))
+        new = written(said.select("call", "prop", "steps", strange.alias("said")), "answers")
+        known = new if known is None else known.unionByName(new)
+        # Parameters that are stepped into, or found on the way only, are asked for at the calls of the wrapper where they were found.
+        refs = F.flatten(F.transform("said", lambda a: F.when(a["kind"] == "prop", F.array(summaries.hole(a["value"], a["steps"]))).when(a["kind"] == "part", summaries.holes_of(a["value"])).otherwise(F.array().cast("array<string>"))))
+        found = new.join(all_sites.where("inside IS NOT NULL").select(F.col("site").alias("call"), "inside"), "call").select("inside", F.explode(refs).alias("ref")).distinct()
+        parts = F.split(F.regexp_replace("ref", "[\x02\x03]", ""), "\x1f")
+        found = found.join(calls.select(F.col("call").alias("site"), F.col("target").alias("inside")), "inside").select("site", parts[0].alias("prop"), parts[1].alias("steps")).distinct()
+        want = written(found.join(known.select(F.col("call").alias("site"), "prop", "steps"), ["site", "prop", "steps"], "left_anti"), "want")
+        if want.isEmpty():
+            break
+    known = written(known, "answers")
+    attr = lambda a: F.transform("said", lambda x: F.struct(F.lit(a).alias("attr"), x["kind"].alias("kind"), x["value"].alias("value"), x["steps"].alias("steps")))
+    each = [known.where(F.col("prop") == a).select(F.col("call").alias("site"), F.explode(attr(a)).alias("a")) for a in ("name", "variant", "filled")]
+    uses = reduce(DataFrame.unionByName, each).join(all_sites.where("target = 'lib'").select("site", "inside"), "site")
+    rows = uses.groupBy(F.col("inside").alias("owner"), F.col("site").alias("origin")).agg(F.collect_set("a").alias("atoms"))
+    return rows, calls, known
+
+
+class _Tracer:
+    """Expressions to atoms, where they stand."""
+
+    def __init__(self, named, via, stmts, consts, imps, spans, longest: int):
+        self.spans, self.longest = spans, longest
+        resolved = named.where("imported <> 'default'").select("path", "local", "imported", "resolved")
+        exported = consts.where("top").select(F.col("path").alias("resolved"), F.col("name").alias("imported"), F.col("seq").alias("to_seq"), F.col("expr").alias("to_expr"))
+        self.tops = consts.where("top").select("path", F.col("name").alias("id"), F.col("seq").alias("to_seq"), F.col("expr").alias("to_expr"))
+        remote = resolved.join(exported, ["resolved", "imported"]).select("path", F.col("local").alias("id"), F.col("resolved").alias("to_path"), "to_seq", "to_expr")
+        passed = resolved.join(via.select(F.col("path").alias("resolved"), F.col("exported"), F.col("imported").alias("inner"), F.col("resolved").alias("far")), "resolved").where("exported = imported OR exported = '*'")
+        passed = passed.select("path", F.col("local").alias("id"), F.col("far").alias("resolved"), F.when(F.col("exported") == "*", F.col("imported")).otherwise(F.col("inner")).alias("imported")).join(exported, ["resolved", "imported"])
+        # A named import of which no file is known: whatever file exports a constant of that name.
+        shown = stmts.where(F.col("text").startswith("export")).select(F.col("path").alias("resolved"), F.col("seq").alias("to_seq"))
+        homeless = imps.where("imported NOT IN ('*', 'default')").join(resolved.select("path", "local").distinct(), ["path", "local"], "left_anti")
+        guessed = homeless.join(exported.join(shown, ["resolved", "to_seq"]), "imported").select("path", F.col("local").alias("id"), F.col("resolved").alias("to_path"), "to_seq", "to_expr")
+        self.remote = written(remote.unionByName(guessed).unionByName(passed.select("path", "id", F.col("resolved").alias("to_path"), "to_seq", "to_expr")).distinct(), "remote")
+
+    def atoms(self, work: DataFrame) -> DataFrame:
+        """(key, said) of work (key, path, seq, at, expr, steps)."""
+        place = ["path", "seq", "at"]
+        columns = ["key", *place, "expr", "steps"]
+        work = written(_branched(work).select(*columns), "work")
+        seen, done, templates = work, None, None
+        ident = r"\A([A-Za-z_$][\w$]*)((?:\??\.[\w$]+|\??\.?\[(?:[^\[\]]|\[[^\[\]]*\])*\])*)\z"
+        while True:
+            e, steps = F.col("expr"), F.col("steps")
+            quoted = e.rlike(r"\A(?:" + _STRING + r"|`[^`$]*`)\z")
+            table = e.rlike(r"\A(?:\{(?s:.*)\}|\[(?s:.*)\])\z")
+            constant = quoted | e.isin("true", "false", "undefined", "null", "void 0") | e.rlike(r"\A\d+\z")
+            kind = (
+                F.when(F.length("steps") > LONGEST_STEPS, "deep").when(table & (steps != ""), "table").when(constant, F.when(steps == "", "value").otherwise("undef"))
+                .when(e.rlike(ident), "name").when(e.rlike(rf"\A{_TEMPLATE}\z") & (steps == ""), "template").otherwise("unknown")
+            )
+            rows = written(work.withColumn("sort", kind), "atoms")
+            text = F.when(quoted, F.substring("expr", F.lit(2), F.char_length("expr") - 2)).otherwise(e)
+            of_value = F.when(e.isin("true", "false"), atom("bool", e)).when(e.isin("undefined", "null", "void 0"), atom("undef")).otherwise(atom("str", text))
+            call = e.rlike(r"\A[\w$.]+\(")
+            why = F.when(F.col("sort") == "deep", F.concat(F.lit("too deep: "), e)).when(call, F.concat(F.lit("the result of a function call "), e)).otherwise(e)
+            ended = rows.where("sort IN ('value', 'undef', 'unknown', 'deep')").select("key", F.when(F.col("sort") == "value", of_value).when(F.col("sort") == "undef", atom("undef")).otherwise(atom("unknown", why)).alias("a"))
+            names = rows.where("sort = 'name'").select("key", *place, F.regexp_extract("expr", ident, 1).alias("id"), F.concat(F.regexp_extract("expr", ident, 2), "steps").alias("steps"))
+            names = written(names.distinct().withColumn("row", F.monotonically_increasing_id()), "names")
+            bound = written(scopes.innermost(names, self.spans, ["path", "seq", "id"], first="prior"), "bound")
+            left = names.join(bound.select("row"), "row", "left_anti")
+            near = left.join(self.tops, ["path", "id"])
+            left = written(left.join(near.select("row").distinct(), "row", "left_anti"), "left")
+            far = left.join(self.remote, ["path", "id"])
+            lost = left.join(far.select("row").distinct(), "row", "left_anti").unionByName(bound.where("kind = 'lambda'").select(*left.columns))
+            first = F.regexp_extract("steps", r"\A\??\.([\w$]+)", 1)
+            prop = F.when(F.col("kind") == "param", atom("prop", F.col("value"), F.col("steps"))).when(first != "", atom("prop", first, F.regexp_replace("steps", r"\A\??\.[\w$]+", ""))).otherwise(atom("unknown", F.concat("id", F.lit(" is all properties"))))
+            ended = ended.unionByName(bound.where("kind IN ('param', 'whole')").select("key", prop.alias("a"))).unionByName(lost.select("key", atom("unknown", F.concat(F.lit("'"), "id", F.lit("' could not be found"))).alias("a")))
+            done = ended if done is None else done.unionByName(ended)
+            # Templates: their parts are traced under keys of their own, and put together at the end.
+            pieces = F.regexp_extract_all("expr", F.lit(rf"\$\{{({_INSIDE})\}}"), F.lit(1))
+            made = rows.where("sort = 'template'").withColumn("id", F.sha2(F.concat_ws("\x1e", *columns), 256)).withColumn("pieces", pieces)
+            made = written(made, "templates")
+            templates = made if templates is None else templates.unionByName(made)
+            parts = made.select(F.explode("pieces").alias("expr"), "id", *place, F.lit("").alias("steps")).withColumn("key", F.concat_ws("\x1e", "id", "expr"))
+            stepped = rows.where("sort = 'table'").withColumn("m", F.explode(_members(F.col("expr"), F.col("steps")))).select("key", *place, "m.expr", "m.steps")
+            local = bound.where("kind = 'const'").select("key", "path", "seq", F.col("decl_at").alias("at"), F.col("value").alias("expr"), "steps")
+            top = near.select("key", "path", F.col("to_seq").alias("seq"), F.lit(1).alias("at"), F.col("to_expr").alias("expr"), "steps")
+            away = far.select("key", F.col("to_path").alias("path"), F.col("to_seq").alias("seq"), F.lit(1).alias("at"), F.col("to_expr").alias("expr"), "steps")
+            new = _branched(reduce(DataFrame.unionByName, [stepped, local, top, away, parts.select(*columns)])).select(*columns).distinct()
+            work = written(new.join(seen, columns, "left_anti"), "work")
+            if work.isEmpty():
+                break
+            seen = seen.unionByName(work)
+        done = written(done.distinct(), "done")
+        return self._with_templates(done, templates)
+
+    def _with_templates(self, done: DataFrame, templates: DataFrame) -> DataFrame:
+        """Atoms by key, with the templates whose parts are known put in, until none is left."""
+        templates = written(templates.select("id", "key", F.expr("substring(expr, 2, char_length(expr) - 2)").alias("text"), "pieces"), "templates")
+        while not templates.isEmpty():
+            part = templates.select("id", "key", "text", F.explode(F.array_distinct("pieces")).alias("piece")).withColumn("part", F.concat_ws("\x1e", "id", "piece"))
+            waiting = part.join(templates.select(F.col("key").alias("part")).distinct(), "part", "left_semi").select("id").distinct()
+            ready = part.join(waiting, "id", "left_anti")
+            said = done.groupBy(F.col("key").alias("part")).agg(F.collect_set("a").alias("said"))
+            given = ready.join(said, "part").groupBy("id", "key", "text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("${"), "piece", F.lit("}")), "said"))).alias("given"))
+            holes = F.transform(F.map_keys("given"), lambda k: k)
+            put = given.select("key", F.explode(summaries.filled(F.col("text"), holes, lambda h: summaries.texts_of(F.element_at("given", h)), self.longest)).alias("a"))
+            rest = written(templates.join(waiting, "id", "left_semi"), "templates")
+            if rest.count() == templates.count():  # a template within itself
+                put = put.unionByName(rest.select("key", atom("unknown", F.lit("a template that contains itself")).alias("a")))
+                rest = rest.limit(0)
+            done, templates = written(done.unionByName(put).distinct(), "done"), rest
+        return done.groupBy("key").agg(F.collect_set("a").alias("said"))
+
+
+def _branched(work: DataFrame) -> DataFrame:
+    return work.withColumn("expr", F.explode(branches(F.col("expr"))))
 
 
 def _members(e: Column, steps: Column) -> Column:
-    """The expressions that member accesses on an expression lead to. On a table, a written key gives its value, and any other index gives all values
+    """What the first of some member accesses on a table leads to, with those that are left. A written key gives its value, any other index all values
     (of items with that key, for an array of objects)."""
-    e = _peeled(e)
-    first = F.regexp_extract(steps, r"\A\??\.?(\[(?:[^\[\]]|\[[^\[\]]*\])*\]|[\w$]+)", 1)
-    rest = F.substring(steps, F.char_length(F.regexp_extract(steps, r"\A\??\.?(?:\[(?:[^\[\]]|\[[^\[\]]*\])*\]|[\w$]+)", 0)) + 1, F.lit(1 << 30))
+    step = r"\A\??\.?(\[(?:[^\[\]]|\[[^\[\]]*\])*\]|[\w$]+)"
+    first, rest = F.regexp_extract(steps, step, 1), F.regexp_replace(steps, step, "")
     key = F.regexp_extract(first, r"\A\[\s*['\"]([^'\"]*)['\"]\s*\]\z|\A([\w$]+)\z", 1)
     key = F.when(key != "", key).otherwise(F.regexp_extract(first, r"\A([A-Za-z_$][\w$]*)\z", 1))
     index = F.regexp_extract(first, r"\A\[\s*(\d+)\s*\]\z", 1)
     pairs = F.transform(_zip(F.regexp_replace(e, r"\A\{|\}\z", ""), _PAIR, a=1, b=2, c=3, v=4), lambda p: F.struct(F.concat(p["a"], p["b"], p["c"]).alias("k"), p["v"].alias("v")))
     of_key = F.transform(F.filter(pairs, lambda p: (key == "") | (p["k"] == key)), lambda p: p["v"])
-    items = _all(F.regexp_replace(e, r"\A\[|\]\z", ""), _BRACES + "|" + _STRING + r"|[\w$.]+(?:" + _PARENS + ")?", 0)
+    items = _all(F.regexp_replace(e, r"\A\[|\]\z", ""), _BRACES + "|" + _BRACKETS + "|" + _STRING + r"|`[^`]*+`|[\w$.]+(?:" + _PARENS + ")?", 0)
     of_index = F.when(index != "", F.filter(F.array(F.get(items, index.cast("int"))), lambda x: x.isNotNull())).otherwise(items)
-    is_object, is_array = e.rlike(r"\A\{(?s:.*)\}\z"), e.rlike(r"\A\[(?s:.*)\]\z")
     missing = F.array(F.lit("undefined"))
-    stepped = F.when(is_object, F.when(F.size(of_key) > 0, of_key).otherwise(missing)).when(is_array & (first == "length"), F.array(F.lit("array.length()"))).when(is_array, F.when(F.size(of_index) > 0, of_index).otherwise(missing))
-    # One table is stepped into at a time: what is left of the steps goes on with the value found.
-    deeper = F.transform(stepped, lambda v: F.when(rest == "", v).when(v.rlike(r"\A\s*\{"), _key_of(v, rest)).otherwise(F.concat(F.trim(v), rest)))
-    return F.when(steps == "", F.array(e)).when(is_object | is_array, deeper).otherwise(F.array(F.concat(e, steps)))
-
-
-def _key_of(v: Column, steps: Column) -> Column:
-    """The value of the one key that is left, of an object written in place; undefined without it."""
-    key = F.regexp_extract(steps, r"\A\??\.([\w$]+)\z", 1)
-    pattern = F.concat(F.lit(r"(?:\{|,)\s*['\"]?"), key, F.lit(r"['\"]?\s*:\s*((?:'[^'\n]*'|\"[^\"\n]*\"|[^,{}\[\]'\"])+)"))
-    found = F.regexp_extract_all(v, pattern, F.lit(1))
-    return F.coalesce(F.get(found, F.lit(0)), F.when(key == "", F.lit("nested.members()")).otherwise(F.lit("undefined")))
+    stepped = F.when(e.startswith("{"), F.when(F.size(of_key) > 0, of_key).otherwise(missing)).when(first == "length", F.array(F.lit("array.length()"))).otherwise(F.when(F.size(of_index) > 0, of_index).otherwise(missing))
+    return F.transform(stepped, lambda v: F.struct(F.trim(v).alias("expr"), rest.alias("steps")))
 
 
-def _collected(done, instances, names, files, imps, wrappers, frames, cut, default_variant) -> Usage:
+def _collected(done, instances, names, files, imps, wrappers, called, n_sites, default_variant) -> Usage:
     at = instances.select("instance", "site", "path", "line")
     unknown = done.where("kind = 'unknown'").select("instance", "attr", "value")
     why = unknown.where("attr = 'name'").groupBy("instance").agg(F.min("value").alias("why"))
@@ -368,12 +491,9 @@ def _collected(done, instances, names, files, imps, wrappers, frames, cut, defau
     lost = why.join(at, "instance")
     taken = lost.join(near, "path").join(here.withColumnRenamed("path", "near"), "near").select("instance", "name", "near")
     rows = said.unionByName(taken.select("instance", "name")).join(names.select("name").distinct(), "name", "left_semi")
-    uses = rows.join(variants, "instance").join(shapes, "instance").select("variant", "name", "shape")
-    round_ = cut.join(near, "path").join(here.withColumnRenamed("path", "near"), "near")
-    uses = uses.unionByName(round_.select(F.lit("*").alias("variant"), "name", F.explode(F.array(F.lit("d"), F.lit("f"))).alias("shape"))).distinct()
-    d_cut = cut.select("path", "line", F.lit("wrappers render each other in a circle; the names written in this file and the files it imports are included").alias("message"))
+    uses = rows.join(variants, "instance").join(shapes, "instance").select("variant", "name", "shape").distinct()
     d_name = lost.select("path", "line", F.concat(F.lit("name could not be resolved ("), "why", F.lit("); the names written in this file and the files it imports are included")).alias("message"))
     other = unknown.where("attr <> 'name'").join(at, "instance").select("path", "line", F.concat("attr", F.lit(" could not be resolved ("), "value", F.lit("); every one is included")).alias("message"))
-    uncalled = wrappers.join(frames.select(F.col("wrapper").alias("target")).distinct(), "target", "left_anti").select("path", F.lit(1).alias("line"), F.concat(F.lit("wrapper "), "component", F.lit(" has no call sites that could be traced")).alias("message"))
-    diagnostics = d_name.unionByName(other).unionByName(uncalled).unionByName(d_cut).distinct()
-    return Usage(uses=uses, diagnostics=diagnostics, fallback_files=taken.select(F.col("near").alias("path")).union(round_.select("near")).distinct(), sites=instances.select("site").distinct().count(), wrappers=wrappers.select("path", "component").distinct())
+    uncalled = wrappers.join(called.withColumnRenamed("node", "target"), "target", "left_anti").select("path", F.lit(1).alias("line"), F.concat(F.lit("wrapper "), "component", F.lit(" has no call sites that could be traced")).alias("message"))
+    diagnostics = d_name.unionByName(other).unionByName(uncalled).distinct()
+    return Usage(uses=uses, diagnostics=diagnostics, fallback_files=taken.select(F.col("near").alias("path")).distinct(), sites=n_sites, wrappers=wrappers.select("path", "component").distinct())

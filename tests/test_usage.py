@@ -147,14 +147,107 @@ def test_branches(spark, expression, want):
 
 def test_deep_wrappers_long_barrels_and_circles(spark):
     files = {
-        "deep.tsx": IMPORT + "export const W0 = ({ name }) => <Marker name={name} />;\n" + "".join(f"export const W{i} = ({{ name }}) => <W{i - 1} name={{name}} />;\n" for i in range(1, 8)) + "export const A = () => <W7 name='tent' />;\n",
+        "deep.tsx": IMPORT + "export const W0 = ({ name }) => <Marker name={name} />;\n" + "".join(f"export const W{i} = ({{ name }}) => <><W{i - 1} name={{name}} /><W{i - 1} name={{name}} /></>;\n" for i in range(1, 13)) + "export const A = () => <W12 name='tent' />;\n",
         "b0.ts": "export { Marker } from 'map-marks';\n",
         **{f"b{i}.ts": f"export * from './b{i - 1}';\n" for i in range(1, 6)},
         "far.tsx": "import { Marker } from './b5';\nexport const B = () => <Marker name='flag' />;\n",
         "circle.tsx": IMPORT + "export const R = ({ a, b }) => <><Marker name={a} /><R a={b} b='tower' /></>;\nexport const C = () => <R a='bus' b='tram' />;\n",
     }
-    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    r = usage.analyze(spark.createDataFrame(list(files.items()), "path string, code string"), names, library="map-marks", component="Marker")
-    uses = {tuple(x) for x in r.uses.collect()}
-    assert {("rounded", n, "d") for n in ("tent", "flag", "bus", "tram")} | {("*", "tower", s) for s in "df"} <= uses
-    assert ("circle.tsx", "circle") in {(x["path"], x["message"].split(" in a ")[-1].split(";")[0]) for x in r.diagnostics.collect()}
+    uses, messages = analyzed(spark, files)
+    # Twelve levels of two calls each are 4,096 chains; a circle ends when it adds nothing.
+    assert uses == {("rounded", n, "d") for n in ("tent", "flag", "bus", "tram", "tower")} and messages == {}
+
+
+def analyzed(spark, files, names=NAMES):
+    r = usage.analyze(spark.createDataFrame(list(files.items()), "path string, code string"), spark.createDataFrame([(n,) for n in names], "name string"), library="map-marks", component="Marker")
+    return {tuple(x) for x in r.uses.collect()}, {(d["path"], d["line"]): d["message"] for d in r.diagnostics.collect()}
+
+
+def passed_on():
+    files = {
+        "p/kit.tsx": IMPORT
+        + """export const Item = ({ item, ...rest }) => <Marker name={item.marks.main} {...rest} />;
+export const Row = ({ entry, look = 'sharp' }) => {
+  const chosen = entry;
+  return <Item item={chosen} variant={look} />;
+};
+export const Made = ({ kind, at }) => <Marker name={`${kind}_${at}`} />;
+export const Half = ({ at }) => <Made kind={at} at='drop' />;
+""",
+        "p/page.tsx": """import { Row, Item, Made, Half } from './kit';
+const TABLE = { a: { marks: { main: 'peak', other: 'cabin' } }, b: { marks: { main: 'lake' } } };
+export const P = ({ k }) => <>
+  <Row entry={TABLE.a} look='outlined' />
+  <Row entry={TABLE[k]} />
+  <Item item={{ marks: { main: 'beach' } }} filled />
+  <Made kind='pin' at='drop' />
+  <Half at='pin' />
+</>;
+""",
+    }
+    return files, {("outlined", "peak", "d"), ("sharp", "peak", "d"), ("sharp", "lake", "d"), ("rounded", "beach", "f"), ("rounded", "pin_drop", "d")}, {}
+
+
+def shadowed():
+    files = {
+        "s/a.tsx": IMPORT
+        + """const glyph = 'tent';
+const s = 'castle';
+export function A() {
+  const glyph = 'flag';
+  const parts = ITEMS.map((s) => <Marker name={s} filled />);
+  if (x) {
+    const glyph = 'bus';
+    return <Marker name={glyph} />;
+  }
+  const inner = () => {
+    const own = 'ferry';
+    return <Marker name={own} />;
+  };
+  return <><Marker name={glyph} /><Marker name={s} /></>;
+}
+  export const B = () => {
+    const { own } = z;
+    return <Marker name={glyph} variant='sharp' />;
+  };
+""",
+    }
+    # The inner parameter hides the constant of its name, so that site takes every name of the file.
+    every = {("rounded", n, "f") for n in ("tent", "castle", "flag", "bus", "ferry")}
+    plain = {("rounded", "flag", "d"), ("rounded", "bus", "d"), ("rounded", "ferry", "d"), ("rounded", "castle", "d"), ("sharp", "tent", "d")}
+    return files, every | plain, {("s/a.tsx", 6): "'s' could not be found"}
+
+
+def tables_and_templates():
+    sizes, kinds = [f"s{i}" for i in range(20)], [f"k{i}" for i in range(15)]
+    files = {
+        "t/t.tsx": IMPORT
+        + f"""const DEEP = {{ one: {{ two: {{ three: {{ four: 'peak', five: ['beach', {{ six: 'lake' }}] }} }} }} }};
+const SIZES = [{', '.join(map(repr, sizes))}];
+const KINDS = [{', '.join(map(repr, kinds))}];
+const part = late ? 'tower' : 'bridge';
+export const A = ({{ i, j }}) => <>
+  <Marker name={{DEEP.one.two.three.four}} />
+  <Marker name={{DEEP['one'].two['three'].five[1].six}} />
+  <Marker name={{`${{part}}_${{late ? 'a' : 'b'}}`}} filled />
+  <Marker name={{`x_${{`${{part}}`}}`}} filled />
+</>;
+""",
+        "t/many.tsx": IMPORT + f"const SIZES = [{', '.join(map(repr, sizes))}];\nconst KINDS = [{', '.join(map(repr, kinds))}, 'tent'];\nexport const M = ({{ i }}) => <Marker name={{`${{SIZES[i]}}_${{KINDS[i]}}`}} variant='dim' />;\n",
+    }
+    said = {("rounded", n, "d") for n in ("peak", "lake")} | {("rounded", n, "f") for n in COMPOSED if n[-1] != "c"}
+    # 320 combinations are too many: the names of the file instead, and a word about it.
+    return files, said | {("dim", "tent", "d")}, {("t/many.tsx", 4): "too many values"}
+
+
+COMPOSED = [*(f"{p}_{x}" for p in ("tower", "bridge") for x in "abc"), "x_tower", "x_bridge"]
+
+
+def test_wrappers_scopes_tables_and_templates(spark):
+    """In one analysis, for none imports from another: parameters that are passed on, stepped into and put into texts; nested and shadowed constants; tables
+    of any depth; templates as products."""
+    made = [passed_on(), shadowed(), tables_and_templates()]
+    uses, messages = analyzed(spark, {k: v for files, _, _ in made for k, v in files.items()}, [*NAMES, *COMPOSED])
+    assert uses == set().union(*(u for _, u, _ in made))
+    wanted = {k: v for _, _, m in made for k, v in m.items()}
+    assert set(messages) == set(wanted) and all(wanted[k] in m for k, m in messages.items())
