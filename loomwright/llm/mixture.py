@@ -203,14 +203,13 @@ def mix(
     at = [F.col(f"_{d}") == F.col(f"_p_{d}") for d in DIMS]
     out = keyed.join(F.broadcast(probs.coalesce(1)) if few else probs, reduce(Column.__and__, at), "left")
     out = out.withColumn("probability", F.coalesce("probability", F.lit(0.0))).withColumn("sampled", uniform(F.col(own_name(docs, id_col)), seed) < F.col("probability"))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in OWN], *OWN)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in OWN], *OWN)
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mix() draws, with their own columns as they are, whatever their names."""
-    taken = {c: f"{c}-of-docs" for c in docs.columns if c in OWN}
-    drawn = mix(docs.withColumnsRenamed(taken), **options).where("sampled").drop(*OWN)
-    return drawn.withColumnsRenamed({v: k for k, v in taken.items()})
+    set_aside = docs.toDF(*[f"{i}-of-docs" if c.lower() in OWN else c for i, c in enumerate(docs.columns)])
+    return mix(set_aside, **options).where("sampled").drop(*OWN).toDF(*docs.columns)
 
 
 def mix_sql(*, temperature: float = 0.7, fraction: float = 0.5, rounds: int = 16, seed: str = "mix-1") -> str:

@@ -132,3 +132,11 @@ def test_every_source_has_its_own_target(documents, monkeypatch, few):
     assert total == pytest.approx(sum(have.values()) / 2, rel=1e-5)
     for k, v in filled(have, sum(have.values()) / 2).items():
         assert share[k] * total == pytest.approx(v, rel=1e-3)
+
+
+def test_names_that_clash_by_case(documents):
+    d = documents(*[(i, "a word " * (1 + i % 5)) for i in range(40)]).withColumns({"SAMPLED": F.lit("s"), "Probability": F.lit("p"), "N_Tokens": F.col("doc_id"), "topic_": F.lit("t")})
+    rows = M.sample(d).collect()
+    assert rows[0].asDict().keys() == set(d.columns)
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in M.sample(d.select("doc_id", "text", "lang", "source", "n_chars")).collect()}
+    assert all((r["SAMPLED"], r["Probability"], r["topic_"], r["N_Tokens"]) == ("s", "p", "t", r["doc_id"]) for r in rows)
