@@ -1,8 +1,8 @@
 """Source trees as a table.
 
 `source_tree` is a Python data source for trees that all executors can see (a mount): it keeps files whose names begin with a dot or an underscore, follows no
-symbolic links below the root, and does not descend into ignored or excluded directories. Each first-level directory is
-a partition. Files that vanish between listing and reading are rows with status 'gone'; other failures fail the read.
+symbolic links below the root, and does not descend into ignored or excluded directories. Directories are
+partitions, of the first level that has enough of them. Files that vanish between listing and reading are rows with status 'gone'; other failures fail the read.
 For stores that only Spark reads there is from_store(), with Spark's own listing rules.
 """
 
@@ -25,6 +25,8 @@ SCHEMA = "root string, path string, rel_path string, mtime_ms double, size bigin
 ARROW = pa.schema([("root", pa.string()), ("path", pa.string()), ("rel_path", pa.string()), ("mtime_ms", pa.float64()), ("size", pa.int64()), ("status", pa.string())])
 #: Files that a task reads, about. Listings come by directory, which may be one for all.
 FILES_IN_TASK = 2000
+#: Partitions of a listing, at least, if so many levels of directories have them.
+LISTINGS, LEVELS = 64, 4
 SOURCE_FILE = re.compile(r"\.[cm]?[jt]sx?\Z")
 
 
@@ -64,27 +66,44 @@ class TreeReader(DataSourceReader):
         return entry.is_dir(follow_symlinks=False) and not entry.name.startswith(".") and entry.name not in T.IGNORED_DIRECTORIES and not self._dropped(relative)
 
     def partitions(self):
+        """A partition for each directory of the levels that give enough of them, for its own files, and one for each tree below."""
         parts = []
         for root in self.roots:
             parts.append(Part(root, "", False))
-            if os.path.isdir(root):
-                with os.scandir(root) as entries:
-                    parts += [Part(root, e.name, True) for e in sorted(entries, key=lambda e: e.name) if self._enters(e, e.name)]
+            level = self._inner(root, "")
+            for _ in range(LEVELS - 1):
+                if not level or len(level) >= LISTINGS:
+                    break
+                parts += [Part(root, relative, False) for relative in level]
+                level = [deeper for relative in level for deeper in self._inner(root, relative)]
+            parts += [Part(root, relative, True) for relative in level]
         return parts
 
+    def _inner(self, root: str, relative: str) -> list[str]:
+        """The directories in one that are entered."""
+        try:
+            with os.scandir(os.path.join(root, relative)) as entries:
+                named = [(e, f"{relative}/{e.name}" if relative else e.name) for e in sorted(entries, key=lambda e: e.name)]
+                return [inner for e, inner in named if self._enters(e, inner)]
+        except (FileNotFoundError, NotADirectoryError):
+            return []
+
     def _files(self, root: str, relative: str, deep: bool) -> Iterator[str]:
         if os.path.isfile(root):
             if SOURCE_FILE.search(root) and not self._dropped(os.path.basename(root)):
                 yield ""
             return
-        with os.scandir(os.path.join(root, relative)) as entries:
-            for entry in sorted(entries, key=lambda e: e.name):
-                inner = f"{relative}/{entry.name}" if relative else entry.name
-                if entry.is_file(follow_symlinks=False):
-                    if SOURCE_FILE.search(entry.name) and not self._dropped(inner):
-                        yield inner
-                elif deep and self._enters(entry, inner):
-                    yield from self._files(root, inner, True)
+        try:
+            entries = sorted(os.scandir(os.path.join(root, relative)), key=lambda e: e.name)
+        except FileNotFoundError:  # gone since it was listed as a partition
+            return
+        for entry in entries:
+            inner = f"{relative}/{entry.name}" if relative else entry.name
+            if entry.is_file(follow_symlinks=False):
+                if SOURCE_FILE.search(entry.name) and not self._dropped(inner):
+                    yield inner
+            elif deep and self._enters(entry, inner):
+                yield from self._files(root, inner, True)
 
     def read(self, partition):
         rows = self._rows(partition)

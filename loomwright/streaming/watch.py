@@ -1,15 +1,16 @@
-"""Following a changing tree: micro-batches compare listings, and what changed is scanned again."""
+"""Following a changing tree: what changed is scanned again."""
 
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import written
-from ..sources.file_tree import read_tree
+from ..operators.graph import shared_tables, written
+from .changes import tree_changes, unanswered
 
 log = logging.getLogger(__name__)
 _active: dict[str, Watch] = {}
@@ -25,29 +26,25 @@ def differences(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 class Watch:
-    """Polls trees and calls on_change(differences) once for each micro-batch with any, however many files changed in it.
+    """Follows trees (changes.tree_changes) and calls on_change(differences) once for each micro-batch with any, however many files changed in it.
 
-    Only sources outside ignored and excluded directories are listed. A callback or a listing that fails is
-    logged, and watching goes on. A second watch under the same name stops the first.
+    Only sources outside ignored and excluded directories are listed, on executors. A callback that fails is logged, and watching goes on. A second watch
+    under the same name stops the first. state is a folder that all machines see, for the snapshots and the checkpoint: a watch that is
+    given that of an earlier one begins with what changed since. By default it is a new one among the application's tables.
     """
 
-    def __init__(self, spark: SparkSession, paths: list[str], on_change: Callable[[DataFrame], None], *, exclude: list[str] | None = None, interval: str = "1 second", name: str = "watch"):
-        self.spark, self.paths, self.exclude, self.on_change = spark, paths, exclude, on_change
-        self.seen = self._listing()
+    def __init__(self, spark: SparkSession, paths: list[str], on_change: Callable[[DataFrame], None], *, exclude: list[str] | None = None, interval: str = "1 second", name: str = "watch", state: str | None = None):
+        self.on_change = on_change
+        state = state or _own_folder(spark)
+        stream = tree_changes(spark, paths, f"{state}/snapshots", exclude=exclude)
         if name in _active:
             _active.pop(name).stop()
         _active[name] = self
-        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        self.query = ticks.writeStream.foreachBatch(self._batch).trigger(processingTime=interval).start()
+        self.query = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{state}/checkpoint").trigger(processingTime=interval).start()
 
-    def _listing(self) -> DataFrame:
-        return written(read_tree(self.spark, self.paths, exclude=self.exclude, content=False).select("path", "mtime_ms", "size"), "listing")
-
-    def _batch(self, _ticks: DataFrame, _number: int) -> None:
+    def _batch(self, changed: DataFrame, _number: int) -> None:
         try:
-            now = self._listing()
-            found = written(differences(self.seen, now), "differences")
-            self.seen = now
+            found = written(changed, "differences")
             if not found.isEmpty():
                 self.on_change(found)
         except Exception:
@@ -58,17 +55,19 @@ class Watch:
         self.query.awaitTermination(30)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    folder = shared_tables(spark)
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError("state is needed: the shared folder is a store, and snapshots need a mount that all machines see")
+    return f"{folder.removeprefix('file://').removeprefix('file:')}/watch-{uuid.uuid4().hex}"
+
+
 def stop_all() -> None:
     while _active:
         _active.popitem()[1].stop()
 
 
 def recheck(missing: DataFrame, registered: DataFrame, delay: str = "2 seconds") -> DataFrame:
-    """Streams (name, ts) of lookups that failed and of registrations: the lookups that no registration up to delay later answers, once a name.
-
-    Event-time left outer join with watermarks on both sides.
-    """
-    m = missing.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["name"])
-    r = registered.select(F.col("name").alias("r_name"), F.col("ts").alias("r_ts")).withWatermark("r_ts", delay)
-    joined = m.join(r, F.expr(f"name = r_name AND r_ts >= ts - interval 1 hour AND r_ts <= ts + interval {delay}"), "leftOuter")
-    return joined.where("r_name IS NULL").select("name", "ts")
+    """Streams (name, ts) of lookups that failed and of registrations: the lookups that no registration answers, however long before or up to delay
+    later, once a name."""
+    return unanswered(missing, registered, delay)
