@@ -485,11 +485,14 @@ def _collected(done, instances, names, files, imps, wrappers, called, n_sites, d
     shapes = done.where("attr = 'filled'").select("instance", F.explode(F.when(F.col("kind") == "unknown", F.array(F.lit("d"), F.lit("f"))).when((F.col("kind") == "bool") & (F.col("value") == "true"), F.array(F.lit("f"))).when((F.col("kind") == "str") & (F.col("value") != ""), F.array(F.lit("f"))).otherwise(F.array(F.lit("d")))).alias("shape")).distinct()
     variants = done.where("attr = 'variant'").select("instance", F.when(F.col("kind") == "unknown", "*").when(F.col("kind") == "str", F.col("value")).otherwise(F.lit(default_variant)).alias("variant")).distinct()
     said = done.where("attr = 'name' AND kind = 'str'").select("instance", F.col("value").alias("name"))
-    # The names of the file, and of the files it imports, for sites whose name is not known.
-    here = files.select("path", F.explode(T.value_literals(F.col("code"), F.col("path"))).alias("name")).join(names.select("name").distinct(), "name", "left_semi")
+    # The names of the file, and of the files it imports, for sites whose name is not known. Only those files are read.
     near = resolve_imports(imps, files).select("path", F.col("resolved").alias("near")).union(files.select("path", "path")).distinct()
-    lost = why.join(at, "instance")
-    taken = lost.join(near, "path").join(here.withColumnRenamed("path", "near"), "near").select("instance", "name", "near")
+    lost = written(why.join(at, "instance"), "lost")
+    asked = lost.select("path", "instance").join(near, "path")
+    wanted = files.join(asked.select(F.col("near").alias("path")).distinct(), "path", "left_semi")
+    code = wanted if "code" in files.columns else with_code(wanted)
+    here = written(code.select("path", F.explode(T.value_literals(F.col("code"), F.col("path"))).alias("name")).join(names.select("name").distinct(), "name", "left_semi"), "names-here")
+    taken = asked.join(here.withColumnRenamed("path", "near"), "near").select("instance", "name", "near")
     rows = said.unionByName(taken.select("instance", "name")).join(names.select("name").distinct(), "name", "left_semi")
     uses = rows.join(variants, "instance").join(shapes, "instance").select("variant", "name", "shape").distinct()
     d_name = lost.select("path", "line", F.concat(F.lit("name could not be resolved ("), "why", F.lit("); the names written in this file and the files it imports are included")).alias("message"))

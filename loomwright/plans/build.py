@@ -15,6 +15,8 @@ from .project import Config, Result, project
 
 log = logging.getLogger(__name__)
 COLLECT = ("usage", "literals")
+#: Warnings of one kind that a report spells out.
+TOLD = 200
 
 
 @dataclass
@@ -65,14 +67,20 @@ def build(spark: SparkSession, files: DataFrame, names: DataFrame, aliases: Data
     every = F.explode(F.array(F.lit("d"), F.lit("f"))).alias("shape")
     traced = None
     if options.collect == "usage":
-        code = files if "code" in files.columns else with_code(files)
-        code = written(scan.in_scope(code, options.globs), "code")
-        stmts = usage.cached_statements(spark, code, f"{options.cache_path}-statements", read=lambda fresh: code.join(fresh.select("path"), "path", "left_semi")) if options.cache_path else None
-        traced = usage.analyze(code, names, library=options.library, component=options.component, default_variant=options.variants[0], stmts=stmts)
+        scoped = scan.in_scope(files, options.globs)
+        listed = "code" not in scoped.columns
+        if listed:
+            scoped = written(scoped, "scope")
+        if options.cache_path:
+            own = None if listed else lambda fresh: scoped.join(fresh.select("path"), "path", "left_semi")
+            stmts = usage.cached_statements(spark, scoped, f"{options.cache_path}-statements", read=own)
+        else:
+            stmts = written(usage.statements(with_code(scoped) if listed else scoped), "statements")
+        traced = usage.analyze(scoped, names, library=options.library, component=options.component, default_variant=options.variants[0], stmts=stmts)
         uses = written(traced.uses, "uses")
-        strange = uses.where(~F.col("variant").isin("*", *options.variants)).select("variant").distinct().orderBy("variant").limit(20).collect()
-        warnings += [f"variant '{r['variant']}' of the sources is not bundled and is left out" for r in strange]
-        warnings += [f"{d['path']}:{d['line']}: {d['message']}" for d in traced.diagnostics.orderBy("path", "line").limit(200).collect()]
+        strange = uses.where(~F.col("variant").isin("*", *options.variants)).select("variant").distinct()
+        warnings += _told(strange, ["variant"], lambda r: f"variant '{r['variant']}' of the sources is not bundled and is left out")
+        warnings += _told(traced.diagnostics, ["path", "line"], lambda r: f"{r['path']}:{r['line']}: {r['message']}")
         uses = registry.expand_variants(uses.where(F.col("variant").isin("*", *options.variants)), options.variants)
     else:
         uses = registry.expand_variants(found.names.select(F.lit("*").alias("variant"), "name", every), options.variants)
@@ -95,6 +103,13 @@ def build(spark: SparkSession, files: DataFrame, names: DataFrame, aliases: Data
     return Build(text, changed, chosen, line, warnings, found, traced)
 
 
+def _told(found: DataFrame, order: list[str], said) -> list[str]:
+    """The first TOLD of some findings in words, and how many more there are. All of them are in the result's tables."""
+    found = written(found, "findings")
+    more = found.count() - TOLD
+    return [said(r) for r in found.orderBy(*order).limit(TOLD).collect()] + ([f"... and {more} more of these"] if more > 0 else [])
+
+
 def _validate(spark: SparkSession, names: DataFrame, icons: DataFrame, options: Options) -> None:
     known = {r["variant"] for r in icons.where(F.col("variant").isin(options.variants)).select("variant").distinct().collect()}
     if missing := [v for v in options.variants if v not in known]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, registry, scan, verify
+from ..operators import graph, registry, scan, scopes, summaries, verify
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,3 +391,41 @@ def value_positions(spark, sf_dir):
     for mark, c in (("B", "p_brand"), ("T", "p_type"), ("N", "p_name")):
         code = F.regexp_replace(code, F.lit(f"(?<=['`]){mark}(?=['`])"), named(c, mark.lower()))
     return _t(spark, sf_dir, "part").select("p_partkey", F.explode(T.value_literals(code, F.lit("program.tsx"))).alias("name"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, o_orderkey FROM (
+        SELECT l_orderkey, l_linenumber, w.o_orderkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate ORDER BY w.o_orderdate DESC, w.o_orderkey) AS k
+        FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey JOIN orders w ON w.o_custkey = o.o_custkey AND w.o_orderdate::DATE < l_shipdate::DATE AND l_shipdate::DATE < w.o_orderdate::DATE + 90
+    ) WHERE k = 1"""
+)
+def innermost_scope(spark, sf_dir):
+    """For each item, the customer's latest order that was open (under 90 days old) when it was shipped: the innermost of the intervals around a point."""
+    orders = _t(spark, sf_dir, "orders")
+    days = lambda c: F.unix_date(F.col(c).cast("date"))
+    points = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", days("l_shipdate").alias("at"))
+    points = points.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    spans = orders.select("o_custkey", "o_orderkey", days("o_orderdate").alias("start"), (days("o_orderdate") + 90).alias("end"))
+    return scopes.innermost(points, spans, ["o_custkey"], first="o_orderkey").select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
+@query(
+    """SELECT DISTINCT 'r' || r_regionkey AS origin, s_name AS name, r_name || '_' || n_name AS variant
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+)
+def composed_calls(spark, sf_dir):
+    """Regions as components, nations as wrappers that pass a name on and put their own into a text, suppliers as call sites: what is rendered in the end."""
+    region, nation, supplier = (_t(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    atom = lambda attr, kind, value: F.struct(F.lit(attr).alias("attr"), F.lit(kind).alias("kind"), value.alias("value"), F.lit("").alias("steps"))
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c))
+    text = F.concat("r_name", F.lit("_"), summaries.hole(F.lit("kind"), F.lit("")))
+    rows = region.select(key("r", "r_regionkey").alias("owner"), key("r", "r_regionkey").alias("origin"), F.array(atom("name", "prop", F.lit("mark")), atom("variant", "part", text)).alias("atoms"))
+    calls = nation.select(key("cn", "n_nationkey").alias("call"), key("n", "n_nationkey").alias("owner"), key("r", "n_regionkey").alias("target"))
+    calls = calls.unionByName(supplier.select(key("cs", "s_suppkey").alias("call"), F.lit(None).cast("string").alias("owner"), key("n", "s_nationkey").alias("target")))
+    given = lambda prop, said: (F.lit(prop).alias("prop"), F.lit("").alias("steps"), F.array(said).alias("said"))
+    answers = nation.select(key("cn", "n_nationkey").alias("call"), *given("mark", summaries.atom("prop", F.lit("sign"))))
+    answers = answers.unionByName(nation.select(key("cn", "n_nationkey").alias("call"), *given("kind", summaries.atom("str", F.col("n_name")))))
+    answers = answers.unionByName(supplier.select(key("cs", "s_suppkey").alias("call"), *given("sign", summaries.atom("str", F.col("s_name")))))
+    ends = summaries.compose(rows, calls, answers).where("owner IS NULL")
+    value = lambda attr: F.filter("atoms", lambda a: a["attr"] == attr)[0]["value"].alias(attr)
+    return ends.select("origin", value("name"), value("variant"))

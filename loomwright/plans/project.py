@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -97,8 +97,10 @@ def _project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Co
         key = f"{config.cache_key}:{print_}:m{chr(1).join(config.markers)}:{engine}:{REVISION}"
         cache = tables.read_cache(spark, config.cache_path, key)
         cached = cache.join(files.select(*on), on, "left_semi")
-        n_files, n_cached = files.count(), cached.count()
-        if n_cached == n_files == cache.count():  # nothing changed: the cache is the result, and stays as it is
+        # One pass counts what is listed, what is cached and what is both.
+        sides = files.select(*on, F.lit(1).alias("_listed")).join(cache.select(*on, F.lit(1).alias("_cached")), on, "full")
+        n_files, n_cache, n_cached = (n or 0 for n in sides.agg(F.count("_listed"), F.count("_cached"), F.count(F.col("_listed") + F.col("_cached"))).first())
+        if n_cached == n_files == n_cache:  # nothing changed: the cache is the result, and stays as it is
             phase("match")
             return _result(cache, n_files, n_cached, engine, seconds)
         fresh = scan.changed(files, cache, on)
@@ -122,7 +124,9 @@ def _project(spark: SparkSession, files: DataFrame, names: DataFrame, config: Co
             log.warning("the cache was not written: %s", e)
             entries = written(entries, "entries")
     else:
-        entries = written(entries, "entries")
+        counted = Observation()
+        entries = written(entries.observe(counted, F.count(F.lit(1)).alias("files")), "entries")
+        n_files = counted.get["files"]
     phase("aggregate")
     return _result(entries, n_files, n_cached, engine, seconds)
 

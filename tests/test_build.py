@@ -6,6 +6,7 @@ import pytest
 
 from loomwright.operators import registry, usage
 from loomwright.plans.build import Options, build
+from loomwright.sources import tables
 from loomwright.sources.file_tree import read_tree, with_code
 
 NAMES = "flag tent bus ferry tram tower beach peak".split()
@@ -40,7 +41,11 @@ def options(tree, **more):
 
 def test_from_sources_to_registry(spark, tree, data):
     run = lambda **more: build(spark, read_tree(spark, [str(tree / "src")], content=False), *data, options(tree, **more))
+    (tree / "src" / "Legend.test.tsx").write_text(SOURCES["Legend.tsx"].replace("flag", "bus"))
     first = run(include=["tent"])
+    # Tests are out of scope: they are not read for statements either.
+    kept = tables.read_table(spark, f"file://{tree}/cache-statements", "path string, mtime_ms double, size bigint, seq int, line int, text string")
+    assert {os.path.basename(r["path"]) for r in kept.select("path").distinct().collect()} == set(SOURCES)
     chosen = {(r["variant"], r["name"], r["shape"]) for r in first.chosen.collect()}
     # By hand: flag and tram (for wagon) and tent as written; BEST of the file that exports it; what stands in Menu, for its Marker is a value; ferry by its reference.
     want = {("rounded", n, "d") for n in ("flag", "peak", "tower", "ferry")} | {("rounded", "tram", "f"), ("sharp", "tent", "d")}
