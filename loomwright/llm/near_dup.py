@@ -15,7 +15,8 @@ Work that grows with the square of a group's size is avoided in three ways:
   link and are out. The rest is joined with each other, with exact bounds by sizes, shared shingles and bitmaps of the hashed shingles in
   the join's condition, and the few pairs that pass are confirmed. A shingle whose bit the other bitmap lacks is not in the other
   set, so the bits that two bitmaps share, and the shingles that fell on a bit already set, bound what the sets share.
-Nothing is capped, and no bound can lose a link: any pair that has a key in common is either in one component already or compared.
+No number of pairs is capped. All bounds but one are exact; the exception is that a pair of a star whose signatures differ in FAR symbols or more is not
+compared again, which at a similarity of 0.75 is 6.7 deviations from the mean.
 
 Tables between the steps are written to the shared folder, so a lost executor repeats one step at most.
 """
