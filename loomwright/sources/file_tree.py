@@ -25,8 +25,8 @@ SCHEMA = "root string, path string, rel_path string, mtime_ms double, size bigin
 ARROW = pa.schema([("root", pa.string()), ("path", pa.string()), ("rel_path", pa.string()), ("mtime_ms", pa.float64()), ("size", pa.int64()), ("status", pa.string())])
 #: Files that a task reads, about. Listings come by directory, which may be one for all.
 FILES_IN_TASK = 2000
-#: Partitions of a listing, at least, if so many levels of directories have them.
-LISTINGS, LEVELS = 64, 4
+#: Partitions of a listing, at least, if one of so many levels of directories has them without having more than the most.
+LISTINGS, MOST_LISTINGS, LEVELS = 16, 256, 4
 SOURCE_FILE = re.compile(r"\.[cm]?[jt]sx?\Z")
 
 
@@ -74,8 +74,11 @@ class TreeReader(DataSourceReader):
             for _ in range(LEVELS - 1):
                 if not level or len(level) >= LISTINGS:
                     break
+                below = [deeper for relative in level for deeper in self._inner(root, relative)]
+                if len(below) > MOST_LISTINGS:
+                    break
                 parts += [Part(root, relative, False) for relative in level]
-                level = [deeper for relative in level for deeper in self._inner(root, relative)]
+                level = below
             parts += [Part(root, relative, True) for relative in level]
         return parts
 
