@@ -12,11 +12,14 @@ Work that grows with the square of a group's size is avoided in three ways:
 * For each key, every document is first compared with the key's smallest only, so a group of copies becomes a star. Links that hold
   make components (large-star and small-star rounds).
 * What is left are pairs of different components under one key. Documents of which too few shingles occur in any other of these cannot have a
-  link and are out. The rest is joined with each other, with exact bounds by sizes, shared shingles and bitmaps of the hashed shingles in
-  the join's condition, and the few pairs that pass are confirmed. A shingle whose bit the other bitmap lacks is not in the other
-  set, so the bits that two bitmaps share, and the shingles that fell on a bit already set, bound what the sets share.
-No number of pairs is capped. All bounds but one are exact; the exception is that a pair of a star whose signatures differ in FAR symbols or more is not
-compared again, which at a similarity of 0.75 is 6.7 deviations from the mean.
+  link and are out. A key that more than HOT of the rest have (documents of one template) is split by rare shingles: in one order of all
+  shingles, by how many open documents have them, two linked sets have one in common among the first n - ceil(percent * n) + 1 of each, so
+  its documents meet under those only, and what a template repeats is not among them. In a bucket, documents of its largest component meet the
+  others and not each other.
+Bounds by sizes, by places in that order and by bitmaps of the hashed shingles discard candidates before texts are compared. A shingle whose bit the
+other bitmap lacks is not in the other set, so the bits that two bitmaps share, and the shingles that fell on a bit already set, bound what
+the sets share. No number of pairs is capped, and all bounds are exact. What grows with a square is left for shingles that are among the rarest of
+many sets of different components.
 
 Tables between the steps are written to the shared folder, so a lost executor repeats one step at most.
 """
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, durable, text_groups
@@ -38,8 +41,8 @@ CHUNKS = 12
 CHUNK = 7
 ERRORS = 1
 SYMBOLS = CHUNKS * CHUNK
-FAR = 48  # of 84 symbols: at similarity 0.75 the mean is 21 with a deviation of 4
-BITMAP = 2048  # bits of the hashed sets that open pairs are compared by
+HOT = 32  # open documents of a key from which on it is split by rare shingles
+BITMAP = 2048  # bits of the hashed sets that pairs are compared by
 CACHE = 400_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -116,8 +119,8 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in (t for texts in text_groups(batch["text"]) for t in texts):
             hashes = signer.shingle_hashes(text)
-            rows.append((len(hashes), _digest(hashes), signer.sign(hashes)) if len(hashes) else (0, None, None))
-        yield pd.concat([batch[["id"]], pd.DataFrame(rows, columns=["n", "same", "sig"], index=batch.index)], axis=1)
+            rows.append((len(hashes), _digest(hashes), signer.sign(hashes), bitmap(hashes)) if len(hashes) else (0, None, None, None))
+        yield pd.concat([batch[["id"]], pd.DataFrame(rows, columns=["n", "same", "sig", "bits"], index=batch.index)], axis=1)
 
 
 def keys(sig: Column) -> Column:
@@ -134,9 +137,9 @@ def errors(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseOR(x.bitwiseAND(low) + low).bitwiseAND(high))
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Symbols in which two signatures differ."""
-    return sum((errors(a[c], b[c]) for c in range(CHUNKS)), F.lit(0))
+def shares_key(a: Column, b: Column) -> Column:
+    """Do two signatures have any key in common?"""
+    return F.least(*[errors(a[c], b[c]) for c in range(CHUNKS)]) <= ERRORS
 
 
 def is_first_key(place: Column, a: Column, b: Column) -> Column:
@@ -147,24 +150,76 @@ def is_first_key(place: Column, a: Column, b: Column) -> Column:
     return ((place % CHUNK == 0) | (errors(F.get(a, chunk), F.get(b, chunk)) > 0)) & (chunk == first)
 
 
+def ones(bits: Column | list[Column]) -> Column:
+    """How many bits of a bitmap, or of two bitmaps both, are set."""
+    first, *more = bits if isinstance(bits, list) else [bits]
+    return sum((F.bit_count(first[i].bitwiseAND(more[0][i]) if more else first[i]) for i in range(BITMAP // 64)), F.lit(0))
+
+
+def may_link(common: Column, percent: int) -> Column:
+    """Can sets of sizes an and bn be linked if they have no more than this in common?"""
+    return common * 100 >= (F.col("an") + F.col("bn") - common) * percent
+
+
+def by_bitmaps(percent: int) -> Column:
+    """Exact bound of a pair (an, bn, abits, bbits) by shared bits and the shingles that fell on bits set already."""
+    fallen = F.least(F.col("an") - ones(F.col("abits")), F.col("bn") - ones(F.col("bbits")))
+    return may_link(F.least("an", "bn"), percent) & may_link(ones([F.col("abits"), F.col("bbits")]) + fallen, percent)
+
+
 def _hashed(texts: DataFrame) -> DataFrame:
-    """(id, same, h, bits): the set's digest, shingle hashes and their bitmap. Rows with one id may be several sets."""
+    """(id, same, h): the set's digest and its shingle hashes. Rows with one id may be several sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer()
         for batch in batches:
             hashes = [signer.shingle_hashes(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "same": [_digest(h) for h in hashes], "h": [h.view(np.int64) for h in hashes], "bits": [bitmap(h) for h in hashes]})
+            yield pd.DataFrame({"id": batch["id"], "same": [_digest(h) for h in hashes], "h": [h.view(np.int64) for h in hashes]})
 
-    return texts.mapInPandas(run, "id bigint, same binary, h array<bigint>, bits array<bigint>")
+    return texts.mapInPandas(run, "id bigint, same binary, h array<bigint>")
 
 
 def _shared_counts(hashed: DataFrame) -> DataFrame:
-    """(id, same, bits, s): how many shingles of each set any other of these sets has too. Shingles that one set alone has are counted by it and taken away."""
+    """(id, same, s): how many shingles of each set any other of these sets has too. Shingles that one set alone has are counted by it and taken away."""
     each = hashed.select(F.struct("id", "same").alias("of"), F.explode("h").alias("h"))
     held = each.groupBy("h").agg(F.min("of").alias("of"), F.max("of").alias("last"))
     alone = held.where("of = last").groupBy("of.id", "of.same").agg(F.count(F.lit(1)).alias("u"))
-    return hashed.join(alone, ["id", "same"], "left").select("id", "same", "bits", (F.size("h") - F.coalesce("u", F.lit(0))).alias("s"))
+    return hashed.join(alone, ["id", "same"], "left").select("id", "same", (F.size("h") - F.coalesce("u", F.lit(0))).alias("s"))
+
+
+def _rare(hashed: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """(h, id, rest) of the sets named by wanted (id, same): each one's rarest shingles that others have too, and how many come after it.
+
+    Two sets that are linked have one of them in common, as both go by one order: how many of all these sets have a shingle, then its hash.
+    Shingles of one set alone come first in it; they take their places and give no row.
+    """
+    held = hashed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = hashed.join(wanted, ["id", "same"], "left_semi").select("id", "same", F.size("h").alias("n"), F.explode("h").alias("h")).join(held, "h")
+    last = Window.partitionBy("id", "same").orderBy(F.desc("df"), F.desc("h"))
+    placed = each.withColumn("rest", F.row_number().over(last) - 1)
+    # Of n places the first n - ceil(percent * n) + 1 count, so at least ceil(percent * n) - 1 come after.
+    return placed.where(F.col("rest") >= F.ceil(F.col("n") * percent / F.lit(100)) - 1).select("h", "id", "same", "rest")
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """rows (bucket, component, ...) of buckets with several components; main: of the bucket's largest component, which need not meet each other."""
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return rows.join(largest.select("bucket", F.col("m.component").alias("m")), "bucket").withColumn("main", F.col("component") == F.col("m")).drop("m")
+
+
+def open_buckets(rows: DataFrame, hashed: DataFrame, percent: int) -> DataFrame:
+    """Where open documents meet: (bucket, place, id, same, component, rest, main), of rows (key, place, id, same, n, component).
+
+    A key of up to HOT rows is a bucket. The documents of other keys meet under their rare shingles instead (place is -1), however many keys they have.
+    """
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    sized = durable(rows.join(sizes, "key"), "sized-keys")
+    few = sized.where(F.col("k") <= HOT).select(F.xxhash64(F.lit("key"), "key").alias("bucket"), "place", "id", "same", "component", F.col("n").alias("rest"))
+    hot = durable(sized.where(F.col("k") > HOT).select("id", "same", "component").distinct(), "hot")
+    rare = _rare(hashed, hot, percent).join(hot, ["id", "same"])
+    split = rare.select(F.xxhash64(F.lit("shingle"), "h").alias("bucket"), F.lit(-1).alias("place"), "id", "same", "component", F.col("rest").cast("bigint").alias("rest"))
+    return _buckets(durable(few.unionByName(split), "meetings"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -224,19 +279,18 @@ def near_groups(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", t
     columns are ignored and an empty table gives an empty result. Texts are read whole.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = durable(own.mapInPandas(_signed, "id bigint, n bigint, same binary, sig array<bigint>"), "signed")
+    signed = durable(own.mapInPandas(_signed, "id bigint, n bigint, same binary, sig array<bigint>, bits array<bigint>"), "signed")
     # Equal sets: the class' smallest id stands for it.
-    classes = durable(signed.where("n > 0 AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
+    # Equal sets have equal signatures and bitmaps.
+    classes = durable(signed.where("n > 0 AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("id"), *[F.max(c).alias(c) for c in ("n", "sig", "bits")]), "classes")
     every = classes.select("id", F.posexplode(keys(F.col("sig"))).alias("place", "key"))
     shared = durable(every.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "rep"), "shared-keys")
     member = durable(every.join(shared, "key").select("key", "place", "id", "rep"), "members")
-    sized = classes.select("id", "same", "n", "sig")
-    close = lambda x, y: (F.col(f"{x}n") * 100 >= F.col(f"{y}n") * percent) & (F.col(f"{y}n") * 100 >= F.col(f"{x}n") * percent)
-    a, b = (sized.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("sig").alias(f"{x}sig")) for x in "ab")
+    a, b = (classes.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("bits").alias(f"{x}bits")) for x in "ab")
     # Whole texts cross the network once here; the joins below carry those of documents with a key in common only.
     texts = durable(own.where("id IS NOT NULL").join(member.select("id").distinct(), "id", "left_semi"), "texts")
     stars = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(a, "a").join(b, "b").where(close("a", "b") & (distance(F.col("asig"), F.col("bsig")) <= FAR)).select("a", "b").distinct()
+    stars = stars.join(a, "a").join(b, "b").where(by_bitmaps(percent)).select("a", "b").distinct()
     links = durable(_confirmed(stars, texts, percent), "links")
     # Pairs of different components under one key, but for those with the key's smallest, which are done.
     parts = durable(components(links), "parts")
@@ -244,17 +298,17 @@ def near_groups(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", t
     several = open_keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     rows = durable(open_keys.join(several, "key", "left_semi").select("key", "place", "id", "component"), "open-keys")
     # A pair's common shingles are at most those that either shares with anyone else here; most open documents share too few.
-    able = _shared_counts(durable(_hashed(texts.join(rows.select("id").distinct(), "id", "left_semi")), "hashed"))
-    able = durable(sized.join(able.distinct(), ["id", "same"]).where(F.col("s") * 100 >= F.col("n") * percent).select("id", "n", "s", "sig", "bits"), "able")
-    rows = rows.join(able.withColumn("ones", sum((F.bit_count(F.col("bits")[i]) for i in range(BITMAP // 64)), F.lit(0))), "id")
-    own_columns = ("id", "component", "n", "s", "sig", "bits", "ones")
-    left, right = rows.select("key", "place", *[F.col(c).alias(f"a{c}") for c in own_columns]), rows.select("key", *[F.col(c).alias(f"b{c}") for c in own_columns])
-    possible = lambda common: common * 100 >= (F.col("an") + F.col("bn") - common) * percent
-    ones = lambda x: sum((F.bit_count(x(i)) for i in range(BITMAP // 64)), F.lit(0))
-    fallen = F.least(*[F.col(f"{x}n") - F.col(f"{x}ones") for x in "ab"])  # shingles on bits that were set already
-    by_bits = ones(lambda i: F.col("abits")[i].bitwiseAND(F.col("bbits")[i])) + fallen
-    apart = (F.col("aid") < F.col("bid")) & (F.col("acomponent") != F.col("bcomponent")) & close("a", "b") & possible(F.least("as", "bs")) & is_first_key(F.col("place"), F.col("asig"), F.col("bsig")) & possible(by_bits)
-    crossed = durable(left.join(right, (left["key"] == right["key"]) & apart).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct(), "crossed")
+    hashed = durable(_hashed(texts.join(rows.select("id").distinct(), "id", "left_semi")), "hashed")
+    able = classes.join(_shared_counts(hashed).distinct(), ["id", "same"]).where(F.col("s") * 100 >= F.col("n") * percent)
+    able = durable(able.select("id", "same", "n", "s", "sig", "bits"), "able")
+    meet = durable(open_buckets(rows.join(able.select("id", "same", "n"), "id"), hashed, percent), "buckets").join(able, ["id", "same"])
+    left, right = (meet.select("bucket", *[F.col(c).alias(x + c) for c in meet.columns if c != "bucket"]) for x in "ab")
+    once = ~F.col("amain") & (F.col("bmain") | (F.col("aid") < F.col("bid")))  # each pair from one side; none inside the largest component
+    same_key = F.when(F.col("aplace") >= 0, is_first_key(F.col("aplace"), F.col("asig"), F.col("bsig"))).otherwise(shares_key(F.col("asig"), F.col("bsig")))
+    # The first shingle that two sets have in common bounds the rest by what comes after it in either.
+    bounds = may_link(F.least("as", "bs"), percent) & may_link(F.least("arest", "brest") + 1, percent) & same_key & by_bitmaps(percent)
+    crossed = left.join(right, "bucket").where((F.col("acomponent") != F.col("bcomponent")) & once & bounds)
+    crossed = durable(crossed.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct(), "crossed")
     links = links.union(_confirmed(crossed, texts, percent))
     found = classes.select("same", "id").join(components(links), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     # Rows without a set join by their id, each for itself, instead of meeting as nulls.

@@ -118,3 +118,41 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(10, 40)] + [(100, i) for i in range(101, 180)] + [(7, 5), (5, 7)]
     got = {r["id"]: r["component"] for r in N.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 10 for i in range(10, 41)}, **{i: 100 for i in range(100, 180)}, 5: 5, 7: 5}
+
+
+def _one_template(count, seed=4):
+    """Documents of one template of 60 phrases, of which each has 40 and, between them, words of its own or of a few others: about half alike, nearly every shingle in several."""
+    rng = random.Random(seed)
+    phrases = [" ".join(f"{chr(97 + i % 26)}{i}{j}" for j in range(9)) for i in range(60)]
+    names = [" ".join(f"n{k}x{j}" for j in range(10)) for k in range(count)]
+    out = []
+    for i in range(count):
+        own = [names[rng.randrange(max(0, i - 3), min(count, i + 4))] for _ in range(14)]
+        out.append((i + 1, " ".join(x for k, p in enumerate(phrases[:40]) for x in ([p, own[k % 14]] if k % 2 else [p]))))
+    return out
+
+
+def test_documents_of_one_template_meet_in_few_pairs(spark, documents, monkeypatch):
+    """Four times the rows of one template make about four times the pairs, and a low HOT changes no link."""
+    pairs = {}
+    whole = N.open_buckets
+
+    def counted(rows, hashed, percent):
+        out = whole(rows, hashed, percent)
+        got = out.groupBy("bucket").agg({"id": "count"}).withColumnRenamed("count(id)", "k").selectExpr("sum(k * (k - 1) / 2)").first()[0]
+        pairs[len(pairs)] = got or 0
+        return out
+
+    monkeypatch.setattr(N, "open_buckets", counted)
+    for count in (300, 1200):
+        rows = _one_template(count)
+        got = {r["doc_id"]: r["component_id"] for r in N.near_groups(documents(*rows)).collect()}
+        if count == 300:
+            assert got == {i: c for i, _, c, _ in brute(rows)}
+    assert 0 < pairs[1] <= 5 * pairs[0], pairs
+
+
+def test_rare_shingles_find_every_link(documents, monkeypatch, rows):
+    monkeypatch.setattr(N, "HOT", 1)
+    got = N.near_groups(documents(*rows))
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == brute(rows)
