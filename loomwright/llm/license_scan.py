@@ -118,8 +118,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
-LONG_LINE = 400  # words
-PIECE = 12
+PIECE = 12  # words
 EDGE = "\x02"  # stands before the first and after the last word, so that a text of one word has bigrams
 
 
@@ -144,9 +143,21 @@ class Scanner:
         self.inner = {g for _, _, b in self.forms for g in b if EDGE not in g}
         self.ends = {g[0] for _, _, b in self.forms for g in b if g[1] == EDGE}
         self.begins = {g[1] for _, _, b in self.forms for g in b if g[0] == EDGE}
+        words = [w for many in templates.values() for x in many if (w := normalise(x))]
+        self.firsts, self.lasts = {tuple(w[:2]) for w in words}, {tuple(w[-2:]) for w in words}
         most = max((f[0] for f in self.forms), default=0)
         self.longest = int(most * (2 - threshold) / threshold + 1e-9)
 
+    def pieces(self, words: list[str]) -> list[list[str]]:
+        """A line cut before the first two words of any template, after the last two, and every PIECE words: where runs may begin and end in it."""
+        cuts = {0, len(words), *range(PIECE, len(words), PIECE)}
+        for i, pair in enumerate(pairwise(words)):
+            if pair in self.firsts:
+                cuts.add(i)
+            if pair in self.lasts:
+                cuts.add(i + 2)
+        return [words[a:b] for a, b in pairwise(sorted(cuts))]
+
     def best(self, grams: set[tuple[str, str]]) -> tuple[float, str] | None:
         """The best Dice at or over the threshold of one run's bigrams; of equals, the alphabetically first name."""
         n, found = len(grams), None
@@ -162,7 +173,8 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """Matches as (first line, line after the last, licence, Dice), best first chosen, none overlapping another.
 
-        A run begins and ends in a line that shares an inner bigram, or an edge word, with some template: a run without such
+        Lines of any length are cut into pieces, so that a licence within a line is found wherever it stands; two within one line are two matches.
+        What is said of lines below holds of pieces. A run begins and ends in a line that shares an inner bigram, or an edge word, with some template: a run without such
         ends has a shorter one with at least its Dice. Starts are taken from the last line to the first, with the line at
         which each bigram first occurs from there on; runs stop where they hold more distinct bigrams than the longest
         template allows.
@@ -170,7 +182,7 @@ class Scanner:
         lines, number = [], []  # words, and the text's line that they stand in
         for i, x in enumerate((text or "").split("\n")):
             if words := normalise(x):
-                pieces = [words] if len(words) <= LONG_LINE else [words[k : k + PIECE] for k in range(0, len(words), PIECE)]
+                pieces = self.pieces(words)
                 lines += pieces
                 number += [i] * len(pieces)
         useful = self._useful(lines)
@@ -206,10 +218,10 @@ class Scanner:
             if k in useful:
                 found += self._runs(k, lines, useful, new, steps, endings)
         chosen: list[tuple[int, int, str, float]] = []
-        for dice, first, end, name in sorted((-d, number[a], number[b] + 1, name) for d, a, b, name in found):
+        for dice, first, end, name in sorted((-d, a, b + 1, name) for d, a, b, name in found):
             if all(end <= a or b <= first for a, b, _, _ in chosen):
                 chosen.append((first, end, name, -dice))
-        return sorted(chosen)
+        return [(number[a], number[b - 1] + 1, name, dice) for a, b, name, dice in sorted(chosen)]
 
     def _runs(self, k: int, lines: list[list[str]], useful: dict[int, None], new: dict[int, set], steps: list[int], endings: dict[str, list[int]]) -> list[tuple[float, int, int, str]]:
         """(Dice, first line, last line, licence) of the runs from line k on that are to be compared."""

@@ -55,8 +55,10 @@ FORMS = [(name, S.bigrams(S.normalise(f))) for name, many in S.TEMPLATES.items()
 
 
 def brute(text, t=0.8):
-    """All runs of lines against all templates; the best first, none overlapping another."""
-    lines, found = [S.normalise(x) for x in (text or "").split("\n")], []
+    """All runs of pieces of lines against all templates; the best first, none overlapping another."""
+    cut = S.Scanner(S.TEMPLATES, t).pieces
+    of, lines = zip(*[(i, w) for i, x in enumerate((text or "").split("\n")) for w in cut(S.normalise(x)) or [[]]])
+    found = []
     for a in range(len(lines)):
         for b in range(a + 1, len(lines) + 1):
             if lines[a] and lines[b - 1]:
@@ -68,7 +70,7 @@ def brute(text, t=0.8):
     for dice, a, b, name in sorted(found):
         if all(b <= x or y <= a for x, y, _, _ in chosen):
             chosen.append((a, b, name, -dice))
-    return sorted(chosen)
+    return [(of[a], of[b - 1] + 1, name, dice) for a, b, name, dice in sorted(chosen)]
 
 
 def broken_licences():
@@ -120,6 +122,18 @@ def test_a_licence_within_a_very_long_line():
     assert [(a, b, name) for a, b, name, _ in found] == [(1, 2, "MIT")] and found[0][3] > 0.9
 
 
+def test_a_licence_is_found_in_lines_of_every_length():
+    """At the end, in the middle and at the start of one line of other words, whatever its length."""
+    scanner = S.Scanner(S.TEMPLATES, 0.8)
+    mit = " ".join(S.TEMPLATES["MIT"][2].split())
+    for size in (100, 281, 361, 461, 1500):
+        noise = " ".join(f"noise{i}" for i in range(size))
+        for line in (noise + " " + mit, mit + " " + noise, noise + " " + mit + " " + noise):
+            assert scanner.scan("one\n" + line + "\nend") == [(1, 2, "MIT", 1.0)], size
+    both = mit + " " + noise + " " + " ".join(S.TEMPLATES["MPL-2.0"][0].split())
+    assert scanner.scan(both) == [(0, 1, "MIT", 1.0), (0, 1, "MPL-2.0", 1.0)]
+
+
 def test_spans_of_several_licences(documents, clashing):
     text = "hello\n" + S.TEMPLATES["MIT"][2] + "\nfoo\nLicensed under CC BY-NC 4.0.\n"
     rows = [(1, text), (2, None), (3, ""), (4, "Licensed under the Apache License, Version 2.0.\n" * 2000), (4, "x " * 100_000), (None, "released under the MIT license")]
