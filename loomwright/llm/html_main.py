@@ -3,11 +3,12 @@
 1. A page is read into blocks (text between block tags; white space collapsed, references decoded), each with the mark
    whether it stands in the page's main content (article, main, or role=main). Scripts, styles, forms, navigation, footers and asides hold
    no blocks, nor do containers that name themselves as an advert, a menu, a notice, comments and so on.
-2. Pages of a host are ordered by URL path. Ranges of that order are tasks, and what stands at a range's ends is handed to
+2. Pages of a host with the same blocks are one page, at the first of their URLs: copies neither stand between a page and its neighbours nor
+   get other results. They are ordered by URL path. Ranges of that order are tasks, and what stands at a range's ends is handed to
    the adjoining ranges, so the neighbours are the same at every size and a host with very many pages is many tasks.
 3. The blocks of a page are aligned with those of its nearest neighbours by a longest common subsequence. What it shares with both of the two nearest
-   is the site's template and is deleted. A neighbour that is a copy of the page says nothing and is passed over, and where more than
-   half of a page would go (copies of an article with other surroundings), the next two must share it too.
+   is the site's template and is deleted. Where more than half of a page would go (copies of an article with other surroundings), the
+   next two must share it too.
    Blocks in marked main content are protected: equal text there is a quotation or a copy and belongs to the article.
 
 Neighbours are found on block hashes; page text does not cross the network for it. Positions to delete come back to the pages by
@@ -35,6 +36,10 @@ DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "tem
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
+#: Elements that may name themselves as something other than content; headings, paragraphs and what stands in them may not.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "center", "details", "header", "fieldset"}
+#: Names of reader comments: of any container, and of an article within main content (a comment). A section's id otherwise is an anchor of the article.
+COMMENTS = {"comment", "comments", "responses", "disqus"}
 #: A container is named by a word of class, id or role whose parts (between - and _) are all among these, one of the first group at least.
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "newsletter", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "responses", "feedback", "disqus", "complementary", "contentinfo", "popup"}
 PARTS = {"banner", "bar", "block", "bottom", "box", "container", "content", "form", "inner", "item", "left", "list", "main", "outer", "page", "panel", "reader", "readers", "right", "section", "signup", "site", "slot", "thread", "top", "unit", "user", "users", "widget", "wrap", "wrapper"}
@@ -49,15 +54,22 @@ def _names(tag: str, attributes: str, in_main: bool) -> bool:
     """Does the element name itself as something other than content?"""
     if tag in DROPPED or tag == "header" and not in_main:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return bool(attributes) and tag in ("article", "main") and "comment" in attributes.lower() and in_main
+    if not attributes:
+        return False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+    if tag not in ("html", "body", "article", "main") and ("hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")):
         return True
-    for word in " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split():
-        parts = {p.rstrip("0123456789") for p in re.split("[_-]+", word)} - {""}
-        if parts <= NAMES | PARTS | {"header"} and (parts & NAMES or "header" in parts and not in_main):
-            return True
+    for key in ("class", "id", "role"):
+        for word in found.get(key, "").lower().split():
+            parts = {p.rstrip("0123456789") for p in re.split("[_-]+", word)} - {""}
+            if tag == "article":
+                if in_main and parts & COMMENTS and parts <= NAMES | PARTS:
+                    return True
+            elif tag in CONTAINERS and parts <= NAMES | PARTS | {"header"}:
+                if tag == "section" and key == "id" and in_main and not parts & COMMENTS:
+                    continue
+                if parts & NAMES or "header" in parts and not in_main:
+                    return True
     return False
 
 
@@ -174,21 +186,26 @@ def common_lines(a: Sequence[int], b: Sequence[int]) -> set[int]:
 
 
 def template(own: Sequence[int], others: Sequence[Sequence[int]], sizes: Sequence[int]) -> set[int]:
-    """Positions of blocks that a page shares with its neighbours, given from the nearest on: with the two nearest that are no copies of it, or with all if that is more than half of it."""
-    informative = [o for o in others if list(o) != list(own)]
-    if not informative:
+    """Positions of blocks that a page shares with its neighbours, given from the nearest on: with the two nearest, or with all if that is more than half of it. One that differs by marks only says nothing."""
+    others = [o for o in others if list(o) != list(own)]
+    if not others:
         return set()
-    shared = set.intersection(*(common_lines(own, o) for o in informative[:2]))
+    shared = set.intersection(*(common_lines(own, o) for o in others[:2]))
     if 2 * sum(sizes[i] for i in shared) > sum(sizes):
-        shared = set.intersection(shared, *(common_lines(own, o) for o in informative[2:]))
+        shared = set.intersection(shared, *(common_lines(own, o) for o in others[2:]))
     return shared
 
 
+def content(host: str, lines: Sequence[str], main: Sequence[bool]) -> bytes:
+    """Digest of a page's blocks and marks within its host: what copies have in common."""
+    return xxhash.xxh3_128_digest("\n".join([host, *(f"{x}{m:d}" for x, m in zip(lines, main))]).encode("utf-8", "surrogatepass"))
+
+
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [blocks(p) for p in batch["html"]]
         hashes = [[xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines] for lines, _ in rows]
-        yield batch.drop(columns="html").assign(hashes=hashes, sizes=[[len(x) for x in lines] for lines, _ in rows], main=[r[1] for r in rows])
+        yield batch.drop(columns="html").assign(key=[content(h, *r) for h, r in zip(batch["host"], rows)], hashes=hashes, sizes=[[len(x) for x in lines] for lines, _ in rows], main=[r[1] for r in rows])
 
 
 def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,16 +220,17 @@ def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.drop(columns="html").assign(lines=[blocks(p)[0] for p in batch["html"]])
+        rows = [blocks(p) for p in batch["html"]]
+        yield batch.drop(columns=["html", "host"]).assign(key=[content(h, *r) for h, r in zip(batch["host"], rows)], lines=[r[0] for r in rows])
 
 
 def _neighbours(read: DataFrame) -> DataFrame:
-    """read (host, path, url, page_id, key, range, hashes ...) with others: hashes of the nearest pages of the host, two on either side at most, the next one first."""
-    order = Window.partitionBy("host", "range").orderBy("path", "url", "page_id", "key")
+    """read (host, path, url, key, range, hashes ...) with others: hashes of the nearest pages of the host, two on either side at most, the next one first."""
+    order = Window.partitionBy("host", "range").orderBy("path", "url", "key")
     inner = read.withColumns({"next1": F.lead("hashes", 1).over(order), "next2": F.lead("hashes", 2).over(order), "last1": F.lag("hashes", 1).over(order), "last2": F.lag("hashes", 2).over(order)})
     at = inner.withColumns({"is_first": F.col("last2").isNull(), "is_last": F.col("next2").isNull()}).where("is_first OR is_last")
     pick = lambda which, by: F.array_sort(F.collect_list(F.when(F.col(which), F.struct(*by, "hashes"))))["hashes"]
-    by = ("path", "url", "page_id", "key")
+    by = ("path", "url", "key")
     ends = at.groupBy("host", "range").agg(pick("is_first", by).alias("first"), F.reverse(pick("is_last", by)).alias("last"))  # two rows of a range each
     by_range = Window.partitionBy("host").orderBy("range")  # one row a range
     near = lambda c, f: F.slice(F.concat(F.coalesce(f(c, 1).over(by_range), none), F.coalesce(f(c, 2).over(by_range), none)), 1, 2)
@@ -228,20 +246,19 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
     A null or empty html has an empty text, and a page without any content block too. A null or unusual url is in a host of its own
-    name (the empty one), ordered by the whole url. Pages with equal urls are neighbours, in the order of
-    page_id. A page alone in its host, or among copies of itself only, has no neighbour and loses no block to it. Repeated rows give a row
-    each; other columns are ignored. Whole pages are read, whatever their length.
+    name (the empty one), ordered by the whole url. Different pages with one url are neighbours, in the order of
+    a digest. A page alone in its host, or among copies of itself only, has no neighbour and loses no block to it. Pages of a host with
+    the same blocks, repeated rows among them, have the same text and a row each; other columns are ignored. Whole pages are read, whatever their length.
     """
     url = F.coalesce(F.col("url"), F.lit(""))
     cut = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
-    key = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("\1")), url, F.coalesce("html", F.lit(""))).cast("binary")))
-    keyed = pages.select("page_id", "url", F.lower(F.regexp_extract(url, cut, 1)).alias("host"), F.when(url.rlike(cut), F.regexp_extract(url, cut, 2)).otherwise(url).alias("path"), key.alias("key"), "html")
+    keyed = pages.select("page_id", "url", F.lower(F.regexp_extract(url, cut, 1)).alias("host"), F.when(url.rlike(cut), F.regexp_extract(url, cut, 2)).otherwise(url).alias("path"), "html")
     kind = pages.schema["page_id"].dataType.simpleString()
-    hashed = keyed.mapInPandas(_hashes, f"page_id {kind}, url string, host string, path string, key binary, hashes array<bigint>, sizes array<int>, main array<boolean>")
-    ranges = hashed.repartitionByRange("host", "path", "url", "page_id", "key").withColumn("range", F.spark_partition_id())
-    cuts = _neighbours(durable(ranges, "blocks")).select("key", "hashes", "sizes", "main", "others").mapInPandas(_cuts, "key binary, cut array<int>")
-    cuts = durable(cuts.dropDuplicates(["key"]), "cuts")
-    lines = keyed.select("page_id", "url", "key", "html").mapInPandas(_lines, f"page_id {kind}, url string, key binary, lines array<string>")
+    read = keyed.withColumn("url", url).drop("page_id").mapInPandas(_hashes, "url string, host string, path string, key binary, hashes array<bigint>, sizes array<int>, main array<boolean>")
+    distinct = read.groupBy("host", "key").agg(F.min(F.struct("path", "url", "hashes", "sizes", "main")).alias("of")).select("host", "key", "of.*")
+    ranges = durable(distinct, "contents").repartitionByRange("host", "path", "url", "key").withColumn("range", F.spark_partition_id())
+    cuts = durable(_neighbours(durable(ranges, "blocks")).select("key", "hashes", "sizes", "main", "others").mapInPandas(_cuts, "key binary, cut array<int>"), "cuts")
+    lines = keyed.select("page_id", "url", "host", "html").mapInPandas(_lines, f"page_id {kind}, url string, key binary, lines array<string>")
     both = lines.join(F.broadcast(cuts) if cuts.limit(SMALL + 1).count() <= SMALL else cuts, "key", "left")
     text = F.array_join(F.when(F.col("cut").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("cut", i))), "\n")
     return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

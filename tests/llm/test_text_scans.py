@@ -154,23 +154,28 @@ def test_size_bounds_lose_no_match():
 
 
 def plain_main_text(rows):
-    """Pages by host in URL order, each against its nearest, in plain Python."""
+    """Distinct contents of each host in the order of their first URLs, each against its nearest, in plain Python."""
     hosts = {}
     for row in rows:
         m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", row[1] or "")
         hosts.setdefault(m[1].lower() if m else "", []).append((m[2] if m else row[1] or "", row[1] or "", row[0], row))
     out = []
-    for pages_ in hosts.values():
-        pages_.sort(key=lambda p: p[:3])
-        read = [H.blocks(p[3][2]) for p in pages_]
-        for i, (lines, main) in enumerate(read):
-            near = [read[j][0] for j in (i + 1, i - 1, i + 2, i - 2) if 0 <= j < len(read)]
+    for host, pages_ in hosts.items():
+        first, of = {}, []
+        for path, url, page_id, row in pages_:
+            lines, main = H.blocks(row[2])
+            of.append((page_id, row[1], (tuple(lines), tuple(main))))
+            first[of[-1][2]] = min(first.get(of[-1][2], (path, url)), (path, url))
+        ordered = sorted(first, key=lambda c: (*first[c], H.content(host, *c)))
+        texts = {}
+        for i, (lines, main) in enumerate(ordered):
+            near = [ordered[j][0] for j in (i + 1, i - 1, i + 2, i - 2) if 0 <= j < len(ordered)]
             near = [x for x in near if x != lines]
             shared = set.intersection(*(H.common_lines(lines, x) for x in near[:2])) if near else set()
             if near and sum(len(lines[k]) for k in shared) * 2 > sum(map(len, lines)):
                 shared &= set.intersection(*(H.common_lines(lines, x) for x in near))
-            text = "\n".join(x for k, x in enumerate(lines) if main[k] or k not in shared)
-            out.append((pages_[i][2], pages_[i][3][1], text, len(text)))
+            texts[lines, main] = "\n".join(x for k, x in enumerate(lines) if main[k] or k not in shared)
+        out += [(page_id, url, texts[c], len(texts[c])) for page_id, url, c in of]
     return sorted(out)
 
 
@@ -210,3 +215,20 @@ def test_pages_without_marks_give_the_same_texts(spark):
 def test_containers_are_named_by_whole_words(spark):
     html = "".join(f"<div {a}><p>{k}</p></div>" for k, a in enumerate(['class="responses"', 'id="reader-feedback"', 'class="newsletter-signup"', 'class="ad-slot_2 x"', 'id="search-theory"', 'class="notice-period"', 'class="comment-on-law"', 'role="complementary"', 'class="header"', 'id="header-of-text"']))
     assert H.blocks(html)[0] == ["4", "5", "6", "9"]
+
+
+def test_names_count_on_containers_and_not_on_headings_or_anchors():
+    html = "<article><h2 id='cookies'>1</h2><section id='feedback'><p class='ad'>2</p></section><div class='notice'>3</div><article data-ref='nocomment'>4</article><article class='comment'>5</article><section id='comments'>6</section></article>"
+    assert H.blocks(html)[0] == ["1", "2", "4"]
+
+
+def test_copies_of_pages_are_one_page(spark):
+    """A page between two sections keeps the same text once, five times, and among copies at other URLs on either side."""
+    page = lambda menu, own: "".join(f"<p>{x}" for x in [*menu, own])
+    side = lambda name, menu: [(i, f"http://s.org/{name}{i}", page(menu, f"own {name}{i}")) for i in range(3)]
+    rows = side("a", ["site", "menu L"]) + side("c", ["site", "menu R"])
+    middle = page(["site", "menu L", "menu R"], "between")
+    many = [(9, "http://s.org/b5", middle)] * 5
+    around = [(20 + i, f"http://s.org/b{i}", middle) for i in (6, 7, 8)]
+    results = [{r["text"] for r in H.main_text(pages(spark, *rows, *more).repartition(n)).where("url = 'http://s.org/b5'").collect()} for more, n in ((many[:1], 1), (many, 1), (many, 5), (many + around, 3))]
+    assert all(r == results[0] and len(r) == 1 for r in results) and results[0] == {"menu L\nmenu R\nbetween"}
