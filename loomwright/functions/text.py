@@ -18,6 +18,11 @@ QUOTED_NAME = r"'[a-z0-9_]+'|\"[a-z0-9_]+\"|`[a-z0-9_]+`"
 IGNORED_DIRECTORIES = ("node_modules", "ios", "android", "Pods", "coverage")
 
 
+def units(*texts: str) -> tuple[bytes, ...]:
+    """Sort key of texts by UTF-16 code units, as scripts sort; it differs from code points where a text has characters beyond U+FFFF."""
+    return tuple(t.encode("utf-16-be", "surrogatepass") for t in texts)
+
+
 def is_source(path: Column) -> Column:
     return path.rlike(SOURCE_FILE)
 

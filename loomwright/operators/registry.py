@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import units
 from .graph import written
 
 
@@ -76,18 +77,21 @@ def distinct_length(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).select(column).distinct().agg(F.coalesce(F.sum(F.char_length(column)), F.lit(0)).cast("long").alias("total"))
 
 
-def render(chosen: DataFrame, aliases: DataFrame, mode: str = "scanned") -> str:
-    """The registry as a script: paths once each, then variants and names in order, then aliases. It holds only what is used, so it fits the driver."""
+def render(chosen: DataFrame, aliases: DataFrame, mode: str = "scanned", most: int = 2_000_000) -> str:
+    """The registry as a script: paths once each, then variants and names in order, then aliases. It holds only what is used; one of more than most rows or aliases is refused."""
     codes = first_seen_codes(chosen, "path", ["variant", "name", "shape"])
-    rows = chosen.join(codes, "path").select("variant", "name", "shape", "code", "path").collect()
+    rows = chosen.join(codes, "path").select("variant", "name", "shape", "code", "path").limit(most + 1).collect()
+    known = aliases.select("alias", "target").limit(most + 1).collect()
+    if max(len(rows), len(known)) > most:
+        raise ValueError(f"a registry of more than {most} rows or aliases is no script")
     paths = sorted({(r["code"], r["path"]) for r in rows})
     lines = ["'use strict';", *[f"var p{c}={_quoted(p)};" for c, p in paths], f"module.exports={{mode:{_quoted(mode)},icons:{{"]
     shapes: dict[str, dict[str, list]] = {}
-    for r in sorted(rows, key=lambda r: (r["variant"], r["name"], r["shape"])):
+    for r in sorted(rows, key=lambda r: units(r["variant"], r["name"], r["shape"])):
         shapes.setdefault(r["variant"], {}).setdefault(r["name"], []).append(f"{r['shape']}:p{r['code']}")
     for variant, names in shapes.items():
         lines += [f"{_quoted(variant)}:{{", *[f"{_quoted(name)}:{{{','.join(each)}}}," for name, each in names.items()], "},"]
-    pairs = sorted((r["alias"], r["target"]) for r in aliases.collect())
+    pairs = sorted(((r["alias"], r["target"]) for r in known), key=lambda p: units(*p))
     lines.append(f"}},aliases:{{{','.join(f'{_quoted(a)}:{_quoted(t)}' for a, t in pairs)}}}}};")
     return "\n".join(lines) + "\n"
 

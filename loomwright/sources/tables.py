@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import units
+
 CACHE = "cache_key string, path string, mtime_ms double, size bigint, names array<string>, marks array<string>"
 ICONS = "variant string, name string, d string, f string"
 
@@ -48,6 +50,13 @@ def join_axes(fetched: DataFrame) -> DataFrame:
     return both.where("`default` IS NOT NULL AND fill IS NOT NULL").select("variant", "name", F.col("default").alias("d"), F.nullif("fill", "default").alias("f"))
 
 
+def missing_axes(fetched: DataFrame) -> DataFrame:
+    """(variant, name, axis): what join_axes() leaves an icon out for, the axis without a path."""
+    both = fetched.groupBy("variant", "name").pivot("axis", ["default", "fill"]).agg(F.first("path", ignorenulls=True))
+    absent = F.array_compact(F.array(*[F.when(F.col(f"`{a}`").isNull(), F.lit(a)) for a in ("default", "fill")]))
+    return both.select("variant", "name", F.explode(absent).alias("axis"))
+
+
 def write_icons(icons: DataFrame, path: str) -> None:
     """Icon data as JSON lines in the order of variant and name, without f where it is null. icon_data() reads them."""
     icons.select("variant", "name", "d", "f").repartitionByRange("variant", "name").sortWithinPartitions("variant", "name").write.json(path)
@@ -60,12 +69,13 @@ def summary(icons: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def names_module(names: DataFrame, aliases: DataFrame, most: int = 2_000_000) -> str:
-    """A module of the names by kind, and of aliases, in order. A dictionary is small; one of more than most names is refused."""
+    """A module of the names by kind, and of aliases, in order. A dictionary is small; one of more than most names or aliases is refused."""
     rows = names.select("kind", "name").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a dictionary of more than {most} names is no module")
-    kinds = {k: sorted(r["name"] for r in rows if r["kind"] == k) for k in ("symbol", "legacy")}
-    known = dict(sorted((r["alias"], r["target"]) for r in aliases.collect()))
+    pairs = aliases.select("alias", "target").limit(most + 1).collect()
+    if max(len(rows), len(pairs)) > most:
+        raise ValueError(f"a dictionary of more than {most} names or aliases is no module")
+    kinds = {k: sorted((r["name"] for r in rows if r["kind"] == k), key=units) for k in ("symbol", "legacy")}
+    known = dict(sorted(((r["alias"], r["target"]) for r in pairs), key=lambda p: units(*p)))
     return "".join(f"export const {k} = {json.dumps(v, separators=(',', ':'))};\n" for k, v in [("symbols", kinds["symbol"]), ("legacy", kinds["legacy"]), ("aliases", known)])
 
 

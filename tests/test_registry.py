@@ -72,6 +72,16 @@ def test_dictionary_metadata_and_axes(spark):
     assert {tuple(r) for r in tables.metadata(spark, text, "Signs").collect()} == {("home", 3, "symbol"), ("old", 1, "legacy")}
     fetched = spark.createDataFrame([("r", "a", "default", "M0"), ("r", "a", "fill", "M0"), ("r", "b", "default", "M0"), ("r", "c", "default", "M1"), ("r", "c", "fill", "M2")], "variant string, name string, axis string, path string")
     assert {tuple(r) for r in tables.join_axes(fetched).collect()} == {("r", "a", "M0", None), ("r", "c", "M1", "M2")}
+    assert [tuple(r) for r in tables.missing_axes(fetched).collect()] == [("r", "b", "fill")]
+
+
+def test_order_by_utf16_units_and_bounded_modules(spark):
+    names = spark.createDataFrame([("symbol", n) for n in ("z", "\uff5e", "\U0001f600", "a")], "kind string, name string")
+    aliases = spark.createDataFrame([("\uff5e", "a"), ("\U0001f600", "z")], "alias string, target string")
+    text = tables.names_module(names, aliases)
+    assert text.index("\\ud83d") < text.index("\\uff5e") and text.rindex("\\ud83d") < text.rindex("\\uff5e")
+    with pytest.raises(ValueError):
+        tables.names_module(names.limit(1), aliases, most=1)
 
 
 def test_checks(spark):
