@@ -11,6 +11,8 @@ from .registry import running_total
 
 #: Names that may be broadcast to the scan; a larger dictionary is joined by a shuffle.
 BROADCAST_NAMES = 2_000_000
+#: Texts whose values are found in one task, about a second's work.
+TEXTS_IN_TASK = 5_000
 
 
 def _names(names: DataFrame) -> DataFrame:
@@ -24,6 +26,13 @@ def in_scope(files: DataFrame, exclude: list[str]) -> DataFrame:
     return files.where(T.is_source(F.col("path")) & ~T.in_ignored_directory(F.col("rel_path")) & ~T.excluded(F.col("rel_path"), exclude))
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a hash of their key, in tasks of TEXTS_IN_TASK or so, and as many as there are cores at least. For stored rows that are few
+    bytes each but much work: a scan cuts tasks by bytes, and a row group, however many rows it has, is never cut."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TEXTS_IN_TASK))
+    return rows.repartition(tasks, F.xxhash64(key))
+
+
 def occurrences(files: DataFrame, key: str, found: Column) -> DataFrame:
     """(key, name) for each literal of an array column."""
     return files.select(key, F.explode(found).alias("name"))

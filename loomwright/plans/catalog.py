@@ -387,10 +387,11 @@ def _program_sql() -> str:
 def value_positions(spark, sf_dir):
     """Names in value positions of a program for each part, of types, classes, tags and code without semicolons."""
     named = lambda c, mark: F.concat(F.lit(f"{mark}_"), F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"))
+    part = scan.dealt(_t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name"), "p_partkey")
     code = F.element_at(F.array(*[F.lit(form) for form, _ in PROGRAMS]), (F.col("p_partkey") % len(PROGRAMS) + 1).cast("int"))
     for mark, c in (("B", "p_brand"), ("T", "p_type"), ("N", "p_name")):
         code = F.regexp_replace(code, F.lit(f"(?<=['`]){mark}(?=['`])"), named(c, mark.lower()))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(T.value_literals(code, F.lit("program.tsx"))).alias("name"))
+    return part.select("p_partkey", F.explode(T.value_literals(code, F.lit("program.tsx"))).alias("name"))
 
 
 @query(

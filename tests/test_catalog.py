@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loomwright.operators import scan
 from loomwright.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -53,3 +55,11 @@ def test_imports_of_every_page_are_resolved(spark, tmp_path):
     want = [(i, j) for i, p in enumerate(paths) for j, q in enumerate(paths) if named("/".join(p.split("/")[-2:]), q)]
     got = catalog.QUERIES["import_suffix_join"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == want and {i % 10 for i, _ in want} > {0}
+
+
+def test_programs_of_one_row_group_are_read_by_many_tasks(spark, tmp_path):
+    n = 3 * scan.TEXTS_IN_TASK * spark.sparkContext.defaultParallelism
+    part = spark.range(n).selectExpr("id AS p_partkey", "concat('n ', id) AS p_name", "'B#1' AS p_brand", "'T T' AS p_type").coalesce(1)
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    got = catalog.QUERIES["value_positions"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("p_partkey").alias("n")).collect()
+    assert sum(r["n"] for r in got) == n and max(r["n"] for r in got) <= 1.2 * scan.TEXTS_IN_TASK
