@@ -24,9 +24,9 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import text_groups
+from .common import text_groups, tidy
 
-CACHE = 300_000  # matches remembered by a worker, then forgotten all at once
+CACHE = 100_000  # matches remembered by a worker, then forgotten all at once
 UNKNOWN = "unknown piece"  # no byte stands as a space, so no text has it
 
 
@@ -90,7 +90,7 @@ class ByteBPE:
         self.pieces, self.find = pieces, regex.compile(pattern).findall
         self.find_latin = re.compile(LATIN[pattern]).findall if pattern in LATIN else self.find
         self.chars = dict(enumerate(byte_chars()))
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # packed ids: a list of them takes several times the room
 
     def matches(self, text: str) -> list[str]:
         """The pattern's matches. They cover the text; a pattern that leaves gaps would lose what is in them."""
@@ -108,12 +108,9 @@ class ByteBPE:
             self.known.clear()
         new = [m for m in new if m not in self.known]
         mapped = [m.encode().decode("latin-1").translate(self.chars) for m in new]
-        self.known.update(zip(new, self.model.encode(mapped, num_threads=1)))
+        self.known.update((m, struct.pack(f"<{len(ids)}I", *ids)) for m, ids in zip(new, self.model.encode(mapped, num_threads=1)))
         for matches in found:
-            ids: list[int] = []
-            for one in map(self.known.__getitem__, matches):
-                ids += one
-            yield ids
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, matches)), dtype="<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -131,16 +128,20 @@ def encode_documents(docs: DataFrame, *, ranks_path: str, pattern: str = public_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = ByteBPE(*shared.value)
+        columns = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + with_ids]
         for batch in batches:
-            out = []
-            for ids in (ids for texts in text_groups(batch["text"]) for ids in bpe.encode_all(texts)):
-                packed = np.array(ids, dtype="<u4").tobytes()
-                row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
-                out.append((*row, packed) if with_ids else row)
-            columns = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + with_ids]
-            yield pd.concat([batch[["id"]], pd.DataFrame(out, columns=columns, index=batch.index)], axis=1)
+            at = 0
+            for texts in text_groups(batch["text"]):
+                out = []
+                for ids in bpe.encode_all(texts):
+                    packed = np.array(ids, dtype="<u4").tobytes()
+                    row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    out.append((*row, packed) if with_ids else row)
+                part = batch[["id"]].iloc[at : at + len(texts)]
+                yield pd.concat([part, pd.DataFrame(out, columns=columns, index=part.index)], axis=1)
+                at += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
-    done = own.mapInPandas(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    done = own.mapInPandas(tidy(run), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
     return done.withColumnRenamed("id", id_col)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,6 +87,25 @@ def text_groups(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[li
         yield held
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)  # the GNU library's; others give memory back themselves
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives freed memory back to the system at its end. Workers go on from task to task and from operator to operator, and
+    what one has freed but kept would come on top of what the next one needs."""
+
+    @functools.wraps(run)
+    def to_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()(0)
+
+    return to_the_end
+
+
 def numbered(df: DataFrame, key: str, *order: str, name: str = "numbered") -> DataFrame:
     """df, written in sorted runs, with _at (0, 1 ... within each key by order) and _of (rows of the key).
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, durable, text_groups
+from .common import LOWER, UPPER, durable, text_groups, tidy
 
 WORDS = 5
 CHUNKS = 12
@@ -43,7 +43,7 @@ ERRORS = 1
 SYMBOLS = CHUNKS * CHUNK
 HOT = 32  # open documents of a key from which on it is split by rare shingles
 BITMAP = 2048  # bits of the hashed sets that pairs are compared by
-CACHE = 400_000
+CACHE = 100_000  # words remembered by a worker, then forgotten all at once
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -173,10 +173,13 @@ def _hashed(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer()
         for batch in batches:
-            hashes = [signer.shingle_hashes(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "same": [_digest(h) for h in hashes], "h": [h.view(np.int64) for h in hashes]})
+            at = 0
+            for texts in text_groups(batch["text"]):
+                hashes = [signer.shingle_hashes(t) for t in texts]
+                yield pd.DataFrame({"id": batch["id"].iloc[at : at + len(texts)], "same": [_digest(h) for h in hashes], "h": [h.view(np.int64) for h in hashes]})
+                at += len(texts)
 
-    return texts.mapInPandas(run, "id bigint, same binary, h array<bigint>")
+    return texts.mapInPandas(tidy(run), "id bigint, same binary, h array<bigint>")
 
 
 def _shared_counts(hashed: DataFrame) -> DataFrame:
@@ -239,7 +242,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
     both = left.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-    return both.mapInPandas(run, "a bigint, b bigint")
+    return both.mapInPandas(tidy(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -279,7 +282,7 @@ def near_groups(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", t
     columns are ignored and an empty table gives an empty result. Texts are read whole.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = durable(own.mapInPandas(_signed, "id bigint, n bigint, same binary, sig array<bigint>, bits array<bigint>"), "signed")
+    signed = durable(own.mapInPandas(tidy(_signed), "id bigint, n bigint, same binary, sig array<bigint>, bits array<bigint>"), "signed")
     # Equal sets: the class' smallest id stands for it.
     # Equal sets have equal signatures and bitmaps.
     classes = durable(signed.where("n > 0 AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("id"), *[F.max(c).alias(c) for c in ("n", "sig", "bits")]), "classes")

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -180,3 +181,13 @@ def test_toxicity_without_labels(spark, documents):
     out = X.detect(documents((1, "idiot"), (None, None)), labels, learn=F.lit(True)).collect()
     assert [r["predicted"] for r in out] == [0, 0]
     assert X.detect(documents((1, "a")).limit(0), labels, learn=F.lit(True)).count() == 0
+
+
+def test_n_grams_of_many_new_words_take_little_room():
+    model, words = X.Model(np.arange(X.BUCKETS, dtype=np.float32), 0.0), [f"w{i * 7919:x}rd" for i in range(30_000)]
+    tracemalloc.start()
+    values = model.word_values(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 800 * len(words)
+    assert len(values) == len(words) and all(values[i] == model.word_values([words[i]])[0] for i in (0, 4_999, 5_000, 29_999))
